@@ -12,9 +12,9 @@ from .common import Scratch, connected_components, partitions
 
 #: Retained values of a sketch, and how many of the smallest make keys of the inverted lists.
 SKETCH, KEYED = 64, 48
-#: Keys of the smallest values that the first pass uses; members of a list that are compared in one task.
-FIRST_KEYS, BLOCK = 10, 64
-SMALL_SET = 12
+#: Keys of the smallest values that round r of the passes with pivots uses; members of a list in one block.
+ROUND_KEYS, BLOCK = (6, 16), 64
+SMALL_SET, HEAD = 12, 32
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -47,11 +47,11 @@ def list_keys(sketch: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def union_estimate(a: np.ndarray, b: np.ndarray) -> float:
+def union_estimate(a: np.ndarray, b: np.ndarray, k: int = SKETCH) -> float:
     """Similarity from the smallest values of the union of two sketches; exact if both are whole sets."""
     u = np.union1d(a, b)
-    if len(a) >= SKETCH or len(b) >= SKETCH:
-        u = u[:SKETCH]
+    if len(a) >= k or len(b) >= k:
+        u = u[:k]
     both = np.intersect1d(a, b, assume_unique=True)
     return np.isin(u, both, assume_unique=True).mean()
 
@@ -61,8 +61,16 @@ class Jaccard:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        t = num / den
-        self.floor = max(0.0, t - 4.5 * (t * (1 - t) / SKETCH) ** 0.5)  # an estimate below it would be 4.5 deviations off
+        self.floor = self.lowest(SKETCH)
+
+    def lowest(self, k: int) -> float:
+        """Estimates from k values that are lower would be 4.5 deviations off."""
+        t = self.num / self.den
+        return max(0.0, t - 4.5 * (t * (1 - t) / k) ** 0.5)
+
+    def estimate_allows(self, a: np.ndarray, b: np.ndarray, k: int = 256) -> bool:
+        """A closer look at large sets than their sketches give."""
+        return min(len(a), len(b)) <= k or union_estimate(a[:k], b[:k], k) >= self.lowest(k)
 
     def sizes_allow(self, a: str, b: str):
         return F.expr(f"{self.den} * least({a}, {b}) >= {self.num} * greatest({a}, {b})")
@@ -122,12 +130,10 @@ def _estimated(pairs: DataFrame, classes: DataFrame, rule: Jaccard) -> DataFrame
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(scratch: Scratch, pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, rule: Jaccard, key: str, text: str) -> DataFrame:
-    """The pairs whose whole sets, made again from the texts of one document of each class, reach the threshold."""
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = scratch.table(wanted.join(classes.select("cid", F.col("rep").alias("id"), "sig"), "cid"))
+def _whole_sets(scratch: Scratch, wanted: DataFrame, docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
+    """cid and the whole shingle set, made again from the text of one document, of the classes ``wanted`` (cid, id, sig)."""
 
-    def whole(batches):
+    def run(batches):
         for batch in batches:
             sets = [shingle_hashes(t, width) for t in batch.column(2).to_pylist()]
             same = [xxhash.xxh3_128_digest(h.tobytes()) == s for h, s in zip(sets, batch.column(1).to_pylist())]
@@ -135,7 +141,11 @@ def _verified(scratch: Scratch, pairs: DataFrame, classes: DataFrame, docs: Data
             yield out.filter(pa.array(same, pa.bool_()))
 
     texts = docs.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    sets = scratch.table(texts.join(wanted, "id").select("cid", "sig", "t").mapInArrow(whole, "cid long, hashes binary"))
+    return scratch.table(texts.join(wanted, "id").select("cid", "sig", "t").mapInArrow(run, "cid long, hashes binary"))
+
+
+def _verified(scratch: Scratch, pairs: DataFrame, sets: DataFrame, rule: Jaccard) -> DataFrame:
+    """The pairs whose whole sets reach the threshold."""
 
     def check(batches):
         for batch in batches:
@@ -144,9 +154,17 @@ def _verified(scratch: Scratch, pairs: DataFrame, classes: DataFrame, docs: Data
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda c: sets.select(F.col("cid").alias(c), F.col("hashes").alias(f"h{c}"))
-    out = scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long"))
-    scratch.drop(sets, wanted)
-    return out
+    return scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(check, "a long, b long"))
+
+
+def _mixed(scratch: Scratch, shared: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """(key, no, cid, root) of the lists that hold several components."""
+    placed = shared.select("key", "no", "cid")
+    if parts is None:
+        return placed.withColumn("root", F.col("cid"))
+    placed = scratch.table(placed.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    return scratch.table(placed.join(mixed, "key"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,9 +172,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
 
     1. Every document's shingle set gives its size, a 128-bit signature and a bottom-k sketch (one hash function).
        Documents of one signature are a class; what follows is about classes, so copies never make pairs.
-    2. Inverted lists by keys of the smallest retained values. First each list's members against its smallest one; what is
-       linked then is one component. Then, in lists that still hold several components, members of different ones
-       against each other, in blocks: nothing is capped.
+    2. Inverted lists by keys of the smallest retained values. In rounds, each list's members are compared with one
+       pivot, and what is linked becomes one component; lists of one component are done. In lists that still hold
+       several, members of different components are compared with each other, in blocks: nothing is capped.
     3. Union-sketch estimates drop pairs that are 4.5 deviations below the threshold, the others are verified on whole
        sets, so no link is wrong; a link between different sets escapes with a chance below one in a million.
 
@@ -176,23 +194,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     lists = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("cid").alias("low"), F.max("cid").alias("high"))
     shared = scratch.table(keys.join(lists.where("low < high").select("key", "low"), "key"))
     scratch.drop(keys)
-    stars = shared.where((F.col("no") < FIRST_KEYS) & (F.col("cid") != F.col("low"))).select(F.col("cid").alias("a"), F.col("low").alias("b")).distinct()
-    links = _verified(scratch, scratch.table(_estimated(stars, classes, rule)), classes, docs, width, rule, key, text)
-    parts = scratch.table(connected_components(scratch, links)) if links.head(1) else None
-    placed = shared.select("key", "cid")
-    if parts is not None:
-        placed = placed.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    else:
-        placed = placed.withColumn("root", F.col("cid"))
-    placed = scratch.table(placed)
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    open_rows = scratch.table(placed.join(mixed, "key"))
-    more = _across(scratch, open_rows, classes, rule)
+    wanted = shared.select("cid").distinct().join(classes.select("cid", F.col("rep").alias("id"), "sig"), "cid")
+    sets = _whole_sets(scratch, wanted, docs, width, key, text)
+    links, parts = None, None
+    for turn, most in enumerate(ROUND_KEYS):
+        at = _mixed(scratch, shared, parts).where(F.col("no") < most).withColumn("turn", F.xxhash64("cid", F.lit(turn)))
+        pivot = at.groupBy("key").agg(F.min(F.struct("turn", "cid", "root")).alias("p"))
+        stars = at.join(pivot, "key").where("root <> p.root").select(F.greatest("cid", "p.cid").alias("a"), F.least("cid", "p.cid").alias("b")).distinct()
+        found = _verified(scratch, scratch.table(_estimated(stars, classes, rule)), sets, rule)
+        if not found.head(1):
+            break
+        links = found if links is None else links.union(found)
+        parts = scratch.table(connected_components(scratch, links))
+    more = _across(scratch, _mixed(scratch, shared, parts), classes, sets, rule)
     if more.head(1):
-        more = _verified(scratch, more, classes, docs, width, rule, key, text)
-        if more.head(1):
-            parts = scratch.table(connected_components(scratch, links.union(more)))
-    scratch.drop(shared, placed, open_rows)
+        parts = scratch.table(connected_components(scratch, more if links is None else links.union(more)))
+    scratch.drop(shared, sets)
     label = classes.select("sig", "cid", "rep")
     if parts is not None:
         label = scratch.table(label.join(parts.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")))
@@ -208,44 +225,93 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     )
 
 
-def _across(scratch: Scratch, rows: DataFrame, classes: DataFrame, rule: Jaccard) -> DataFrame:
-    """Pairs of classes in one list but in different components that the sketches allow, each once.
+def _across(scratch: Scratch, rows: DataFrame, classes: DataFrame, sets: DataFrame, rule: Jaccard) -> DataFrame:
+    """Links between classes that share a list but are in different components, as many as their components need.
 
-    A list's members are dealt to blocks of one component and about ``BLOCK`` members by size; a task compares two
-    blocks and lets only pairs through that pass the estimate.
+    Every class is in one block: of its largest list, and of about ``BLOCK`` members. Two blocks meet once, however many
+    lists they share; so a pair is looked at once. First by sketches; blocks in which some pair may be similar meet
+    again with whole sets.
     """
-    spark = rows.sparkSession
-    sized = rows.join(classes.select("cid", "n", "sketch"), "cid")
-    width = scratch.table(rows.groupBy("key").agg(F.count("*").alias("m")))
-    deal = sized.join(width, "key").withColumn("block", F.pmod(F.xxhash64("cid"), F.greatest(F.lit(1), F.expr(f"m div {BLOCK}"))))
-    blocks = scratch.table(
-        deal.groupBy("key", "block").agg(F.sort_array(F.collect_list(F.struct("cid", "root", "n", "sketch"))).alias("members"))
-    )
-    left = blocks.select("key", F.col("block").alias("block_a"), F.col("members").alias("ma"))
-    right = blocks.select("key", F.col("block").alias("block_b"), F.col("members").alias("mb"))
-    num, den, floor = rule.num, rule.den, rule.floor
-
-    def run(batches):
-        for batch in batches:
-            a, b = [], []
-            for ma, mb, same in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                sketch = {m["cid"]: np.frombuffer(m["sketch"], np.uint64) for m in (*ma, *mb)}
-                for x in ma:
-                    for y in mb:
-                        if x["root"] == y["root"] or (same and x["cid"] >= y["cid"]):
-                            continue
-                        if den * min(x["n"], y["n"]) < num * max(x["n"], y["n"]):
-                            continue
-                        if union_estimate(sketch[x["cid"]], sketch[y["cid"]]) >= floor:
-                            a.append(max(x["cid"], y["cid"])), b.append(min(x["cid"], y["cid"]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    joined = left.join(right, "key").where("block_a <= block_b").select("ma", "mb", (F.col("block_a") == F.col("block_b")).alias("same"))
-    out = scratch.table(joined.mapInArrow(run, "a long, b long").distinct())
-    scratch.drop(blocks, width)
+    sizes = rows.groupBy("key").agg(F.count("*").alias("m"))
+    home = scratch.table(
+        rows.join(sizes, "key").groupBy("cid").agg(F.max(F.struct("m", "key")).alias("h"), F.max("root").alias("root"))
+        .select("cid", "root", F.xxhash64("h.key", F.expr(f"pmod(xxhash64(cid), h.m div {BLOCK} + 1)")).alias("block"))
+    )
+    touch = scratch.table(rows.select("key", "cid").join(home.select("cid", "block"), "cid").select("key", "block").distinct())
+    met = touch.withColumnRenamed("block", "a").join(touch.withColumnRenamed("block", "b"), "key").where("a <= b").select("a", "b").distinct()
+
+    def gathered(values: DataFrame) -> DataFrame:
+        members = home.join(values, "cid").groupBy("block").agg(F.collect_list(F.struct("cid", "root", "hashes", "n")).alias("m"))
+        return scratch.table(members)
+
+    def meet(pairs: DataFrame, blocks: DataFrame, look, schema: str) -> DataFrame:
+        side = lambda c: blocks.select(F.col("block").alias(c), F.col("m").alias(f"m{c}"))
+
+        def run(batches):
+            for batch in batches:
+                (oa, va), (ob, vb) = ((c.offsets.to_numpy(), c.values) for c in (batch.column(2), batch.column(3)))
+                for k in range(batch.num_rows):
+                    x, y = va.slice(oa[k], oa[k + 1] - oa[k]), vb.slice(ob[k], ob[k + 1] - ob[k])
+                    got = look(batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), x, y)
+                    if got:
+                        yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+        return scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb").mapInArrow(run, schema))
+
+    def hopeful(a, b, x, y):
+        return [(a, b)] if next(_candidates(x, y, a == b, rule), None) else []
+
+    def linked(a, b, x, y):
+        parent: dict[int, int] = {}
+
+        def top(r):
+            while parent.get(r, r) != r:
+                r = parent[r]
+            return r
+
+        out = []
+        for (ci, ri, hi), (cj, rj, hj) in _candidates(x, y, a == b, rule):
+            if top(ri) != top(rj) and rule.estimate_allows(hi, hj) and rule.linked(hi, hj):
+                parent[top(ri)] = top(rj)
+                out.append((max(ci, cj), min(ci, cj)))
+        return out
+
+    blocks = gathered(classes.select("cid", F.col("sketch").alias("hashes"), "n"))
+    close = meet(met, blocks, hopeful, "a long, b long")
+    whole = gathered(sets.withColumn("n", F.expr("length(hashes) div 8")).join(close.select(F.explode(F.array("a", "b")).alias("block")).distinct().join(home.select("cid", "block"), "block").select("cid"), "cid", "left_semi"))
+    found = meet(close, whole, linked, "a long, b long")
+    out = scratch.table(found.distinct())
+    scratch.drop(blocks, whole, touch, close, found, home)
     return out
 
 
+def _candidates(x: pa.StructArray, y: pa.StructArray, same: bool, rule: Jaccard):
+    """Pairs of members (cid, root, hashes) of two blocks that sizes and sketches allow, likely ones first.
+
+    The number of common values among the ``HEAD`` smallest of either bounds their estimate from above, and takes one
+    product of two 0/1 matrices for all pairs.
+    """
+    (ca, ra, na), (cb, rb, nb) = (tuple(v.field(k).to_numpy(zero_copy_only=False) for k in ("cid", "root", "n")) for v in (x, y))
+    ok = (ra[:, None] != rb) & (rule.den * np.minimum(na[:, None], nb) >= rule.num * np.maximum(na[:, None], nb))
+    if same:
+        ok &= ca[:, None] < cb
+    if not ok.any():
+        return
+    sa, sb = ([np.frombuffer(s, np.uint64) for s in v.field("hashes").to_pylist()] for v in (x, y))
+    ha, hb = ([s[:HEAD] for s in v] for v in (sa, sb))
+    la, lb = np.array([len(s) for s in ha]), np.array([len(s) for s in hb])
+    values, at = np.unique(np.concatenate([*ha, *hb]), return_inverse=True)
+    has = np.zeros((len(sa) + len(sb), len(values)), np.float32)
+    has[np.repeat(np.arange(len(has)), np.concatenate([la, lb])), at] = 1
+    common = has[: len(sa)] @ has[len(sa) :].T
+    ok &= common >= rule.lowest(HEAD) * np.minimum(HEAD, la[:, None] + lb - common)
+    i, j = np.nonzero(ok)
+    for k in np.argsort(-common[i, j], kind="stable"):
+        p, q = sa[i[k]], sb[j[k]]
+        if union_estimate(p[:SKETCH], q[:SKETCH]) >= rule.floor:
+            yield (int(ca[i[k]]), int(ra[i[k]]), p), (int(cb[j[k]]), int(rb[j[k]]), q)
+
+
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates: of each group the document of the smallest key.
 

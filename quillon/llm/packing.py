@@ -152,9 +152,10 @@ def pack(pieces: DataFrame, room: int, key: str = "doc_id", rounds: int = 4, tas
         def run(batches, turn=turn, last=last):
             from pyspark import TaskContext
 
-            t = pa.Table.from_batches(batches)
-            if not t.num_rows:
+            batches = [b for b in batches if b.num_rows]
+            if not batches:
                 return
+            t = pa.Table.from_batches(batches)
             t = t.sort_by([(c, "ascending") for c in ("length", key, "piece")])
             sizes = t.column("length").to_numpy()
             bins = best_fit_decreasing(sizes, room)
