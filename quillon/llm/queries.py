@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, minhash, packing, quality, sharding, toxicity
+from . import bpe, licenses, minhash, nndescent, packing, quality, sharding, suffixes, toxicity
 from .common import read_table
 
 QUERIES = {}
@@ -18,6 +18,17 @@ def query(f):
     return f
 
 
+@query
+def op1_nn_descent_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return nndescent.nearest_neighbours(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+@query
+def op3_nn_descent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nndescent.near_duplicate_vectors(read_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -26,6 +37,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_texts(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed_spans(read_table(spark, sf_dir, "documents"), length=400)
+
+
 @query
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
