@@ -34,8 +34,8 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts what is covered by 400-byte strings that also occur elsewhere."""
-    return suffixes.cut_repeats(docs, length=400)
+    """Cuts what is covered by strings of 256 bytes, less than fifty words, that also occur elsewhere."""
+    return suffixes.cut_repeats(docs, length=256)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
