@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import struct
+import unicodedata
 import zlib
 from functools import lru_cache
 
@@ -18,46 +20,67 @@ from .common import Scratch
 TASK_PIECES = 20_000
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: ASCII punctuation but the apostrophe, with which contractions begin.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t, Memo(None, most=600_000)
+def _byte_letters() -> list[str]:
+    """How byte-level vocabularies write bytes: visible ones as themselves, the others as letters from U+0100 on."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [c for c in range(256) if c not in visible]
+    return [chr(c if c in visible else 256 + others.index(c)) for c in range(256)]
 
 
-def token_ids(path: str, texts: list[bytes]):
-    """Ids of each text as little-endian unsigned 32-bit numbers.
+class WordIds(Memo):
+    """Ids of a word between ASCII white space, as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and never looks across it, so words between ASCII white space are encoded once and
-    remembered. (True of vocabularies with word ends; not of those whose tokens hold spaces.)
+    The tokenizer drops white space and never looks across it, so words are encoded once and short ones remembered. Its
+    normaliser and splitter leave a lower-case word of letters whole: such a word goes to the merges directly. Capitals
+    of ASCII words, and marks after a letter or digit, are taken off first. All others take the tokenizer's own way.
     """
-    tokenizer, known = _tokenizer(path)
-    words = [t.split() for t in texts]
-    new = list({w for ws in words for w in ws if w not in known})
-    fresh = {}
-    for k in range(0, len(new), 4096):
-        part = new[k : k + 4096]
-        for w, e in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
-            fresh[w] = np.array(e.ids, "<u4").tobytes()
-    if len(known) + len(fresh) > known.most:  # bounded memory
-        known.clear()
-        fresh |= {w: fresh[w] if w in fresh else _one(tokenizer, w) for ws in words for w in ws}
-    known.update(fresh)
-    for ws in words:
-        yield b"".join([known[w] for w in ws])
-    for w in [w for w in fresh if len(w) > known.longest]:
-        del known[w]
-
-
-def _one(tokenizer, word: bytes) -> bytes:
-    return np.array(tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        super().__init__(None, most=500_000, longest=10)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merges = self.tokenizer.model.tokenize
+        self.letters = _byte_letters()
+        self.make = self._ids
+
+    def _ids(self, word: bytes) -> bytes:
+        core = word.rstrip(MARKS)
+        if len(core) < len(word) and core[-1:].isalnum():
+            return self[core] + self[word[len(core) :]]
+        if word.isascii():
+            lower = word.lower()
+            if lower != word:
+                return self[lower]
+            if word.isalpha():
+                return self._packed([t.id for t in self.merges(word.decode())])
+        s = word.decode()
+        if s.isalpha() and s.lower() == s and unicodedata.is_normalized("NFC", s):
+            return self._packed([t.id for t in self.merges("".join([self.letters[c] for c in word]))])
+        return self._packed(self.tokenizer.encode(s, add_special_tokens=False).ids)
+
+    @staticmethod
+    def _packed(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
+
+
+def token_ids(path: str, text: bytes) -> bytes:
+    return b"".join(map(word_ids(path).__getitem__, text.split()))
 
 
 def token_pieces(docs: DataFrame, path: str, room: int, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokenize whole texts, end each with ``end_id``, and cut those longer than ``room``.
+    """Tokenize whole texts by a vocabulary with word ends, end each with ``end_id``, and cut those longer than ``room``.
 
     Null text counts as empty (one piece of one token). Returns key, piece int, start long, length long and ids_crc32
     long; one scan, no exchange. Repeated rows give repeated pieces.
@@ -69,12 +92,11 @@ def token_pieces(docs: DataFrame, path: str, room: int, end_id: int = 0, key: st
             keys = batch.column(0)
             texts = batch.column(1).to_pylist()
             row, piece, start, length, crc = [], [], [], [], []
-            for lo in range(0, len(texts), 256):
-                for k, ids in enumerate(token_ids(path, texts[lo : lo + 256]), lo):
-                    ids += end
-                    for p, at in enumerate(range(0, len(ids), 4 * room)):
-                        cut = ids[at : at + 4 * room]
-                        row.append(k), piece.append(p), start.append(at // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))
+            for k, text in enumerate(texts):
+                ids = token_ids(path, text) + end
+                for p, at in enumerate(range(0, len(ids), 4 * room)):
+                    cut = ids[at : at + 4 * room]
+                    row.append(k), piece.append(p), start.append(at // 4), length.append(len(cut) // 4), crc.append(zlib.crc32(cut))
             yield pa.RecordBatch.from_arrays(
                 [keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 names=[key, "piece", "start", "length", "ids_crc32"],

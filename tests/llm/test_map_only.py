@@ -92,9 +92,10 @@ def test_word_tokens_equal_whole_text():
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
     rng = random.Random(3)
-    texts = [x or "" for x in ODD] + ["".join(rng.choice("aB é́ \n\t\x0b\x0c\x1c'sre1 Σσ!.  ́") for _ in range(60)) for _ in range(3000)]
-    for ids, text in zip(packing.token_ids(path, [x.encode() for x in texts]), texts):
-        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+    texts = [x or "" for x in ODD] + ["".join(rng.choice("aBzé́ \n\t\x0b\x0c\x1c'sre1 Σσ!.  ́") for _ in range(60)) for _ in range(3000)]
+    texts += ["W\u030a w\u030a It's, it'S,'s don't!'s a,'re \u212a ǅ ﬁ ß ẞ İ", "<|startoftext|>,x ab\u0301, A\u0301"]
+    for text in texts:
+        assert np.frombuffer(packing.token_ids(path, text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_packing_places_every_token_once(spark, make_docs, words):
