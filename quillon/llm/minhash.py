@@ -13,8 +13,8 @@ from .common import Scratch, connected_components, partitions
 #: Retained values of a sketch, and how many of the smallest make keys of the inverted lists.
 SKETCH, KEYED = 64, 48
 #: Keys of the smallest values that round r of the passes with pivots uses; members of a list in one block.
-ROUND_KEYS, BLOCK = (6, 16), 64
-SMALL_SET, HEAD = 12, 32
+ROUND_KEYS, BLOCK = (10,), 256
+SMALL_SET = 12
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -47,11 +47,11 @@ def list_keys(sketch: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def union_estimate(a: np.ndarray, b: np.ndarray, k: int = SKETCH) -> float:
+def union_estimate(a: np.ndarray, b: np.ndarray) -> float:
     """Similarity from the smallest values of the union of two sketches; exact if both are whole sets."""
     u = np.union1d(a, b)
-    if len(a) >= k or len(b) >= k:
-        u = u[:k]
+    if len(a) >= SKETCH or len(b) >= SKETCH:
+        u = u[:SKETCH]
     both = np.intersect1d(a, b, assume_unique=True)
     return np.isin(u, both, assume_unique=True).mean()
 
@@ -68,10 +68,6 @@ class Jaccard:
         t = self.num / self.den
         return max(0.0, t - 4.5 * (t * (1 - t) / k) ** 0.5)
 
-    def estimate_allows(self, a: np.ndarray, b: np.ndarray, k: int = 256) -> bool:
-        """A closer look at large sets than their sketches give."""
-        return min(len(a), len(b)) <= k or union_estimate(a[:k], b[:k], k) >= self.lowest(k)
-
     def sizes_allow(self, a: str, b: str):
         return F.expr(f"{self.den} * least({a}, {b}) >= {self.num} * greatest({a}, {b})")
 
@@ -259,9 +255,18 @@ def _across(scratch: Scratch, rows: DataFrame, classes: DataFrame, sets: DataFra
         return scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ma", "mb").mapInArrow(run, schema))
 
     def hopeful(a, b, x, y):
-        return [(a, b)] if next(_candidates(x, y, a == b, rule), None) else []
+        return [(a, b)] if _allowed(x, y, a == b, rule)[0].any() else []
 
     def linked(a, b, x, y):
+        ok, sa, sb = _allowed(x, y, a == b, rule)
+        i, j = np.flatnonzero(ok.any(1)), np.flatnonzero(ok.any(0))
+        if not len(i):
+            return []
+        sa, sb = [sa[k] for k in i], [sb[k] for k in j]
+        both = _in_common(sa, sb)
+        na, nb = np.array([len(s) for s in sa]), np.array([len(s) for s in sb])
+        same = ok[np.ix_(i, j)] & (rule.den * both >= rule.num * (na[:, None] + nb - both))
+        (ca, ra), (cb, rb) = ((v.field("cid").to_numpy()[k], v.field("root").to_numpy()[k]) for v, k in ((x, i), (y, j)))
         parent: dict[int, int] = {}
 
         def top(r):
@@ -270,10 +275,11 @@ def _across(scratch: Scratch, rows: DataFrame, classes: DataFrame, sets: DataFra
             return r
 
         out = []
-        for (ci, ri, hi), (cj, rj, hj) in _candidates(x, y, a == b, rule):
-            if top(ri) != top(rj) and rule.estimate_allows(hi, hj) and rule.linked(hi, hj):
-                parent[top(ri)] = top(rj)
-                out.append((max(ci, cj), min(ci, cj)))
+        for p, q in zip(*np.nonzero(same)):
+            r, s = top(int(ra[p])), top(int(rb[q]))
+            if r != s:
+                parent[r] = s
+                out.append((int(max(ca[p], cb[q])), int(min(ca[p], cb[q]))))
         return out
 
     blocks = gathered(classes.select("cid", F.col("sketch").alias("hashes"), "n"))
@@ -285,31 +291,41 @@ def _across(scratch: Scratch, rows: DataFrame, classes: DataFrame, sets: DataFra
     return out
 
 
-def _candidates(x: pa.StructArray, y: pa.StructArray, same: bool, rule: Jaccard):
-    """Pairs of members (cid, root, hashes) of two blocks that sizes and sketches allow, likely ones first.
-
-    The number of common values among the ``HEAD`` smallest of either bounds their estimate from above, and takes one
-    product of two 0/1 matrices for all pairs.
+def _in_common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of ``a`` with all of ``b``: products of 0/1 matrices, a slice of the values at a time."""
+    values, at = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    row = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in (*a, *b)])
+    often = np.bincount(at, minlength=len(values)) > 1
+    column = np.cumsum(often) - 1
+    keep = often[at]
+    at, row = column[at[keep]], row[keep]
+    out = np.zeros((len(a), len(b)), np.float32)
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    for lo in range(0, int(often.sum()), 4096):
+        part = slice(*np.searchsorted(at, [lo, lo + 4096]))
+        has = np.zeros((len(a) + len(b), 4096), np.float32)
+        has[row[part], at[part] - lo] = 1
+        out += has[: len(a)] @ has[len(a) :].T
+    return out.astype(np.int64)
+
+
+def _allowed(x: pa.StructArray, y: pa.StructArray, same: bool, rule: Jaccard):
+    """Which pairs of members (cid, root, hashes, n) of two blocks sizes and sketches allow, and the members' hashes.
+
+    Retained values in common bound the union's estimate from above.
     """
     (ca, ra, na), (cb, rb, nb) = (tuple(v.field(k).to_numpy(zero_copy_only=False) for k in ("cid", "root", "n")) for v in (x, y))
     ok = (ra[:, None] != rb) & (rule.den * np.minimum(na[:, None], nb) >= rule.num * np.maximum(na[:, None], nb))
     if same:
         ok &= ca[:, None] < cb
     if not ok.any():
-        return
+        return ok, [], []
     sa, sb = ([np.frombuffer(s, np.uint64) for s in v.field("hashes").to_pylist()] for v in (x, y))
-    ha, hb = ([s[:HEAD] for s in v] for v in (sa, sb))
+    ha, hb = ([s[:SKETCH] for s in v] for v in (sa, sb))
     la, lb = np.array([len(s) for s in ha]), np.array([len(s) for s in hb])
-    values, at = np.unique(np.concatenate([*ha, *hb]), return_inverse=True)
-    has = np.zeros((len(sa) + len(sb), len(values)), np.float32)
-    has[np.repeat(np.arange(len(has)), np.concatenate([la, lb])), at] = 1
-    common = has[: len(sa)] @ has[len(sa) :].T
-    ok &= common >= rule.lowest(HEAD) * np.minimum(HEAD, la[:, None] + lb - common)
-    i, j = np.nonzero(ok)
-    for k in np.argsort(-common[i, j], kind="stable"):
-        p, q = sa[i[k]], sb[j[k]]
-        if union_estimate(p[:SKETCH], q[:SKETCH]) >= rule.floor:
-            yield (int(ca[i[k]]), int(ra[i[k]]), p), (int(cb[j[k]]), int(rb[j[k]]), q)
+    common = _in_common(ha, hb)
+    return ok & (common >= rule.floor * np.minimum(SKETCH, la[:, None] + lb - common)), sa, sb
 
 
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
