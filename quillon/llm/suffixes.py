@@ -142,22 +142,22 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
 
 
 def _surroundings(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """uid, r1, r2, pos, lo, hi, suffix (from the anchor on) and left (from lo to the anchor) of the wanted anchors."""
+    """uid, gram, r1, r2, pos, lo, hi, suffix (from the anchor on) and left (from lo to the anchor) of the wanted anchors."""
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             for r1, r2, t, places in zip(*(c.to_pylist() for c in batch.columns)):
                 for p in places:
                     pos, lo = p["pos"], p["lo"]
-                    for col, x in zip(out, (p["uid"], r1, r2, pos, lo, p["hi"], t[pos : pos + length], t[lo:pos])):
+                    for col, x in zip(out, (p["uid"], p["gram"], r1, r2, pos, lo, p["hi"], t[pos : pos + length], t[lo:pos])):
                         col.append(x)
-            kinds = [pa.int64()] * 6 + [pa.binary()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["uid", "r1", "r2", "pos", "lo", "hi", "suffix", "left"])
+            kinds = [pa.int64()] * 7 + [pa.binary()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["uid", "gram", "r1", "r2", "pos", "lo", "hi", "suffix", "left"])
 
-    places = wanted.groupBy("r1", "r2").agg(F.collect_list(F.struct("uid", "pos", "lo", "hi")).alias("places"))
+    places = wanted.groupBy("r1", "r2").agg(F.collect_list(F.struct("uid", "gram", "pos", "lo", "hi")).alias("places"))
     joined = keyed.select("r1", "r2", "t").join(places, ["r1", "r2"]).select("r1", "r2", "t", "places")
-    return joined.mapInArrow(run, "uid long, r1 long, r2 long, pos long, lo long, hi long, suffix binary, left binary")
+    return joined.mapInArrow(run, "uid long, gram long, r1 long, r2 long, pos long, lo long, hi long, suffix binary, left binary")
 
 
 def longest_matches(scratch: Scratch, suffixes: DataFrame, length: int) -> DataFrame:
@@ -210,25 +210,25 @@ def longest_matches(scratch: Scratch, suffixes: DataFrame, length: int) -> DataF
     return out.join(F.broadcast(across), "uid", "left").select("uid", F.greatest("reach", F.coalesce("across", F.lit(0))).alias("reach"))
 
 
-def _windows(placed: DataFrame, length: int) -> DataFrame:
-    """The windows that may occur elsewhere: those whose bytes from the anchor on do."""
+def _spans(rows: DataFrame, length: int, single: bool) -> DataFrame:
+    """uid, a, b and a 128-bit hash of the bytes of all windows of a run a..b of starts, or of each of them."""
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                r1, r2, start, hashes = [], [], [], []
-                for a, b, pos, lo, hi, suffix, left, reach in zip(*(c.to_pylist() for c in part.columns)):
+                uid, lows, highs, hashes = [], [], [], []
+                for u, pos, lo, a, b, suffix, left in zip(*(c.to_pylist() for c in batch.slice(at, 500).columns)):
                     text = left + suffix
-                    for p in range(lo, min(hi, pos - length + reach) + 1):
-                        hashes.append(xxhash.xxh3_128_digest(text[p - lo : p - lo + length]))
-                        r1.append(a), r2.append(b), start.append(p)
+                    step = 1 if single else b - a + 1
+                    for p in range(a, b + 1, step):
+                        q = min(p + step - 1, b)
+                        # where the anchor is in it counts as well
+                        hashes.append(xxhash.xxh3_128(text[p - lo : q - lo + length], seed=pos - p).digest())
+                        uid.append(u), lows.append(p), highs.append(q)
                 both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in (r1, r2, start)] + [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["r1", "r2", "p", "w1", "w2"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (uid, lows, highs)] + [pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["uid", "a", "b", "w1", "w2"])
 
-    return placed.select("r1", "r2", "pos", "lo", "hi", "suffix", "left", "reach").mapInArrow(run, "r1 long, r2 long, p long, w1 long, w2 long")
+    return rows.select("uid", "pos", "lo", "a", "b", "suffix", "left").mapInArrow(run, "uid long, a long, b long, w1 long, w2 long")
 
 
 def repeated_windows(scratch: Scratch, keyed: DataFrame, length: int) -> DataFrame:
@@ -236,9 +236,11 @@ def repeated_windows(scratch: Scratch, keyed: DataFrame, length: int) -> DataFra
 
     1. Anchors of all texts. Those whose surroundings (all that their windows can see) occur twice are settled: all their
        windows do. Those whose own bytes occur once are settled as well: none does.
-    2. The others, and one of each settled kind that shares their bytes, go into a sparse suffix array: the longest match
-       to the right of the anchor bounds the windows that can occur elsewhere.
-    3. These windows are compared by 128-bit hashes.
+    2. The others, and one of each settled kind that shares their bytes, go into two sparse suffix arrays, one of what
+       follows the anchor and one of what precedes it, read backwards: the longest matches bound the windows that can
+       occur elsewhere.
+    3. These runs of windows are compared by 128-bit hashes: as a whole, those without an equal window by window
+       (with one run of each kind that has equals).
     Counts are partial-aggregated and joins split by Spark's skew handling, so a passage in a third of all texts is no
     hot spot; no pairs are made.
     """
@@ -252,17 +254,32 @@ def repeated_windows(scratch: Scratch, keyed: DataFrame, length: int) -> DataFra
     settled = counted.where("m > 1").select("r1", "r2", "lo", "hi")
     wanted = scratch.table(
         counted.where("mixed").where((F.col("m") == 1) | (F.col("rep") == F.struct("r1", "r2", "pos")))
-        .select("r1", "r2", "pos", "lo", "hi").distinct().withColumn("uid", F.monotonically_increasing_id())
+        .select("r1", "r2", "pos", "lo", "hi", "gram").distinct().withColumn("uid", F.monotonically_increasing_id())
     )
-    around = scratch.table(_surroundings(keyed, wanted, length).dropDuplicates(["uid"]))
-    scratch.drop(wanted)
-    reach = longest_matches(scratch, around, length)
-    windows = scratch.table(_windows(around.join(reach.where(f"reach >= {GRAM}"), "uid"), length))
-    scratch.drop(around)
-    twice = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    again = scratch.table(windows.join(twice, ["w1", "w2"]).select("r1", "r2", F.col("p").alias("lo"), F.col("p").alias("hi")))
-    scratch.drop(windows)
-    return settled.union(again)
+    around = scratch.table(_surroundings(keyed, wanted, length))
+    scratch.release()
+    ahead = longest_matches(scratch, around.select("uid", "suffix"), length)
+    # one more row for each text that repeats does no harm: all its windows occur twice anyway
+    before = F.concat(F.unhex(F.lpad(F.hex("gram"), 16, "0")), F.reverse(F.hex("left")))
+    back = longest_matches(scratch, around.select("uid", before.cast("binary").alias("suffix")), 8 + 2 * length)
+    back = back.select("uid", F.expr("greatest(0, reach - 8) div 2").alias("behind"))
+    first, last = F.greatest("lo", F.col("pos") - F.col("behind")), F.least("hi", F.col("pos") + F.col("reach") - length)
+    rows = around.join(ahead.where(f"reach >= {GRAM}"), "uid").join(back, "uid").withColumn("a", first).withColumn("b", last).where("a <= b")
+    rows = scratch.table(rows.select("uid", "gram", "r1", "r2", "pos", "lo", "a", "b", "suffix", "left"))
+    scratch.drop(around, wanted)
+    out, ids = settled, rows.select("uid", "r1", "r2").distinct()
+    for single in (False, True):
+        spans = scratch.table(_spans(rows, length, single))
+        twice = spans.groupBy("w1", "w2").agg(F.count("*").alias("m"), F.min("uid").alias("one")).where("m > 1")
+        known = scratch.table(spans.join(twice, ["w1", "w2"], "left").select("uid", "a", "b", F.col("m").isNotNull().alias("again")))
+        out = out.union(scratch.table(known.where("again").join(ids, "uid").select("r1", "r2", F.col("a").alias("lo"), F.col("b").alias("hi"))))
+        if not single:
+            # a window of a run without an equal may be in one that has some, so one of each kind goes along
+            alone = rows.join(known.where("not again").select("uid").distinct(), "uid", "left_semi")
+            kinds = rows.join(twice.select(F.col("one").alias("uid")).distinct(), "uid", "left_semi")
+            rows = scratch.table(alone.union(kinds.join(alone.select("gram").distinct(), "gram", "left_semi").select(alone.columns)))
+        scratch.drop(spans, known)
+    return out
 
 
 def covered(starts: list[tuple[int, int]], length: int) -> list[list[int]]:
