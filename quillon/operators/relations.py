@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions.scoring import is_superseded
-from ..functions.text import _REFERENCE, change_relations, preview_udf
+from ..functions.text import REFERENCE, change_relations, preview_udf
 
 _KINDS = {"dst_corpus": T.StringType(), "dst_id": T.LongType(), "relation": T.StringType(), "where": T.StringType(), "form": T.StringType()}
 _FOUND = T.ArrayType(T.StructType([T.StructField(name, kind) for name, kind in _KINDS.items()]))
@@ -30,7 +30,7 @@ def _relations(corpus: pd.Series, id_: pd.Series, title: pd.Series, head: pd.Ser
 
 def relations(entries: DataFrame) -> DataFrame:
     """src_corpus, src_id, dst_corpus, dst_id, relation, where, form: what entries say they change, read from their heads only."""
-    names_one = F.concat_ws("\n", "title", "head").rlike(_REFERENCE.pattern)
+    names_one = F.concat_ws("\n", "title", "head").rlike(REFERENCE.pattern)
     e = entries.select("corpus", "id", "title", F.substring("content", 1, 700).alias("head")).where(names_one)
     found = e.select(F.col("corpus").alias("src_corpus"), F.col("id").alias("src_id"), F.explode(_relations("corpus", "id", "title", "head")).alias("r"))
     return found.select("src_corpus", "src_id", "r.*")
