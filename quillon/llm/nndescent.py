@@ -12,13 +12,16 @@ from .common import Scratch, connected_components, partitions
 
 #: First neighbours: sorted orders of random projections, and rows of one order that are compared with each other.
 ORDERS, CHUNK, SIGN_BITS = 6, 1024, 14
-#: Neighbours of a node that a round joins, in each direction, and best partners that it reports of each.
-SAMPLE, REPORT = 8, 4
 BLOCK = 512
 
 
-def valid_vectors(rows: DataFrame, key: str, vector: str, group: str | None, unit: bool) -> DataFrame:
-    """id, grp and x (float64 bytes; ``unit``: scaled to length 1) of the rows whose vectors take part.
+def storage(rows: DataFrame, vector: str) -> str:
+    """How vectors travel: single precision if that is what they have; all arithmetic is in double precision."""
+    return "<f4" if rows.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
+
+
+def valid_vectors(rows: DataFrame, key: str, vector: str, group: str | None, unit: bool, kind: str = "<f8") -> DataFrame:
+    """id, grp and x (bytes; ``unit``: scaled to length 1) of the rows whose vectors take part.
 
     Not so: null or empty vectors, those of length zero, with null or non-finite components, null keys, and with ``group``
     null groups. Vectors of other dimensions are in other groups.
@@ -37,7 +40,7 @@ def valid_vectors(rows: DataFrame, key: str, vector: str, group: str | None, uni
                 if unit:
                     x = x / top
                     x = x / np.sqrt(x @ x)
-                ids.append(i), grp.append(f"{len(v)}:{g}"), xs.append(x.tobytes())
+                ids.append(i), grp.append(f"{len(v)}:{g}"), xs.append(x.astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(grp, pa.string()), pa.array(xs, pa.binary())], names=["id", "grp", "x"])
 
     g = F.col(group).cast("string") if group else F.lit("all")
@@ -50,15 +53,15 @@ def classes_of(scratch: Scratch, vectors: DataFrame) -> DataFrame:
     return scratch.table(distinct)
 
 
-def _rows(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _rows(column, kind: str = "<f8") -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
 
 
 def square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T)
 
 
-def first_neighbours(scratch: Scratch, nodes: DataFrame, k: int) -> DataFrame:
+def first_neighbours(scratch: Scratch, nodes: DataFrame, k: int, kind: str) -> DataFrame:
     """v, u, d: near pairs from rows that are close in one of several orders by random hyperplanes.
 
     An order's rows are cut by rank into chunks of equal size, so groups of like vectors are split as well.
@@ -71,8 +74,8 @@ def first_neighbours(scratch: Scratch, nodes: DataFrame, k: int) -> DataFrame:
             out: list[list] = [[] for _ in range(6)]
             for t in range(ORDERS):
                 for i, (a, g, b) in enumerate(zip(v, grp, x)):
-                    dim = len(b) // 8
-                    p = _planes(t, dim) @ np.frombuffer(b, np.float64)
+                    value = np.frombuffer(b, kind).astype(np.float64)
+                    p = _planes(t, len(value)) @ value
                     code = int(((p[:-1] > 0) << np.arange(SIGN_BITS)).sum())
                     for col, value in zip(out, (t, code, float(p[-1]), a, g, b)):
                         col.append(value)
@@ -98,7 +101,7 @@ def first_neighbours(scratch: Scratch, nodes: DataFrame, k: int) -> DataFrame:
         out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for g in np.unique(grp):
             at = np.flatnonzero(grp == g)
-            x = _rows(table.column("x").take(pa.array(at)))
+            x = _rows(table.column("x").take(pa.array(at)), kind)
             d = square_distances(x, x)
             ids = v[at]
             d[ids[:, None] == ids] = np.inf
@@ -130,36 +133,41 @@ def _best(pairs: DataFrame, limit) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(W.partitionBy("v").orderBy("d", "u"))).where(F.col("rank") <= limit)
 
 
-def neighbour_graph(scratch: Scratch, nodes: DataFrame, k: int, rounds: int = 6, settled: float = 0.02, near: float | None = None, most: int = 64) -> DataFrame:
+def neighbour_graph(scratch: Scratch, nodes: DataFrame, k: int, rounds: int = 6, settled: float = 0.02, near: float | None = None, most: int = 64, kind: str = "<f8", sample: int = 8, report: int = 4) -> DataFrame:
     """v, u, d (square distance), rank: about the ``k`` nearest neighbours of each node in its group, by NN-descent.
 
-    Every round joins the neighbours of each node, a sample of those that it is a neighbour of included, with each other
-    and keeps the best of each; it ends when less than ``settled`` of the lists change. With ``near``, lists that hold
+    Every round joins ``sample`` neighbours of each node, and as many of those that it is a neighbour of, with each other,
+    and keeps the best of each; new ones go first, and a join reports the ``report`` best partners of each member. It ends
+    when less than ``settled`` of the lists change. With ``near``, lists that hold
     nothing but distances up to it are saturated and grow to twice the size, up to ``most``.
     """
-    first = first_neighbours(scratch, nodes, k).withColumn("new", F.lit(1))
+    first = first_neighbours(scratch, nodes, k, kind).withColumn("new", F.lit(1))
     graph = scratch.table(_best(first, k))
     sizes = graph.select("v").distinct().withColumn("k", F.lit(k)) if near is not None else None
     n = nodes.count()
     for turn in range(rounds):
-        ahead = graph.where(F.col("rank") <= SAMPLE).select("v", "u", "new")
-        back = graph.groupBy(F.col("u").alias("v"), F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(SAMPLE)).alias("s")).agg(F.min("v").alias("u"), F.max("new").alias("new")).select("v", "u", "new")
+        turns = F.row_number().over(W.partitionBy("v").orderBy(F.desc("new"), F.xxhash64("u", F.lit(turn))))
+        graph_at = graph.withColumn("turn", turns)
+        ahead = graph_at.where(F.col("turn") <= sample).select("v", "u", "new")
+        spread = F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(sample)).alias("s")
+        back = graph.groupBy(F.col("u").alias("v"), spread).agg(F.max(F.struct("new", F.xxhash64("v", F.lit(turn)), F.col("v").alias("u"))).alias("b")).select("v", "b.u", "b.new")
         around = ahead.union(back).union(nodes.select("v", F.col("v").alias("u"), F.lit(0).alias("new")))
         around = around.groupBy("v", "u").agg(F.max("new").alias("new"))
         with_x = around.join(nodes.select(F.col("v").alias("u"), "x"), "u")
         lists = with_x.groupBy("v").agg(F.collect_list(F.struct("u", "new", "x")).alias("m")).select("m")
-        found = lists.mapInArrow(_local_join, "v long, u long, d double").withColumn("new", F.lit(1))
-        pairs = graph.select("v", "u", "d", F.lit(0).alias("new")).union(found)
+        found = lists.mapInArrow(_local_join(kind, report), "v long, u long, d double").withColumn("new", F.lit(1))
+        old = graph_at.select("v", "u", "d", F.when(F.col("turn") <= sample, 0).otherwise(F.col("new")).alias("new"))
+        pairs = old.union(found)
         if near is None:
             nxt = scratch.table(_best(pairs, k))
         else:
             full = graph.groupBy("v").agg(F.count("*").alias("n"), F.max("d").alias("far"))
             grown = sizes.join(full, "v").select("v", F.when((F.col("far") <= near) & (F.col("n") >= F.col("k")), F.least(F.lit(most), F.col("k") * 2)).otherwise(F.col("k")).alias("k"))
-            old, sizes = sizes, scratch.table(grown)
+            last, sizes = sizes, scratch.table(grown)
             best = _best(pairs, most).join(sizes, "v").where("rank <= k").select("v", "u", "d", "new", "rank")
             nxt = scratch.table(best)
             if turn:
-                scratch.drop(old)
+                scratch.drop(last)
         scratch.drop(graph)
         graph = nxt
         if graph.where("new = 1").count() <= settled * n * k:
@@ -167,48 +175,65 @@ def neighbour_graph(scratch: Scratch, nodes: DataFrame, k: int, rounds: int = 6,
     return graph
 
 
-def _local_join(batches):
+def _local_join(kind: str, report: int):
     """Distances between all members of each list, of which one at least is new; the best few of each member."""
-    for batch in batches:
-        offsets, m = batch.column(0).offsets.to_numpy(), batch.column(0).values
-        u, new, x = m.field("u").to_numpy(), m.field("new").to_numpy(), m.field("x").to_pylist()
-        out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        for lo, hi in zip(offsets, offsets[1:]):
-            if hi - lo < 2:
-                continue
-            a = np.frombuffer(b"".join(x[lo:hi]), np.float64).reshape(hi - lo, -1)
-            d = square_distances(a, a)
-            d[(new[lo:hi, None] | new[lo:hi]) == 0] = np.inf
-            np.fill_diagonal(d, np.inf)
-            n = min(REPORT, hi - lo - 1)
-            best = np.argpartition(d, n - 1, axis=1)[:, :n]
-            dist = np.take_along_axis(d, best, 1)
-            fine = np.isfinite(dist)
-            ids = u[lo:hi]
-            out[0].append(np.repeat(ids, n).reshape(-1, n)[fine]), out[1].append(ids[best][fine]), out[2].append(dist[fine])
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["v", "u", "d"])
 
+    def run(batches):
+        for batch in batches:
+            offsets, m = batch.column(0).offsets.to_numpy(), batch.column(0).values
+            u, new, x = m.field("u").to_numpy(), m.field("new").to_numpy(), m.field("x").to_pylist()
+            out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for lo, hi in zip(offsets, offsets[1:]):
+                if hi - lo < 2:
+                    continue
+                a = np.frombuffer(b"".join(x[lo:hi]), kind).reshape(hi - lo, -1).astype(np.float64)
+                d = square_distances(a, a)
+                d[(new[lo:hi, None] | new[lo:hi]) == 0] = np.inf
+                np.fill_diagonal(d, np.inf)
+                n = min(report, hi - lo - 1)
+                best = np.argpartition(d, n - 1, axis=1)[:, :n]
+                dist = np.take_along_axis(d, best, 1)
+                fine = np.isfinite(dist)
+                ids = u[lo:hi]
+                out[0].append(np.repeat(ids, n).reshape(-1, n)[fine]), out[1].append(ids[best][fine]), out[2].append(dist[fine])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["v", "u", "d"])
 
-def _distance(batches):
-    for batch in batches:
-        a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        d = [float(np.sqrt(((np.frombuffer(x, np.float64) - np.frombuffer(y, np.float64)) ** 2).sum())) for x, y in zip(a, b)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64())], names=["q", "u", "d"])
+    return run
 
 
-def greedy_search(scratch: Scratch, nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: int, steps: int) -> DataFrame:
+def _distance(kind: str):
+    """Euclidean distances in double precision, straight from the differences."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            d = np.zeros(len(a))
+            for lo in range(0, len(a), 4096):
+                x, y = (np.frombuffer(b"".join(c[lo : lo + 4096]), kind).astype(np.float64) for c in (a, b))
+                n = len(a[lo : lo + 4096])
+                if all(len(v) == len(a[lo]) for v in a[lo : lo + 4096]):
+                    d[lo : lo + n] = np.sqrt(((x - y).reshape(n, -1) ** 2).sum(1))
+                else:  # several dimensions in one batch
+                    at = np.cumsum([0] + [len(v) // np.dtype(kind).itemsize for v in a[lo : lo + 4096]])
+                    d[lo : lo + n] = [np.sqrt(((x[p:q] - y[p:q]) ** 2).sum()) for p, q in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["q", "u", "d"])
+
+    return run
+
+
+def greedy_search(scratch: Scratch, nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: int, steps: int, kind: str) -> DataFrame:
     """q, u, d: the ``beam`` nearest nodes found for each query by walking the graph.
 
     ``starts``: q, qx (the query's vector), u (a node to begin at). Each step goes on from all nodes of the beam that it
     hasn't been at, along neighbours in both directions; it ends when no beam has one, or after ``steps``.
     """
-    both = graph.select("v", "u").union(graph.groupBy(F.col("u").alias("v"), F.pmod(F.xxhash64("v"), F.lit(16)).alias("s")).agg(F.min_by("v", "d").alias("u")).select("v", "u"))
+    both = graph.select("v", "u").union(graph.groupBy(F.col("u").alias("v"), F.pmod(F.xxhash64("v"), F.lit(24)).alias("s")).agg(F.min_by("v", "d").alias("u")).select("v", "u"))
     roads = scratch.table(both.distinct().withColumnRenamed("u", "next"))
     queries = scratch.table(starts.select("q", "qx").distinct())
     x = nodes.select(F.col("v").alias("u"), "x")
 
     def measured(pairs: DataFrame) -> DataFrame:
-        return pairs.join(queries, "q").join(x, "u").select("q", "u", "qx", "x").mapInArrow(_distance, "q long, u long, d double")
+        return pairs.join(queries, "q").join(x, "u").select("q", "u", "qx", "x").mapInArrow(_distance(kind), "q long, u long, d double")
 
     nearest = W.partitionBy("q").orderBy("d", "u")
     state = scratch.table(measured(starts.select("q", "u").distinct()).withColumn("been", F.lit(False)))
@@ -225,7 +250,7 @@ def greedy_search(scratch: Scratch, nodes: DataFrame, graph: DataFrame, starts:
     return state.select("q", "u", "d")
 
 
-def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", degree: int = 20, beam: int = 48, steps: int = 5) -> DataFrame:
+def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", degree: int = 24, beam: int = 96, steps: int = 6) -> DataFrame:
     """query_id, rank (from 1), the key, score (Euclidean distance, double): the ``k`` nearest of each query row.
 
     ``queries`` are rows of ``rows`` (only the key is read); a query's own row is no candidate. All valid rows are in the
@@ -235,15 +260,16 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, key: st
     than ``k`` all are returned.
     """
     scratch = Scratch(rows.sparkSession)
-    vectors = scratch.table(valid_vectors(rows, key, vector, None, unit=False))
+    kind = storage(rows, vector)
+    vectors = scratch.table(valid_vectors(rows, key, vector, None, unit=False, kind=kind))
     nodes = classes_of(scratch, vectors)
     members = vectors.select("grp", "x", "id").distinct().withColumn("r", F.row_number().over(W.partitionBy("grp", "x").orderBy("id"))).where(F.col("r") <= k + 1)
     members = scratch.table(members.join(nodes.select("grp", "x", "v"), ["grp", "x"]).select("v", "id"))
-    graph = neighbour_graph(scratch, nodes, degree)
+    graph = neighbour_graph(scratch, nodes, degree, rounds=8, kind=kind, sample=16, report=6)
     asked = vectors.join(queries.select(F.col(key).cast("long").alias("id")).distinct(), "id", "left_semi")
     own = scratch.table(asked.join(nodes.select("grp", "x", "v"), ["grp", "x"]).select("id", "v").distinct())
     starts = own.select("v").distinct().join(nodes.select("v", F.col("x").alias("qx")), "v").select(F.col("v").alias("q"), "qx", F.col("v").alias("u"))
-    found = greedy_search(scratch, nodes, graph, starts, max(beam, 2 * k), steps)
+    found = greedy_search(scratch, nodes, graph, starts, max(beam, 2 * k), steps, kind)
     named = own.select(F.col("id").alias("query_id"), F.col("v").alias("q")).join(found, "q").join(members.withColumnRenamed("v", "u"), "u")
     ranked = named.where("id <> query_id").groupBy("query_id", "id").agg(F.min("d").alias("score")).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
