@@ -78,3 +78,13 @@ def drift(have: DataFrame, want: DataFrame) -> DataFrame:
     """Edges that are stored but not implied, or implied but not stored."""
     a, b = have.select(*EDGE).distinct(), want.select(*EDGE).distinct()
     return a.subtract(b).withColumn("kind", F.lit("extra")).union(b.subtract(a).withColumn("kind", F.lit("missing")))
+
+
+def chains(edges: DataFrame) -> DataFrame:
+    """head, node, level of the linear parts of a graph (src, dst): a node without predecessor, and what follows it, if no
+    node of the whole part has more than one predecessor or successor. Level 0 is the head, the oldest."""
+    d = degrees(edges)
+    heads = d.where("n_in = 0").select("node")
+    walk = reachable(edges, heads).select(F.col("src").alias("head"), "node", "level")
+    odd = walk.join(d.where("n_in > 1 or n_out > 1"), "node", "left_semi").select("head").distinct()
+    return walk.join(odd, "head", "left_anti")

@@ -385,6 +385,13 @@ def cycle_check(spark, sf_dir):
     return lineage.would_cycle(e, wanted)
 
 
+@query(f"""WITH RECURSIVE {EDGES}, ends AS (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges), deg AS (SELECT node, sum(o) AS o, sum(i) AS i FROM ends GROUP BY node),
+w AS (SELECT node AS head, node, 0 AS level FROM deg WHERE i = 0 UNION SELECT w.head, e.dst, w.level + 1 FROM w JOIN edges e ON e.src = w.node WHERE level < 64)
+SELECT head, node, min(level) AS level FROM w WHERE head NOT IN (SELECT head FROM w JOIN deg USING (node) WHERE o > 1 OR i > 1) GROUP BY head, node""")
+def chain_order(spark, sf_dir):
+    return lineage.chains(lineage_edges(spark, sf_dir))
+
+
 MARKED = """marked AS (SELECT 'homelab' AS corpus, doc_id AS id, CASE doc_id % 4 WHEN 0 THEN ['homelab:' || (doc_id + 1), 'ai:' || (doc_id + 2)] WHEN 1 THEN ['homelab:' || doc_id] WHEN 2 THEN ['bad ref', 'ai:' || (doc_id * 3)] ELSE [] END AS refs FROM documents),
 m AS (SELECT corpus, id, unnest(refs) AS ref FROM marked), me AS (SELECT DISTINCT corpus AS src_corpus, id AS src_id, split_part(ref, ':', 1) AS dst_corpus, CAST(split_part(ref, ':', 2) AS BIGINT) AS dst_id FROM m WHERE regexp_full_match(ref, '(homelab|ai):[0-9]+') AND ref <> corpus || ':' || id)"""
 
@@ -586,6 +593,33 @@ def query_terms(spark, sf_dir):
     return plain.select("item_id", F.sort_array(query_terms_udf("text")).alias("terms"))
 
 
+def engine(spark, sf_dir):
+    from .plans.search import SearchEngine
+
+    return SearchEngine(entries(spark, sf_dir), corpus_vectors(spark, sf_dir), CFG)
+
+
+@query(f"WITH {TOP} SELECT qid, corpus || ':' || id AS ref, place, relevance, final_score FROM top")
+def engine_search(spark, sf_dir):
+    return engine(spark, sf_dir).search(vector_queries(spark, sf_dir)).select("qid", "ref", "place", "relevance", "final_score")
+
+
+@query(f"WITH {DIST} SELECT qid, corpus, count(*) FILTER (WHERE d > 0.85) AS far, count(*) FILTER (WHERE d <= 0.85) AS near FROM dist GROUP BY ALL")
+def engine_trace(spark, sf_dir):
+    t = engine(spark, sf_dir).trace(vector_queries(spark, sf_dir))
+    far = F.coalesce(F.col("eliminated_before") == "distance", F.lit(False))
+    return t.groupBy("qid", "corpus").agg(F.count_if(far).alias("far"), F.count_if(~far).alias("near"))
+
+
+@query()
+def engine_hybrid(spark, sf_dir):
+    """Both wordings and the lexical lane at once; its parts are held against SQL above."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    q = b.join(vectors(spark, sf_dir).select(F.col("id").alias("qid"), F.col("x").alias("qx")), "qid")
+    alt = b.select("qid").join(vectors(spark, sf_dir).select((F.col("id") - 1).alias("qid"), F.col("x").alias("qx")), "qid")
+    return engine(spark, sf_dir).search(q, alt)
+
+
 # --- Beyond SQL: rows only here, held against expectations in tests ---------------------------------------------------
 
 
