@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-ORDERS = (3, 4, 6, 8, 10)
+ORDERS = (3, 4, 5, 6, 8, 10)
 BUCKET_BITS = 20
 #: Bounds of the model, whatever the input's size: labelled rows that it learns from, and n-grams that it keeps.
 MAX_LABELLED, MAX_FEATURES = 16_000, 4_096
@@ -24,15 +24,14 @@ GAP = b" " * max(ORDERS)
 
 
 def blocks(texts: list[bytes]):
-    """Whole texts as (codes, starts, numbers): blocks of bounded size; long texts are cut with an overlap.
+    """Whole texts as (codes, starts, numbers): blocks of bounded size.
 
     Every text is between spaces, so n-grams know word starts and ends; no n-gram holds letters of two texts.
     """
     parts, starts, numbers, size = [], [], [], 0
     for number, text in enumerate(texts):
         text = text.translate(TABLE)
-        for at in range(0, max(1, len(text)), BLOCK):
-            piece = text[max(0, at - max(ORDERS)) : at + BLOCK]
+        for piece in pieces_of(text):
             parts += [GAP, piece]
             starts.append(size)
             numbers.append(number)
@@ -44,6 +43,21 @@ def blocks(texts: list[bytes]):
         yield np.frombuffer(b"".join([*parts, GAP]), np.uint8), np.array(starts), np.array(numbers)
 
 
+def pieces_of(text: bytes):
+    """The text in pieces of about BLOCK bytes that begin and end at spaces where there are any, and overlap by an n-gram."""
+    at = 0
+    while True:
+        end = at + BLOCK
+        if end >= len(text):
+            yield text[at:]
+            return
+        space = text.rfind(b" ", at + 2 * max(ORDERS), end)
+        end = space + 1 if space >= 0 else end
+        yield text[at:end]
+        back = text.rfind(b" ", at + 1, end - max(ORDERS))
+        at = back if back > at and end - back < BLOCK // 2 else end - max(ORDERS)
+
+
 def gram_codes(codes: np.ndarray):
     """64-bit codes of the n-grams of each order, by start."""
     wide = codes.astype(np.uint64) + np.uint64(1)
@@ -70,11 +84,15 @@ def damped(times: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Kept n-grams (sorted codes), their weights, the bitmap of their buckets, and the bias."""
+    """Kept n-grams (sorted codes), their weights, which of them counts more than once, and the bias.
+
+    Only n-grams of the label's side count by how often they occur: however long, clean text doesn't outweigh the rest.
+    """
 
     codes: np.ndarray
     weights: np.ndarray
     bias: float
+    repeats: np.ndarray | None = None
 
     def __post_init__(self):
         self.bitmap = np.zeros(1 << BUCKET_BITS, bool)
@@ -94,7 +112,9 @@ class Model:
                     found.append(text * len(self.codes) + k[hit])
         pairs, times = np.unique(np.concatenate(found), return_counts=True)
         size = max(1, len(self.codes))
-        return pairs // size, pairs % size, damped(times)
+        k = pairs % size
+        counted = damped(times) if self.repeats is None else np.where(self.repeats[k], damped(times), 1.0)
+        return pairs // size, k, counted
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         text, k, value = self.features(texts)
@@ -174,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "
     c1, c0 = np.array([r.c1 for r in kept], float), np.array([r.c0 for r in kept], float)
     ratio = np.log(((c1 + 0.5) / (n1 + 1)) / ((c0 + 0.5) / (n0 + 1)))
     order = np.argsort(codes)
-    model = Model(codes[order], ratio[order], 0.0)
+    model = Model(codes[order], ratio[order], 0.0, ratio[order] > 0)
 
     def present(batches):
         for batch in batches:
