@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 
 from .common import Scratch, connected_components, partitions
 
-#: First neighbours: sorted orders of random projections, and rows of one order that are compared with each other.
-ORDERS, CHUNK, SIGN_BITS = 6, 1024, 14
+#: First neighbours: rows of one sorted order that are compared with each other, and hyperplanes that make an order.
+CHUNK, SIGN_BITS = 1024, 14
 BLOCK = 512
 
 
@@ -61,8 +61,8 @@ def square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T)
 
 
-def first_neighbours(scratch: Scratch, nodes: DataFrame, k: int, kind: str) -> DataFrame:
-    """v, u, d: near pairs from rows that are close in one of several orders by random hyperplanes.
+def first_neighbours(scratch: Scratch, nodes: DataFrame, k: int, kind: str, orders: int) -> DataFrame:
+    """v, u, d: near pairs from rows that are close in one of ``orders`` by random hyperplanes.
 
     An order's rows are cut by rank into chunks of equal size, so groups of like vectors are split as well.
     """
@@ -72,7 +72,7 @@ def first_neighbours(scratch: Scratch, nodes: DataFrame, k: int, kind: str) -> D
             v, grp = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             x = batch.column(2).to_pylist()
             out: list[list] = [[] for _ in range(6)]
-            for t in range(ORDERS):
+            for t in range(orders):
                 for i, (a, g, b) in enumerate(zip(v, grp, x)):
                     value = np.frombuffer(b, kind).astype(np.float64)
                     p = _planes(t, len(value)) @ value
@@ -133,7 +133,7 @@ def _best(pairs: DataFrame, limit) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(W.partitionBy("v").orderBy("d", "u"))).where(F.col("rank") <= limit)
 
 
-def neighbour_graph(scratch: Scratch, nodes: DataFrame, k: int, rounds: int = 6, settled: float = 0.02, near: float | None = None, most: int = 64, kind: str = "<f8", sample: int = 8, report: int = 4) -> DataFrame:
+def neighbour_graph(scratch: Scratch, nodes: DataFrame, k: int, rounds: int = 6, settled: float = 0.02, near: float | None = None, most: int = 64, kind: str = "<f8", sample: int = 8, report: int = 4, orders: int = 6, first: int | None = None) -> DataFrame:
     """v, u, d (square distance), rank: about the ``k`` nearest neighbours of each node in its group, by NN-descent.
 
     Every round joins ``sample`` neighbours of each node, and as many of those that it is a neighbour of, with each other,
@@ -141,8 +141,8 @@ def neighbour_graph(scratch: Scratch, nodes: DataFrame, k: int, rounds: int = 6,
     when less than ``settled`` of the lists change. With ``near``, lists that hold
     nothing but distances up to it are saturated and grow to twice the size, up to ``most``.
     """
-    first = first_neighbours(scratch, nodes, k, kind).withColumn("new", F.lit(1))
-    graph = scratch.table(_best(first, k))
+    near_rows = first_neighbours(scratch, nodes, first or k, kind, orders).withColumn("new", F.lit(1))
+    graph = scratch.table(_best(near_rows, k))
     sizes = graph.select("v").distinct().withColumn("k", F.lit(k)) if near is not None else None
     n = nodes.count()
     for turn in range(rounds):
@@ -250,7 +250,7 @@ def greedy_search(scratch: Scratch, nodes: DataFrame, graph: DataFrame, starts:
     return state.select("q", "u", "d")
 
 
-def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", degree: int = 24, beam: int = 96, steps: int = 6) -> DataFrame:
+def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", degree: int = 24, beam: int = 128, steps: int = 6) -> DataFrame:
     """query_id, rank (from 1), the key, score (Euclidean distance, double): the ``k`` nearest of each query row.
 
     ``queries`` are rows of ``rows`` (only the key is read); a query's own row is no candidate. All valid rows are in the
@@ -265,7 +265,7 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, key: st
     nodes = classes_of(scratch, vectors)
     members = vectors.select("grp", "x", "id").distinct().withColumn("r", F.row_number().over(W.partitionBy("grp", "x").orderBy("id"))).where(F.col("r") <= k + 1)
     members = scratch.table(members.join(nodes.select("grp", "x", "v"), ["grp", "x"]).select("v", "id"))
-    graph = neighbour_graph(scratch, nodes, degree, rounds=8, kind=kind, sample=16, report=6)
+    graph = neighbour_graph(scratch, nodes, degree, rounds=5, kind=kind, sample=16, report=6, orders=20, first=10)
     asked = vectors.join(queries.select(F.col(key).cast("long").alias("id")).distinct(), "id", "left_semi")
     own = scratch.table(asked.join(nodes.select("grp", "x", "v"), ["grp", "x"]).select("id", "v").distinct())
     starts = own.select("v").distinct().join(nodes.select("v", F.col("x").alias("qx")), "v").select(F.col("v").alias("q"), "qx", F.col("v").alias("u"))
