@@ -275,13 +275,53 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, key: st
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
 
 
-def _pairs_in_blocks(scratch: Scratch, nodes: DataFrame, parts: DataFrame, least: float):
+def _meeting_parts(scratch: Scratch, nodes: DataFrame, parts: DataFrame, saturated: DataFrame, least: float) -> DataFrame:
+    """grp, r1, r2: the pairs of parts (v, root) that links of ``saturated`` nodes (v) may join.
+
+    A list that holds only links may lack some, also those to other parts; both ends of a link that no list holds are
+    saturated. Angles are a metric, so the pivots of two such parts are no further apart than the parts' radii (over their
+    saturated members) and the angle of a link together. The pivots of a group are compared in blocks, each with each.
+    """
+    members = scratch.table(parts.join(saturated, "v", "left_semi").join(nodes.select("v", "grp", "x"), "v"))
+    pivots = members.groupBy("grp", "root").agg(F.min("v").alias("v")).join(members.select("grp", "v", "x"), ["grp", "v"]).groupBy("grp", "root").agg(F.min("x").alias("p"))
+
+    def angles(batches):
+        for batch in batches:
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            cos = np.array([np.frombuffer(p, np.float64) @ np.frombuffer(x, np.float64) for p, x in pairs], np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(np.arccos(np.clip(cos, -1, 1)))], names=["grp", "root", "p", "a"])
+
+    measured = members.join(pivots, ["grp", "root"]).select("grp", "root", "p", "x").mapInArrow(angles, "grp string, root long, p binary, a double")
+    balls = scratch.table(measured.groupBy("grp", "root").agg(F.max("a").alias("a"), F.min("p").alias("p")))
+    sizes = balls.groupBy("grp").agg(F.count("*").alias("n"))
+    deal = balls.join(sizes, "grp").withColumn("b", F.expr(f"pmod(xxhash64(root), n div {BLOCK} + 1)"))
+    blocks = scratch.table(deal.groupBy("grp", "b").agg(F.collect_list(F.struct("root", "a", "p")).alias("s")))
+    side = lambda c: blocks.select("grp", F.col("b").alias(f"b{c}"), F.col("s").alias(f"s{c}"))
+
+    def near(batches):
+        for batch in batches:
+            grp, same = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            (oa, va), (ob, vb) = ((c.offsets.to_numpy(), c.values) for c in (batch.column(1), batch.column(2)))
+            for k in range(batch.num_rows):
+                p, q = va.slice(oa[k], oa[k + 1] - oa[k]), vb.slice(ob[k], ob[k + 1] - ob[k])
+                apart = np.arccos(np.clip(_rows(p.field("p")) @ _rows(q.field("p")).T, -1, 1))
+                meet = apart <= p.field("a").to_numpy()[:, None] + q.field("a").to_numpy() + np.arccos(least) + 1e-6
+                i, j = np.nonzero(np.triu(meet, 1) if same[k] else meet)
+                yield pa.RecordBatch.from_arrays([pa.array([grp[k]] * len(i), pa.string()), p.field("root").take(pa.array(i)), q.field("root").take(pa.array(j))], names=["grp", "r1", "r2"])
+
+    met = side("1").join(side("2"), "grp").where("b1 <= b2").select("grp", "s1", "s2", (F.col("b1") == F.col("b2")).alias("same"))
+    return scratch.table(met.mapInArrow(near, "grp string, r1 long, r2 long"))
+
+
+def _pairs_in_blocks(scratch: Scratch, nodes: DataFrame, parts: DataFrame, least: float, meeting: DataFrame | None = None):
     """Exact links inside parts (v, root): (v, links) sums, and edges (a, b) that connect what links connect.
 
-    A part's members are dealt to blocks; a task compares two blocks, and reports counts and a spanning forest.
+    A part's members are dealt to blocks; a task compares two blocks, and reports counts and a spanning forest. Links
+    between the two parts of each row of ``meeting`` (grp, r1, r2) are found as well.
     """
-    sizes = parts.groupBy("root").agg(F.count("*").alias("n"))
-    deal = parts.join(nodes, "v").join(sizes, "root").withColumn("b", F.expr(f"pmod(xxhash64(v), n div {BLOCK} + 1)"))
+    placed = parts.join(nodes, "v")
+    sizes = placed.groupBy("grp", "root").agg(F.count("*").alias("n"))
+    deal = placed.join(sizes, ["grp", "root"]).withColumn("b", F.expr(f"pmod(xxhash64(v), n div {BLOCK} + 1)"))
     blocks = scratch.table(deal.groupBy("grp", "root", "b").agg(F.collect_list(F.struct("v", "m", "x")).alias("s")))
     side = lambda c: blocks.select("grp", "root", F.col("b").alias(f"b{c}"), F.col("s").alias(f"s{c}"))
 
@@ -318,6 +358,10 @@ def _pairs_in_blocks(scratch: Scratch, nodes: DataFrame, parts: DataFrame, least
                 yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n.astype(np.int64)), pa.array(to.astype(np.int64), mask=~has)], names=["v", "n", "u"])
 
     met = side("1").join(side("2"), ["grp", "root"]).where("b1 <= b2").select("s1", "s2", (F.col("b1") == F.col("b2")).alias("same"))
+    if meeting is not None:
+        across = meeting.join(blocks.select("grp", F.col("root").alias("r1"), F.col("s").alias("s1")), ["grp", "r1"])
+        across = across.join(blocks.select("grp", F.col("root").alias("r2"), F.col("s").alias("s2")), ["grp", "r2"])
+        met = met.union(across.select("s1", "s2", F.lit(False)))
     out = scratch.table(met.mapInArrow(run, "v long, n long, u long"))
     return out.where("u is null").groupBy("v").agg(F.sum("n").alias("links")), out.where("u is not null").select(F.col("v").alias("a"), F.col("u").alias("b"))
 
@@ -353,8 +397,10 @@ def near_duplicate_vectors(rows: DataFrame, least: float = 0.98, key: str = "vec
 
     1. NN-descent on unit vectors; lists that hold only near ones are saturated and grow.
     2. Edges down to ``least`` - ``slack`` give parts; inside a part all pairs are compared in blocks, so the links of a
-       saturated list are whole, however many there are, and n_links counts them without making them.
-    3. An audit compares a bounded sample of nodes with all nodes; below ``wanted`` the graph is made anew with longer lists.
+       saturated list are whole, however many there are, and n_links counts them without making them. Parts with saturated
+       lists are compared with all such parts of the group that are near enough for a link.
+    3. An audit compares a bounded sample of nodes with all nodes; below ``wanted`` the graph is made anew with longer lists,
+       and after three graphs all pairs of each group are compared in blocks.
     Equal vectors of a group are one node with a number of copies, which link with each other. Vectors that are null, empty,
     zero, or hold null or non-finite components, and rows of a null group link with nothing: n_links 0, their own
     component_id, kept. Repeated rows count once and give equal rows; a key with several vectors gives several rows.
@@ -371,10 +417,16 @@ def near_duplicate_vectors(rows: DataFrame, least: float = 0.98, key: str = "vec
         if not edges.head(1):
             links, exact = None, None
         else:
-            links, exact = _pairs_in_blocks(scratch, nodes, scratch.table(connected_components(scratch, edges)).withColumnRenamed("node", "v"), least)
+            parts = scratch.table(connected_components(scratch, edges)).withColumnRenamed("node", "v")
+            lists = graph.groupBy("v").agg(F.count("*").alias("n"), F.max("d").alias("far"))
+            saturated = lists.where((F.col("far") <= 2 - 2 * least) & (F.col("n") >= degree << attempt)).select("v")
+            meeting = _meeting_parts(scratch, nodes, parts, saturated, least)
+            links, exact = _pairs_in_blocks(scratch, nodes, parts, least, meeting)
         recall = audit_recall(nodes, links if links is not None else spark.createDataFrame([], "v long, links long"), least)
         if recall >= wanted:
             break
+    else:
+        links, exact = _pairs_in_blocks(scratch, nodes, nodes.select("v", F.lit(0).alias("root")).distinct(), least)
     known = nodes.select("v", "grp", "x", "m")
     if links is not None and exact.head(1):
         roots = scratch.table(connected_components(scratch, exact)).withColumnRenamed("node", "v")

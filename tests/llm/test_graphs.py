@@ -141,3 +141,23 @@ def test_links_of_odd_tables(spark):
     assert not nndescent.near_duplicate_vectors(empty).collect()
     rows = table(spark, [[1, 0], [1, 0], [0, 1]], [1, 1, 1], ids=[4, 4, 5])
     assert sorted(tuple(r) for r in nndescent.near_duplicate_vectors(rows).collect()) == [(4, 0, 4, True), (5, 0, 5, True)]
+
+
+def test_links_between_saturated_parts(spark):
+    rng = np.random.default_rng(4)
+    a, b = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+    b = 0.985 * a + np.sqrt(1 - 0.985**2) * b
+    x = np.concatenate([side + rng.standard_normal((100, 32)) * 0.0055 for side in (a, b)]).astype(np.float32)
+    n, comp = brute_links(x, [1] * 200, 0.98)
+    assert min(n) > 150 and set(comp.values()) == {0}  # each is linked with most of the other side
+    got = {r.vec_id: r for r in nndescent.near_duplicate_vectors(table(spark, x, [1] * 200), 0.98).collect()}
+    assert [got[k].n_links for k in range(200)] == n and {r.component_id for r in got.values()} == {0}
+
+
+def test_links_when_the_audit_fails(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "audit_recall", lambda *a, **k: 0.0)
+    monkeypatch.setattr(nndescent, "neighbour_graph", lambda scratch, nodes, *a, **k: nodes.sparkSession.createDataFrame([(0, 1, 0.0)], "v long, u long, d double"))
+    x = [[1.0, 0.01 * k] for k in range(6)] + [[0.0, 1.0]]
+    n, comp = brute_links(x, [1] * 7, 0.98)
+    got = {r.vec_id: r for r in nndescent.near_duplicate_vectors(table(spark, x, [1] * 7), 0.98).collect()}
+    assert [(got[k].n_links, got[k].component_id) for k in range(7)] == [(n[k], comp[k]) for k in range(7)]
