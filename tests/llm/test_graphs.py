@@ -161,3 +161,25 @@ def test_links_when_the_audit_fails(spark, monkeypatch):
     n, comp = brute_links(x, [1] * 7, 0.98)
     got = {r.vec_id: r for r in nndescent.near_duplicate_vectors(table(spark, x, [1] * 7), 0.98).collect()}
     assert [(got[k].n_links, got[k].component_id) for k in range(7)] == [(n[k], comp[k]) for k in range(7)]
+
+
+def audited(spark, groups, alone, known):
+    """The audit of groups of unit vectors that are equal but for 1e-4, and of others; known(size): links found of each."""
+    rng, rows, links = np.random.default_rng(6), [], []
+    for size in [*groups, *[1] * alone]:
+        base = rng.standard_normal(24)
+        for _ in range(size):
+            x = base + 1e-4 * rng.standard_normal(24)
+            links.append((len(rows), known(size)))
+            rows.append((len(rows), "24:1", (x / np.sqrt(x @ x)).tobytes(), 1))
+    nodes = spark.createDataFrame(rows, "v long, grp string, x binary, m long")
+    return nndescent.audit_recall(nodes, spark.createDataFrame(links, "v long, links long"), 0.98)
+
+
+def test_audit_counts_small_groups_and_rare_links(spark):
+    groups = [1500] + [3] * 300
+    assert audited(spark, groups, 600, lambda size: size - 1) >= 0.99
+    assert audited(spark, groups, 600, lambda size: min(size - 1, 1) if size < 9 else size - 1) < 0.99  # a link of each small group lost
+    assert audited(spark, groups, 600, lambda size: 0 if size < 9 else size - 1) < 0.99  # all of them
+    assert audited(spark, [2] * 5, 2000, lambda size: 0) < 0.99  # nothing found where links are rare
+    assert audited(spark, [], 500, lambda size: 0) == 1
