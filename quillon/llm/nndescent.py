@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import Window as W
 
 from .common import Scratch, connected_components, partitions
 
+log = logging.getLogger(__name__)
+
 #: First neighbours: rows of one sorted order that are compared with each other, and hyperplanes that make an order.
 CHUNK, SIGN_BITS = 1024, 14
 BLOCK = 512
@@ -223,11 +226,12 @@ def _distance(kind: str):
     return run
 
 
-def greedy_search(scratch: Scratch, nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: int, steps: int, kind: str) -> DataFrame:
+def greedy_search(scratch: Scratch, nodes: DataFrame, graph: DataFrame, starts: DataFrame, beam: int, kind: str) -> DataFrame:
     """q, u, d: the ``beam`` nearest nodes found for each query by walking the graph.
 
     ``starts``: q, qx (the query's vector), u (a node to begin at). Each step goes on from all nodes of the beam that it
-    hasn't been at, along neighbours in both directions; it ends when no beam has one, or after ``steps``.
+    hasn't been at, along neighbours in both directions; it ends when no beam has one. A node that left a beam is further
+    than all in it and can't come back, so it does end.
     """
     both = graph.select("v", "u").union(graph.groupBy(F.col("u").alias("v"), F.pmod(F.xxhash64("v"), F.lit(24)).alias("s")).agg(F.min_by("v", "d").alias("u")).select("v", "u"))
     roads = scratch.table(both.distinct().withColumnRenamed("u", "next"))
@@ -239,7 +243,7 @@ def greedy_search(scratch: Scratch, nodes: DataFrame, graph: DataFrame, starts:
 
     nearest = W.partitionBy("q").orderBy("d", "u")
     state = scratch.table(measured(starts.select("q", "u").distinct()).withColumn("been", F.lit(False)))
-    for _ in range(steps):
+    while state.where(~F.col("been")).head(1):
         front = state.where(~F.col("been")).select("q", F.col("u").alias("v"))
         reached = front.join(roads, "v").select("q", F.col("next").alias("u")).distinct()
         fresh = reached.join(state.select("q", "u"), ["q", "u"], "left_anti")
@@ -247,12 +251,56 @@ def greedy_search(scratch: Scratch, nodes: DataFrame, graph: DataFrame, starts:
         nxt = scratch.table(grown.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= beam).drop("rank"))
         scratch.drop(state)
         state = nxt
-        if not state.where(~F.col("been")).head(1):
-            break
     return state.select("q", "u", "d")
 
 
-def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", degree: int = 24, beam: int = 128, steps: int = 6) -> DataFrame:
+def exact_search(nodes: DataFrame, asked: DataFrame, k: int, kind: str, few: bool = False) -> DataFrame:
+    """q, u, d: the ``k`` nearest nodes of each of ``asked`` (q, grp, qx), itself included, by comparing it with all nodes.
+
+    A block of queries is compared with a block of nodes and keeps the best of each query. ``few``: a bounded number is
+    asked, which goes to all tasks; else each block of queries meets each block of nodes by a join.
+    """
+
+    def run(batches):
+        for batch in batches:
+            (oq, q), (ou, u) = ((c.offsets.to_numpy(), c.values) for c in (batch.column(0), batch.column(1)))
+            for r in range(batch.num_rows):
+                a, b = q.slice(oq[r], oq[r + 1] - oq[r]), u.slice(ou[r], ou[r + 1] - ou[r])
+                x, y = _rows(a.field("qx"), kind), _rows(b.field("x"), kind)
+                n = min(k + 8, len(y))  # a few more, as the quick distances are rounded
+                best = np.argpartition(square_distances(x, y), n - 1, axis=1)[:, :n]
+                d = np.stack([np.sqrt(((x[i] - y[at]) ** 2).sum(1)) for i, at in enumerate(best)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a.field("q").to_numpy(), n)), pa.array(b.field("v").to_numpy()[best].ravel()), pa.array(d.ravel())], names=["q", "u", "d"])
+
+    many = asked.groupBy("grp").agg(F.count("*").alias("n"))
+    ask = asked.join(many, "grp").withColumn("b", F.expr(f"pmod(xxhash64(q), n div {BLOCK} + 1)")).groupBy("grp", "b").agg(F.collect_list(F.struct("q", "qx")).alias("qs"))
+    sizes = nodes.groupBy("grp").agg(F.count("*").alias("n"))
+    deal = nodes.join(sizes, "grp").withColumn("c", F.expr(f"pmod(xxhash64(v), n div {4 * BLOCK} + 1)")).repartition("grp", "c").groupBy("grp", "c").agg(F.collect_list(F.struct("v", "x")).alias("us"))
+    if few:
+        met = deal.join(F.broadcast(ask), "grp")
+    else:
+        met = ask.join(sizes, "grp").withColumn("c", F.explode(F.expr(f"sequence(0, n div {4 * BLOCK})"))).join(deal, ["grp", "c"])
+    found = met.select("qs", "us").mapInArrow(run, "q long, u long, d double")
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy("d", "u"))).where(F.col("rank") <= k).drop("rank")
+
+
+def search_recall(scratch: Scratch, nodes: DataFrame, starts: DataFrame, found: DataFrame, k: int, kind: str, sample: int = 400) -> tuple[float, float]:
+    """Recall at ``k`` of ``found`` (q, u, d) against comparison with all nodes, over about ``sample`` queries chosen by
+    hash, and a bound that the recall of all queries exceeds with 95 % confidence (two standard errors; all: the same)."""
+    n = starts.count()
+    share = min(1.0, 1.1 * sample / max(n, 1))
+    chosen = starts.where(F.pmod(F.xxhash64("q", F.lit(7)), F.lit(1 << 32)) < int(share * (1 << 32)))
+    asked = scratch.table(chosen.join(nodes.select(F.col("v").alias("q"), "grp"), "q").select("q", "grp", "qx"))
+    want = scratch.table(exact_search(nodes, asked, k + 1, kind, few=True).where("q <> u")).groupBy("q").agg(F.max("d").alias("far"), F.count("*").alias("n"))
+    have = found.where("q <> u").join(want, "q").where(F.col("d") <= F.col("far") * (1 + 1e-12)).groupBy("q").agg(F.count("*").alias("hits"))
+    per = want.join(have, "q", "left").select(F.least(F.lit(1.0), F.coalesce("hits", F.lit(0)) / F.least(F.lit(k), "n")).alias("r"))
+    r = per.agg(F.count("*").alias("n"), F.avg("r").alias("mean"), F.coalesce(F.stddev_samp("r"), F.lit(0.0)).alias("sd")).first()
+    if not r["n"]:
+        return 1.0, 1.0
+    return r["mean"], r["mean"] - (2 * r["sd"] / r["n"] ** 0.5 if share < 1 else 0)
+
+
+def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", degree: int = 24, beam: int = 128, wanted: float = 0.9) -> DataFrame:
     """query_id, rank (from 1), the key, score (Euclidean distance, double): the ``k`` nearest of each query row.
 
     ``queries`` are rows of ``rows`` (only the key is read); a query's own row is no candidate. All valid rows are in the
@@ -260,6 +308,10 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, key: st
     the k + 1 smallest are kept, more can't be in a result. Repeated keys: a row for each different vector is a candidate,
     once. Null, empty, zero vectors and those with null or non-finite components take no part; with fewer candidates
     than ``k`` all are returned.
+
+    A sample of the queries is compared with all nodes. Unless its recall is at least ``wanted`` with 95 % confidence, the
+    graph is made anew from twice the orders with longer lists, and searched with twice the beam; after two graphs all
+    queries are compared with all nodes.
     """
     scratch = Scratch(rows.sparkSession)
     kind = storage(rows, vector)
@@ -267,11 +319,20 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, key: st
     nodes = classes_of(scratch, vectors)
     members = vectors.select("grp", "x", "id").distinct().withColumn("r", F.row_number().over(W.partitionBy("grp", "x").orderBy("id"))).where(F.col("r") <= k + 1)
     members = scratch.table(members.join(nodes.select("grp", "x", "v"), ["grp", "x"]).select("v", "id"))
-    graph = neighbour_graph(scratch, nodes, degree, rounds=5, kind=kind, sample=16, report=6, orders=20, first=10)
     asked = vectors.join(queries.select(F.col(key).cast("long").alias("id")).distinct(), "id", "left_semi")
     own = scratch.table(asked.join(nodes.select("grp", "x", "v"), ["grp", "x"]).select("id", "v").distinct())
     starts = own.select("v").distinct().join(nodes.select("v", F.col("x").alias("qx")), "v").select(F.col("v").alias("q"), "qx", F.col("v").alias("u"))
-    found = greedy_search(scratch, nodes, graph, starts, max(beam, 2 * k), steps, kind)
+    starts = scratch.table(starts)
+    for attempt in range(2):
+        graph = neighbour_graph(scratch, nodes, degree << attempt, rounds=5 + 3 * attempt, kind=kind, sample=16, report=6, orders=20 << attempt, first=10)
+        found = greedy_search(scratch, nodes, graph, starts, max(beam, 2 * k) << attempt, kind)
+        recall, sure = search_recall(scratch, nodes, starts, found, k, kind)
+        log.info("graph %d: recall %.4f, at least %.4f", attempt, recall, sure)
+        if sure >= wanted:
+            break
+    else:
+        all_asked = starts.join(nodes.select(F.col("v").alias("q"), "grp"), "q").select("q", "grp", "qx")
+        found = scratch.table(exact_search(nodes, all_asked, k + 1, kind))
     named = own.select(F.col("id").alias("query_id"), F.col("v").alias("q")).join(found, "q").join(members.withColumnRenamed("v", "u"), "u")
     ranked = named.where("id <> query_id").groupBy("query_id", "id").agg(F.min("d").alias("score")).withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")

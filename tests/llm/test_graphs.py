@@ -183,3 +183,26 @@ def test_audit_counts_small_groups_and_rare_links(spark):
     assert audited(spark, groups, 600, lambda size: 0 if size < 9 else size - 1) < 0.99  # all of them
     assert audited(spark, [2] * 5, 2000, lambda size: 0) < 0.99  # nothing found where links are rare
     assert audited(spark, [], 500, lambda size: 0) == 1
+
+
+def test_search_is_repaired_below_the_wanted_recall(spark, monkeypatch):
+    x = np.random.default_rng(9).standard_normal((400, 12)).astype(np.float32)
+    x[50:60] = x[50]
+    ring = [(i, (i + 1) % 400, 1.0) for i in range(400)]  # no neighbour but the next row
+    monkeypatch.setattr(nndescent, "neighbour_graph", lambda scratch, nodes, *a, **k: nodes.sparkSession.createDataFrame(ring, "v long, u long, d double"))
+    df = table(spark, x)
+    got = nndescent.nearest_neighbours(df, df.where("vec_id % 10 = 0"), beam=20).toPandas()
+    for q, rows in got.groupby("query_id"):
+        d = np.sqrt(((x.astype(float) - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert rows.sort_values("rank").vec_id.tolist() == np.lexsort((np.arange(400), d))[:10].tolist()
+
+
+def test_walk_goes_on_until_no_beam_has_a_new_node(spark):
+    rows = [(i, "1:all", np.array([100.0 - i]).tobytes(), 1) for i in range(20)]  # each next node is nearer to the query
+    nodes = spark.createDataFrame(rows, "v long, grp string, x binary, m long")
+    roads = spark.createDataFrame([(i, i + 1, 1.0) for i in range(19)], "v long, u long, d double")
+    starts = spark.createDataFrame([(0, np.array([81.0]).tobytes(), 0)], "q long, qx binary, u long")
+    options = {"steps": 6} if "steps" in nndescent.greedy_search.__code__.co_varnames else {}
+    found = nndescent.greedy_search(Scratch(spark), nodes, roads, starts, beam=4, kind="<f8", **options).collect()
+    assert {r.u for r in found} == {16, 17, 18, 19}
