@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,29 +37,31 @@ def replace_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     return edges.join(new.select("src_corpus", "src_id").distinct(), ["src_corpus", "src_id"], "left_anti").select(*EDGE).unionByName(new.select(*EDGE).dropDuplicates())
 
 
-def reachable(edges: DataFrame, starts: DataFrame, depth: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """src, node, level: what can be reached from each start along the edges (src, dst), cycles included once.
 
-    Joins the frontier with the edges and drops what was seen; ends when the frontier is empty. checkpoint() cuts the
-    lineage where a checkpoint folder is set, so long chains don't grow the plan.
+    Joins the frontier with the edges and drops what was seen; goes on until the frontier is empty, however long the
+    chains are. checkpoint() cuts the lineage, so the plan doesn't grow; only where no checkpoint folder is set (tests, one
+    machine) a temporary one is made.
     """
     spark = edges.sparkSession
-    cut = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
-    seen = cut(starts.select(F.col("node").alias("src"), "node", F.lit(0).alias("level")))
-    front = seen
-    for level in range(1, depth + 1):
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillon-"))
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seen = starts.select(F.col("node").alias("src"), "node", F.lit(0).alias("level")).checkpoint()
+    front, level = seen, 0
+    while front.head(1):
+        level += 1
         step = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("src", F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen.select("src", "node"), ["src", "node"], "left_anti").withColumn("level", F.lit(level)))
-        if not front.head(1):
-            break
-        seen = cut(seen.union(front))
+        front = step.join(seen.select("src", "node"), ["src", "node"], "left_anti").withColumn("level", F.lit(level)).checkpoint()
+        seen = seen.union(front).coalesce(few).checkpoint()
     return seen
 
 
-def history(edges: DataFrame, starts: DataFrame, depth: int = 64) -> DataFrame:
+def history(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """As ``reachable``, along edges in both directions: the whole lineage of each start."""
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    return reachable(both, starts, depth)
+    return reachable(both, starts)
 
 
 def would_cycle(edges: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -142,3 +142,11 @@ def test_streamed_notes_are_upserted(spark, tmp_path):
     run()
     run()
     assert sorted(r.content for r in ingest.current(spark, out, ["raw_path"]).collect()) == ["one", "two"]
+
+
+def test_lineage_beyond_64_hops(spark):
+    ring = spark.createDataFrame([(i, i + 1) for i in range(70)], "src long, dst long")
+    assert lineage.reachable(ring, spark.createDataFrame([(0,)], "node long")).agg({"level": "max"}).first()[0] == 70
+    assert lineage.would_cycle(ring, spark.createDataFrame([(70, 0)], "src long, dst long")).count() == 1
+    branched = ring.union(spark.createDataFrame([(67, 100)], "src long, dst long"))
+    assert lineage.chains(branched).count() == 0
