@@ -634,8 +634,9 @@ def redact_text(spark, sf_dir):
 def passage_select(spark, sf_dir):
     from .functions.text import passage_udf
 
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("query"))
-    return entries(spark, sf_dir).join(q, "id").select("id", passage_udf("query", "content").alias("passage"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    found = hybrid_merge(spark, sf_dir).select("qid", "corpus", "id").join(q, "qid").join(entries(spark, sf_dir), ["corpus", "id"])
+    return found.select("qid", "corpus", "id", passage_udf("query", "content").alias("passage"))
 
 
 @query()
@@ -651,7 +652,7 @@ def newer_notes(spark, sf_dir):
 def stemmed_frequency(spark, sf_dir):
     from .functions.text import stemmed_tokens_udf
 
-    t = entries(spark, sf_dir).where("corpus = 'homelab'").select(F.explode(stemmed_tokens_udf("content")).alias("term"))
+    t = entries(spark, sf_dir).select(F.explode(stemmed_tokens_udf("content")).alias("term"))
     return t.groupBy("term").count()
 
 
