@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes
+
 NEVER = 1 << 60
 
 
@@ -160,6 +162,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, key: str = "doc_id",
     included; one scan, no exchange.
     """
 
+    @by_bytes(1)
     def run(batches):
         findall, encode, decode = codec(path, pattern)
         for batch in batches:

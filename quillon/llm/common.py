@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
+from functools import wraps
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,17 +23,68 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **values):
+    """Session settings (dots as two underscores) for the eager work inside; the old ones come back."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    old = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def parts_of(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+    """The batch in slices of about ``most`` bytes of a string or binary column; a longer value is a slice of its own."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist() if batch.column(column).nbytes > most else []
+    lo, total = 0, 0
+    for k, n in enumerate(sizes):
+        if total and total + n > most:
+            yield batch.slice(lo, k - lo)
+            lo, total = k, 0
+        total += n
+    yield batch.slice(lo)
+
+
+def _trim() -> None:
+    """Free memory goes back to the system: workers are kept for later tasks, and allocators keep what they had."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def by_bytes(column: int, most: int = 4 << 20):
+    """For functions of Arrow batches: they get slices of bounded bytes of a column, and leave no free memory behind."""
+
+    def wrap(run):
+        @wraps(run)
+        def sliced(batches):
+            try:
+                yield from run(part for batch in batches for part in parts_of(batch, column, most))
+            finally:
+                _trim()
+
+        return sliced
+
+    return wrap
+
+
 class Scratch:
     """Written intermediate tables in the folder that the cluster shares.
 
     A written table cuts the lineage as checkpoint() does and outlives lost executors. The folder is
-    ``spark.checkpoint.dir``; only where that is unset (tests, one machine) a temporary one is made.
+    ``spark.checkpoint.dir``; only where that is unset and Spark runs on one machine (tests) a temporary one is made.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = "file://" + tempfile.mkdtemp(prefix="quillon-")
             spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/quillon/{uuid.uuid4().hex}"

@@ -11,6 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_bytes
+
 
 #: Bounds of the scorer: documents that it learns from, and its hashed dimensions.
 MAX_SAMPLE, DIMS = 8_192, 1_024
@@ -129,10 +131,12 @@ class Scorer:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MAX_SAMPLE) -> Scorer:
     """Label model over the votes on all documents, then a scorer from at most ``most`` of them (chosen by a hash of the key).
 
-    The driver gets the numbers of documents by pattern of votes (3^9 at most) and the sample's hashed features.
+    The driver gets the numbers of documents by pattern of votes (3^9 at most) and the sample's hashed features. Of a
+    repeated key one text is learnt from; rows of a null key only vote; without rows the score is 0.5 everywhere.
     """
     texts = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
 
+    @by_bytes(1)
     def vote(batches):
         for batch in batches:
             ts = batch.column(1).to_pylist()
@@ -145,6 +149,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
     codes, counts = np.array([r["pattern"] for r in seen]), np.array([r["count"] for r in seen], float)
     good = dict(zip(codes.tolist(), label_model(codes, counts).tolist()))
 
+    @by_bytes(1)
     def features(batches):
         for batch in batches:
             ts = batch.column(1).to_pylist()
@@ -156,7 +161,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
             )
 
     chosen = docs.select(key).distinct().orderBy(F.xxhash64(key), key).limit(most)
-    sample = texts.join(F.broadcast(chosen), key).mapInArrow(features, "x binary, good double").limit(2 * most).collect()
+    one = texts.join(F.broadcast(chosen), key).groupBy(key).agg(F.min(F.struct(F.xxhash64("t"), "t")).alias("s"))  # of a repeated key one text
+    sample = one.select(key, "s.t").mapInArrow(features, "x binary, good double").collect()
     if not sample:
         return Scorer(np.zeros(DIMS), 0.0)
     x = np.stack([np.frombuffer(r.x, np.float16) for r in sample]).astype(np.float32)
@@ -176,9 +182,12 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int =
 def score_quality(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, score double (0 to 1, higher: better), kept boolean (score >= ``threshold``) of each row.
 
-    Null text counts as empty; such texts get no vote and the score of the bias and the empty measures. One scan.
+    Null text counts as empty; such texts get no vote and the score of the bias and the empty measures. One row for each
+    input row, repeated ones included; an empty table gives an empty table; of other columns, whatever their names,
+    nothing is read. One scan.
     """
 
+    @by_bytes(1)
     def run(batches):
         for batch in batches:
             s = scorer.score(batch.column(1).to_pylist())
@@ -189,9 +198,13 @@ def score_quality(docs: DataFrame, scorer: Scorer, threshold: float = 0.5, key:
 
 
 def keep_rows(docs: DataFrame, score, threshold: float, text: str = "text", below: bool = False) -> DataFrame:
-    """The rows of ``docs``, all columns, whose whole text scores at least ``threshold`` (``below``: less than it)."""
+    """The rows of ``docs``, all columns of any names, whose whole text scores at least ``threshold`` (``below``: less than it).
+
+    Null text counts as empty and stays null; repeated rows are judged alike; an empty table gives an empty table.
+    """
     at = docs.columns.index(text)
 
+    @by_bytes(at)
     def run(batches):
         for batch in batches:
             s = score([(t or "").encode() for t in batch.column(at).to_pylist()])

@@ -10,13 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions
+from .common import Scratch, by_bytes, partitions, settings
 
 #: Bytes of an anchor; windows of a text that are looked at together.
 GRAM, SEGMENT = 64, 1 << 19
 POSITION_BITS = 20
-#: Suffixes in one task of the sort.
-TASK_SUFFIXES = 20_000
+#: Suffixes in one task of the sort; splitters that are sampled from a task's rows; rows of one Arrow batch that is sent.
+TASK_SUFFIXES, SPLITTERS, CHUNK = 20_000, 20, 4_000
 _rng = np.random.default_rng(20240229)
 #: A random odd 64-bit number for each byte, and powers of an odd base and of its inverse.
 BYTE_CODES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -117,6 +117,7 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
+    @by_bytes(2)
     def run(batches):
         for batch in batches:
             found, which, hashes = [np.zeros((0, 4), np.int64)], [], []
@@ -144,6 +145,9 @@ def _anchor_rows(keyed: DataFrame, length: int) -> DataFrame:
 def _surroundings(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """uid, gram, r1, r2, pos, lo, hi, suffix (from the anchor on) and left (from lo to the anchor) of the wanted anchors."""
 
+    names, kinds = ["uid", "gram", "r1", "r2", "pos", "lo", "hi", "suffix", "left"], [pa.int64()] * 7 + [pa.binary()] * 2
+
+    @by_bytes(2)
     def run(batches):
         for batch in batches:
             out: list[list] = [[] for _ in range(9)]
@@ -152,8 +156,10 @@ def _surroundings(keyed: DataFrame, wanted: DataFrame, length: int) -> DataFrame
                     pos, lo = p["pos"], p["lo"]
                     for col, x in zip(out, (p["uid"], p["gram"], r1, r2, pos, lo, p["hi"], t[pos : pos + length], t[lo:pos])):
                         col.append(x)
-            kinds = [pa.int64()] * 7 + [pa.binary()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["uid", "gram", "r1", "r2", "pos", "lo", "hi", "suffix", "left"])
+                    if len(out[0]) >= CHUNK:  # a long text has many anchors
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+                        out = [[] for _ in range(9)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
     places = wanted.groupBy("r1", "r2").agg(F.collect_list(F.struct("uid", "gram", "pos", "lo", "hi")).alias("places"))
     joined = keyed.select("r1", "r2", "t").join(places, ["r1", "r2"]).select("r1", "r2", "t", "places")
@@ -164,55 +170,68 @@ def longest_matches(scratch: Scratch, suffixes: DataFrame, length: int) -> DataF
     """uid and reach: bytes, ``length`` at most, that a suffix has in common with any other one.
 
     Sampled splitters range-partition the suffixes by their leading bytes (equal ones by uid, so that no group is too
-    large for a task); every bucket sorts its own; the ends of neighbouring buckets are compared on the driver, two
-    suffixes for each bucket.
+    large for a task); every bucket sorts its own. The ends of neighbouring buckets meet in a join; the driver only gets
+    the numbers of the buckets that have rows.
     """
+    spark = scratch.spark
     words = -(-length // 8)
     count = suffixes.count()
-    tasks = max(partitions(scratch.spark), -(-count // TASK_SUFFIXES))
+    tasks = max(partitions(spark), -(-count // TASK_SUFFIXES))
 
+    @by_bytes(1, 1 << 62)
     def run(batches):
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
         from pyspark import TaskContext
 
+        part = TaskContext.get().partitionId()
         uid = np.concatenate([b.column(0).to_numpy() for b in batches])
         text = [s for b in batches for s in b.column(1).to_pylist()]
+        batches.clear()
         sizes = np.array([len(s) for s in text])
         rows = np.frombuffer(b"".join([s.ljust(words * 8, b"\0") for s in text]), np.uint8).reshape(len(text), words * 8)
         order = multikey_sort(rows.view(">u8").astype(np.uint64))
+        first, last = text[order[0]], text[order[-1]]
+        del text
         # among equal rows (zero bytes pad shorter ones) shorter ones first, then by uid
-        rows, sizes, uid = rows[order], sizes[order], uid[order]
-        near = common_prefixes(rows, sizes)
-        reach = np.zeros(len(text), np.int64)
-        reach[1:] = near
-        reach[:-1] = np.maximum(reach[:-1], near)
-        ends: list[bytes | None] = [None] * len(text)
-        ends[0], ends[-1] = text[order[0]], text[order[-1]]
-        for at in range(0, len(text), 10_000):
-            part = slice(at, at + 10_000)
+        sizes, uid = sizes[order], uid[order]
+        reach = np.zeros(len(uid), np.int64)
+        for at in range(0, len(uid), CHUNK):
+            near = common_prefixes(rows[order[at : at + CHUNK + 1]], sizes[at : at + CHUNK + 1])
+            reach[at + 1 : at + 1 + len(near)] = near
+            reach[at : at + len(near)] = np.maximum(reach[at : at + len(near)], near)
+        for at in range(0, len(uid), CHUNK):
+            n = len(uid[at : at + CHUNK])
+            head, tail = ([value if here else None] + [None] * (n - 1) for value, here in ((first, at == 0), (last, at + n == len(uid))))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uid[part]), pa.array(reach[part]), pa.array(ends[part], pa.binary()), pa.array(np.full(len(uid[part]), TaskContext.get().partitionId())), pa.array(np.arange(len(text))[part])],
-                names=["uid", "reach", "end", "part", "at"],
+                [pa.array(uid[at : at + n]), pa.array(reach[at : at + n]), pa.array(head, pa.binary()), pa.array(tail[::-1], pa.binary()), pa.array(np.full(n, part))],
+                names=["uid", "reach", "head", "tail", "part"],
             )
 
-    ranged = suffixes.select("uid", "suffix").repartitionByRange(tasks, "suffix", "uid")
-    out = scratch.table(ranged.mapInArrow(run, "uid long, reach long, end binary, part long, at long"))
-    ends = out.where("end is not null").select("part", "at", "uid", "end").orderBy("part", "at").collect()
-    more: dict[int, int] = {}
-    for a, b in zip(ends, ends[1:]):
-        if a.part != b.part:
-            n = next((k for k, (x, y) in enumerate(zip(a.end, b.end)) if x != y), min(len(a.end), len(b.end)))
-            for u in (a.uid, b.uid):
-                more[u] = max(n, more.get(u, 0))
-    across = scratch.spark.createDataFrame([(int(u), int(n)) for u, n in more.items()], "uid long, across long")
-    return out.join(F.broadcast(across), "uid", "left").select("uid", F.greatest("reach", F.coalesce("across", F.lit(0))).alias("reach"))
+    @by_bytes(1)
+    def meet(batches):
+        for batch in batches:
+            pairs = zip(batch.column(1).to_pylist(), batch.column(3).to_pylist())
+            n = [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in pairs]
+            for side in (0, 2):
+                yield pa.RecordBatch.from_arrays([batch.column(side), pa.array(n, pa.int64())], names=["uid", "reach"])
+
+    with settings(spark, spark__sql__execution__rangeExchange__sampleSizePerPartition=SPLITTERS):
+        ranged = suffixes.select("uid", "suffix").repartitionByRange(tasks, "suffix", "uid")
+        out = scratch.table(ranged.mapInArrow(run, "uid long, reach long, head binary, tail binary, part long"))
+    full = [r.part for r in out.where("head is not null").select("part").orderBy("part").collect()]
+    steps = spark.createDataFrame(list(zip(full, full[1:])), "part long, next long")
+    ends = out.where("tail is not null").select("part", F.col("uid").alias("u1"), "tail").join(steps, "part")
+    heads = out.where("head is not null").select(F.col("part").alias("next"), F.col("uid").alias("u2"), "head")
+    across = ends.join(heads, "next").select("u1", "tail", "u2", "head").mapInArrow(meet, "uid long, reach long")
+    return out.select("uid", "reach").union(across).groupBy("uid").agg(F.max("reach").alias("reach"))
 
 
 def _spans(rows: DataFrame, length: int, single: bool) -> DataFrame:
     """uid, a, b and a 128-bit hash of the bytes of all windows of a run a..b of starts, or of each of them."""
 
+    @by_bytes(5, 1 << 62)
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -241,19 +260,21 @@ def repeated_windows(scratch: Scratch, keyed: DataFrame, length: int) -> DataFra
        occur elsewhere.
     3. These runs of windows are compared by 128-bit hashes: as a whole, those without an equal window by window
        (with one run of each kind that has equals).
-    Counts are partial-aggregated and joins split by Spark's skew handling, so a passage in a third of all texts is no
-    hot spot; no pairs are made.
+    Counts are partial-aggregated and written before they are joined, so that Spark's skew handling can split the joins:
+    a passage in a third of all texts is no hot spot; no pairs are made.
     """
     found = scratch.table(_anchor_rows(keyed, length))
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("c1").alias("a"), F.max("c1").alias("b")).where("n > 1")
-    shared = scratch.table(found.join(grams.select("gram", (F.col("a") < F.col("b")).alias("mixed")), "gram"))
-    scratch.drop(found)
+    grams = scratch.table(grams.select("gram", (F.col("a") < F.col("b")).alias("mixed")))
+    shared = scratch.table(found.join(grams, "gram"))
+    scratch.drop(found, grams)
     seen = shared.groupBy("c1", "c2").agg(F.count("*").alias("m"), F.min(F.struct("r1", "r2", "pos")).alias("rep"))
-    counted = scratch.table(shared.join(seen, ["c1", "c2"]))
-    scratch.drop(shared)
+    seen = scratch.table(seen.where("m > 1"))
+    counted = scratch.table(shared.join(seen, ["c1", "c2"], "left"))
+    scratch.drop(shared, seen)
     settled = counted.where("m > 1").select("r1", "r2", "lo", "hi")
     wanted = scratch.table(
-        counted.where("mixed").where((F.col("m") == 1) | (F.col("rep") == F.struct("r1", "r2", "pos")))
+        counted.where("mixed").where(F.col("m").isNull() | (F.col("rep") == F.struct("r1", "r2", "pos")))
         .select("r1", "r2", "pos", "lo", "hi", "gram").distinct().withColumn("uid", F.monotonically_increasing_id())
     )
     around = scratch.table(_surroundings(keyed, wanted, length))
@@ -270,14 +291,15 @@ def repeated_windows(scratch: Scratch, keyed: DataFrame, length: int) -> DataFra
     out, ids = settled, rows.select("uid", "r1", "r2").distinct()
     for single in (False, True):
         spans = scratch.table(_spans(rows, length, single))
-        twice = spans.groupBy("w1", "w2").agg(F.count("*").alias("m"), F.min("uid").alias("one")).where("m > 1")
+        twice = scratch.table(spans.groupBy("w1", "w2").agg(F.count("*").alias("m"), F.min("uid").alias("one")).where("m > 1"))
         known = scratch.table(spans.join(twice, ["w1", "w2"], "left").select("uid", "a", "b", F.col("m").isNotNull().alias("again")))
         out = out.union(scratch.table(known.where("again").join(ids, "uid").select("r1", "r2", F.col("a").alias("lo"), F.col("b").alias("hi"))))
         if not single:
             # a window of a run without an equal may be in one that has some, so one of each kind goes along
             alone = rows.join(known.where("not again").select("uid").distinct(), "uid", "left_semi")
             kinds = rows.join(twice.select(F.col("one").alias("uid")).distinct(), "uid", "left_semi")
-            rows = scratch.table(alone.union(kinds.join(alone.select("gram").distinct(), "gram", "left_semi").select(alone.columns)))
+            open_grams = scratch.table(alone.select("gram").distinct())
+            rows = scratch.table(alone.union(kinds.join(open_grams, "gram", "left_semi").select(alone.columns)))
         scratch.drop(spans, known)
     return out
 
@@ -300,8 +322,10 @@ def _cut(docs: DataFrame, length: int, key: str, text: str):
     return scratch.table(runs)
 
 
-def _kept(text: bytes, starts, length: int) -> tuple[bytes, list[list[int]]]:
+def _kept(text: bytes, starts, length: int, least_words: int = 0) -> tuple[bytes, list[list[int]]]:
     runs = covered([(s["lo"], s["hi"]) for s in starts or ()], length)
+    if least_words:
+        runs = [r for r in runs if len(text[r[0] : r[1]].split()) >= least_words]
     at, parts = 0, []
     for lo, hi in runs:
         parts.append(text[at:lo])
@@ -313,44 +337,51 @@ def removed_spans(docs: DataFrame, length: int = 400, key: str = "doc_id", text:
     """What is left of each text without the bytes covered by a ``length``-byte string that also starts anywhere else.
 
     Texts are UTF-8 bytes, null counts as empty; a match may be in the same text and may overlap. All is judged on the
-    input. Returns key, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256 of each row; a text below
-    ``length`` bytes loses nothing; rows that repeat are other places, so both lose all windows.
+    input. Returns key, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and kept_text (the bytes left,
+    without those of a character that lost some) of each row; a text below ``length`` bytes loses nothing; rows that
+    repeat are other places, so both lose all windows. An empty table gives an empty table; of other columns, whatever
+    their names, nothing is read.
     """
 
+    @by_bytes(1)
     def run(batches):
         for batch in batches:
-            size, gone, spans, sha = [], [], [], []
+            size, gone, spans, sha, left = [], [], [], [], []
             for t, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 kept, runs = _kept(t, starts, length)
                 size.append(len(t)), gone.append(len(t) - len(kept)), spans.append(len(runs)), sha.append(hashlib.sha256(kept).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (size, gone, spans)), pa.array(sha, pa.string())], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                left.append(kept.decode("utf-8", "ignore"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (size, gone, spans)), pa.array(sha, pa.string()), pa.array(left, pa.string())], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
     joined = _keyed(docs, key, text).join(_cut(docs, length, key, text), ["r1", "r2"], "left").select("k", "t", "runs")
     kind = docs.schema[key].dataType.simpleString()
-    return joined.mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
 
 
-def cut_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", count: str | None = "n_chars") -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text: str = "text", count: str | None = "n_chars", least_words: int = 0) -> DataFrame:
     """The rows of ``docs``, all columns, with texts cut (a character that loses a byte goes as a whole) and ``count`` set anew.
 
-    A null text stays null.
+    With ``least_words``, removed runs of fewer words stay. A null text stays null, texts below ``length`` bytes stay as
+    they are, repeated rows both lose what repeats, and an empty table gives an empty table. Columns of any names pass.
     """
     names = docs.columns
     at = names.index(text)
 
+    @by_bytes(at)
     def run(batches):
         for batch in batches:
+            starts = batch.column(len(names)).to_pylist()
             texts = []
-            for t, starts in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
-                texts.append(t if not starts else _kept(t.encode(), starts, length)[0].decode("utf-8", "ignore"))
+            for t, s in zip(batch.column(at).to_pylist(), starts):
+                texts.append(t if not s else _kept(t.encode(), s, length, least_words)[0].decode("utf-8", "ignore"))
             cols = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
             if count in names:
                 n = names.index(count)
-                cols[n] = pa.array([old if not s else len(t) for t, s, old in zip(texts, batch.column(len(names)).to_pylist(), cols[n].to_pylist())], cols[n].type)
+                cols[n] = pa.array([old if not s else len(t) for t, s, old in zip(texts, starts, cols[n].to_pylist())], cols[n].type)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    t = F.coalesce(F.col(text), F.lit(""))
-    r = [F.xxhash64(F.lit(k), F.col(key), t).alias(f"_r{k}") for k in (1, 2)]
-    runs = _cut(docs, length, key, text).select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2"), F.col("runs").alias("_runs"))
-    joined = docs.select("*", *r).join(runs, ["_r1", "_r2"], "left").select(*names, "_runs")
+    plain = docs.toDF(*(f"c{k}" for k in range(len(names))))  # the caller's names can't meet those of the join
+    t = F.coalesce(F.col(f"c{at}"), F.lit(""))
+    r = [F.xxhash64(F.lit(k), F.col(f"c{names.index(key)}"), t).alias(f"r{k}") for k in (1, 2)]
+    joined = plain.select("*", *r).join(_cut(docs, length, key, text), ["r1", "r2"], "left").select(*plain.columns, "runs")
     return joined.mapInArrow(run, docs.schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, by_bytes
 
 ORDERS = (3, 4, 5, 6, 8, 10)
 BUCKET_BITS = 20
@@ -123,13 +123,15 @@ class Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, key: str, text: str, most: int) -> DataFrame:
-    """(text, y) of at most ``most`` labelled rows, chosen by a hash of their key. Other labels than 0 and 1 don't count."""
+    """(text, y) of at most ``most`` labelled rows, chosen by a hash of their key; of a repeated key one text, and 1 if
+    any of its labels is. Other labels than 0 and 1 don't count."""
     chosen = (
         labels.select(key, F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(F.col(key).isNotNull())
         .groupBy(key).agg(F.max("y").alias("y")).orderBy(F.xxhash64(key), key).limit(most)
     )
     texts = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    return texts.join(F.broadcast(chosen), key).select("t", "y")  # 16,000 keys at most
+    both = texts.join(F.broadcast(chosen), key)  # 16,000 keys at most
+    return both.groupBy(key).agg(F.min(F.struct(F.xxhash64("t"), "t", "y")).alias("s")).select("s.t", "s.y")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", most: int = MAX_LABELLED, features: int = MAX_FEATURES) -> Model:
@@ -243,9 +245,11 @@ def _logistic(lists: list[np.ndarray], y: np.ndarray, scale: np.ndarray, prior:
 def score_texts(docs: DataFrame, model: Model, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of ``docs`` but the text are left behind: key, score double (0 to 1), predicted int.
 
-    Every whole text is scored, a null or empty one by the bias alone. One row for each input row; one scan.
+    Every whole text is scored, a null or empty one by the bias alone. One row for each input row, repeated ones included;
+    an empty table gives an empty table; other columns may have any names. One scan.
     """
 
+    @by_bytes(1)
     def run(batches):
         for batch in batches:
             s = model.score(batch.column(1).to_pylist())

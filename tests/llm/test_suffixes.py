@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 
 from quillon.llm import suffixes
+from quillon.llm.common import Scratch
 
 
 def brute(texts, length):
@@ -42,8 +43,40 @@ def corpus(rng, n=120):
 def test_against_brute_force(make_docs):
     for seed in (1, 2):
         texts = corpus(random.Random(seed))
-        got = {r.doc_id: tuple(r)[1:] for r in suffixes.removed_spans(make_docs(texts, "runs")).collect()}
-        assert [got[i] for i in range(len(texts))] == brute(texts, 400)
+        got = {r.doc_id: r for r in suffixes.removed_spans(make_docs(texts, "runs")).collect()}
+        assert [tuple(got[i])[1:5] for i in range(len(texts))] == brute(texts, 400)
+        for r in got.values():  # the text left has whole characters only
+            assert len(r.kept_text.encode()) <= r.n_bytes - r.n_removed <= len(r.kept_text.encode()) + 2 * r.n_spans
+
+
+def test_buckets_of_the_sort(spark):
+    rng = random.Random(3)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.choice([70, 80, 80]))) for _ in range(300)] + [b"same" * 20] * 50
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "uid long, suffix binary")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")  # several buckets, some of one row
+    got = {r.uid: r.reach for r in suffixes.longest_matches(Scratch(spark), rows, 80).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert got == {k: max(common(t, u) for j, u in enumerate(texts) if j != k) for k, t in enumerate(texts)}
+
+
+def test_short_runs_and_clashing_names(make_docs):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    long_run = " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(60))
+    few_words = " ".join("".join(rng.choice("abcdef") for _ in range(20)) for _ in range(15))
+    texts = [f"one {long_run}", f"{long_run} two", f"three {few_words}", f"{few_words} four", None, "", "x" * 300]
+    docs = make_docs(texts)
+    for name in ("_r1", "_runs", "runs", "r1", "c0"):
+        docs = docs.withColumn(name, F.lit(name))
+    got = suffixes.cut_repeats(docs, length=200, least_words=51)
+    assert got.columns == docs.columns and got.schema == docs.schema
+    rows = {r.doc_id: r for r in got.collect()}
+    # "x" * 300 repeats itself, as one word
+    assert [rows[k].text for k in range(7)] == ["one ", " two", texts[2], texts[3], None, "", texts[6]]
+    assert all(r["_r1"] == "_r1" and r["runs"] == "runs" for r in rows.values())
+    assert suffixes.cut_repeats(docs.limit(0), length=200).collect() == []
 
 
 def test_repeated_rows_and_empty_table(make_docs):
