@@ -5,11 +5,15 @@ from __future__ import annotations
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import Memo
+from .common import by_bytes
+
 #: Phrases that count by exact words, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Short notices that are searched with edits, and their labels.
@@ -54,52 +58,65 @@ class NoticeSearch:
             for lo, hi in zip(cuts, cuts[1:]):
                 seeds.setdefault(notice[lo:hi], []).append((number, lo))
             pattern = regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={k}}}")
-            self.notices.append((notice, label, k, pattern))
+            self.notices.append((notice, label, k, Memo(lambda part, p=pattern: _matches(p, part), most=20_000, longest=1_000)))
         for seed, uses in seeds.items():
             self.automaton.add_word(seed, (len(seed), uses))
         self.automaton.make_automaton()
 
     def search(self, text: str) -> list[tuple[str, int, int, int]]:
-        """(label, start, end, edits) of the matches; those of one notice don't overlap."""
-        windows: dict[int, list[list[int]]] = {}
+        """(label, start, end, edits) of the matches; those of one notice don't overlap, fewer edits go first.
+
+        Every seed has a window of its own, of bounded size, so the work grows with the number of seeds; windows of the
+        same letters are searched once.
+        """
+        windows: dict[int, set[tuple[int, int]]] = {}
         for last, (size, uses) in self.automaton.iter(text):
             for number, offset in uses:
                 notice, _, k, _ = self.notices[number]
-                lo = max(0, last + 1 - size - offset - k)
-                hi = min(len(text), last + 1 - size - offset + len(notice) + k)
-                runs = windows.setdefault(number, [])
-                if runs and lo <= runs[-1][1]:
-                    runs[-1][0], runs[-1][1] = min(lo, runs[-1][0]), max(hi, runs[-1][1])
-                else:
-                    runs.append([lo, hi])
+                at = last + 1 - size - offset
+                windows.setdefault(number, set()).add((max(0, at - k), min(len(text), at + len(notice) + k)))
         found = []
-        for number, runs in windows.items():
-            _, label, _, pattern = self.notices[number]
-            for lo, hi in _joined(runs):
-                for m in _all(pattern, text, lo, hi):
-                    found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
+        for number, places in windows.items():
+            _, label, _, matches = self.notices[number]
+            found += [(label, a, b, e) for a, b, e in _best_apart(text, sorted(places), matches)]
         return found
 
 
-def _joined(runs: list[list[int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for lo, hi in sorted(runs):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(hi, out[-1][1])
-        else:
-            out.append([lo, hi])
-    return out
-
-
-def _all(pattern, text: str, lo: int, hi: int):
+def _matches(pattern, part: str) -> list[tuple[int, int, int]]:
     """Best match first, then what lies left and right of it."""
-    todo = [(lo, hi)]
+    todo, out = [(0, len(part))], []
     while todo:
         lo, hi = todo.pop()
-        m = pattern.search(text, lo, hi)
+        m = pattern.search(part, lo, hi)
         if m and m.end() > m.start():
-            yield m
+            out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
             todo += [(lo, m.start()), (m.end(), hi)]
+    return out
+
+
+def _best_apart(text: str, windows: list[tuple[int, int]], matches) -> list[tuple[int, int, int]]:
+    """Matches of the windows that don't overlap: by number of edits, then by place. What better ones leave of a window
+    is searched once more."""
+    taken = np.zeros(len(text), bool)
+    out = []
+
+    def take(found) -> None:
+        for e, a, b in sorted(found):
+            if not taken[a:b].any():
+                taken[a:b] = True
+                out.append((a, b, e))
+
+    first = {(e, lo + a, lo + b) for lo, hi in windows for a, b, e in matches[text[lo:hi]]}
+    take(first)
+    chosen = {(e, a, b) for a, b, e in out}
+    rest = set()
+    for lo, hi in windows:
+        if any((e, lo + a, lo + b) not in chosen for a, b, e in matches[text[lo:hi]]):
+            edges = np.flatnonzero(np.diff(np.concatenate([[True], taken[lo:hi], [True]]).astype(np.int8)))
+            for a, b in zip(edges[::2], edges[1::2]):
+                rest |= {(e, int(lo + a + x), int(lo + a + y)) for x, y, e in matches[text[lo + a : lo + b]]}
+    take(rest)
+    return out
 
 
 @lru_cache(maxsize=4)
@@ -113,31 +130,38 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] = BASE, notices: dict[st
     Returns key, n_words, n_base (all places, overlapping ones too), first_word and last_word (smallest and largest
     start, words from 0; null without a place), base_labels and labels (distinct, sorted, comma-joined; '' if none),
     score (1 for an exact phrase or notice, less by the share of edited letters, 0 without any) and spans (label, start
-    and end word, edits). Null text counts as empty. One row for each input row; one scan, no exchange.
+    and end word, edits). Null text counts as empty: no words, no labels, score 0. One row for each input row, repeated
+    ones included; an empty table gives an empty table; of other columns, whatever their names, nothing is read. Work
+    grows with the text's length and its number of places. One scan, no exchange.
     """
-    phrases = [(f" {p} ", label) for p, label in base.items()]
+    phrases = [(f" {p} ".encode(), label) for p, label in base.items()]
     listed = tuple(notices.items())
 
+    @by_bytes(1)
     def run(batches):
         search = _search(listed, per_edit)
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
             for t in batch.column(1).to_pylist():
                 words = words_of(t)
-                line = " " + b" ".join(words).decode("utf-8") + " "
-                starts, labels = [], set()
+                line = b" ".join([b"", *words, b""])
+                places, labels = [], set()
                 for phrase, label in phrases:
                     at = line.find(phrase)
                     while at >= 0:
-                        starts.append(line.count(" ", 0, at))
+                        places.append(at)
                         labels.add(label)
                         at = line.find(phrase, at + 1)
-                spans = search.search(line)
+                starts = np.searchsorted(np.flatnonzero(np.frombuffer(line, np.uint8) == 32), places).tolist()
+                line = line.decode()
+                spans = sorted(search.search(line), key=lambda s: s[1:])
+                gaps = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), "<u4") == 32) if spans else np.zeros(0)
+                ends = np.maximum(0, np.searchsorted(gaps, [[a + 1, b] for _, a, b, _ in spans]).reshape(-1, 2) - 1).tolist()
                 best = max([1 - e / max(1, b - a) for _, a, b, e in spans], default=0.0)
                 for col, value in zip(cols, (
                     len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)),
                     ",".join(sorted(labels | {s[0] for s in spans})), 1.0 if labels else best,
-                    [{"label": x, "first": max(0, line.count(" ", 0, a + 1) - 1), "last": max(0, line.count(" ", 0, b) - 1), "edits": e} for x, a, b, e in sorted(spans, key=lambda s: s[1:])],
+                    [{"label": s[0], "first": a, "last": b, "edits": s[3]} for s, (a, b) in zip(spans, ends)],
                 )):
                     col.append(value)
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("edits", pa.int64())]))]
