@@ -12,9 +12,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bpe import Memo
-from .common import Scratch
+from .common import Scratch, by_bytes
 
 #: Pieces in one task of a packing round; the lengths of that many are all a task holds.
 TASK_PIECES = 20_000
@@ -36,27 +37,30 @@ class WordIds(Memo):
 
     The tokenizer drops white space and never looks across it, so words are encoded once and short ones remembered. Its
     normaliser and splitter leave a lower-case word of letters whole: such a word goes to the merges directly. Capitals
-    of ASCII words, and marks after a letter or digit, are taken off first. All others take the tokenizer's own way.
+    of ASCII words, and marks after a letter or digit, are taken off first. All others, and those that hold the string of
+    a special token, take the tokenizer's own way.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__(None, most=500_000, longest=10)
+        super().__init__(None, most=250_000, longest=10)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merges = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.make = self._ids
 
     def _ids(self, word: bytes) -> bytes:
+        if any(s in word for s in self.special):
+            return self._packed(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
         core = word.rstrip(MARKS)
         if len(core) < len(word) and core[-1:].isalnum():
             return self[core] + self[word[len(core) :]]
         if word.isascii():
             lower = word.lower()
-            if lower != word:
+            if lower != word and not any(s in lower for s in self.special):
                 return self[lower]
             if word.isalpha():
                 return self._packed([t.id for t in self.merges(word.decode())])
@@ -82,11 +86,14 @@ def token_ids(path: str, text: bytes) -> bytes:
 def token_pieces(docs: DataFrame, path: str, room: int, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Tokenize whole texts by a vocabulary with word ends, end each with ``end_id``, and cut those longer than ``room``.
 
-    Null text counts as empty (one piece of one token). Returns key, piece int, start long, length long and ids_crc32
-    long; one scan, no exchange. Repeated rows give repeated pieces.
+    Ids are those of the tokenizer's plain ``encode`` without added ones; strings of special tokens get their ids. Null
+    text counts as empty (one piece of one token). Returns key, piece int, start long, length long and ids_crc32 long;
+    one scan, no exchange. Repeated rows give repeated pieces, an empty table an empty table; of other columns, whatever
+    their names, nothing is read.
     """
     end = np.array([end_id], "<u4").tobytes()
 
+    @by_bytes(1)
     def run(batches):
         for batch in batches:
             keys = batch.column(0)
@@ -152,18 +159,25 @@ def pack(pieces: DataFrame, room: int, key: str = "doc_id", rounds: int = 4, tas
     share by best-fit decreasing, and bounds its bin count from below. A share that meets its bound is closed: no packing
     of it is smaller. Of the others, bins that are all but full are closed and the rest is exchanged for the next
     round, until nothing is open or the last round, which closes all. Adds sequence_id and offset (long), gapless from
-    0 in each sequence. Null, zero or larger lengths are not allowed; an empty table gives an empty table. Equal
-    lengths and repeated rows are dealt like any others; a hot key is spread by its piece numbers.
+    0 in each sequence; columns of the caller's of these names are replaced, all others pass. Null, zero or larger
+    lengths are not allowed; an empty table gives an empty table. Equal lengths and repeated rows are dealt like any
+    others; a hot key is spread by its piece numbers.
     """
     scratch = Scratch(pieces.sparkSession)
-    names = pieces.columns
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long").add("open", "boolean")
+    pieces = pieces.select(*(c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")))
+    given, schema = pieces.columns, StructType()
+    names = [f"c{k}" for k in range(len(given))]  # the caller's names can't meet those added here
+    for name, field in zip(names, pieces.schema):
+        schema.add(name, field.dataType)
+    schema.add("sequence_id", "long").add("offset", "long").add("open", "boolean")
+    pieces = pieces.toDF(*names)
+    key, piece, length = (names[given.index(c)] for c in (key, "piece", "length"))
     whole = (
-        pieces.where(F.col("length") == room)
+        pieces.where(F.col(length) == room)
         .withColumn("sequence_id", F.monotonically_increasing_id())
         .withColumn("offset", F.lit(0).cast("long"))
     )
-    todo, done = pieces.where(F.col("length") < room), []
+    todo, done = pieces.where(F.col(length) < room), []
     for turn in range(rounds):
         n = todo.count()
         if not n:
@@ -178,8 +192,8 @@ def pack(pieces: DataFrame, room: int, key: str = "doc_id", rounds: int = 4, tas
             if not batches:
                 return
             t = pa.Table.from_batches(batches)
-            t = t.sort_by([(c, "ascending") for c in ("length", key, "piece")])
-            sizes = t.column("length").to_numpy()
+            t = t.sort_by([(c, "ascending") for c in (length, key, piece)])
+            sizes = t.column(length).to_numpy()
             bins = best_fit_decreasing(sizes, room)
             fill = np.bincount(bins, sizes)
             count = len(fill)
@@ -196,13 +210,13 @@ def pack(pieces: DataFrame, room: int, key: str = "doc_id", rounds: int = 4, tas
                 t = t.append_column(name, col)
             yield from t.to_batches(10_000)
 
-        dealt = todo.repartition(tasks, F.xxhash64(F.lit(turn), key, "piece"))
+        dealt = todo.repartition(tasks, F.xxhash64(F.lit(turn), key, piece))
         out = scratch.table(dealt.mapInArrow(run, schema), schema)
         done.append(out.where("not open").drop("open"))
         todo = out.where("open").select(*names)
     for d in done:
         whole = whole.unionByName(d)
-    return whole
+    return whole.toDF(*given, "sequence_id", "offset")
 
 
 def pack_texts(docs: DataFrame, path: str, room: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
