@@ -48,8 +48,9 @@ def hilbert_shards(docs: DataFrame, shards: int, dims: dict[str, str], order: li
 
     ``dims``: column -> ``log`` or ``name``; null counts as 0 or ''. Rows of one cell follow by the columns ``order``,
     so equal rows stay together and the order does not depend on partitions; a cell with a third of all rows is cut by
-    these columns as well. Adds shard (int) and slot (long, gapless from 0 in each shard); with fewer rows than shards
-    some shards are empty, and an empty table gives an empty table. Only the given columns travel, texts never do.
+    these columns as well. Adds shard (int) and slot (long, gapless from 0 in each shard); columns of the caller's of these
+    names are replaced, all others pass. With fewer rows than shards some shards are empty, and an empty table gives an
+    empty table. Repeated rows have places of their own. Columns travel as given, so leave texts out.
 
     One range exchange; ranks come from the partitions' row counts (one number each), not from one sorted task.
     """
@@ -60,6 +61,11 @@ def hilbert_shards(docs: DataFrame, shards: int, dims: dict[str, str], order: li
     cells = np.stack(np.meshgrid(*[np.arange(side)] * n_dims, indexing="ij"), -1).reshape(-1, n_dims)
     code = cells @ (side ** np.arange(n_dims - 1, -1, -1))
     curve = spark.createDataFrame([(int(a), int(b)) for a, b in zip(code, hilbert_index(cells))], "_cell int, _curve int")
+    taken = ("shard", "slot")
+    given = [c for c in docs.columns if c.lower() not in taken]
+    inner = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # the caller's names can't meet those of this plan
+    docs = docs.toDF(*inner.values())
+    dims, order = {inner[c]: kind for c, kind in dims.items()}, [inner[c] for c in order]
     cell = F.lit(0)
     for name, kind in dims.items():
         cell = cell * side + quantised(kind, F.col(name))
@@ -78,14 +84,17 @@ def hilbert_shards(docs: DataFrame, shards: int, dims: dict[str, str], order: li
     rank = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
     ranked = placed.withColumn("_part", F.shiftright("_at", 33)).join(first, "_part").withColumn("_rank", rank)
     shard = F.expr(f"(_rank * {shards}) div {max(total, 1)}")
-    return (
-        ranked.withColumn("shard", shard.cast("int"))
-        .withColumn("slot", F.col("_rank") - F.expr(f"(shard * {total}L + {shards - 1}) div {shards}"))
-        .drop("_curve", "_at", "_part", "_before", "_rank")
-    )
+    slot = F.col("_rank") - F.expr(f"(shard * {total}L + {shards - 1}) div {shards}")
+    return ranked.withColumn("shard", shard.cast("int")).select(*(F.col(inner[c]).alias(c) for c in given), "shard", slot.alias("slot"))
+
 
+def write_shards(docs: DataFrame, placed: DataFrame, key: str, path: str, tasks: int | None = None) -> None:
+    """Write ``docs`` as one folder per shard, its files in slot order; ``placed``: key, shard and slot. Keys must be unique.
 
-def write_shards(docs: DataFrame, placed: DataFrame, key: str, path: str) -> None:
-    """Write ``docs`` as one folder per shard in slot order; ``placed``: key, shard and slot. Keys must be unique."""
-    rows = docs.join(placed.select(key, "shard", "slot"), key)
-    rows.repartition("shard").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    Tasks get runs of (shard, slot) by range, so a large shard is written by several tasks. Columns of ``docs`` named
+    shard or slot are left out.
+    """
+    rows = docs.select(*(c for c in docs.columns if c.lower() not in ("shard", "slot"))).join(placed.select(key, "shard", "slot"), key)
+    by = ["shard", "slot"]
+    ranged = rows.repartitionByRange(tasks, *by) if tasks else rows.repartitionByRange(*by)
+    ranged.sortWithinPartitions(*by).drop("slot").write.partitionBy("shard").parquet(path)

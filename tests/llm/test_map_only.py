@@ -2,7 +2,9 @@ import base64
 import hashlib
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -90,7 +92,6 @@ def test_shards_are_even_and_gapless(make_docs, n):
 def test_word_tokens_equal_whole_text():
     path = P.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rng = random.Random(3)
     texts = [x or "" for x in ODD] + ["".join(rng.choice("aBzé́ \n\t\x0b\x0c\x1c'sre1 Σσ!.  ́") for _ in range(60)) for _ in range(3000)]
     texts += ["W\u030a w\u030a It's, it'S,'s don't!'s a,'re \u212a ǅ ﬁ ß ẞ İ", "<|startoftext|>,x ab\u0301, A\u0301"]
@@ -103,7 +104,6 @@ def test_packing_places_every_token_once(spark, make_docs, words):
     texts = [*ODD, *(words(n) for n in range(0, 900, 3)), words(9000)]
     got = packing.pack_texts(make_docs(texts, "length"), path).collect()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     by_doc, by_seq = {}, {}
     for r in got:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -143,3 +143,65 @@ def test_lower_bound_holds():
         assert packing.lower_bound(sizes, 20) <= (bins.max() + 1 if len(bins) else 0)
         assert (np.bincount(bins, sizes) <= 20).all() if len(bins) else True
     assert packing.lower_bound(np.array([11] * 7), 20) == 7
+
+
+def test_special_strings_get_their_ids(make_docs):
+    path = P.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    texts = ["hi <|endoftext|> a <|startoftext|>b", "<|endoftext|>", "x<|ENDOFTEXT|>, <|EndOfText|>", "a<|endoftext|>!!B.<|startoftext|>|>", "<|endoftext|"]
+    assert t.encode(texts[0], add_special_tokens=False).ids == [1883, 49407, 320, 49406, 321]
+    for text in texts:
+        assert np.frombuffer(packing.token_ids(path, text.encode()), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_packing_with_clashing_names(spark):
+    rows = [(f"d{k}", 0, 700, 9, "x", "y") for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id string, piece int, length long, offset int, open string, c1 string")
+    got = packing.pack(df, 2048)
+    assert got.columns == ["doc_id", "piece", "length", "open", "c1", "sequence_id", "offset"]
+    got = got.collect()
+    assert sorted(r.offset for r in got) == [0] * 5 + [700] * 5 and {(r.open, r.c1) for r in got} == {("x", "y")}
+
+
+def test_long_texts_full_of_notices(make_docs):
+    rng = random.Random(8)
+
+    def typo(s):
+        k = rng.randrange(1, len(s) - 1)
+        return s[:k] + "q" + s[k + 1 :]
+
+    lines = [typo("all rights reserved") for _ in range(10_000)]
+    search = licenses.NoticeSearch(licenses.NOTICES)
+    began = time.process_time()
+    found = search.search(" " + " ".join(lines) + " ")
+    assert time.process_time() - began < 5  # 200 KB; quadratic work took minutes
+    assert len(found) == 10_000 and all(e == 1 for _, _, _, e in found)
+    spans = sorted((a, b) for _, a, b, _ in found)
+    assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+    row = licenses.scan_licenses(make_docs(["cc by " * 30_000, "x " * 5 + "all rights reserved " * 20_000])).orderBy("doc_id").collect()
+    assert (row[0].n_base, row[0].first_word, row[0].last_word) == (30_000, 0, 59_998)
+    assert (row[1].n_base, row[1].first_word, row[1].last_word, len(row[1].spans)) == (20_000, 5, 60_002, 20_000)
+    assert [(s["first"], s["last"]) for s in row[1].spans[:2]] == [(5, 7), (8, 10)]
+
+
+def test_shards_of_odd_tables(spark, make_docs, tmp_path):
+    docs = make_docs([(i % 90, None if i % 7 == 0 else "t" * (i % 40)) for i in range(200)] + [(500, "x" * 2_000_000)] * 3)
+    odd = docs.selectExpr("doc_id", "lang", "source", "octet_length(text) size", "'mine' shard", "1 _cell", "2 _part", "3 c0", "4 _rank")
+    got = sharding.hilbert_shards(odd, 40, {"lang": "name", "size": "log", "source": "name"}, ["size", "doc_id"])
+    assert got.columns == ["doc_id", "lang", "source", "size", "_cell", "_part", "c0", "_rank", "shard", "slot"]
+    rows = got.collect()
+    assert len(rows) == 203 and {(r._cell, r._part, r.c0, r._rank) for r in rows} == {(1, 2, 3, 4)}
+    counts = Counter(r.shard for r in rows)
+    assert set(counts) == set(range(40)) and max(counts.values()) - min(counts.values()) <= 1
+
+    one_each = spark.createDataFrame([(i, f"text {i}", i % 3) for i in range(60)], "doc_id long, text string, shard int")
+    placed = sharding.hilbert_shards(one_each.selectExpr("doc_id", "length(text) size"), 4, {"size": "log"}, ["doc_id"])
+    sharding.write_shards(one_each, placed, "doc_id", str(tmp_path / "out"), tasks=9)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r.doc_id, r.shard, r.text) for r in back.collect()} == {(r.doc_id, r.shard, f"text {r.doc_id}") for r in placed.collect()}
+    files = [sorted(d.glob("*.parquet")) for d in (tmp_path / "out").iterdir() if d.is_dir()]
+    assert len(files) == 4 and any(len(f) > 1 for f in files)
+    slot = {r.doc_id: r.slot for r in placed.collect()}
+    for names in files:
+        order = [slot[r.doc_id] for f in names for r in spark.read.parquet(str(f)).collect()]
+        assert order == list(range(len(order)))
