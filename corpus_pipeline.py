@@ -1,7 +1,9 @@
 """A corpus from raw documents: five stages, each over all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's documents. All but the last return the columns of documents.
+one's documents. All but the last return the columns of documents, and those that the caller added, whatever their names.
+Null texts count as empty; an empty table gives an empty table; rows that repeat are one group for the near-duplicates, of
+which one stays. The operators' docstrings say more.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from quillon.llm.common import Scratch
 
 #: A document goes below this quality, and from this toxicity on.
 LEAST_QUALITY, TOXIC = 0.5, 0.3
+#: Repeated passages are searched by strings of so many bytes, and cut from so many words on.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 51
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +38,11 @@ def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts what is covered by strings of 256 bytes, less than fifty words, that also occur elsewhere."""
-    return suffixes.cut_repeats(docs, length=256)
+    """Cuts passages of more than fifty words that also occur elsewhere.
+
+    Repeats are found from 200 bytes on (the shortest 51 words of prose have more); removed runs of fewer words stay.
+    """
+    return suffixes.cut_repeats(docs, length=PASSAGE_BYTES, least_words=PASSAGE_WORDS)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
