@@ -37,7 +37,7 @@ class EngineConfig:
     ai_half_life_days: float = 540.0
     ai_decay_floor: float = 0.30
     as_of: str = "2026-01-02 00:00:00"
-    bm25: dict = field(default_factory=lambda: {"k1": 1.2, "b": 0.75, "title": 3.0, "content": 1.0})
+    bm25: dict = field(default_factory=lambda: {"k1": 1.2, "b": 0.75, "title": 3.0, "summary": 2.0, "content": 1.0})
 
     def __post_init__(self):
         if not 0 <= self.reject <= self.accept <= 1:

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import os
+import tempfile
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..workspace import written
+
 #: Tags that name no cluster.
 DULL_TAGS = ["url", "web", "note", "test", "youtube", "ai", "kb"]
-SEED = 20260802
+#: Where k-means and the scaling's iteration begin.
+SEED = 7
 
 
 def cluster_names(members: DataFrame) -> DataFrame:
@@ -35,34 +42,132 @@ def clusters(vectors: DataFrame) -> DataFrame:
     return model.transform(v).select("id", "cluster")
 
 
-def classical_mds(distance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coordinates in the plane, and what places further points: eigenvectors by root of eigenvalue, mean squares."""
-    square = distance**2
-    n = len(square)
-    centre = np.eye(n) - 1 / n
-    value, vector = np.linalg.eigh(-0.5 * centre @ square @ centre)
-    at = np.argsort(value)[::-1][:2]
-    root = np.sqrt(np.maximum(value[at], 1e-12))
-    return vector[:, at] * root, vector[:, at] / root, square.mean(0)
-
-
-def project(vectors: DataFrame, landmarks: int = 1000) -> DataFrame:
-    """id, px, py within -1 and 1: classical scaling of a bounded sample of landmarks, all others placed by their distances
-    to these (landmark scaling); for no more vectors than landmarks it is classical scaling itself."""
-    spark = vectors.sparkSession
-    v = vectors.where("x is not null").select("id", "x")
-    chosen = v.orderBy(F.xxhash64("id"), "id").limit(landmarks).collect()
-    if len(chosen) < 3:
+def _features(x: np.ndarray, w: np.ndarray, dim: int) -> np.ndarray:
+    """phi(x) w for the features phi(x) = 1, x, x x', without making them: rows of x, columns of w."""
+    out = w[0] + x @ w[1 : dim + 1]
+    for k in range(w.shape[1]):
+        out[:, k] += ((x @ w[dim + 1 :, k].reshape(dim, dim)) * x).sum(1)
+    return out
+
+
+def _summed(vectors: DataFrame, make, size: int, tasks: int = 32) -> np.ndarray:
+    """The sum of the arrays (of ``size`` numbers) that ``make`` gives for batches of vectors, added up by ``tasks`` tasks first."""
+    def run(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            if batch.num_rows:
+                total += make(np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(float))
+        yield pa.RecordBatch.from_pydict({"r": [float(np.random.default_rng().random())], "s": [total.tobytes()]})
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"s": [sum(np.frombuffer(s, float) for s in table.column("s").to_pylist()).tobytes()]})
+
+    parts = vectors.select("x").mapInArrow(run, "r double, s binary").withColumn("k", F.floor(F.col("r") * tasks))
+    return sum(np.frombuffer(r.s, float) for r in parts.select("k", "s").groupBy("k").applyInArrow(add, "s binary").collect())
+
+
+def scaling_weights(vectors: DataFrame, block: int = 8, rounds: int = 100, settled: float = 1e-11) -> tuple[np.ndarray, np.ndarray]:
+    """Weights w and offset so that phi(x) w - offset are the classical scaling's coordinates of x in the plane.
+
+    The squared cosine distances of vectors of length one are 1 - 2 x.y + (x.y)^2, a product of features of x and of y. So
+    the matrix that scaling decomposes is never made: a block of its eigenvectors is found by orthogonal iteration, each
+    step of which is one pass over the vectors that adds up arrays of features, and exact for any number of them.
+    """
+    dim = len(vectors.first().x)
+    size = 1 + dim + dim * dim
+
+    def moments(x):
+        return np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])
+
+    total = _summed(vectors, moments, size)
+    mean = total / total[0]
+    sign = np.concatenate([[1.0], np.full(dim, -2.0), np.ones(dim * dim)])
+    w, last = np.random.default_rng(SEED).standard_normal((size, block)), None
+    for _ in range(rounds):
+        w = w / np.linalg.norm(w, axis=0)
+
+        def step(x, w=w):
+            v = _features(x, w, dim) - mean @ w
+            s = np.concatenate([v.sum(0)[None], x.T @ v, np.stack([(x.T @ (x * v[:, k : k + 1])).ravel() for k in range(v.shape[1])], 1)])
+            return np.concatenate([s.ravel(), (v.T @ v).ravel()])
+
+        out = _summed(vectors, step, (size + w.shape[1]) * w.shape[1])
+        s, gram = out[: size * w.shape[1]].reshape(size, -1), out[size * w.shape[1] :].reshape(w.shape[1], -1)
+        value, basis = np.linalg.eigh(gram)
+        basis = basis[:, value > 1e-12 * value[-1]] / np.sqrt(value[value > 1e-12 * value[-1]])
+        found, turn = np.linalg.eigh(basis.T @ (-0.5 * s.T @ (sign[:, None] * s)) @ basis)
+        turn = basis @ turn[:, ::-1]
+        top = found[::-1][:2]
+        here = w @ turn[:, :2]
+        if last is not None and len(last) == len(top) and np.abs(top - last).max() <= settled * np.abs(top).max():
+            break
+        last = top
+        w = -0.5 * sign[:, None] * (s @ turn)
+    here = here * np.sqrt(np.maximum(top, 1e-12))
+    here = here * np.sign(here[np.abs(here).argmax(0), np.arange(here.shape[1])])  # either sign is right; this one is taken
+    return here, mean @ here
+
+
+def project(vectors: DataFrame) -> DataFrame:
+    """id, px, py within -1 and 1: classical scaling of the cosine distances of all vectors, divided by the largest
+    coordinate of all. Fewer than three vectors are in the middle."""
+    v = written(vectors.where("x is not null").select("id", "x"), "atlas")
+    if len(v.limit(3).collect()) < 3:
         return v.select("id", F.lit(0.0).alias("px"), F.lit(0.0).alias("py"))
-    base = np.array([r.x for r in chosen])
-    place, back, mean = classical_mds(1 - np.clip(base @ base.T, -1, 1))
-    scale = np.abs(place).max() or 1.0
-
-    def run(frames):
-        for f in frames:
-            if len(f):
-                square = (1 - np.clip(np.stack(f.x) @ base.T, -1, 1)) ** 2
-                at = -0.5 * (square - mean) @ back / scale
-                yield pd.DataFrame({"id": f.id, "px": np.clip(at[:, 0], -1, 1), "py": np.clip(at[:, 1], -1, 1)})
-
-    return v.mapInPandas(run, "id long, px double, py double")
+    w, offset = scaling_weights(v)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(float)
+                at = np.zeros((len(x), 2))
+                at[:, : w.shape[1]] = _features(x, w, x.shape[1]) - offset
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at[:, 0].copy()), pa.array(at[:, 1].copy())], names=["id", "px", "py"])
+
+    placed = written(v.mapInArrow(run, "id long, px double, py double"), "atlas")
+    most = placed.agg(F.max(F.greatest(F.abs("px"), F.abs("py")))).first()[0] or 1.0
+    return placed.select("id", (F.col("px") / most).alias("px"), (F.col("py") / most).alias("py"))
+
+
+def cluster_members(members: DataFrame) -> DataFrame:
+    """label, id, mean distance to all of the cluster (itself included, rounded to 6), place: the nearest to all come first.
+
+    For vectors of length one it is one less the product with the cluster's mean vector, so no pairs are made.
+    """
+    parts = members.select("label", F.posexplode("x").alias("k", "v")).groupBy("label", "k").agg(F.avg("v").alias("v"))
+    centre = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda s: s["v"]).alias("c"))
+    dot = F.aggregate(F.zip_with("x", "c", lambda x, c: x * c), F.lit(0.0), lambda s, v: s + v)
+    far = members.join(centre, "label").select("label", "id", F.round(1 - dot, 6).alias("distance"))
+    return far.withColumn("place", F.row_number().over(W.partitionBy("label").orderBy("distance", "id")))
+
+
+def listed_pairs(pairs: DataFrame, most: int = 60) -> DataFrame:
+    """The nearest pairs (a, b, d) with their place."""
+    return pairs.select("a", "b", F.round("d", 3).alias("d")).orderBy("d", "a", "b").limit(most).withColumn("place", F.row_number().over(W.orderBy("d", "a", "b")))
+
+
+def view(points: DataFrame, pairs: DataFrame, corpus: str) -> tuple[DataFrame, DataFrame]:
+    """What a reader sees of one corpus: clusters by their visible entries (place: largest first), pairs that are wholly in it."""
+    shown = points.where(F.col("corpus") == corpus)
+    n = shown.groupBy("label").agg(F.count("*").alias("visible"))
+    order = W.orderBy(F.desc("visible"), "label")  # a row for each cluster
+    ids = shown.select("id")
+    inside = pairs.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    return n.withColumn("place", F.row_number().over(order)), inside
+
+
+def page(model: dict, template: str) -> str:
+    """The atlas as a page: the model as JSON that can't end its script element, in place of the template's mark."""
+    mark = "__ATLAS_DATA__"
+    if mark not in template:
+        raise ValueError("the template has no place for the data")
+    return template.replace(mark, json.dumps(model, ensure_ascii=False, separators=(",", ":")).replace("<", "\\u003c"))
+
+
+def write_page(text: str, path: str) -> None:
+    """The whole page or the old one: written beside it, then moved."""
+    handle, made = tempfile.mkstemp(dir=os.path.dirname(path) or ".", prefix=".atlas-")
+    with open(handle, "w", encoding="utf-8") as out:
+        out.write(text)
+    os.chmod(made, 0o644)
+    os.replace(made, path)

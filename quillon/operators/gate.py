@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .vector import distances
 
@@ -23,9 +24,13 @@ def topic_tokens(tags: Column, title: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(parts, words), fine))
 
 
-def related(queries: DataFrame, vectors: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
-    """Entries near a new one (qid, qx, qtags, qtitle) that share a topic with it; the limit holds for the exact similarity."""
+def related(queries: DataFrame, vectors: DataFrame, entries: DataFrame, threshold: float, exclude: DataFrame | None = None) -> DataFrame:
+    """Entries near a new one (qid, qx, qtags, qtitle) that share a topic with it, and their place by similarity; the limit
+    holds for the exact similarity. ``exclude``: qid, id that aren't looked at; the entry itself never is."""
     near = distances(queries, vectors).where((1 - F.col("d") >= threshold) & (F.col("id") != F.col("qid")))
+    if exclude is not None:
+        near = near.join(exclude.select("qid", "id"), ["qid", "id"], "left_anti")
     both = near.join(entries.select("id", "tags", "title"), "id")
     shared = F.array_intersect(topic_tokens(F.col("qtags"), F.col("qtitle")), topic_tokens(F.col("tags"), F.col("title")))
-    return both.where(F.size(shared) > 0).withColumn("similarity", F.round(1 - F.col("d"), 4))
+    both = both.withColumn("shared", F.array_sort(shared)).where(F.size("shared") > 0).withColumn("similarity", F.round(1 - F.col("d"), 4))
+    return both.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("similarity"), "id")))

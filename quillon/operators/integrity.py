@@ -28,6 +28,43 @@ def health(entries: DataFrame, vectors: DataFrame, stored: dict, wanted: dict) -
     return {"healthy": not counts and not differs, "missing": counts.get("missing", 0), "orphan": counts.get("orphan", 0), "settings": differs}
 
 
-def changed(old: DataFrame, new: DataFrame) -> bool:
-    """Whether the one-row signatures of two states differ."""
-    return old.collect() != new.collect()
+def valid_ids(rows: DataFrame, column: str = "id") -> DataFrame:
+    """Rows whose id, as text, is a number from 1 on; as a number."""
+    number = F.when(F.col(column).rlike("^[0-9]+$"), F.col(column).try_cast("long"))
+    return rows.withColumn(column, number).where(F.col(column) >= 1)
+
+
+#: What a collection of vectors must say about itself.
+METADATA = {"space": "cosine", "schema_version": 1}
+
+
+def metadata_faults(metadata: dict | None, corpus: str, model: str, dimension: int) -> dict:
+    """Settings of a collection that differ from what they must be, and when it was made if it doesn't say."""
+    want = METADATA | {"corpus": corpus, "embedding_model": model, "embedding_dimension": dimension}
+    have = metadata or {}
+    faults = {k: {"expected": v, "actual": have.get(k)} for k, v in want.items() if have.get(k) != v}
+    if not have.get("created_at"):
+        faults["created_at"] = {"expected": "a time", "actual": have.get("created_at")}
+    return faults
+
+
+def corpus_health(corpus: str, entries: DataFrame, vectors: DataFrame, metadata: dict | None, model: str, dimension: int, scorer_ready: bool = True) -> dict:
+    """Whether a corpus can be searched, why not, and its counts in either case; reasons name no paths."""
+    reason, counts = None, {"entries": None, "pending": None, "last": None}
+    try:
+        mine = entries.where(F.col("corpus") == corpus)
+        row = mine.agg(F.count("*").alias("entries"), F.count_if(F.col("embedded_at").isNull()).alias("pending"), F.max("created_at").cast("string").alias("last")).first()
+        counts = row.asDict()
+        own = vectors.where(F.col("corpus") == corpus)
+        found = {r.kind: r["count"] for r in parity(mine, own).groupBy("kind").count().collect()}
+        if metadata_faults(metadata, corpus, model, dimension):
+            reason = "collection_metadata_mismatch"
+        elif found:
+            reason = f"id_mismatch missing={found.get('missing', 0)} orphan={found.get('orphan', 0)}"
+        elif vector_faults(own, dimension).head(1):
+            reason = "vector_faults"
+        elif not scorer_ready:
+            reason = "reranker_unavailable"
+    except Exception:
+        reason = "dependency_unavailable"
+    return {"corpus": corpus, "ready": reason is None, "reason": reason} | counts

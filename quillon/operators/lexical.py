@@ -1,60 +1,130 @@
-"""Inverted index and BM25 as relational plans."""
+"""The lexical lane: an inverted index of stemmed, folded words, phrases and prefixes, and weighted BM25 over it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..config import EngineConfig
+from ..functions.text import query_phrases, stemmed_tokens
+from ..sources.followed import FollowedTable
+from ..workspace import written
 
-
-def tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits; see functions.text for folding and stemming."""
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
+#: The indexed columns, in the order of their codes; a place is code << PLACE_BITS | number of the word in the column.
+COLUMNS, PLACE_BITS = ("title", "summary", "content"), 28
+#: Texts whose postings are sent in one Arrow batch.
+CHUNK = 200
+POSTINGS = "corpus string, id long, term string, f double, dl long, places array<int>"
 
 
 def postings(entries: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """corpus, id, term, f: weighted number of occurrences in title and content."""
-    w = cfg.bm25
-    both = entries.select(
-        "corpus", "id",
-        F.explode(F.concat(
-            F.transform(tokens(F.col("title")), lambda t: F.struct(t.alias("term"), F.lit(w["title"]).alias("w"))),
-            F.transform(tokens(F.col("content")), lambda t: F.struct(t.alias("term"), F.lit(w["content"]).alias("w"))),
-        )).alias("p"),
-    )
-    return both.groupBy("corpus", "id", F.col("p.term").alias("term")).agg(F.sum("p.w").alias("f"))
+    """corpus, id, term, f (occurrences, weighted by column), dl (words of the entry) and places of each word of an entry;
+    and a row with a null term for each entry, so that the table knows its entries.
+
+    An entry's words are counted where it is read: no exchange.
+    """
+    weights = [float(cfg.bm25[c]) for c in COLUMNS]
+    kinds = [pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.int32())]
+    names = ["corpus", "id", "term", "f", "dl", "places"]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK):
+                out: list[list] = [[] for _ in names]
+                for corpus, number, *texts in zip(*(c.to_pylist() for c in batch.slice(at, CHUNK).columns)):
+                    places: dict[str, list[int]] = {}
+                    words = [stemmed_tokens(t or "") for t in texts]
+                    for code, column in enumerate(words):
+                        for k, term in enumerate(column):
+                            places.setdefault(term, []).append(code << PLACE_BITS | k)
+                    length = sum(map(len, words))
+                    rows = [(corpus, number, None, 0.0, length, None)]
+                    rows += [(corpus, number, term, sum(weights[p >> PLACE_BITS] for p in where), length, where) for term, where in places.items()]
+                    for col, values in zip(out, zip(*rows)):
+                        col.extend(values)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+
+    return entries.select("corpus", "id", *COLUMNS).mapInArrow(run, POSTINGS)
+
+
+def statistics(index: DataFrame) -> DataFrame:
+    """corpus, n (entries), avgdl (words of an entry in all indexed columns)."""
+    return index.where("term is null").groupBy("corpus").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def lengths(entries: DataFrame) -> DataFrame:
-    """corpus, id, dl: tokens of an entry in all indexed columns."""
-    return entries.select("corpus", "id", (F.size(tokens(F.col("title"))) + F.size(tokens(F.col("content")))).alias("dl"))
+def document_frequency(index: DataFrame) -> DataFrame:
+    """corpus, term, df: entries of the corpus that have the word."""
+    return index.where("term is not null").groupBy("corpus", "term").agg(F.count("*").alias("df"))
 
 
-def statistics(entries: DataFrame) -> DataFrame:
-    return lengths(entries).groupBy("corpus").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("prefix", T.BooleanType())])))
+def _phrases(text):
+    return text.fillna("").map(lambda t: [{"tokens": tokens, "prefix": prefix} for tokens, prefix in query_phrases(t)])
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """qid, term: distinct terms of at least two letters."""
-    return queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).where("length(term) >= 2")
+def phrases(queries: DataFrame) -> DataFrame:
+    """qid, phrase (its stemmed words, joined by spaces), prefix: what each query searches for."""
+    found = queries.select("qid", F.explode(_phrases("text")).alias("p"))
+    return found.select("qid", F.array_join("p.tokens", " ").alias("phrase"), "p.prefix", F.size("p.tokens").alias("words"))
 
 
-def bm25(entries: DataFrame, queries: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """qid, corpus, id, score (smaller is better), rank: the best ``lexical_limit`` entries of each corpus.
+def phrase_hits(index: DataFrame, wanted: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """phrase, prefix, corpus, id, f, dl: where the distinct phrases ``wanted`` (phrase, prefix, words) occur.
 
-    Only terms that some query has are counted; the idf of terms in more than half of the entries is a small constant.
+    Prefixes are looked up among the distinct words, all of whose beginnings are joined by equality; phrases of several
+    words are runs of places.
+    """
+    terms = index.where("term is not null")
+    exact = wanted.where("not prefix and words = 1").select("phrase", "prefix", F.col("phrase").alias("term"))
+    begin = wanted.where("prefix and words = 1").select("phrase", "prefix")
+    heads = terms.select("term").distinct().select("term", F.explode(F.expr("transform(sequence(1, length(term)), k -> substring(term, 1, k))")).alias("phrase"))
+    single = exact.union(begin.join(heads, "phrase").select("phrase", "prefix", "term"))
+    hits = terms.select("corpus", "id", "term", "f", "dl").join(single, "term").groupBy("phrase", "prefix", "corpus", "id").agg(F.sum("f").alias("f"), F.max("dl").alias("dl"))
+    parts = wanted.where("words > 1").select("phrase", "prefix", "words", F.posexplode(F.split("phrase", " ")).alias("k", "term"))
+    runs = terms.select("corpus", "id", "term", "dl", "places").join(parts, "term")
+    runs = runs.select("phrase", "prefix", "words", "corpus", "id", "dl", "k", F.explode("places").alias("at")).withColumn("at", F.col("at") - F.col("k"))
+    whole = runs.groupBy("phrase", "prefix", "words", "corpus", "id", "at").agg(F.max("dl").alias("dl"), F.count_distinct("k").alias("n")).where("n = words")
+    weight = F.element_at(F.array(*[F.lit(float(cfg.bm25[c])) for c in COLUMNS]), F.shiftright("at", PLACE_BITS) + 1)
+    several = whole.groupBy("phrase", "prefix", "corpus", "id").agg(F.sum(weight).alias("f"), F.max("dl").alias("dl"))
+    return hits.union(several)
+
+
+def bm25(index: DataFrame, queries: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """qid, corpus, id, score (smaller is better), rank: the best ``lexical_limit`` entries of each corpus for ``queries`` (qid, text).
+
+    Each distinct phrase of all queries is looked up once. The idf of what more than half of the entries have is a small
+    constant. A query without terms finds nothing.
     """
     k1, b = cfg.bm25["k1"], cfg.bm25["b"]
-    terms = query_terms(queries)
-    index = postings(entries, cfg).join(terms.select("term").distinct(), "term", "left_semi")
-    df = index.groupBy("corpus", "term").agg(F.count("*").alias("df"))
-    stats = F.broadcast(statistics(entries))  # a row for each corpus
+    asked = written(phrases(queries), "phrases")
+    found = written(phrase_hits(index, asked.select("phrase", "prefix", "words").distinct(), cfg), "hits")
+    df = found.groupBy("phrase", "prefix", "corpus").agg(F.count("*").alias("df"))
+    stats = F.broadcast(statistics(index))  # a row for each corpus
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.join(stats, "corpus").withColumn("idf", F.when(idf <= 0, 1e-6).otherwise(idf))
-    hits = index.join(terms, "term").join(weights, ["corpus", "term"]).join(lengths(entries), ["corpus", "id"])
+    weights = df.join(stats, "corpus").withColumn("idf", F.when(idf <= 0, 1e-6).otherwise(idf)).select("phrase", "prefix", "corpus", "idf", "avgdl")
     part = F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("qid", "corpus", "id").agg((F.round(-F.sum(part), 4) + F.lit(0.0)).alias("score"))
+    parts = found.join(weights, ["phrase", "prefix", "corpus"]).select("phrase", "prefix", "corpus", "id", part.alias("part"))
+    hits = parts.join(asked.select("qid", "phrase", "prefix"), ["phrase", "prefix"])
+    scored = hits.groupBy("qid", "corpus", "id").agg((F.round(-F.sum("part"), 4) + F.lit(0.0)).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("qid", "corpus").orderBy("score", "id")))
     return ranked.where(F.col("rank") <= cfg.lexical_limit)
+
+
+class LexicalIndex(FollowedTable):
+    """The stored index of a corpus, which follows its entries."""
+
+    name = "lexical index"
+
+    def __init__(self, spark: SparkSession, path: str, source, cfg: EngineConfig, **options):
+        super().__init__(spark, path, lambda: source().select("corpus", "id", *COLUMNS), lambda e: postings(e, cfg), **options)
+        self.cfg = cfg
+
+    def lookup(self, queries: DataFrame) -> tuple[DataFrame, str | None]:
+        """``bm25`` of the current index; without one no rows, and the reason."""
+        df, reason = self.table()
+        if df is None:
+            return self.spark.createDataFrame([], "qid long, corpus string, id long, score double, rank int"), reason
+        return bm25(df, queries, self.cfg), None

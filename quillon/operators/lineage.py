@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from ..workspace import shared_folder
 
 EDGE = ["src_corpus", "src_id", "dst_corpus", "dst_id"]
+#: Fixed value: how the first line of a replaced entry begins.
+MARKER = "SUPERSEDED — use "
 
 
 def parse_markers(entries: DataFrame) -> DataFrame:
     """corpus, id, ref, ok: the references in the first line of entries that it marks as replaced; ok: well-formed."""
     line = F.split_part(F.ltrim("content"), F.lit("\n"), F.lit(1))
-    marked = entries.where(line.startswith("SUPERSEDED — use ")).withColumn("refs", F.substring(line, 18, 100_000))
+    marked = entries.where(line.startswith(MARKER)).withColumn("refs", F.expr(f"substring(split_part(ltrim(content), '\n', 1), {len(MARKER) + 1})"))
     refs = marked.select("corpus", "id", F.explode(F.split("refs", ",")).alias("ref")).withColumn("ref", F.trim("ref"))
     return refs.withColumn("ok", F.col("ref").rlike("^(homelab|ai):[0-9]+$"))
 
@@ -41,20 +44,21 @@ def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """src, node, level: what can be reached from each start along the edges (src, dst), cycles included once.
 
     Joins the frontier with the edges and drops what was seen; goes on until the frontier is empty, however long the
-    chains are. checkpoint() cuts the lineage, so the plan doesn't grow; only where no checkpoint folder is set (tests, one
-    machine) a temporary one is made.
+    chains are. checkpoint() cuts the lineage, so the plan doesn't grow.
     """
     spark = edges.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillon-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     few = int(spark.conf.get("spark.sql.shuffle.partitions"))
     seen = starts.select(F.col("node").alias("src"), "node", F.lit(0).alias("level")).checkpoint()
     front, level = seen, 0
     while front.head(1):
         level += 1
         step = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("src", F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("src", "node"), ["src", "node"], "left_anti").withColumn("level", F.lit(level)).checkpoint()
-        seen = seen.union(front).coalesce(few).checkpoint()
+        front = step.join(seen.select("src", "node"), ["src", "node"], "left_anti").withColumn("level", F.lit(level)).coalesce(few).checkpoint()
+        seen = seen.union(front)
+        if level % 16 == 0:  # fronts are written once; now and then they are put together
+            seen = seen.coalesce(few).checkpoint()
     return seen
 
 
@@ -92,3 +96,75 @@ def chains(edges: DataFrame) -> DataFrame:
     walk = reachable(edges, heads).select(F.col("src").alias("head"), "node", "level")
     odd = walk.join(d.where("n_in > 1 or n_out > 1"), "node", "left_semi").select("head").distinct()
     return walk.join(odd, "head", "left_anti")
+
+
+def rebuild_report(markers: DataFrame, known: DataFrame) -> DataFrame:
+    """kind, n: what a rebuild from markers (corpus, id, ref, ok) does. edges: edges put in, repeated ones each time;
+    malformed and self: references that make none; dangling: edges to entries that aren't ``known`` (corpus, id)."""
+    ref = F.split("ref", ":")
+    m = markers.withColumn("dst_corpus", F.when(F.col("ok"), ref[0])).withColumn("dst_id", F.when(F.col("ok"), ref[1].try_cast("long")))
+    there = known.select(F.col("corpus").alias("dst_corpus"), F.col("id").alias("dst_id"), F.lit(True).alias("there")).distinct()
+    m = m.join(there, ["dst_corpus", "dst_id"], "left")
+    own = (F.col("dst_corpus") == F.col("corpus")) & (F.col("dst_id") == F.col("id"))
+    kinds = {"malformed": ~F.col("ok"), "self": F.col("ok") & own, "edges": F.col("ok") & ~own, "dangling": F.col("ok") & ~own & F.col("there").isNull()}
+    counts = m.agg(*(F.count_if(c).alias(k) for k, c in kinds.items()))
+    return counts.unpivot([], list(kinds), "kind", "n")
+
+
+def write_errors(edges: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """src, dst, error: why ``wanted`` replacements (src, dsts: an array) can't be written; no row if they can.
+
+    ``edges``: src, dst; ``known``: node. An entry needs a replacement, other than itself, that exists and doesn't lead back.
+    """
+    each = wanted.select("src", F.explode("dsts").alias("dst")).distinct()
+    empty = wanted.where(F.size("dsts") < 1).select("src", F.lit(None).cast(edges.schema["dst"].dataType).alias("dst"), F.lit("no replacement").alias("error"))
+    itself = each.where("src = dst").withColumn("error", F.lit("replaces itself"))
+    missing = each.join(known.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst", F.lit("target does not exist").alias("error"))
+    back = would_cycle(edges, each).select("src", "dst", F.lit("target leads back").alias("error"))
+    return empty.union(itself).union(missing).union(back)
+
+
+def histories(edges: DataFrame, starts: DataFrame, known: DataFrame, limit: int = 200, stale: bool = False) -> DataFrame:
+    """The lineage of each start (node), both ways: src, nodes, edges, broken, truncated, stale, completeness.
+
+    nodes: (level, node, missing) of the first ``limit`` in order of level and node; nothing is looked up beyond the level
+    at which there are more, so a start with a large lineage costs no more than its limit. edges: those of these nodes.
+    broken: edges to a missing one. A lineage is ``complete`` if it is neither truncated, nor broken, nor from stale edges.
+    """
+    spark = edges.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    one_way = edges.select("src", "dst").distinct()
+    steps = one_way.union(one_way.select("dst", "src")).distinct().toDF("node", "next")
+    seen = starts.select(F.col("node").alias("src"), "node", F.lit(0).alias("level"), F.lit(False).alias("cut")).distinct().checkpoint()
+    front, level = seen, 0
+    while front.head(1):
+        level += 1
+        fresh = front.join(steps, "node").select("src", F.col("next").alias("node")).distinct().join(seen.select("src", "node"), ["src", "node"], "left_anti")
+        have = seen.groupBy("src").agg(F.count("*").alias("have"))
+        place = F.row_number().over(W.partitionBy("src").orderBy("node")) + F.col("have")
+        fresh = fresh.join(have, "src").withColumn("place", place).where(F.col("place") <= limit + 1)
+        fresh = fresh.select("src", "node", F.lit(level).alias("level"), (F.col("place") > limit).alias("cut")).checkpoint()
+        seen = seen.union(fresh).checkpoint()
+        full = fresh.where("cut").select("src")
+        front = fresh.join(full, "src", "left_anti")
+    truncated = seen.where("cut").select("src", F.lit(True).alias("truncated"))
+    nodes = seen.where("not cut").join(known.select("node", F.lit(False).alias("missing")).distinct(), "node", "left").withColumn("missing", F.coalesce("missing", F.lit(True)))
+    listed = nodes.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("level", "node", "missing"))).alias("nodes"))
+    near = nodes.select(F.col("src").alias("of"), "node")
+    touching = near.join(one_way, near.node == one_way.src).select("of", "src", "dst").union(near.join(one_way, near.node == one_way.dst).select("of", "src", "dst")).distinct()
+    gone = nodes.where("missing").select(F.col("src").alias("of"), F.col("node").alias("dst"), F.lit(True).alias("gone"))
+    touching = touching.join(gone, ["of", "dst"], "left")
+    edge = F.struct("src", "dst")
+    links = touching.groupBy(F.col("of").alias("src")).agg(F.sort_array(F.collect_list(edge)).alias("edges"), F.sort_array(F.collect_list(F.when(F.col("gone"), edge))).alias("broken"))
+    out = listed.join(links, "src", "left").join(truncated, "src", "left")
+    none = F.array().cast(links.schema["edges"].dataType)
+    out = out.select("src", "nodes", F.coalesce("edges", none).alias("edges"), F.coalesce("broken", none).alias("broken"), F.coalesce("truncated", F.lit(False)).alias("truncated"), F.lit(stale).alias("stale"))
+    whole = ~F.col("truncated") & ~F.col("stale") & (F.size("broken") == 0)
+    return out.withColumn("completeness", F.when(whole, "complete").otherwise("partial"))
+
+
+def edge_health(have: DataFrame, want: DataFrame, stale: bool) -> dict:
+    """Numbers of edges that are missing or too many, and whether the edge table can be trusted."""
+    n = {r.kind: r["count"] for r in drift(have, want).groupBy("kind").count().collect()}
+    return {"stale": stale, "missing": n.get("missing", 0), "extra": n.get("extra", 0), "consistent": not n and not stale}

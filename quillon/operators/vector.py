@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -47,54 +47,66 @@ def top_candidates(queries: DataFrame, vectors: DataFrame, max_distance: float,
     return ranked.where(F.col("rank") <= k)
 
 
-def block_pairs(vectors: DataFrame, keep, block: int = 1024) -> DataFrame:
-    """a, b, d for pairs a < b that ``keep`` (a function of a distance matrix) lets through, by blocks of rows in NumPy.
+#: Vectors of one block; blocks meet in pairs, as matrix products of bounded size.
+BLOCK = 1024
 
-    Vectors are dealt to blocks; each pair of blocks is one task's matrix product, so memory is bounded and work spreads.
-    """
-    count = vectors.count()
-    blocks = max(1, -(-count // block))
-    dealt = vectors.where("x is not null").select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
-    packed = dealt.groupBy("b").agg(F.collect_list(F.struct("id", "x")).alias("m"))
-    pairs = packed.select(F.col("b").alias("ba"), F.col("m").alias("ma")).join(packed.select(F.col("b").alias("bb"), F.col("m").alias("mb")), F.col("ba") <= F.col("bb"))
 
-    def run(batches):
-        for frame in batches:
-            for ma, mb in zip(frame.ma, frame.mb):
-                ia, ib = (np.array([r["id"] for r in m]) for m in (ma, mb))
-                xa, xb = (np.array([r["x"] for r in m]) for m in (ma, mb))
-                d = 1 - np.clip(xa @ xb.T, -1, 1)
-                i, j = np.nonzero(keep(d) & (ia[:, None] != ib))
-                a, b, dist = ia[i], ib[j], d[i, j]
-                out = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "d": dist})
-                yield out.drop_duplicates(["a", "b"])
+def _dealt(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """b, m: blocks of vectors (id, x), and their number."""
+    v = vectors.where("x is not null")
+    blocks = max(1, -(-v.count() // BLOCK))
+    return v.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).groupBy("b").agg(F.collect_list(F.struct("id", "x")).alias("m")), blocks
+
+
+def _meetings(vectors: DataFrame, both_ways: bool) -> DataFrame:
+    """ma, mb: all pairs of blocks, each once, or with ``both_ways`` in either order. A block is sent once for each other
+    one by a join on the pairs' numbers, so pairs spread over all tasks."""
+    packed, blocks = _dealt(vectors)
+    each = F.lit(0) if both_ways else F.col("a")
+    numbers = vectors.sparkSession.range(blocks).select(F.col("id").alias("a")).select("a", F.explode(F.sequence(each, F.lit(blocks - 1))).alias("b"))
+    side = lambda c: packed.select(F.col("b").alias(c), F.col("m").alias(f"m{c}"))
+    return numbers.join(side("a"), "a").join(side("b"), "b").select("ma", "mb")
+
 
-    return pairs.select("ma", "mb").repartition(min(256, blocks * (blocks + 1) // 2)).mapInPandas(run, "a long, b long, d double")
+def _blocks(column) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix of each block in an Arrow column."""
+    ids, x = column.values.field("id").to_numpy(), column.values.field("x")
+    lists, flat = x.offsets.to_numpy(), x.values.to_numpy()
+    out = []
+    for lo, hi in zip(column.offsets.to_numpy(), column.offsets.to_numpy()[1:]):
+        out.append((ids[lo:hi], flat[lists[lo] : lists[hi]].reshape(hi - lo, -1)))
+    return out
 
 
 def near_duplicates(vectors: DataFrame, most: float) -> DataFrame:
-    return block_pairs(vectors, lambda d: d <= most)
+    """a, b, d of all pairs a < b of vectors of length one up to the distance ``most``."""
+
+    def run(batches):
+        for batch in batches:
+            for (ia, xa), (ib, xb) in zip(_blocks(batch.column(0)), _blocks(batch.column(1))):
+                d = 1 - np.clip(xa @ xb.T, -1, 1)
+                near = (d <= most) & (ia[:, None] != ib)
+                if len(ia) == len(ib) and (ia == ib).all():  # a block with itself: each pair once
+                    near &= ia[:, None] < ib
+                i, j = np.nonzero(near)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[i], ib[j])), pa.array(np.maximum(ia[i], ib[j])), pa.array(d[i, j])], names=["a", "b", "d"])
+
+    return _meetings(vectors, False).mapInArrow(run, "a long, b long, d double")
 
 
 def nearest(vectors: DataFrame, k: int) -> DataFrame:
     """id, other, d, rank: each vector's k nearest others; blocks keep k per row, then one window over these."""
-    count = vectors.count()
-    blocks = max(1, -(-count // 1024))
-    dealt = vectors.where("x is not null").select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b"))
-    packed = dealt.groupBy("b").agg(F.collect_list(F.struct("id", "x")).alias("m"))
-    pairs = packed.select(F.col("m").alias("ma")).join(packed.select(F.col("m").alias("mb")))
 
     def run(batches):
-        for frame in batches:
-            for ma, mb in zip(frame.ma, frame.mb):
-                ia, ib = (np.array([r["id"] for r in m]) for m in (ma, mb))
-                d = 1 - np.clip(np.array([r["x"] for r in ma]) @ np.array([r["x"] for r in mb]).T, -1, 1)
+        for batch in batches:
+            for (ia, xa), (ib, xb) in zip(_blocks(batch.column(0)), _blocks(batch.column(1))):
+                d = 1 - np.clip(xa @ xb.T, -1, 1)
                 d[ia[:, None] == ib] = np.inf
-                order = np.lexsort((np.broadcast_to(ib, d.shape), np.round(d, 9)), axis=1)[:, :k]
+                n = min(k, len(ib))
+                order = np.lexsort((np.broadcast_to(ib, d.shape), np.round(d, 9)), axis=1)[:, :n]
                 dist = np.take_along_axis(d, order, 1)
-                frame_out = pd.DataFrame({"id": np.repeat(ia, order.shape[1]), "other": ib[order].ravel(), "d": dist.ravel()})
-                yield frame_out[np.isfinite(frame_out.d)]
+                fine = np.isfinite(dist)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ia, n).reshape(-1, n)[fine]), pa.array(ib[order][fine]), pa.array(dist[fine])], names=["id", "other", "d"])
 
-    near = pairs.repartition(min(256, blocks * blocks)).mapInPandas(run, "id long, other long, d double")
-    near = near.withColumn("d", F.round("d", 9))
+    near = _meetings(vectors, True).mapInArrow(run, "id long, other long, d double").withColumn("d", F.round("d", 9))
     return near.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("d", "other"))).where(F.col("rank") <= k)

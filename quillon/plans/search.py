@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..config import CORPORA, EngineConfig
 from ..functions import scoring as S
+from ..functions.embedding import DIMENSION, embedded, model_relevance
+from ..functions.text import passage_udf
 from ..operators import fusion, lexical, vector
+from ..operators.querylog import audit_line
 from ..operators.relations import with_warnings
+from ..workspace import written
 
 
 class RequestError(ValueError):
@@ -59,10 +63,25 @@ def plan_scope(scope: str, granted: set[str] | None = None, available: set[str]
 
 
 class SearchEngine:
-    """Entries (corpus, id, title, content, tags, created_at), vectors (id, corpus, x), edges of newer notes (optional)."""
+    """Entries (corpus, id, title, summary, content, tags, created_at), vectors (id, corpus, x), edges of newer notes and a
+    stored lexical index (``lexical.postings``; both optional: without the latter it is made for each search).
 
-    def __init__(self, entries: DataFrame, vectors: DataFrame, cfg: EngineConfig, newer: DataFrame | None = None):
-        self.entries, self.vectors, self.cfg, self.newer = entries, vectors, cfg, newer
+    ``embedder`` and ``scorer`` make the models that are used in Python workers (functions.embedding): with the first,
+    queries need only a text; with the second, relevance is its judgement of query and text instead of the curve over
+    the distance. ``status`` holds why parts of a search were left out.
+    """
+
+    def __init__(self, entries: DataFrame, vectors: DataFrame, cfg: EngineConfig, newer: DataFrame | None = None, index: DataFrame | None = None, embedder=None, scorer=None, dimension: int = DIMENSION):
+        self.entries, self.vectors, self.cfg, self.newer, self.index = entries, vectors, cfg, newer, index
+        self.embedder, self.scorer, self.dimension = embedder, scorer, dimension
+        self.status: dict[str, str] = {}
+
+    def queries(self, texts: DataFrame) -> DataFrame:
+        """qid, text and qx of query texts (qid, text); an error where the embedder gives no vector."""
+        if self.embedder is None:
+            raise RequestError(503, "no embedder")
+        made = texts.select("qid", "text").withColumn("qx", embedded(self.embedder, F.col("text"), "query", self.dimension))
+        return made.withColumn("qx", F.when(F.col("qx").isNull(), F.raise_error(F.lit("a query has no vector"))).otherwise(F.col("qx")))
 
     def candidates(self, queries: DataFrame, alternate: DataFrame | None = None, corpora: list[str] | None = None) -> DataFrame:
         """qid, corpus, id, distance, pos and flags. ``queries``: qid, qx and, for the lexical lane, text; ``alternate``: qid, qx."""
@@ -79,26 +98,50 @@ class SearchEngine:
             semantic = semantic.withColumn("from_primary", F.lit(True)).withColumn("alternate_rank", F.lit(None).cast("int"))
         if "text" not in queries.columns:
             return semantic.withColumn("from_lexical", F.lit(False)).withColumnRenamed("rank", "pos")
-        entries = self.entries.where(F.col("corpus").isin(corpora)) if corpora else self.entries
-        merged = fusion.hybrid_merge(semantic, lexical.bm25(entries, queries, cfg), cfg)
+        index = self.index
+        if isinstance(index, lexical.LexicalIndex):
+            self.status.pop("lexical", None)
+            refused = index.refresh()
+            index, reason = index.table()
+            if reason or refused:
+                self.status["lexical"] = reason or refused
+            if index is None:  # go on without lexical candidates
+                return semantic.withColumn("from_lexical", F.lit(False)).withColumnRenamed("rank", "pos")
+        elif index is None:
+            index = written(lexical.postings(self.entries, cfg), "lexical")
+        index = index.where(F.col("corpus").isin(corpora)) if corpora else index
+        merged = fusion.hybrid_merge(semantic, lexical.bm25(index, queries, cfg), cfg)
         flags = semantic.select("qid", "corpus", "id", "from_primary", "alternate_rank")
         out = merged.join(flags, ["qid", "corpus", "id"], "left")
         primary = F.when(F.col("from_lexical"), True).otherwise(F.col("from_primary"))  # lexical rows count as first-hand
         return out.withColumn("from_primary", primary).withColumn("alternate_rank", F.when(~F.col("from_lexical"), F.col("alternate_rank")))
 
-    def scored(self, candidates: DataFrame) -> DataFrame:
-        """Candidates that have an entry, with relevance, admission of alternates, and final score."""
+    def scored(self, candidates: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+        """Candidates that have an entry, with relevance, admission of alternates, and final score.
+
+        With a scorer, ``queries`` (qid, text): the first wording judges all candidates, of both corpora and wordings.
+        """
         cfg = self.cfg
-        texts = self.entries.select("corpus", "id", "title", "tags", "created_at")
-        c = candidates.join(texts, ["corpus", "id"]).withColumn("relevance", S.relevance(F.col("distance"), cfg))
+        if self.scorer is not None and queries is not None:
+            e = self.entries.select("corpus", "id", "title", "tags", "created_at", F.coalesce(F.nullif("content", F.lit("")), "summary").alias("_body"))
+            c = candidates.join(e, ["corpus", "id"]).join(queries.select("qid", F.col("text").alias("_query")), "qid")
+            passage = passage_udf("_query", F.concat_ws("\n", "title", "_body"))
+            c = c.withColumn("relevance", model_relevance(self.scorer, F.col("_query"), passage)).drop("_body", "_query")
+        else:
+            texts = self.entries.select("corpus", "id", "title", "tags", "created_at")
+            c = candidates.join(texts, ["corpus", "id"]).withColumn("relevance", S.relevance(F.col("distance"), cfg))
         c = fusion.admit_alternates(c, cfg)
         days = S.age_days(F.col("created_at"), F.lit(cfg.as_of).cast("timestamp"))
         return c.withColumn("final_score", S.final_score(F.col("relevance"), F.col("corpus"), days, S.is_superseded(F.col("title")), cfg))
 
     def search(self, queries: DataFrame, alternate: DataFrame | None = None, corpora: list[str] | None = None) -> DataFrame:
         """The best of each corpus with their place, merged rank, title, link and, if edges are given, newer notes."""
+        return self.ranked(self.scored(self.candidates(queries, alternate, corpora), queries if "text" in queries.columns else None))
+
+    def ranked(self, scored: DataFrame) -> DataFrame:
+        """Of scored candidates those that are relevant, the best of each corpus, with what a reader is shown."""
         cfg = self.cfg
-        kept = self.scored(self.candidates(queries, alternate, corpora)).where(F.col("relevance") >= cfg.reject)
+        kept = scored.where(F.col("relevance") >= cfg.reject)
         place = F.row_number().over(W.partitionBy("qid", "corpus").orderBy(F.desc("final_score"), "pos"))
         top = kept.withColumn("place", place).where(F.col("place") <= cfg.top_k)
         order = F.when(F.col("corpus") == CORPORA[0], 0).otherwise(1)
@@ -118,22 +161,94 @@ class SearchEngine:
         route = F.split(S.shadow_route(F.col("homelab"), F.col("ai"), self.cfg), "/")
         return best.select("qid", "homelab", "ai", route[0].alias("scope"), route[1].alias("reason"))
 
-    def trace(self, queries: DataFrame) -> DataFrame:
-        """Every scanned vector with its ranks by distance and final score, and the stage that it fell out at. No lexical lane."""
-        cfg = self.cfg
-        d = vector.distances(queries.select("qid", "qx"), self.vectors).withColumn("distance", F.round("d", 4))
-        raw = d.withColumn("raw_rank", F.row_number().over(W.partitionBy("qid", "corpus").orderBy("distance", "id")))
-        raw = raw.join(self.entries.select("corpus", "id", "title", "created_at"), ["corpus", "id"], "left")
-        raw = raw.withColumn("relevance", S.relevance(F.col("distance"), cfg))
-        days = S.age_days(F.col("created_at"), F.lit(cfg.as_of).cast("timestamp"))
-        raw = raw.withColumn("final_score", S.final_score(F.col("relevance"), F.col("corpus"), days, S.is_superseded(F.col("title")), cfg))
-        stage = (
-            F.when(F.col("d") > cfg.max_distance, "distance").when(F.col("raw_rank") > cfg.candidate_k, "candidate_k")
-            .when(F.col("title").isNull(), "no_entry").when(F.col("relevance") < cfg.reject, "reject")
+    def respond(self, queries: DataFrame, request: Request, available: set[str] | None = None, granted: set[str] | None = None, client: str = "local") -> DataFrame:
+        """One row for each query (qid, qx, text) as a service would answer: scopes, results by corpus, merged references,
+        counts, and the audit line, which tells the query's language and never its text."""
+        corpora, reason = plan_scope(request.scope, granted, available, request.allow_degraded)
+        wanted = list(CORPORA) if request.scope == "both" else [request.scope]
+        gone = [c for c in wanted if c not in corpora]
+        chosen = corpora[0] if len(corpora) == 1 else request.scope
+        found = written(self.candidates(queries, corpora=corpora), "candidates")
+        results = written(self.ranked(self.scored(found, queries if "text" in queries.columns else None)).where(F.col("place") <= request.top_k), "results")
+        newer = "newer" if "newer" in results.columns else F.lit(None).cast("array<string>")
+        shown = F.struct("place", "ref", "title", "relevance", "final_score", "link")
+        mine = lambda c: F.array_sort(F.collect_list(F.when(F.col("corpus") == c, shown)))
+        merged = F.transform(F.array_sort(F.collect_list(F.struct("rank", "ref"))), lambda r: r["ref"])
+        notes = F.sum(F.greatest(F.lit(0), F.size(F.coalesce(newer, F.array().cast(results.schema["newer"].dataType if "newer" in results.columns else "array<string>")))))
+        per = results.groupBy("qid").agg(merged.alias("ranked"), notes.alias("newer_notes"), *(mine(c).alias(f"_{c}") for c in CORPORA))
+        lexical_rows = found.groupBy("qid").agg(F.count_if("from_lexical").alias("lexical_candidates"))
+        out = queries.join(per, "qid", "left").join(lexical_rows, "qid", "left")
+
+        def corpus(c: str) -> Column:
+            list_ = F.coalesce(F.col(f"_{c}"), F.array().cast(per.schema[f"_{c}"].dataType))
+            return F.struct(F.lit(c in corpora).alias("searched"), F.lit(c in corpora).alias("available"), F.size(list_).alias("count"), list_.alias("results"))
+
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        out = out.withColumns({c: corpus(c) for c in CORPORA} | {"lexical_candidates": zero("lexical_candidates"), "newer_notes": zero("newer_notes"), "ranked": F.coalesce("ranked", F.array().cast("array<string>"))})
+        counts = {f"{c}_count": F.col(f"{c}.count") for c in CORPORA}
+        language = S.query_language(F.col("text")) if "text" in queries.columns else F.lit("unknown")
+        degraded = F.array(*map(F.lit, gone)).cast("array<string>")
+        audit = audit_line("search", client=F.lit(client), scope=F.lit(request.scope), selected_scope=F.lit(chosen), qlang=language, status=F.lit(200), degraded=degraded, lexical_candidates=F.col("lexical_candidates"), newer_notes=F.col("newer_notes"), lexical_degraded=F.lit(self.status.get("lexical")), **counts)
+        return out.select(
+            "qid", F.lit(request.scope).alias("requested_scope"), F.lit(chosen).alias("selected_scope"), F.lit(reason or "explicit_scope").alias("routing_reason"),
+            degraded.alias("degraded"), F.size("ranked").alias("total_count"), *CORPORA, "ranked", "lexical_candidates", "newer_notes", audit.alias("audit"),
+        )
+
+    def scanned(self, queries: DataFrame) -> DataFrame:
+        """All distances of queries, as a written table: a trace reads them several times."""
+        d = vector.distances(queries.select("qid", "qx"), self.vectors)
+        return written(d.select("qid", "corpus", "id", "d", F.round("d", 4).alias("distance")), "distances")
+
+    def stages(self, queries: DataFrame) -> DataFrame:
+        """qid, corpus, stage, count, entries: how many vectors are left after each stage, and the first of them in order.
+
+        Stages: raw, max_distance, candidate_k (ten entries each: id, distance), scored, reject (up to 25 entries, with
+        title and scores). Ranks are limited within tasks, so no task sorts all that was scanned. No lexical lane.
+        """
+        cfg, scan = self.cfg, self.scanned(queries)
+        key = ["qid", "corpus"]
+        near = scan.where(F.col("d") <= cfg.max_distance)
+        first = lambda rows, n: rows.withColumn("place", F.row_number().over(W.partitionBy(*key).orderBy("distance", "id"))).where(F.col("place") <= n)
+        candidates = first(near, cfg.candidate_k).withColumn("rank", F.col("place"))
+        plain = candidates.withColumn("from_primary", F.lit(True)).withColumn("alternate_rank", F.lit(None).cast("int")).withColumnRenamed("rank", "pos").drop("place", "d")
+        scored = written(self.scored(plain.withColumn("from_lexical", F.lit(False))), "scored")
+        kept = scored.where(F.col("relevance") >= cfg.reject)
+        place = lambda *order: F.row_number().over(W.partitionBy(*key).orderBy(*order))
+        blank = {"title": F.lit(None).cast("string"), "relevance": F.lit(None).cast("double"), "final_score": F.lit(None).cast("double")}
+        short = {"title": F.substring("title", 1, 80)}
+
+        def stage(name, counted, listed):
+            entry = F.struct("place", "id", "title", "distance", "relevance", "final_score")
+            lists = listed.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+            return counted.groupBy(*key).agg(F.count("*").alias("count")).join(lists, key, "left").select(*key, F.lit(name).alias("stage"), "count", "entries")
+
+        rows = stage("raw", scan, first(scan, 10).withColumns(blank))
+        rows = rows.union(stage("max_distance", near, first(near, 10).withColumns(blank)))
+        rows = rows.union(stage("candidate_k", candidates, first(near, min(10, cfg.candidate_k)).withColumns(blank)))
+        rows = rows.union(stage("scored", scored, scored.withColumn("place", place("pos")).withColumns(short).where("place <= 25")))
+        return rows.union(stage("reject", kept, kept.withColumn("place", place(F.desc("final_score"), "pos")).withColumns(short).where("place <= 25")))
+
+    def watched(self, queries: DataFrame, watch: DataFrame) -> DataFrame:
+        """Where each entry of ``watch`` (corpus, id) is in each query's search: ranks and scores, and the stage it fell out at.
+
+        Ranks of watched entries are numbers of nearer ones, counted in one join; nothing is sorted for them.
+        """
+        cfg, scan = self.cfg, self.scanned(queries)
+        mine = scan.join(watch.select("corpus", "id").distinct(), ["corpus", "id"])
+        w = mine.select("qid", "corpus", F.col("id").alias("_id"), F.col("distance").alias("_distance"))
+        ahead = (F.col("distance") < F.col("_distance")) | ((F.col("distance") == F.col("_distance")) & (F.col("id") < F.col("_id")))
+        before = scan.join(w, ["qid", "corpus"]).where(ahead).groupBy("qid", "corpus", F.col("_id").alias("id"))
+        before = before.agg(F.count("*").alias("raw"), F.count_if(F.col("d") <= cfg.max_distance).alias("near"))
+        m = mine.join(before, ["qid", "corpus", "id"], "left").fillna(0, ["raw", "near"])
+        within = F.col("d") <= cfg.max_distance
+        m = m.withColumn("raw_rank", F.col("raw") + 1).withColumn("distance_rank", F.when(within, F.col("near") + 1))
+        s = self.scored(self.candidates(queries.select("qid", "qx"))).withColumn("kept", F.col("relevance") >= cfg.reject)
+        s = s.withColumn("final_rank", F.when(F.col("kept"), F.row_number().over(W.partitionBy("qid", "corpus", "kept").orderBy(F.desc("final_score"), "pos"))))
+        m = m.join(s.select("qid", "corpus", "id", "relevance", "final_score", "kept", "final_rank"), ["qid", "corpus", "id"], "left")
+        out_at = (
+            F.when(~within, "max_distance").when(F.col("distance_rank") > cfg.candidate_k, "candidate_k").when(F.col("relevance").isNull(), "no_entry").when(~F.col("kept"), "reject")
         )
-        out = raw.withColumn("eliminated_before", stage)
-        rank = F.when(F.col("eliminated_before").isNull(), F.row_number().over(W.partitionBy("qid", "corpus", F.col("eliminated_before").isNull()).orderBy(F.desc("final_score"), "raw_rank")))
-        return out.select("qid", "corpus", "id", "distance", "raw_rank", "relevance", "final_score", rank.alias("final_rank"), F.when(rank > cfg.top_k, "top_k").otherwise(F.col("eliminated_before")).alias("eliminated_before"))
+        return m.select("qid", "corpus", "id", "distance", "raw_rank", "distance_rank", "relevance", F.when(F.col("kept"), F.col("final_score")).alias("final_score"), "final_rank", out_at.alias("eliminated_before"))
 
     def trace_dual(self, queries: DataFrame, alternate: DataFrame) -> DataFrame:
         """qid, ref, change: what the alternate wording gains and loses among the results."""
@@ -143,5 +258,5 @@ class SearchEngine:
 
     def evidence(self, queries: DataFrame, least: float, most: int = 3) -> DataFrame:
         """Homelab results for a synthesis: above ``least``, the best few."""
-        s = self.scored(self.candidates(queries, corpora=[CORPORA[0]])).where((F.col("relevance") >= self.cfg.reject) & (F.col("final_score") >= least))
+        s = self.scored(self.candidates(queries, corpora=[CORPORA[0]]), queries if "text" in queries.columns else None).where((F.col("relevance") >= self.cfg.reject) & (F.col("final_score") >= least))
         return s.withColumn("n", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("final_score"), "pos"))).where(F.col("n") <= most)

@@ -8,8 +8,11 @@ from pyspark.sql import Window as W
 
 from .config import test_config
 from .functions import scoring as S
+from .functions import text as words
 from .operators import evals, fusion, lexical, lineage, vector
+from .operators.gate import GENERAL
 from .sources.adapters import as_of, corpus_vectors, entries, table, vector_queries, vectors
+from .workspace import written
 
 CFG = test_config()
 QUERIES: dict = {}
@@ -18,7 +21,8 @@ ORACLES: dict[str, str] = {}
 #: SQL of the common inputs.
 ENT = """entries AS (SELECT doc_id AS id, CASE WHEN lang = 'en' THEN 'homelab' ELSE 'ai' END AS corpus,
   CASE WHEN doc_id % 11 = 0 THEN '[SUPERSEDED] ' ELSE '' END || split_part(text, chr(10), 1) AS title, text AS content, source AS tags,
-  TIMESTAMP '2026-01-01 00:00:00' - to_days(CAST(doc_id % 1000 AS INTEGER)) AS created_at FROM documents)"""
+  split_part(text, chr(10), 2) AS summary, TIMESTAMP '2026-01-01 00:00:00' - to_days(CAST(doc_id % 1000 AS INTEGER)) AS created_at,
+  CASE WHEN doc_id % 9 <> 0 THEN TIMESTAMP '2026-01-01 00:00:00' - to_days(CAST(doc_id % 1000 AS INTEGER)) END AS embedded_at FROM documents)"""
 VEC = "vec AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"
 DIST = f"""{ENT}, {VEC}, cv AS (SELECT vec.*, corpus FROM vec JOIN entries USING (id)),
 dist AS (SELECT q.id AS qid, cv.corpus, cv.id, 1 - greatest(-1, least(1, list_cosine_similarity(q.x, cv.x))) AS d FROM vec q, cv WHERE q.id % 20 = 0),
@@ -32,16 +36,74 @@ REL = "round(1 / (1 + exp(-(8 * (1 - distance) - 3))), 4)"
 FINAL = f"""{CAND}, scored AS (SELECT c.qid, c.corpus, c.id, c.rank, c.distance, {REL} AS relevance, e.title, e.title LIKE '[SUPERSEDED] %' AS superseded, id % 1000 + 1 AS days FROM cand c JOIN entries e USING (corpus, id)),
 final AS (SELECT *, round(relevance * CASE WHEN corpus = 'ai' THEN 1.0 ELSE greatest(1 / (1 + days / 540.0), 0.30) END * CASE WHEN superseded THEN 0.1 ELSE 1.0 END, 4) AS final_score FROM scored)"""
 TOP = f"""{FINAL}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, corpus ORDER BY final_score DESC, rank) AS place FROM final WHERE relevance >= 0.25) WHERE place <= 5)"""
-TOKENS = f"""{ENT}, tok AS (SELECT corpus, id, unnest(regexp_extract_all(lower(title), '[a-z0-9]+')) AS term, 3.0 AS w FROM entries
-  UNION ALL SELECT corpus, id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')), 1.0 FROM entries),
-len AS (SELECT corpus, id, len(regexp_extract_all(lower(title), '[a-z0-9]+')) + len(regexp_extract_all(lower(content), '[a-z0-9]+')) AS dl FROM entries),
+
+
+def sql_list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+def porter_sql(source: str) -> str:
+    """CTEs that stem the words of ``source`` (column word) step by step; the last, ``stems``, has word and stem."""
+    c, v = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+    some, one, two = f"^({c})?{v}{c}", f"^({c})?{v}{c}({v})?$", f"^({c})?{v}{c}{v}{c}"
+    vowel, short = f"^({c})?[aeiouy]", f"^{c}[aeiouy][^aeiouwxy]$"
+    cut = lambda n, new="": f"s[:length(s) - {n}]" + (f" || '{new}'" if new else "")
+    has = lambda what, n: f"regexp_matches(s[:length(s) - {n}], '{what}')"
+    ends = lambda e: f"ends_with(s, '{e}')"
+
+    def replaced(table) -> str:
+        by_length = sorted(table, key=lambda p: -len(p[0]))
+        return "CASE " + " ".join(f"WHEN {ends(e)} THEN CASE WHEN {has(some, len(e))} THEN {cut(len(e), new)} ELSE s END" for e, new in by_length) + " ELSE s END"
+
+    fourth = "CASE " + " ".join(
+        f"WHEN {ends(e)} THEN CASE WHEN {has(two, len(e))}" + (" AND regexp_matches(s, '[st]ion$')" if e == "ion" else "") + f" THEN {cut(len(e))} ELSE s END"
+        for e in sorted(words._STEP4, key=len, reverse=True)
+    ) + " ELSE s END"
+    mended = f"""CASE WHEN NOT shorter THEN s WHEN regexp_matches(s, '(at|bl|iz)$') THEN s || 'e'
+      WHEN s[-1] = s[-2] AND regexp_matches(s, '[^aeiouylsz]$') THEN {cut(1)} WHEN regexp_matches(s, '{one}') AND regexp_matches(s, '{short}') THEN s || 'e' ELSE s END"""
+    steps = [
+        f"CASE WHEN {ends('sses')} THEN {cut(2)} WHEN {ends('ies')} THEN {cut(2)} WHEN {ends('ss')} THEN s WHEN {ends('s')} THEN {cut(1)} ELSE s END",
+        f"CASE WHEN {ends('eed')} THEN CASE WHEN {has(some, 3)} THEN {cut(1)} ELSE s END WHEN {ends('ed')} AND {has(vowel, 2)} THEN {cut(2)} WHEN {ends('ing')} AND {has(vowel, 3)} THEN {cut(3)} ELSE s END",
+        mended,
+        f"CASE WHEN {ends('y')} AND {has(vowel, 1)} THEN {cut(1, 'i')} ELSE s END",
+        replaced(words._STEP2),
+        replaced(words._STEP3),
+        fourth,
+        f"CASE WHEN {ends('e')} AND ({has(two, 1)} OR ({has(one, 1)} AND NOT {has(short, 1)})) THEN {cut(1)} ELSE s END",
+        f"CASE WHEN {ends('ll')} AND regexp_matches(s, '{two}') THEN {cut(1)} ELSE s END",
+    ]
+    out = f"p0 AS (SELECT DISTINCT word, word AS s, false AS shorter FROM {source})"
+    for k, step in enumerate(steps):
+        more = f"{step} <> s AND NOT {ends('eed')}" if k == 1 else "false"
+        out += f",\np{k + 1} AS (SELECT word, {step} AS s, {more} AS shorter FROM p{k})"
+    return out + f",\nstems AS (SELECT word, CASE WHEN length(word) < 3 OR strlen(word) > 64 THEN word ELSE s END AS stem FROM p{len(steps)})"
+
+
+ENDING = "CASE " + " ".join(f"WHEN ends_with(w, '{e}') AND length(w) >= {4 + len(e)} THEN w[:length(w) - {len(e)}]" for e in words.SR_CASES) + " ELSE w END"
+TERMS = f"""tw AS (SELECT item_id AS qid, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+(?:[-.][\\p{{L}}\\p{{N}}]+)*') AS ws FROM benchmark),
+tk0 AS (SELECT qid, list_has_any(ws, {sql_list(sorted(words.SR_MARKERS))}) AS serbian, unnest(ws) AS w FROM tw),
+terms AS (SELECT DISTINCT qid, CASE WHEN serbian AND regexp_full_match(w, '\\p{{L}}+') THEN {ENDING} ELSE w END AS term FROM tk0 WHERE length(w) >= 2 AND w NOT IN {sql_list(sorted(words.STOP_WORDS)).replace("[", "(").replace("]", ")")})"""
+TOKENS = f"""{ENT}, cols AS (SELECT corpus, id, 0 AS col, title AS text FROM entries UNION ALL SELECT corpus, id, 1, split_part(content, chr(10), 2) FROM entries UNION ALL SELECT corpus, id, 2, content FROM entries),
+tw0 AS (SELECT corpus, id, col, regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+') AS ws FROM cols),
+raw AS (SELECT corpus, id, col, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM tw0),
+{TERMS},
+said AS (SELECT DISTINCT term, string_split_regex(term, '[-.]') AS parts FROM terms),
+part AS (SELECT term, unnest(parts) AS word, generate_subscripts(parts, 1) AS k, len(parts) AS n FROM said),
+vocabulary AS (SELECT word FROM raw UNION SELECT word FROM part),
+{porter_sql("vocabulary")},
+tok AS (SELECT corpus, id, col, pos, stem AS term FROM raw JOIN stems USING (word)),
+len AS (SELECT e.corpus, e.id, count(t.pos) AS dl FROM entries e LEFT JOIN tok t ON t.corpus = e.corpus AND t.id = e.id GROUP BY ALL),
 stats AS (SELECT corpus, count(*) AS n, avg(dl) AS avgdl FROM len GROUP BY corpus)"""
-BM25 = f"""{TOKENS}, post AS (SELECT corpus, id, term, sum(w) AS f FROM tok GROUP BY ALL),
-df AS (SELECT corpus, term, count(*) AS df FROM post GROUP BY ALL),
-qt AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
+BM25 = f"""{TOKENS}, post AS (SELECT corpus, id, term, sum([3.0, 2.0, 1.0][col + 1]) AS f FROM tok GROUP BY ALL),
+ps AS (SELECT term, k, n, stem, n = 1 AND length(term) >= 4 AND regexp_full_match(term, '\\p{{L}}+') AS prefix FROM part JOIN stems USING (word)),
+beginnings AS (SELECT term, unnest(list_transform(range(1, length(term) + 1), lambda k: term[:k])) AS stem FROM (SELECT DISTINCT term FROM post)),
+spelled AS (SELECT ps.term AS phrase, b.term FROM ps JOIN beginnings b USING (stem) WHERE prefix UNION ALL SELECT term, stem FROM ps WHERE n = 1 AND NOT prefix),
+runs AS (SELECT ps.term AS phrase, t.corpus, t.id, t.col, t.pos - ps.k AS at FROM ps JOIN tok t ON t.term = ps.stem WHERE n > 1 GROUP BY ps.term, t.corpus, t.id, t.col, t.pos - ps.k, n HAVING count(DISTINCT ps.k) = n),
+hits AS (SELECT phrase, corpus, id, sum(f) AS f FROM spelled JOIN post USING (term) GROUP BY ALL UNION ALL SELECT phrase, corpus, id, sum([3.0, 2.0, 1.0][col + 1]) FROM runs GROUP BY ALL),
+df AS (SELECT phrase, corpus, count(*) AS df FROM hits GROUP BY ALL),
 lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, corpus ORDER BY score, id) AS rank FROM (
-  SELECT qid, p.corpus, p.id, round(-sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) + 0.0 AS score
-  FROM post p JOIN qt USING (term) JOIN df USING (corpus, term) JOIN stats USING (corpus) JOIN len l ON l.corpus = p.corpus AND l.id = p.id WHERE length(term) >= 2 GROUP BY qid, p.corpus, p.id)) WHERE rank <= 100)"""
+  SELECT qid, h.corpus, h.id, round(-sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) + 0.0 AS score
+  FROM terms q JOIN hits h ON h.phrase = q.term JOIN df ON df.phrase = h.phrase AND df.corpus = h.corpus JOIN stats s ON s.corpus = h.corpus JOIN len l ON l.corpus = h.corpus AND l.id = h.id GROUP BY qid, h.corpus, h.id)) WHERE rank <= 100)"""
 EDGES = """edges AS (SELECT doc_id AS src, doc_id + 1 AS dst FROM documents WHERE doc_id % 7 IN (0, 1, 2) UNION SELECT doc_id, doc_id + 5 FROM documents WHERE doc_id % 35 = 3 UNION SELECT doc_id, doc_id - 2 FROM documents WHERE doc_id % 70 = 9)"""
 
 
@@ -86,11 +148,13 @@ def vec_scan_totals(spark, sf_dir):
     return d.groupBy("qid", "corpus").agg(F.count("*").alias("total"), F.count_if(F.col("d") <= CFG.max_distance).alias("within"), F.round(F.min("d"), 4).alias("nearest"))
 
 
-@query(f"WITH {CAND} SELECT qid, c.corpus || ':' || c.id AS ref, rank, CASE WHEN trim(title) = '' THEN 'Untitled' ELSE title END AS title, length(content) AS chars, 'kb://' || c.corpus || '/' || c.id AS link FROM cand c JOIN entries e ON e.corpus = c.corpus AND e.id = c.id")
+@query(f"WITH {CAND} SELECT qid, c.corpus || ':' || c.id AS ref, rank, CASE WHEN trim(title) = '' THEN 'Untitled' ELSE title END AS title, length(coalesce(nullif(content, ''), summary)) AS chars, 'kb://' || c.corpus || '/' || c.id AS link FROM cand c JOIN entries e ON e.corpus = c.corpus AND e.id = c.id")
 def candidate_fetch_join(spark, sf_dir):
+    """Results with their text, or the summary where there is none."""
     c = candidates(spark, sf_dir).join(entries(spark, sf_dir), ["corpus", "id"])
     title = F.when(F.trim("title") == "", "Untitled").otherwise(F.col("title"))
-    return c.select("qid", F.concat_ws(":", "corpus", "id").alias("ref"), "rank", title.alias("title"), F.length("content").alias("chars"), S.display_link(F.col("tags"), F.col("corpus"), F.col("id")).alias("link"))
+    body = F.coalesce(F.nullif("content", F.lit("")), "summary")
+    return c.select("qid", F.concat_ws(":", "corpus", "id").alias("ref"), "rank", title.alias("title"), F.length(body).alias("chars"), S.display_link(F.col("tags"), F.col("corpus"), F.col("id")).alias("link"))
 
 
 @query(f"WITH {UNION} SELECT qid, corpus, id, distance, from_primary, alternate_rank, pos FROM uni")
@@ -111,20 +175,25 @@ def alt_admission(spark, sf_dir):
     return fusion.admit_alternates(u, CFG).select("qid", "corpus", "id", "relevance")
 
 
+def lexical_index(spark, sf_dir) -> DataFrame:
+    """The index as a written table: words are counted once, however often it is read."""
+    return written(lexical.postings(entries(spark, sf_dir), CFG), "lexical")
+
+
 @query(f"WITH {BM25} SELECT qid, corpus, id, score, rank FROM lex")
 def bm25_topk(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    return lexical.bm25(entries(spark, sf_dir), q, CFG)
+    return lexical.bm25(lexical_index(spark, sf_dir), q, CFG)
 
 
 @query(f"WITH {TOKENS} SELECT corpus, n, round(avgdl, 6) AS avgdl FROM stats")
 def bm25_stats(spark, sf_dir):
-    return lexical.statistics(entries(spark, sf_dir)).select("corpus", "n", F.round("avgdl", 6).alias("avgdl"))
+    return lexical.statistics(lexical_index(spark, sf_dir)).select("corpus", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
-@query(f"WITH {TOKENS} SELECT term, count(DISTINCT id) AS df FROM tok GROUP BY term HAVING count(DISTINCT id) >= 20")
+@query(f"WITH {TOKENS} SELECT corpus, term, count(DISTINCT id) AS df FROM tok GROUP BY corpus, term")
 def bm25_document_frequency(spark, sf_dir):
-    return lexical.postings(entries(spark, sf_dir), CFG).groupBy("term").agg(F.count_distinct("id").alias("df")).where("df >= 20")
+    return lexical.document_frequency(lexical_index(spark, sf_dir))
 
 
 @query(f"""WITH {BM25}, vq AS (SELECT b.item_id AS qid, cv.corpus, cv.id, 1 - greatest(-1, least(1, list_cosine_similarity(q.x, cv.x))) AS d FROM benchmark b JOIN ({"SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"}) q ON q.id = b.item_id,
@@ -195,9 +264,10 @@ def shadow_route(spark, sf_dir):
 @query(f"""WITH {TOP} SELECT qid, (SELECT count(*) FROM dist x WHERE x.qid = t.qid) AS scanned, (SELECT count(*) FROM cand x WHERE x.qid = t.qid) AS within_distance,
  (SELECT count(*) FROM scored x WHERE x.qid = t.qid AND relevance >= 0.25) AS above_reject, count(*) AS returned FROM top t GROUP BY qid""")
 def trace_stages(spark, sf_dir):
-    scan = vector.distances(vector_queries(spark, sf_dir), corpus_vectors(spark, sf_dir)).groupBy("qid").agg(F.count("*").alias("scanned"))
-    s = scored(spark, sf_dir).groupBy("qid").agg(F.count("*").alias("within_distance"), F.count_if(F.col("relevance") >= CFG.reject).alias("above_reject"))
-    return scan.join(s, "qid").join(top_results(spark, sf_dir).groupBy("qid").agg(F.count("*").alias("returned")), "qid")
+    stages = engine(spark, sf_dir).stages(vector_queries(spark, sf_dir))
+    n = stages.groupBy("qid").pivot("stage", ["raw", "scored", "reject"]).agg(F.sum("count"))
+    back = stages.where("stage = 'reject'").groupBy("qid").agg(F.sum(F.least(F.col("count"), F.lit(CFG.top_k))).alias("returned"))
+    return n.join(back, "qid").select("qid", F.col("raw").alias("scanned"), F.col("scored").alias("within_distance"), F.col("reject").alias("above_reject"), "returned")
 
 
 @query(f"""WITH {UNION}, a AS (SELECT qid, id FROM cand WHERE {REL} >= 0.25), u AS (SELECT qid, id FROM uni WHERE (from_primary OR alternate_rank <= 5) AND {REL} >= 0.25)
@@ -254,9 +324,9 @@ def id_parity(spark, sf_dir):
     return missing.union(v.join(e, "id", "left_anti").withColumn("kind", F.lit("orphan")))
 
 
-@query(f"WITH {ENT} SELECT corpus, count(*) AS n, count(*) FILTER (WHERE id % 9 = 0) AS pending, strftime(max(created_at), '%Y-%m-%d') AS last FROM entries GROUP BY corpus")
+@query(f"WITH {ENT} SELECT corpus, count(*) AS n, count(*) FILTER (WHERE embedded_at IS NULL) AS pending, strftime(max(created_at), '%Y-%m-%d') AS last FROM entries GROUP BY corpus")
 def corpus_metrics(spark, sf_dir):
-    return entries(spark, sf_dir).groupBy("corpus").agg(F.count("*").alias("n"), F.count_if(F.col("id") % 9 == 0).alias("pending"), F.date_format(F.max("created_at"), "yyyy-MM-dd").alias("last"))
+    return entries(spark, sf_dir).groupBy("corpus").agg(F.count("*").alias("n"), F.count_if(F.col("embedded_at").isNull()).alias("pending"), F.date_format(F.max("created_at"), "yyyy-MM-dd").alias("last"))
 
 
 @query(f"WITH {ENT} SELECT corpus, count(*) AS n, max(id) AS max_id, strftime(max(created_at), '%Y-%m-%d %H:%M:%S') AS newest, sum(length(title) + length(content)) AS letters FROM entries GROUP BY corpus")
@@ -264,9 +334,30 @@ def source_signature(spark, sf_dir):
     return entries(spark, sf_dir).groupBy("corpus").agg(F.count("*").alias("n"), F.max("id").alias("max_id"), F.date_format(F.max("created_at"), "yyyy-MM-dd HH:mm:ss").alias("newest"), F.sum(F.length("title") + F.length("content")).alias("letters"))
 
 
-@query(f"WITH {ENT} SELECT id, row_number() OVER (PARTITION BY corpus ORDER BY created_at, id) AS pos FROM entries WHERE id % 9 = 0")
+@query(f"WITH {ENT} SELECT corpus, id, created_at FROM entries WHERE embedded_at IS NULL")
 def pending_scan(spark, sf_dir):
-    return entries(spark, sf_dir).where("id % 9 = 0").select("id", F.row_number().over(W.partitionBy("corpus").orderBy("created_at", "id")).alias("pos"))
+    """Entries that wait for a vector, oldest first: sorted by range, no task gets all of a corpus."""
+    return entries(spark, sf_dir).where("embedded_at is null").select("corpus", "id", "created_at").orderBy("corpus", "created_at", "id")
+
+
+@query(f"WITH {ENT} SELECT corpus || ':' || id AS ref, title, embedded_at IS NULL AS pending FROM entries ORDER BY created_at DESC, corpus, id LIMIT 20")
+def entry_list(spark, sf_dir):
+    e = entries(spark, sf_dir).orderBy(F.desc("created_at"), "corpus", "id").limit(20)
+    return e.select(F.concat_ws(":", "corpus", "id").alias("ref"), "title", F.col("embedded_at").isNull().alias("pending"))
+
+
+@query(f"WITH {ENT} SELECT corpus, id, title, summary, content, tags, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at FROM entries")
+def entry_dump(spark, sf_dir):
+    return entries(spark, sf_dir).select("corpus", "id", "title", "summary", "content", "tags", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN page_id END AS number FROM pages WHERE page_id % 4 <> 1 AND page_id % 4 <> 2 AND page_id % 4 <> 3 AND page_id >= 1")
+def id_sanity(spark, sf_dir):
+    """Ids that are numbers from 1 on; three of four are made into other text here."""
+    from .operators.integrity import valid_ids
+
+    odd = F.expr("case page_id % 4 when 0 then cast(page_id as string) when 1 then concat('x', page_id) when 2 then concat('-', page_id) else '' end")
+    return valid_ids(table(spark, sf_dir, "pages").select("page_id", odd.alias("number")), "number")
 
 
 @query(f"WITH {ENT} SELECT corpus, id, substr(content, 1, 700) AS head FROM entries")
@@ -288,23 +379,33 @@ def volatile_select(spark, sf_dir):
     return old.groupBy(kind).agg(F.count("*").alias("n"), F.expr("array_join(transform(array_sort(collect_list(page_id)), x -> string(x)), ',')").alias("ids"))
 
 
-@query(f"WITH {ENT} SELECT id, 'Title: ' || title || chr(10) || substr(content, 1, 8000) || CASE WHEN coalesce(tags, '') = '' THEN '' ELSE chr(10) || 'Tags: ' || tags END AS embed_text FROM entries WHERE trim(content) <> '' AND id % 9 = 0")
+@query(f"""WITH {ENT}, l AS (SELECT corpus, id, list_filter([CASE WHEN trim(title) <> '' THEN 'Title: ' || title END, CASE WHEN trim(summary) <> '' THEN 'Summary: ' || summary END,
+ CASE WHEN trim(substr(content, 1, 8000)) <> '' THEN substr(content, 1, 8000) END, CASE WHEN trim(tags) <> '' THEN 'Tags: ' || tags END], lambda x: x IS NOT NULL) AS parts FROM entries)
+SELECT corpus, id, array_to_string(parts, chr(10)) AS embed_text FROM l WHERE len(parts) > 0""")
 def embed_text(spark, sf_dir):
-    tags = F.when(F.coalesce("tags", F.lit("")) == "", F.lit(None)).otherwise(F.concat(F.lit("Tags: "), F.col("tags")))
-    text = F.concat_ws("\n", F.concat(F.lit("Title: "), "title"), F.substring("content", 1, 8000), tags)
-    return entries(spark, sf_dir).where("id % 9 = 0 and trim(content) <> ''").select("id", text.alias("embed_text"))
+    from .functions.embedding import embed_text as text
+
+    made = text(F.col("title"), F.col("summary"), F.col("content"), F.col("tags"))
+    return entries(spark, sf_dir).select("corpus", "id", made.alias("embed_text")).where("embed_text <> ''")
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE doc_id IS NULL) AS vanished FROM (SELECT vec_id FROM embeddings) LEFT JOIN documents ON doc_id = vec_id")
+@query(f"WITH {ENT} SELECT corpus, id, CASE WHEN id IN (SELECT vec_id FROM embeddings) THEN '2026-01-02' ELSE strftime(embedded_at, '%Y-%m-%d') END AS stamped, false AS vanished FROM entries UNION ALL SELECT 'ai', vec_id, NULL, true FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)")
 def mark_embedded(spark, sf_dir):
-    """Stamping reports rows that vanished while their vectors were made."""
-    v = vectors(spark, sf_dir).select("id").join(entries(spark, sf_dir).select("id", F.lit(1).alias("here")), "id", "left")
-    return v.agg(F.count("*").alias("n"), F.count_if(F.col("here").isNull()).alias("vanished"))
+    """Entries stamped where their vectors are done; done ones that vanished meanwhile are reported."""
+    from .operators.store import mark_embedded as mark
+
+    e = entries(spark, sf_dir)
+    done = vectors(spark, sf_dir).select("id").join(e.select("id", "corpus"), "id", "left").select(F.coalesce("corpus", F.lit("ai")).alias("corpus"), "id")
+    stamped, vanished = mark(e, done, F.lit(CFG.as_of).cast("timestamp"))
+    out = stamped.select("corpus", "id", F.date_format("embedded_at", "yyyy-MM-dd").alias("stamped"), F.lit(False).alias("vanished"))
+    return out.union(vanished.select("corpus", "id", F.lit(None).cast("string"), F.lit(True)))
 
 
 @query("SELECT vec_id AS id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)")
 def prune_orphan_vectors(spark, sf_dir):
-    return vectors(spark, sf_dir).select("id").join(entries(spark, sf_dir).select("id"), "id", "left_semi")
+    from .operators.store import prune
+
+    return prune(vectors(spark, sf_dir).select("id"), entries(spark, sf_dir), ["id"])
 
 
 @query(f"""WITH {ENT} SELECT id, CASE WHEN id % 13 = 0 AND title NOT LIKE '[SUPERSEDED] %' THEN '[SUPERSEDED] ' || title ELSE title END AS title,
@@ -339,10 +440,84 @@ def log_retention(spark, sf_dir):
     return retained(e, "2024-01-20", 10).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, event_type IN ('click', 'view') AND value BETWEEN 0 AND 100 AND user_id IS NOT NULL AS fine FROM events")
+LOGGED = """rec AS (SELECT event_id, CASE event_id % 11 WHEN 1 THEN 'a b' WHEN 2 THEN NULL ELSE 'client-' || (event_id % 3) END AS client, CASE WHEN event_id % 13 = 1 THEN 'all' ELSE 'both' END AS scope,
+ CASE event_id % 17 WHEN 1 THEN 'none' WHEN 2 THEN 'other' WHEN 3 THEN NULL ELSE 'ai' END AS selected_scope, CASE WHEN event_id % 19 = 1 THEN NULL ELSE event_type END AS query, CASE WHEN event_id % 23 = 1 THEN 'de' END AS query_alt_language,
+ CASE WHEN event_id % 29 = 1 THEN -1.0 ELSE value END AS elapsed_ms, event_id % 31 AS n, CASE event_id % 37 WHEN 1 THEN 200 WHEN 2 THEN 503 END AS status, CASE event_id % 37 WHEN 1 THEN 'conflict' WHEN 2 THEN CASE WHEN event_id % 2 = 0 THEN 'conflict' ELSE 'x' END END AS category FROM events)"""
+
+
+def log_records(spark, sf_dir) -> DataFrame:
+    """Records of searches from events, a few of them wrong in one way or another."""
+    e = table(spark, sf_dir, "events")
+    ranked = F.expr("transform(sequence(1, event_id % 31), i -> named_struct('ref', concat('ai:', if(event_id % 41 = 1, 0, i)), 'final_score', cast(i as double)))")
+    return e.select(
+        "event_id", "ts", F.expr("case event_id % 11 when 1 then 'a b' when 2 then null else concat('client-', event_id % 3) end").alias("client"), F.expr("if(event_id % 13 = 1, 'all', 'both')").alias("scope"),
+        F.expr("case event_id % 17 when 1 then 'none' when 2 then 'other' when 3 then null else 'ai' end").alias("selected_scope"), F.expr("if(event_id % 19 = 1, null, event_type)").alias("query"), F.lit(None).cast("string").alias("query_alt"),
+        F.expr("if(event_id % 23 = 1, 'de', null)").alias("query_alt_language"), F.when(F.expr("event_id % 31 > 0"), ranked).alias("ranked"), F.expr("if(event_id % 29 = 1, -1, value)").cast("double").alias("elapsed_ms"),
+        F.expr("case event_id % 37 when 1 then 200 when 2 then 503 end").alias("status"), F.expr("case event_id % 37 when 1 then 'conflict' when 2 then if(event_id % 2 = 0, 'conflict', 'x') end").alias("category"),
+    )
+
+
+@query(f"""WITH {LOGGED} SELECT event_id, CASE WHEN client IS NULL OR NOT regexp_full_match(client, '[A-Za-z0-9_.-]{{1,64}}') THEN 'client' WHEN scope = 'all' THEN 'scope' WHEN query IS NULL THEN 'query' WHEN coalesce(elapsed_ms < 0, true) THEN 'elapsed_ms'
+ WHEN query_alt_language = 'de' THEN 'query_alt_language' WHEN selected_scope = 'other' THEN 'selected_scope' WHEN n > 10 OR (n > 0 AND event_id % 41 = 1) THEN 'ranked' WHEN status = 200 THEN 'status' WHEN category = 'x' THEN 'category'
+ WHEN status IS NULL AND (n = 0 OR selected_scope IS NULL) THEN 'result' END AS fault FROM rec""")
 def log_validate(spark, sf_dir):
-    fine = F.col("event_type").isin("click", "view") & F.col("value").between(0, 100) & F.col("user_id").isNotNull()
-    return table(spark, sf_dir, "events").select("event_id", fine.alias("fine"))
+    from .operators.querylog import fault
+
+    return log_records(spark, sf_dir).select("event_id", fault().alias("fault"))
+
+
+@query(f"""WITH {LOGGED} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (WHERE status IS NOT NULL) AS failed FROM rec JOIN events USING (event_id)
+ WHERE regexp_full_match(coalesce(client, ''), '[A-Za-z0-9_.-]{{1,64}}') AND scope <> 'all' AND query IS NOT NULL AND elapsed_ms >= 0 AND query_alt_language IS NULL AND coalesce(selected_scope, '') <> 'other' AND n <= 10 AND (n = 0 OR event_id % 41 <> 1)
+ AND coalesce(status, 0) <> 200 AND coalesce(category, '') <> 'x' AND (status IS NOT NULL OR (n > 0 AND selected_scope IS NOT NULL)) GROUP BY 1""")
+def log_append(spark, sf_dir):
+    """Records through the log: checked, redacted, appended by day, read back."""
+    from .operators.querylog import append
+    from .workspace import new_folder
+
+    path = new_folder(spark, "log")
+    append(log_records(spark, sf_dir), path)
+    failed = F.get_json_object("line", "$.status").isNotNull()
+    return spark.read.parquet(path).groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.count_if(failed).alias("failed"))
+
+
+@query("SELECT event_type AS key, CASE WHEN event_type < 'm' THEN 'new' ELSE 'old' END AS value FROM (SELECT DISTINCT event_type FROM events)")
+def meta_put(spark, sf_dir):
+    from .operators.store import put
+
+    keys = table(spark, sf_dir, "events").select(F.col("event_type").alias("key")).distinct()
+    return put(keys.withColumn("value", F.lit("old")), keys.where("key < 'm'").withColumn("value", F.lit("new")))
+
+
+@query(f"""WITH {ENT} SELECT corpus, id, 'notes/' || strftime(created_at, '%Y-%m-%d') || '-' || CASE WHEN title = '' THEN 'entry-' || id ELSE substr(regexp_replace(replace(lower(title), ' ', '-'), '[^a-z0-9-]', '', 'g'), 1, 60) END || '.md' AS name, length(content) AS chars FROM entries""")
+def raw_files(spark, sf_dir):
+    from .operators.store import raw_files as files
+
+    made = files(entries(spark, sf_dir).withColumn("type", F.lit("note")))
+    body = F.regexp_extract("text", r"(?s)\A---\n.*?\n---\n\n(.*)\z", 1)
+    return made.select("corpus", "id", "name", F.length(body).alias("chars"))
+
+
+FETCHED = r"""got AS (SELECT page_id, url, trim(regexp_extract(html, '(?is)<title[^>]*>\s*(.*?)\s*</title>', 1)) AS t,
+ trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<title\b.*?</title\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages),
+fetched AS (SELECT page_id, url, CASE WHEN t = '' THEN 'Untitled' ELSE t END AS title, substr(body, 1, 4000) AS content FROM got WHERE body <> '')"""
+
+
+@query(f"WITH {FETCHED} SELECT * FROM fetched")
+def page_fetch(spark, sf_dir):
+    from .operators.store import fetched
+
+    return fetched(table(spark, sf_dir, "pages"))
+
+
+@query(f"""WITH {ENT}, {FETCHED} SELECT e.corpus, e.id, coalesce(f.title, e.title) AS title, coalesce(f.content, e.content) AS content, CASE WHEN f.page_id IS NULL THEN summary ELSE '' END AS summary,
+ strftime(CASE WHEN f.page_id IS NULL THEN created_at ELSE TIMESTAMP '2026-01-02' END, '%Y-%m-%d') AS created, f.page_id IS NOT NULL OR embedded_at IS NULL AS pending FROM entries e LEFT JOIN fetched f ON f.page_id = e.id AND e.corpus = 'ai' AND e.id % 3 = 0""")
+def volatile_refresh(spark, sf_dir):
+    """Entries whose page was fetched again: new text, no summary, to be embedded anew."""
+    from .operators.store import fetched, refresh
+
+    fresh = fetched(table(spark, sf_dir, "pages")).where("page_id % 3 = 0").select(F.lit("ai").alias("corpus"), F.col("page_id").alias("id"), "title", "content")
+    e = refresh(entries(spark, sf_dir), fresh, F.lit(CFG.as_of).cast("timestamp"))
+    return e.select("corpus", "id", "title", "content", "summary", F.date_format("created_at", "yyyy-MM-dd").alias("created"), F.col("embedded_at").isNull().alias("pending"))
 
 
 # --- Lineage --------------------------------------------------------------------------------------------------------
@@ -430,24 +605,81 @@ def replace_edges(spark, sf_dir):
     return lineage.replace_edges(have, have.where("src_id % 10 = 0").select("src_corpus", "src_id", F.lit("ai").alias("dst_corpus"), F.lit(1).cast("long").alias("dst_id")))
 
 
-NEWER = f"""{ENT}, rel AS (SELECT corpus, id, id + 7 - (id % 7) AS target, created_at, title FROM entries WHERE id % 7 <> 0 AND title NOT LIKE '[SUPERSEDED] %'),
-ne AS (SELECT t.corpus, t.id AS target, r.id, row_number() OVER (PARTITION BY t.corpus, t.id ORDER BY r.created_at DESC, r.id DESC) AS n FROM rel r JOIN entries t ON t.corpus = r.corpus AND t.id = r.target AND (r.created_at > t.created_at OR (r.created_at = t.created_at AND r.id > t.id)))"""
+@query(f"WITH {MARKED}, {ENT}, good AS (SELECT corpus, id, ref, split_part(ref, ':', 1) AS c, TRY_CAST(split_part(ref, ':', 2) AS BIGINT) AS n FROM m WHERE regexp_full_match(ref, '(homelab|ai):[0-9]+')) SELECT 'malformed' AS kind, (SELECT count(*) FROM m) - count(*) AS n FROM good UNION ALL SELECT 'self', count(*) FROM good WHERE c = corpus AND n = id UNION ALL SELECT 'edges', count(*) FROM good WHERE NOT (c = corpus AND n = id) UNION ALL SELECT 'dangling', count(*) FROM good WHERE NOT (c = corpus AND n = id) AND (c, n) NOT IN (SELECT corpus, id FROM entries)")
+def rebuild_report(spark, sf_dir):
+    return lineage.rebuild_report(lineage.parse_markers(marked_entries(spark, sf_dir)), entries(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, wanted AS (SELECT doc_id AS src, CASE doc_id % 4 WHEN 0 THEN [] WHEN 1 THEN [doc_id, doc_id + 1] WHEN 2 THEN [doc_id - 1, doc_id + 100000] ELSE [doc_id + 2] END AS dsts FROM documents WHERE doc_id % 5 = 0),
+each AS (SELECT DISTINCT src, unnest(dsts) AS dst FROM wanted), r AS (SELECT DISTINCT dst AS src, dst AS node FROM each UNION SELECT r.src, e.dst FROM r JOIN edges e ON e.src = r.node)
+SELECT src, CAST(NULL AS BIGINT) AS dst, 'no replacement' AS error FROM wanted WHERE len(dsts) = 0 UNION ALL SELECT src, dst, 'replaces itself' FROM each WHERE src = dst
+UNION ALL SELECT src, dst, 'target does not exist' FROM each WHERE dst NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT src, dst, 'target leads back' FROM each WHERE EXISTS (SELECT 1 FROM r WHERE r.src = each.dst AND r.node = each.src)""")
+def write_validation(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    dsts = F.expr("case doc_id % 4 when 0 then cast(array() as array<bigint>) when 1 then array(doc_id, doc_id + 1) when 2 then array(doc_id - 1, doc_id + 100000) else array(doc_id + 2) end")
+    wanted = d.where("doc_id % 5 = 0").select(F.col("doc_id").alias("src"), dsts.alias("dsts"))
+    return lineage.write_errors(lineage_edges(spark, sf_dir), wanted, d.select(F.col("doc_id").alias("node")))
+
+
+@query(f"""WITH RECURSIVE {EDGES}, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), walk AS (SELECT doc_id AS src, doc_id AS node, 0 AS level FROM documents WHERE doc_id % 20 = 0 UNION SELECT w.src, e.dst, w.level + 1 FROM walk w JOIN both_ways e ON e.src = w.node WHERE w.level < 30),
+lv AS (SELECT src, node, min(level) AS level FROM walk GROUP BY src, node), pl AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY level, node) AS place FROM lv), nodes AS (SELECT src, node, node NOT IN (SELECT doc_id FROM documents) AS missing FROM pl WHERE place <= 6),
+touch AS (SELECT DISTINCT n.src AS start, e.src, e.dst FROM nodes n JOIN edges e ON e.src = n.node OR e.dst = n.node), agg AS (SELECT src, count(*) AS n_nodes, count(*) FILTER (WHERE missing) AS n_missing FROM nodes GROUP BY src)
+SELECT a.src, n_nodes, n_missing, (SELECT count(*) FROM touch t WHERE t.start = a.src) AS n_edges, (SELECT count(*) FROM touch t JOIN nodes n ON n.src = t.start AND n.node = t.dst AND n.missing WHERE t.start = a.src) AS n_broken, (SELECT count(*) FROM pl WHERE pl.src = a.src) > 6 AS truncated,
+ CASE WHEN (SELECT count(*) FROM pl WHERE pl.src = a.src) > 6 OR (SELECT count(*) FROM touch t JOIN nodes n ON n.src = t.start AND n.node = t.dst AND n.missing WHERE t.start = a.src) > 0 THEN 'partial' ELSE 'complete' END AS completeness FROM agg a""")
+def history_contract(spark, sf_dir):
+    """Histories of at most six entries each, so that some are truncated here; 200 is the default."""
+    known = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node"))
+    h = lineage.histories(lineage_edges(spark, sf_dir), starts(spark, sf_dir), known, limit=6)
+    missing = F.size(F.filter("nodes", lambda n: n["missing"]))
+    return h.select("src", F.size("nodes").alias("n_nodes"), missing.alias("n_missing"), F.size("edges").alias("n_edges"), F.size("broken").alias("n_broken"), "truncated", "completeness")
+
+
+NEWER = f"""{ENT}, named AS (SELECT * EXCLUDE (title), CASE id % 10 WHEN 3 THEN 'This updates ' || corpus || ':' || (id + 3) WHEN 4 THEN 'It no updates ' || corpus || ':' || (id + 3) WHEN 5 THEN 'corrects #' || (id + 3) || ' and ' || (id + 4)
+ WHEN 6 THEN 'Extends one two three four five six ' || corpus || ':' || (id + 3) WHEN 7 THEN 'Extends one two three four five six seven ' || corpus || ':' || (id + 3) WHEN 8 THEN 'It replaces. See ' || corpus || ':' || (id + 3) ELSE title END AS title FROM entries),
+own AS (SELECT n.corpus, n.id, EXISTS (SELECT 1 FROM entries e WHERE e.corpus = n.corpus AND e.id = n.id + 3) AS a, EXISTS (SELECT 1 FROM entries e WHERE e.corpus = n.corpus AND e.id = n.id + 4) AS b FROM named n WHERE id % 10 = 5),
+rel AS (SELECT corpus, id, id + 3 AS target, CASE id % 10 WHEN 3 THEN 'updates' ELSE 'extends' END AS relation, 'ref' AS form FROM named WHERE id % 10 IN (3, 6) UNION ALL SELECT corpus, id, id + 3, 'corrects', 'hash' FROM own WHERE a UNION ALL SELECT corpus, id, id + 4, 'corrects', 'bare' FROM own WHERE a AND b)"""
+NEWER_EDGES = f"""{NEWER}, ne AS (SELECT t.corpus, t.id AS target, r.id, r.relation, r.form, row_number() OVER (PARTITION BY t.corpus, t.id ORDER BY s.created_at DESC, s.id DESC) AS n FROM rel r JOIN named s ON s.corpus = r.corpus AND s.id = r.id JOIN named t ON t.corpus = r.corpus AND t.id = r.target AND (s.created_at > t.created_at OR (s.created_at = t.created_at AND s.id > t.id)) WHERE s.title NOT LIKE '[SUPERSEDED] %')"""
+
+
+def naming_entries(spark, sf_dir) -> DataFrame:
+    """Entries of which some name others in their title, in ways that count and in ways that don't."""
+    title = F.expr("""case id % 10 when 3 then concat('This updates ', corpus, ':', id + 3) when 4 then concat('It no updates ', corpus, ':', id + 3) when 5 then concat('corrects #', id + 3, ' and ', id + 4)
+      when 6 then concat('Extends one two three four five six ', corpus, ':', id + 3) when 7 then concat('Extends one two three four five six seven ', corpus, ':', id + 3) when 8 then concat('It replaces. See ', corpus, ':', id + 3) else title end""")
+    return entries(spark, sf_dir).withColumn("title", title).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query(f"WITH {NEWER} SELECT corpus, target, id, n FROM ne WHERE n <= 3")
+@query(f"WITH {NEWER} SELECT corpus AS src_corpus, id AS src_id, corpus AS dst_corpus, target AS dst_id, relation, 'title' AS \"where\", form FROM rel")
+def change_relations(spark, sf_dir):
+    from .operators.relations import relations
+
+    return relations(naming_entries(spark, sf_dir))
+
+
+@query(f"WITH {NEWER_EDGES} SELECT corpus, target, id, n FROM ne WHERE n <= 3")
 def newest3_edges(spark, sf_dir):
-    from .operators.relations import newest_edges
+    from .operators.relations import newest_edges, relations
+
+    e = naming_entries(spark, sf_dir)
+    return newest_edges(relations(e), e, 3).select(F.col("dst_corpus").alias("corpus"), F.col("dst_id").alias("target"), F.col("src_id").alias("id"), F.col("rank").alias("n"))
+
+
+@query(rf"""WITH {NEWER_EDGES}, opening AS (SELECT corpus, id, trim(regexp_replace(split_part(regexp_replace(regexp_replace(substr(content, 1, 700), '^(\s*\n)+', ''), '\n([^\S\n]*\n)+', chr(0) || 'x', 'g'), chr(0) || 'x', 1), '\s+', ' ', 'g')) AS t FROM entries)
+SELECT ne.corpus AS dst_corpus, target AS dst_id, ne.corpus AS src_corpus, ne.id AS src_id, relation, 'title' AS "where", form, n AS rank,
+ CASE WHEN relation IN ('updates', 'corrects') THEN CASE WHEN length(t) <= 300 THEN t ELSE coalesce(nullif(rtrim(regexp_extract(substr(t, 1, 300), '^(.*)\s', 1)), ''), substr(t, 1, 300)) || ' …' END END AS preview FROM ne JOIN opening o ON o.corpus = ne.corpus AND o.id = ne.id WHERE n <= 3""")
+def newer_notes(spark, sf_dir):
+    from .operators.relations import detect
 
-    e = entries(spark, sf_dir).withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
-    rel = e.where("id % 7 <> 0").select(F.col("corpus").alias("src_corpus"), F.col("id").alias("src_id"), F.col("corpus").alias("dst_corpus"), F.expr("id + 7 - (id % 7)").alias("dst_id"), F.lit("updates").alias("relation"))
-    return newest_edges(rel, e, 3).select(F.col("dst_corpus").alias("corpus"), F.col("dst_id").alias("target"), F.col("src_id").alias("id"), F.col("rank").alias("n"))
+    return detect(naming_entries(spark, sf_dir))
 
 
 # --- Gate, atlas, evaluation ----------------------------------------------------------------------------------------
 
 
+GENERAL_SQL = sql_list(GENERAL).replace("[", "(").replace("]", ")")
+
+
 @query(f"""WITH {ENT}, t AS (SELECT id, unnest(list_distinct(list_concat(list_transform(string_split(lower(tags), ','), lambda x: trim(x)), regexp_extract_all(lower(title), '[a-z0-9][a-z0-9._-]{{2,}}')))) AS token FROM entries)
-SELECT id, token FROM t WHERE length(token) >= 3 AND NOT regexp_full_match(token, '[0-9]+') AND token NOT IN ('gotcha','fix','bug','homelab','ai','archive','changelog','telegram','url','note','repo','policy','documentation','dijagnoza','superseded','howto','decision','evergreen','config','security','monitoring','docker','nexus','rpi4','rpi','nexus2','forrix','nas','kerrigan','update','patch','root-cause','diagnosis','review','github','web','configuration','setup','integration')""")
+SELECT id, token FROM t WHERE length(token) >= 3 AND NOT regexp_full_match(token, '[0-9]+') AND token NOT IN {GENERAL_SQL}""")
 def topic_tokens(spark, sf_dir):
     from .operators.gate import topic_tokens as tokens
 
@@ -457,14 +689,15 @@ def topic_tokens(spark, sf_dir):
 GATE = f"""{DIST}, tk AS (SELECT id, list_distinct(list_filter(list_concat([lower(tags)], regexp_extract_all(lower(title), '[a-z0-9][a-z0-9._-]{{2,}}')), lambda x: length(x) >= 3 AND x <> 'superseded' AND NOT regexp_full_match(x, '[0-9]+'))) AS toks FROM entries)"""
 
 
-@query(f"WITH {GATE} SELECT qid, d.id, round(1 - d, 4) AS similarity FROM dist d JOIN tk a ON a.id = d.qid JOIN tk b ON b.id = d.id WHERE d.id <> qid AND 1 - d >= 0.25 AND len(list_intersect(a.toks, b.toks)) > 0")
+@query(f"WITH {GATE} SELECT qid, d.id, round(1 - d, 4) AS similarity, row_number() OVER (PARTITION BY qid ORDER BY round(1 - d, 4) DESC, d.id) AS place FROM dist d JOIN tk a ON a.id = d.qid JOIN tk b ON b.id = d.id WHERE d.id <> qid AND NOT (d.id % 30 = 1 AND qid % 40 = 0) AND 1 - d >= 0.25 AND len(list_intersect(a.toks, b.toks)) > 0")
 def gate_related(spark, sf_dir):
     from .operators.gate import related
 
     e = entries(spark, sf_dir).select("id", "tags", "title")
     v = corpus_vectors(spark, sf_dir)
     q = vector_queries(spark, sf_dir).join(e.select(F.col("id").alias("qid"), F.col("tags").alias("qtags"), F.col("title").alias("qtitle")), "qid")
-    return related(q, v, e, 0.25).select("qid", "id", "similarity")
+    out = q.where("qid % 40 = 0").select("qid").join(e.where("id % 30 = 1").select("id"))  # what is not to be looked at
+    return related(q, v, e, 0.25, out).select("qid", "id", "similarity", "place")
 
 
 PAIRS = f"{VEC}, pairs AS (SELECT a.id AS a, b.id AS b, 1 - greatest(-1, least(1, list_cosine_similarity(a.x, b.x))) AS d FROM vec a JOIN vec b ON a.id < b.id)"
@@ -497,6 +730,33 @@ def cluster_stats(spark, sf_dir):
     return v.groupBy("label").agg(F.count("*").alias("size"), of("homelab"), of("ai"), F.round(F.avg("d"), 3).alias("cohesion"))
 
 
+@query(f"WITH {PAIRS}, p2 AS (SELECT a AS id, b AS other, d FROM pairs UNION ALL SELECT b, a, d FROM pairs UNION ALL SELECT id, id, 0 FROM vec), m AS (SELECT v.label, v.id, round(avg(d), 6) AS distance FROM vec v JOIN p2 USING (id) JOIN vec o ON o.id = p2.other AND o.label = v.label GROUP BY v.label, v.id) SELECT label, id, round(distance, 4) AS distance FROM m")
+def cluster_members(spark, sf_dir):
+    """Members with their mean distance to the cluster; nearest first (place, whose ties hang on rounding, is tested apart)."""
+    from .operators.atlas import cluster_members as members
+
+    return members(vectors(spark, sf_dir)).select("label", "id", F.round("distance", 4).alias("distance"))
+
+
+@query(f"WITH {PAIRS}, l AS (SELECT a, b, round(d, 3) AS d FROM pairs WHERE d <= 0.60) SELECT *, row_number() OVER (ORDER BY d, a, b) AS place FROM l QUALIFY place <= 60")
+def redundancy_list(spark, sf_dir):
+    from .operators.atlas import listed_pairs
+
+    return listed_pairs(vector.near_duplicates(vectors(spark, sf_dir), CFG.redundant))
+
+
+@query(f"WITH {PAIRS}, {ENT}, mine AS (SELECT vec.id, label FROM vec JOIN entries USING (id) WHERE corpus = 'homelab'), c AS (SELECT label, count(*) AS visible FROM mine GROUP BY label), q AS (SELECT m.label, count(*) AS pairs FROM pairs JOIN mine m ON m.id = a JOIN mine n ON n.id = b WHERE d <= 0.60 GROUP BY m.label) SELECT label, visible, row_number() OVER (ORDER BY visible DESC, label) AS place, coalesce(pairs, 0) AS pairs FROM c LEFT JOIN q USING (label)")
+def atlas_view(spark, sf_dir):
+    """What is seen of one corpus: its clusters by visible entries, and the redundant pairs that are wholly in it."""
+    from .operators.atlas import view
+
+    v = vectors(spark, sf_dir)
+    points = v.select("id", "label").join(entries(spark, sf_dir).select("id", "corpus"), "id")
+    clusters, inside = view(points, vector.near_duplicates(v, CFG.redundant), "homelab")
+    n = inside.join(points.select(F.col("id").alias("a"), "label"), "a").groupBy("label").agg(F.count("*").alias("pairs"))
+    return clusters.join(n, "label", "left").select("label", "visible", "place", F.coalesce("pairs", F.lit(0)).alias("pairs"))
+
+
 @query(f"""WITH {VEC}, {ENT}, t AS (SELECT label, trim(tag) AS tag, count(*) AS n, min(id) AS first FROM (SELECT label, id, unnest(string_split(tags, ',')) AS tag FROM vec JOIN entries USING (id)) WHERE length(trim(tag)) >= 2 AND lower(trim(tag)) NOT IN ('url','web','note','test','youtube','ai','kb') GROUP BY label, trim(tag)),
 r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, first) AS k FROM t) SELECT label, string_agg(tag, ' · ' ORDER BY k) AS name FROM r WHERE k <= 3 GROUP BY label""")
 def cluster_top_tags(spark, sf_dir):
@@ -554,16 +814,50 @@ def outcome_histogram(spark, sf_dir):
     return p.groupBy("outcome").agg(F.count("*").alias("n"), F.sum("gained").alias("gained"), F.sum("lost").alias("lost"))
 
 
-@query("SELECT event_type, count(*) AS n, round(median(value), 6) AS p50, round(list_sort(list(value))[CAST(floor(count(*) * 0.95) AS BIGINT) + 1], 6) AS p95 FROM events GROUP BY event_type")
+@query("SELECT event_type, count(*) AS n, round(median(value), 6) AS p50, round(list_sort(list(value))[CAST(floor(count(*) * 0.95) AS BIGINT) + 1], 6) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def latency_percentiles(spark, sf_dir):
-    """p95 is the element at 95 % of the sorted values, found by rank and not by a list of all values."""
-    e = table(spark, sf_dir, "events").select("event_type", "value")
-    size = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.median("value"), 6).alias("p50"))
-    # values are counted first, so no task sorts all rows of a type
-    seen = e.groupBy("event_type", "value").count().join(size, "event_type")
-    up_to = F.sum("count").over(W.partitionBy("event_type").orderBy("value"))
-    at = seen.withColumn("up_to", up_to).where(F.expr("up_to >= floor(n * 0.95) + 1"))
-    return at.groupBy("event_type").agg(F.first("n").alias("n"), F.first("p50").alias("p50"), F.round(F.min("value"), 6).alias("p95"))
+    p = evals.order_statistics(table(spark, sf_dir, "events"), "event_type", "value")
+    return p.select("event_type", "n", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
+
+
+GOLDEN = f"{EVAL}, other AS (SELECT qid, list(id) AS alt FROM altcand WHERE rank <= 5 AND qid % 3 <> 0 GROUP BY qid), j AS (SELECT ev.qid, 'c' || (ev.qid % 4) AS category, CASE WHEN len(want) = 0 THEN 1.0 ELSE len(list_intersect(ids, want)) / len(want) END AS recall, len(list_filter(ids, lambda x: NOT list_contains(want, x))) / len(ids) AS noise, len(list_intersect(ids, want)) >= 1 AS passed, len(list_intersect(ids, alt)) / greatest(len(list_distinct(list_concat(ids, alt))), 1) AS parity, alt FROM ev LEFT JOIN other USING (qid))"
+
+
+@query(f"WITH {GOLDEN} SELECT category, count(*) AS total, count(*) FILTER (WHERE passed) AS passed, round(avg(recall), 3) AS recall, round(avg(noise), 3) AS noise, round(avg(CASE WHEN alt IS NOT NULL THEN parity END), 3) AS parity, round(count(*) FILTER (WHERE passed) / count(*), 3) AS pass_rate FROM j GROUP BY ROLLUP (category)")
+def golden_report(spark, sf_dir):
+    """Questions against what they should find, by category and in all; two of three have another wording."""
+    alt = candidates(spark, sf_dir, 1).where("rank <= 5 and qid % 3 <> 0").groupBy("qid").agg(F.collect_list("id").alias("alt"))
+    items = evaluated(spark, sf_dir).join(alt, "qid", "left").select("qid", F.concat(F.lit("c"), F.col("qid") % 4).alias("category"), F.col("ids").alias("found"), F.col("want").alias("expected"), F.lit(1).alias("must_find"), "alt")
+    return evals.golden_report(evals.golden(items))
+
+
+@query(f"""WITH {UNION}, o AS (SELECT qid, list(id) AS original FROM cand WHERE rank <= 5 GROUP BY qid), u AS (SELECT qid, list(id) AS united FROM uni WHERE pos <= 5 GROUP BY qid), k AS (SELECT qid, list(id) AS keyword FROM altcand WHERE rank <= 3 GROUP BY qid),
+i AS (SELECT qid, original, united, coalesce(keyword, []) AS keyword, len(list_filter(united, lambda x: NOT list_contains(original, x))) AS gained, len(list_filter(original, lambda x: NOT list_contains(united, x))) AS lost FROM o JOIN u USING (qid) LEFT JOIN k USING (qid)),
+j AS (SELECT *, CASE WHEN gained > 0 AND lost = 0 THEN 'pure_gain' WHEN gained > 0 AND lost > 0 THEN 'mixed' WHEN lost > 0 THEN 'regression' ELSE 'no_change' END AS outcome, len(list_intersect(list_distinct(original), keyword)) AS a, len(list_intersect(list_distinct(united), keyword)) AS b FROM i)
+SELECT outcome, count(*) AS n, sum(gained) AS gained, sum(lost) AS lost, round(avg(a), 2) AS original_overlap, round(avg(b), 2) AS united_overlap FROM j GROUP BY ROLLUP (outcome)""")
+def rewrite_report(spark, sf_dir):
+    first, other = candidates(spark, sf_dir), candidates(spark, sf_dir, 1)
+    lists = lambda rows, name: rows.groupBy("qid").agg(F.collect_set("id").alias(name))
+    items = lists(first.where("rank <= 5"), "original").join(lists(fusion.union_candidates(first, other).where("pos <= 5"), "united"), "qid")
+    items = items.join(lists(other.where("rank <= 3"), "keyword"), "qid", "left").withColumn("keyword", F.coalesce("keyword", F.array().cast("array<bigint>")))
+    return evals.rewrite_report(evals.rewrites(items))
+
+
+CITED = "ans AS (SELECT qid, list(id ORDER BY place, corpus, id) AS ids FROM top GROUP BY qid), a2 AS (SELECT qid, ids, qid % 80 = 20 AS odd, qid % 80 = 40 AS denied, CASE WHEN qid % 80 = 20 THEN [-1] WHEN qid % 80 = 60 THEN [] ELSE ids[:2] END AS cited FROM ans)"
+
+
+@query(f"WITH {TOP}, {CITED} SELECT qid, NOT odd AND NOT (denied AND len(cited) > 0) AND len(cited) = len(list_distinct(cited)) AS fine FROM a2")
+def synthesis_evidence(spark, sf_dir):
+    """Answers of a model of which some cite what was not retrieved, or deny a match that they cite evidence for."""
+    from .functions.synthesis import acceptable
+
+    found = top_results(spark, sf_dir).groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "corpus", "id"))), lambda s: s["id"]).alias("ids"))
+    cited = F.expr("case when qid % 80 = 20 then array(cast(-1 as bigint)) when qid % 80 = 60 then cast(array() as array<bigint>) else slice(ids, 1, 2) end")
+    answer = F.struct(
+        F.lit("said").alias("answer"), (F.size("cited") > 0).__and__(F.col("qid") % 80 != 40).alias("kb_match_confirmed"), F.lit("not_confirmed").alias("operational_relevance"),
+        F.transform("cited", lambda i: F.struct(i.alias("entry_id"), F.lit("same subject").alias("match_reason"))).alias("supporting_evidence"),
+    )
+    return found.withColumn("cited", cited).withColumn("a", answer).select("qid", acceptable(F.col("a"), F.col("ids")).alias("fine"))
 
 
 @query("SELECT *, CASE WHEN (row_number() OVER (PARTITION BY label, origin ORDER BY case_id) - 1) % 3 = 2 THEN 'holdout' ELSE 'train' END AS split FROM (SELECT doc_id AS case_id, quality AS label, toxic AS origin FROM labels)")
@@ -583,14 +877,11 @@ def threshold_sweep(spark, sf_dir):
     return evals.sweep(scored(spark, sf_dir), [0.2, 0.3, 0.4, 0.5, 0.6], "relevance", ["corpus"])
 
 
-@query("""WITH t AS (SELECT item_id, regexp_extract_all(lower(strip_accents(text)), '[\\p{L}\\p{N}]+(?:[-.][\\p{L}\\p{N}]+)*') AS ws FROM benchmark)
-SELECT item_id, list_filter(list_distinct(ws), lambda x: length(x) >= 2 AND NOT list_contains(['how','what','why','when','where','which','does','is','are','do','can','the','a','an','to','of','for','with','on','in','it','this','that','we','our','i','be','as','from','and','or','have','has','did','use','us','exact','value','configured','assigned','koji','koja','koje','kako','sta','zasto','kada','gde','je','su','se','sa','za','u','na','od','do','da','li','mi','nasa','nasom','nasoj','nase','nasu','nasih'], x)).list_sort() AS terms FROM t WHERE NOT list_has_any(ws, ['kako','sta','zasto','kada','gde','je','su','nasom','nasoj','nase','koji','koja','koje'])""")
+@query(f"WITH {TERMS} SELECT item_id, coalesce(list_sort(list(term) FILTER (WHERE term IS NOT NULL)), []) AS terms FROM benchmark LEFT JOIN terms ON qid = item_id GROUP BY item_id")
 def query_terms(spark, sf_dir):
-    from .functions.text import SR_MARKERS, query_terms_udf
+    from .functions.text import query_terms_udf
 
-    t = table(spark, sf_dir, "benchmark").withColumn("ws", F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)([^\W_]+)"), F.lit(1)))
-    plain = t.where(~F.arrays_overlap("ws", F.array(*map(F.lit, sorted(SR_MARKERS)))))
-    return plain.select("item_id", F.sort_array(query_terms_udf("text")).alias("terms"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.sort_array(query_terms_udf("text")).alias("terms"))
 
 
 def engine(spark, sf_dir):
@@ -604,11 +895,36 @@ def engine_search(spark, sf_dir):
     return engine(spark, sf_dir).search(vector_queries(spark, sf_dir)).select("qid", "ref", "place", "relevance", "final_score")
 
 
-@query(f"WITH {DIST} SELECT qid, corpus, count(*) FILTER (WHERE d > 0.85) AS far, count(*) FILTER (WHERE d <= 0.85) AS near FROM dist GROUP BY ALL")
+STAGED = f"""{FINAL}, scan AS (SELECT qid, corpus, id, round(d, 4) AS distance, d FROM dist), near AS (SELECT * FROM scan WHERE d <= 0.85),
+firsts AS (SELECT qid, corpus, id, distance, row_number() OVER (PARTITION BY qid, corpus ORDER BY distance, id) AS place, 'raw' AS stage FROM scan UNION ALL SELECT qid, corpus, id, distance, row_number() OVER (PARTITION BY qid, corpus ORDER BY distance, id), 'max_distance' FROM near UNION ALL SELECT qid, corpus, id, distance, rank, 'candidate_k' FROM cand),
+lasts AS (SELECT qid, corpus, id, distance, row_number() OVER (PARTITION BY qid, corpus ORDER BY rank) AS place, 'scored' AS stage, title, relevance, final_score FROM final UNION ALL SELECT qid, corpus, id, distance, row_number() OVER (PARTITION BY qid, corpus ORDER BY final_score DESC, rank), 'reject', title, relevance, final_score FROM final WHERE relevance >= 0.25),
+n AS (SELECT qid, corpus, stage, count(*) AS count FROM (SELECT qid, corpus, stage FROM firsts UNION ALL SELECT qid, corpus, stage FROM lasts) GROUP BY ALL)"""
+
+
+@query(f"WITH {STAGED} SELECT qid, corpus, stage, count, place, id, distance, NULL AS title, NULL AS relevance, NULL AS final_score FROM firsts JOIN n USING (qid, corpus, stage) WHERE place <= 10 UNION ALL SELECT qid, corpus, stage, count, place, id, distance, substr(title, 1, 80), relevance, final_score FROM lasts JOIN n USING (qid, corpus, stage) WHERE place <= 25")
 def engine_trace(spark, sf_dir):
-    t = engine(spark, sf_dir).trace(vector_queries(spark, sf_dir))
-    far = F.coalesce(F.col("eliminated_before") == "distance", F.lit(False))
-    return t.groupBy("qid", "corpus").agg(F.count_if(far).alias("far"), F.count_if(~far).alias("near"))
+    t = engine(spark, sf_dir).stages(vector_queries(spark, sf_dir))
+    return t.select("qid", "corpus", "stage", "count", F.explode("entries").alias("e")).select("qid", "corpus", "stage", "count", "e.place", "e.id", "e.distance", "e.title", "e.relevance", "e.final_score")
+
+
+@query(f"""WITH {STAGED}, raw AS (SELECT * FROM firsts WHERE stage = 'raw'), md AS (SELECT * FROM firsts WHERE stage = 'max_distance'), rj AS (SELECT * FROM lasts WHERE stage = 'reject')
+SELECT r.qid, r.corpus, r.id, r.distance, r.place AS raw_rank, md.place AS distance_rank, f.relevance, rj.final_score, rj.place AS final_rank,
+ CASE WHEN md.place IS NULL THEN 'max_distance' WHEN md.place > 25 THEN 'candidate_k' WHEN f.relevance IS NULL THEN 'no_entry' WHEN rj.place IS NULL THEN 'reject' END AS eliminated_before
+FROM raw r LEFT JOIN md ON md.qid = r.qid AND md.corpus = r.corpus AND md.id = r.id LEFT JOIN final f ON f.qid = r.qid AND f.corpus = r.corpus AND f.id = r.id LEFT JOIN rj ON rj.qid = r.qid AND rj.corpus = r.corpus AND rj.id = r.id WHERE r.id % 25 = 0""")
+def engine_watch(spark, sf_dir):
+    """Where watched entries are in every search."""
+    watch = entries(spark, sf_dir).where("id % 25 = 0").select("corpus", "id")
+    return engine(spark, sf_dir).watched(vector_queries(spark, sf_dir), watch)
+
+
+@query(f"""WITH {TOP}, m AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final_score DESC, CASE corpus WHEN 'homelab' THEN 0 ELSE 1 END, place) AS merged FROM top)
+SELECT q.id AS qid, 'both' AS selected_scope, 'explicit_scope' AS routing_reason, count(m.id) AS total_count, count(m.id) FILTER (WHERE corpus = 'homelab') AS homelab, count(m.id) FILTER (WHERE corpus = 'ai') AS ai, coalesce(string_agg(corpus || ':' || m.id, ' ' ORDER BY merged), '') AS ranked, 0 AS lexical_candidates
+FROM (SELECT id FROM vec WHERE id % 20 = 0) q LEFT JOIN m ON m.qid = q.id GROUP BY q.id""")
+def engine_respond(spark, sf_dir):
+    from .plans.search import Request
+
+    r = engine(spark, sf_dir).respond(vector_queries(spark, sf_dir), Request("any"))
+    return r.select("qid", "selected_scope", "routing_reason", "total_count", F.col("homelab.count").alias("homelab"), F.col("ai.count").alias("ai"), F.array_join("ranked", " ").alias("ranked"), "lexical_candidates")
 
 
 @query()
@@ -639,16 +955,7 @@ def passage_select(spark, sf_dir):
     return found.select("qid", "corpus", "id", passage_udf("query", "content").alias("passage"))
 
 
-@query()
-def newer_notes(spark, sf_dir):
-    from .operators.relations import detect
-
-    e = entries(spark, sf_dir)
-    named = e.withColumn("title", F.when(F.col("id") % 10 == 3, F.concat(F.lit("This updates "), "corpus", F.lit(":"), F.col("id") + 3)).otherwise(F.col("title")))
-    return detect(named.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss")))
-
-
-@query()
+@query(f"WITH {TOKENS} SELECT term, count(*) AS count FROM tok WHERE col = 2 GROUP BY term")
 def stemmed_frequency(spark, sf_dir):
     from .functions.text import stemmed_tokens_udf
 

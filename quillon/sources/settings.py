@@ -66,3 +66,27 @@ def load_rules(text: str) -> tuple[tuple[Rule, ...], frozenset]:
         rules.append(Rule(p["name"], p["regex"], p["action"], p.get("capture_group", 0), p.get("placeholder", "<REDACTED>"), p.get("min_len", 0), p.get("min_entropy", 0.0)))
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return tuple(rules), frozenset(v.strip(" \t\r\n").translate(lower) for v in data.get("allowlist", []))
+
+
+def switch(raw: str | None) -> bool:
+    """A setting that is on or off: exactly true or false, off if there is none."""
+    if raw is None:
+        return False
+    word = raw.strip().lower()
+    if word not in ("true", "false"):
+        raise ValueError(f"{raw!r} is neither true nor false")
+    return word == "true"
+
+
+#: The settings that move the engine away from its usual places; all of them or none.
+ISOLATION = ("base", "raw", "entries", "vectors", "edges", "lexical", "log", "rules")
+
+
+def isolated(overrides: dict[str, str | None]) -> dict[str, str] | None:
+    """Other places for all that the engine reads and writes; an error if only some are given, none if none are."""
+    given = {k: v for k, v in overrides.items() if v}
+    if unknown := sorted(set(given) - set(ISOLATION)):
+        raise ValueError(f"unknown places {unknown}")
+    if given and len(given) < len(ISOLATION):
+        raise ValueError(f"places are missing: {sorted(set(ISOLATION) - set(given))}")
+    return given or None

@@ -2,17 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A folder for checkpoints and outputs: in the shared checkpoint folder, a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/quillon-stream-{name}-{os.urandom(6).hex()}"
+from ..operators import querylog
+from ..workspace import new_folder
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:
@@ -20,13 +14,31 @@ def read_notes(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(path).select(F.col("_metadata.file_path").alias("raw_path"), F.col("value").alias("content"))
 
 
-def upsert_batches(stream: DataFrame, target: str, key: list[str], checkpoint: str):
+def pace(seconds: int | None) -> dict:
+    """A trigger: every so many seconds (changes in between are one batch), or once for all that is there."""
+    return {"processingTime": f"{seconds} seconds"} if seconds else {"availableNow": True}
+
+
+def log_queries(stream: DataFrame, target: str, checkpoint: str, seconds: int | None = None):
+    """Query records (querylog.FIELDS and ts) checked, redacted and appended by day; faulty ones go beside them, without
+    their texts. The checkpoint makes each record count once, also when a batch is run again."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        rows = querylog.checked(batch).select(F.to_date("ts").alias("day"), "line", "fault").persist()
+        rows.where("line is not null").select("day", "line").write.mode("overwrite").partitionBy("day").parquet(f"{target}/records/batch={number}")
+        rows.where("fault is not null").groupBy("day", "fault").count().write.mode("overwrite").parquet(f"{target}/faults/batch={number}")
+        rows.unpersist()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**pace(seconds)).start()
+
+
+def upsert_batches(stream: DataFrame, target: str, key: list[str], checkpoint: str, seconds: int | None = None):
     """Write each batch as its own version folder; replaying a batch overwrites its folder, so nothing is counted twice."""
 
     def write(batch: DataFrame, version: int) -> None:
         batch.dropDuplicates(key).write.mode("overwrite").parquet(f"{target}/version={version}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**pace(seconds)).start()
 
 
 def current(spark: SparkSession, target: str, key: list[str]) -> DataFrame:
@@ -51,7 +63,7 @@ def ingest_available(spark: SparkSession, path: str) -> DataFrame:
     schema = spark.read.parquet(path).schema
     folder, name = path.rsplit("/", 1)
     stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    target = scratch(spark, "log")
-    query = append_log(stream, target, scratch(spark, "checkpoint"))
+    target = new_folder(spark, "log")
+    query = append_log(stream, target, new_folder(spark, "checkpoint"))
     query.awaitTermination()
     return spark.read.parquet(target).groupBy("day", "event_type").agg(F.count("*").alias("n"))

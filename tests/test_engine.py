@@ -26,7 +26,7 @@ def test_scopes():
 
 def engine(spark, newer=None):
     rows = [("homelab", 1, "Docker networking", "bridge and ports", "docker", "2026-01-01"), ("homelab", 2, "[SUPERSEDED] WireGuard", "peers", "vpn", "2026-01-01"), ("ai", 3, " ", "plex transcoding", "https://x.org/a", "2020-01-01"), ("homelab", 4, "Plex nexus", "transcoding plex", "", "2026-01-01")]
-    e = spark.createDataFrame(rows, "corpus string, id long, title string, content string, tags string, created_at string").withColumn("created_at", F.to_timestamp("created_at"))
+    e = spark.createDataFrame(rows, "corpus string, id long, title string, content string, tags string, created_at string").withColumn("created_at", F.to_timestamp("created_at")).withColumn("summary", F.lit(""))
     v = spark.createDataFrame([(1, "homelab", [1.0, 0.0]), (2, "homelab", [0.95, 0.3122]), (3, "ai", [0.8, 0.6]), (9, "homelab", [1.0, 0.0])], "id long, corpus string, x array<double>")
     return SearchEngine(e, v, EngineConfig(), newer)
 
@@ -41,7 +41,8 @@ def test_search_end_to_end(spark):
     assert [n.src_id for n in got["homelab:1"].newer] == [77]  # the other one is a result itself
     route = engine(spark).route(q.drop("text")).first()
     assert (route.scope, route.reason) == ("both", "both_strong")
-    trace = {r.id: r.eliminated_before for r in engine(spark).trace(q).collect()}
+    watch = spark.createDataFrame([("homelab", 1), ("homelab", 2), ("ai", 3), ("homelab", 9)], "corpus string, id long")
+    trace = {r.id: r.eliminated_before for r in engine(spark).watched(q, watch).collect()}
     assert trace == {1: None, 2: None, 3: None, 9: "no_entry"}
     assert engine(spark).evidence(q.drop("text"), 0.42).count() == 1
     assert engine(spark).trace_dual(q.drop("text"), spark.createDataFrame([(1, [0.0, 1.0])], "qid long, qx array<double>")).count() == 0

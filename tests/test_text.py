@@ -15,8 +15,14 @@ def test_query_terms(query, terms):
     assert T.query_terms(query) == terms
 
 
+def match_expression(terms):
+    """What FTS5 is asked for: any of the terms, some as beginnings."""
+    return " OR ".join(f'"{t}"' + "*" * T.is_prefix(t) for t in terms)
+
+
 def test_match_expression():
-    assert T.match_expression(["plex", "pi-hole", "dns"]) == '"plex"* OR "pi-hole" OR "dns"'
+    assert match_expression(["plex", "pi-hole", "dns"]) == '"plex"* OR "pi-hole" OR "dns"'
+    assert T.query_phrases("the networks, pi-hole and dns") == [(["network"], True), (["pi", "hole"], False), (["dn"], False)]
 
 
 def test_porter_equals_sqlite():
@@ -43,23 +49,55 @@ def test_passage_holds_the_rare_term():
 
 
 @pytest.mark.parametrize("title, want", [
-    ("This updates homelab:963", [("homelab", 963, "updates")]),
+    ("This updates homelab:963", [("homelab", 963, "updates", "ref")]),
     ("This no longer mentions homelab:963", []),
     ("not updates homelab:963", []),
-    ("corrects #5 and #7", [("homelab", 5, "corrects"), ("homelab", 7, "corrects")]),
-    ("replaces KB 413", [("homelab", 413, "replaces")]),
+    ("corrects #5 and #7", [("homelab", 5, "corrects", "hash"), ("homelab", 7, "corrects", "hash")]),
+    ("corrects #6", []),
+    ("replaces KB 413", [("homelab", 413, "replaces", "label")]),
+    ("replaces KB 414", []),
     ("replaces KB 99", []),
-    ("updates one two three four five six homelab:3", [("homelab", 3, "updates")]),
+    ("updates one two three four five six homelab:3", [("homelab", 3, "updates", "ref")]),
     ("updates one two three four five six seven homelab:3", []),
     ("It updates things. See homelab:3", []),
-    ("ispravlja ai:12", [("ai", 12, "corrects")]),
+    ("ispravlja ai:12", [("ai", 12, "corrects", "ref")]),
+    # a bare number is of the note's own corpus, and known
+    ("updates ai:882 and 529", [("ai", 882, "updates", "ref"), ("homelab", 529, "updates", "bare")]),
+    ("updates homelab:3 and 4", [("homelab", 3, "updates", "ref")]),
+    ("corrects #36403 and 529", []),
+    ("updates homelab:3 or 5 & 7", [("homelab", 3, "updates", "ref"), ("homelab", 5, "updates", "bare"), ("homelab", 7, "updates", "bare")]),
+    ("updates section 5 and 7", []),
+    # every reference has a verb of its own near enough
+    ("updates homelab:3 one two three four five and six #5", [("homelab", 3, "updates", "ref")]),
+    ("updates homelab:3 and corrects ai:9", [("homelab", 3, "updates", "ref"), ("ai", 9, "corrects", "ref")]),
+    ("updates homelab:992 and homelab:3", [("homelab", 3, "updates", "ref")]),
+    ("first\nupdates homelab:3", []),
+    ("this corrects: homelab:3, which updates homelab:3", [("homelab", 3, "corrects", "ref")]),
 ])
 def test_change_relations(title, want):
-    known = {("homelab", n) for n in (3, 5, 7, 413, 963)}
-    got = [(r["dst_corpus"], r["dst_id"], r["relation"]) for r in T.change_relations("homelab", 992, title, "", known)]
+    known = {3, 5, 7, 413, 529, 963}
+    got = [(r["dst_corpus"], r["dst_id"], r["relation"], r["form"]) for r in T.change_relations("homelab", 992, title, "", known)]
     assert got == want
 
 
+def test_title_goes_before_the_opening():
+    got = T.change_relations("ai", 1, "extends ai:2", "corrects ai:2 and updates ai:3\n\nreplaces ai:4", set())
+    assert [(r["dst_id"], r["relation"], r["where"]) for r in got] == [(2, "extends", "title"), (3, "updates", "content")]
+    assert T.change_relations("ai", 1, "", "\nupdates ai:3", set()) == []  # a blank first line
+
+
+@pytest.mark.parametrize("content, title, want", [
+    ("", "t", ""),
+    ("\n\n# The Title\n\nTags: a, b\nfirst  line\nsecond\n \nother", "the title", "first line second"),
+    ("Tags: a\n\nbody", "t", "body"),
+    ("body\nTags: a", "t", "body Tags: a"),
+    ("word " * 100, "t", "word " * 59 + "word …"),
+    ("x" * 301, "t", "x" * 300 + " …"),
+])
+def test_preview(content, title, want):
+    assert T.preview(content, title) == want
+
+
 def test_redaction():
     assert T.redact("password: hunter2 extra words") == ("password: <REDACTED> extra words", ["password"])
     assert T.redact("password: <REDACTED> x")[0] == "password: <REDACTED> x"
@@ -76,3 +114,63 @@ def test_cuts():
     assert T.paragraph_cut(body) == "p" * 1300 + " …"
     assert T.content_head("\nfirst") == "" and T.content_head("a\nb\n\nc") == "a\nb"
     assert T.preview("# Title\nTags: x\nBody text here", "Title") == "Body text here"
+
+
+def test_lexical_lane_equals_sqlite(spark):
+    """Candidates and scores of random notes and queries against SQLite's own index of the same words."""
+    import random
+
+    from quillon.config import EngineConfig
+    from quillon.operators import lexical
+
+    rng = random.Random(7)
+    stems = "network networks networking pi hole pi-hole Größe grosse café cafes key keys transcoding transcodings transcoder dns host hosting hosted relation relational x1 v2.5 über container the and servera serverima mreza naïve".split()
+    text = lambda n: " ".join(rng.choice(stems) + rng.choice(["", "", ".", ",", "_a", "-b"]) for _ in range(rng.randint(0, n)))
+    entries = [("homelab" if k % 3 else "ai", k, text(4), text(3) if k % 2 else None, text(30)) for k in range(120)] + [("ai", 900, "", None, "")]
+    queries = [(k, text(6)) for k in range(40)] + [(90, "kako da serverima"), (91, "the of"), (92, "pi-hole network_bridge"), (93, "relati keys")]
+    df = spark.createDataFrame(entries, "corpus string, id long, title string, summary string, content string")
+    index = lexical.postings(df, EngineConfig())
+    got = {(r.qid, r.corpus, r.id): (r.score, r["rank"]) for r in lexical.bm25(index, spark.createDataFrame(queries, "qid long, text string"), EngineConfig()).collect()}
+    want = {}
+    for corpus in ("homelab", "ai"):
+        con = sqlite3.connect(":memory:")
+        con.execute("CREATE VIRTUAL TABLE e USING fts5(id UNINDEXED, title, summary, content, tokenize='porter unicode61 remove_diacritics 2')")
+        con.executemany("INSERT INTO e VALUES (?, ?, ?, ?)", [r[1:] for r in entries if r[0] == corpus])
+        for qid, q in queries:
+            expression = match_expression(T.query_terms(q))
+            if expression:
+                rows = con.execute("SELECT id, bm25(e, 0, 3, 2, 1) FROM e WHERE e MATCH ?", (expression,)).fetchall()
+                rows = sorted((round(score, 4) + 0.0, i) for i, score in rows)[:100]
+                want |= {(qid, corpus, i): (score, k + 1) for k, (score, i) in enumerate(rows)}
+    assert len(want) > 1000 and got.keys() == want.keys()
+    assert all(abs(got[k][0] - want[k][0]) < 2e-4 for k in want)
+    near = sum(got[k][1] == want[k][1] for k in want)
+    assert near > 0.98 * len(want)  # equal but for scores at the edge of the rounding
+
+
+def test_lexical_index_follows_its_source(spark, tmp_path):
+    from quillon.config import EngineConfig
+    from quillon.operators.lexical import LexicalIndex
+
+    rows, now = [("ai", 1, "network", None, "bridge")], [0.0]
+
+    def source():
+        if rows is None:
+            raise OSError("gone")
+        return spark.createDataFrame(rows, "corpus string, id long, title string, summary string, content string")
+
+    index = LexicalIndex(spark, str(tmp_path / "index"), source, EngineConfig(), clock=lambda: now[0])
+    q = spark.createDataFrame([(1, "bridges")], "qid long, text string")
+    found = lambda: [r.id for r in index.lookup(q)[0].orderBy("id").collect()]
+    assert index.lookup(q)[1] == "lexical index unusable" and found() == []
+    assert index.refresh() is None and found() == [1]
+    first = index.version
+    rows.append(("ai", 2, "the bridge", None, ""))
+    assert index.refresh() is None and index.version == first and found() == [1]  # looked at once in 30 seconds
+    now[0] = 31
+    assert index.refresh() is None and index.version != first and found() == [1, 2]
+    second, rows, now[0] = index.version, None, 62
+    assert index.refresh() == "source fingerprint failed (OSError)" and index.version == second and found() == [1, 2]
+    rows, now[0] = [("ai", 1, "network", None, "bridge")], 93
+    index.path = "/proc/no/such/folder"  # can't be written
+    assert index.refresh().startswith("index rebuild failed") and index.version == second
