@@ -66,7 +66,7 @@ def _summed(vectors: DataFrame, make, size: int, tasks: int = 32) -> np.ndarray:
     return sum(np.frombuffer(r.s, float) for r in parts.select("k", "s").groupBy("k").applyInArrow(add, "s binary").collect())
 
 
-def scaling_weights(vectors: DataFrame, block: int = 8, rounds: int = 100, settled: float = 1e-11) -> tuple[np.ndarray, np.ndarray]:
+def scaling_weights(vectors: DataFrame, block: int = 16, rounds: int = 100, settled: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
     """Weights w and offset so that phi(x) w - offset are the classical scaling's coordinates of x in the plane.
 
     The squared cosine distances of vectors of length one are 1 - 2 x.y + (x.y)^2, a product of features of x and of y. So
