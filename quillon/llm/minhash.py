@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, partitions
+from .common import Scratch, by_bytes, connected_components, partitions
 
 #: Retained values of a sketch, and how many of the smallest make keys of the inverted lists.
 SKETCH, KEYED = 64, 48
 #: Keys of the smallest values that round r of the passes with pivots uses; members of a list in one block.
 ROUND_KEYS, BLOCK = (10,), 256
 SMALL_SET = 12
+#: The chance that the estimate drops a pair of the threshold's similarity.
+RARE = 1e-7
 P1, P2, P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -64,9 +68,17 @@ class Jaccard:
         self.floor = self.lowest(SKETCH)
 
     def lowest(self, k: int) -> float:
-        """Estimates from k values that are lower would be 4.5 deviations off."""
-        t = self.num / self.den
-        return max(0.0, t - 4.5 * (t * (1 - t) / k) ** 0.5)
+        """The lowest estimate from k values that sets of the threshold's similarity have but for a chance of RARE.
+
+        Of the k smallest values of a union, the number that both sets hold is hypergeometric, with no longer a tail than
+        the binomial one that is added up here.
+        """
+        t, below = self.num / self.den, 0.0
+        for n in range(k + 1):
+            below += comb(k, n) * t**n * (1 - t) ** (k - n)
+            if below > RARE:
+                return n / k
+        return 1.0
 
     def sizes_allow(self, a: str, b: str):
         return F.expr(f"{self.den} * least({a}, {b}) >= {self.num} * greatest({a}, {b})")
@@ -77,6 +89,7 @@ class Jaccard:
 
 
 def _sketches(docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
+    @by_bytes(1)
     def run(batches):
         for batch in batches:
             n, sig, sketch = [], [], []
@@ -129,6 +142,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, rule: Jaccard) -> DataFrame
 def _whole_sets(scratch: Scratch, wanted: DataFrame, docs: DataFrame, width: int, key: str, text: str) -> DataFrame:
     """cid and the whole shingle set, made again from the text of one document, of the classes ``wanted`` (cid, id, sig)."""
 
+    @by_bytes(2)
     def run(batches):
         for batch in batches:
             sets = [shingle_hashes(t, width) for t in batch.column(2).to_pylist()]
@@ -171,13 +185,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 80, den: int = 1
     2. Inverted lists by keys of the smallest retained values. In rounds, each list's members are compared with one
        pivot, and what is linked becomes one component; lists of one component are done. In lists that still hold
        several, members of different components are compared with each other, in blocks: nothing is capped.
-    3. Union-sketch estimates drop pairs that are 4.5 deviations below the threshold, the others are verified on whole
-       sets, so no link is wrong; a link between different sets escapes with a chance below one in a million.
+    3. Union-sketch estimates drop pairs that the threshold's similarity would give with a chance below 1e-7, the others
+       are verified on whole sets, so no link is wrong. A link between different sets escapes with a chance below 2e-7: its
+       48 smallest values would have to hold no three neighbours that both sets have (3e-8 at a similarity of 0.8).
 
     Returns key, n_shingles long, component_id (smallest key reachable, itself included), kept boolean (it is its own
     component_id), one row for each input row. Without words: no shingles, linked with nothing, kept. A null key can't be
     a component_id; such a row takes its class's one, and links to its own class only. Equal rows give equal rows; a key
-    with several texts is in several classes.
+    with several texts is in several classes. An empty table gives an empty table; of other columns, whatever their names,
+    nothing is read; texts are whole, however long.
     """
     spark, scratch, rule = docs.sparkSession, Scratch(docs.sparkSession), Jaccard(num, den)
     rows = scratch.table(_sketches(docs, width, key, text))
@@ -331,7 +347,8 @@ def _allowed(x: pa.StructArray, y: pa.StructArray, same: bool, rule: Jaccard):
 def keep_one(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates: of each group the document of the smallest key.
 
-    Of rows that repeat a kept key one stays. Rows of a null key stay unless their words are another document's.
+    Of rows that repeat a kept key one stays. Rows of a null key stay unless their words are another document's. Texts
+    without words stay; an empty table gives an empty table; columns of any names pass.
     """
     scratch = Scratch(docs.sparkSession)
     ids = scratch.table(near_duplicates(docs, width, num, den, key, text).where("kept").select(key))
