@@ -158,8 +158,15 @@ def neighbour_graph(scratch: Scratch, nodes: DataFrame, k: int, rounds: int = 6,
         back = graph.groupBy(F.col("u").alias("v"), spread).agg(F.max(F.struct("new", F.xxhash64("v", F.lit(turn)), F.col("v").alias("u"))).alias("b")).select("v", "b.u", "b.new")
         around = ahead.union(back).union(nodes.select("v", F.col("v").alias("u"), F.lit(0).alias("new")))
         around = around.groupBy("v", "u").agg(F.max("new").alias("new"))
-        with_x = around.join(nodes.select(F.col("v").alias("u"), "x"), "u")
-        lists = with_x.groupBy("v").agg(F.collect_list(F.struct("u", "new", "x")).alias("m")).select("m")
+        # a full list takes nothing beyond its last distance, so joins don't report it; saturated lists still grow
+        most_here = F.lit(k) if near is None else F.col("k")
+        lists_now = graph if near is None else graph.join(sizes, "v")
+        last_of = lists_now.groupBy("v").agg(F.count("*").alias("n"), F.max("d").alias("far"), F.max(most_here).alias("k"))
+        full = F.col("n") >= F.col("k") if near is None else (F.col("n") >= F.col("k")) & (F.col("far") > near)
+        bound = last_of.select("v", F.when(full, F.col("far")).otherwise(float("inf")).alias("far"))
+        members = nodes.select("v", "x").join(bound, "v", "left").select(F.col("v").alias("u"), "x", F.coalesce("far", F.lit(float("inf"))).alias("far"))
+        with_x = around.join(members, "u")
+        lists = with_x.groupBy("v").agg(F.collect_list(F.struct("u", "new", "x", "far")).alias("m")).select("m")
         found = lists.mapInArrow(_local_join(kind, report), "v long, u long, d double").withColumn("new", F.lit(1))
         old = graph_at.select("v", "u", "d", F.when(F.col("turn") <= sample, 0).otherwise(F.col("new")).alias("new"))
         pairs = old.union(found)
@@ -181,12 +188,13 @@ def neighbour_graph(scratch: Scratch, nodes: DataFrame, k: int, rounds: int = 6,
 
 
 def _local_join(kind: str, report: int):
-    """Distances between all members of each list, of which one at least is new; the best few of each member."""
+    """Distances between all members of each list, of which one at least is new; of each member the best few that are
+    below its own bound."""
 
     def run(batches):
         for batch in batches:
             offsets, m = batch.column(0).offsets.to_numpy(), batch.column(0).values
-            u, new, x = m.field("u").to_numpy(), m.field("new").to_numpy(), m.field("x").to_pylist()
+            u, new, x, far = m.field("u").to_numpy(), m.field("new").to_numpy(), m.field("x").to_pylist(), m.field("far").to_numpy()
             out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
             for lo, hi in zip(offsets, offsets[1:]):
                 if hi - lo < 2:
@@ -194,6 +202,7 @@ def _local_join(kind: str, report: int):
                 a = np.frombuffer(b"".join(x[lo:hi]), kind).reshape(hi - lo, -1).astype(np.float64)
                 d = square_distances(a, a)
                 d[(new[lo:hi, None] | new[lo:hi]) == 0] = np.inf
+                d[d >= far[lo:hi, None]] = np.inf
                 np.fill_diagonal(d, np.inf)
                 n = min(report, hi - lo - 1)
                 best = np.argpartition(d, n - 1, axis=1)[:, :n]
@@ -307,7 +316,8 @@ def nearest_neighbours(rows: DataFrame, queries: DataFrame, k: int = 10, key: st
     graph; the search starts at the query's own node. Ties go to the smaller key. Equal vectors are one node; of its keys
     the k + 1 smallest are kept, more can't be in a result. Repeated keys: a row for each different vector is a candidate,
     once. Null, empty, zero vectors and those with null or non-finite components take no part; with fewer candidates
-    than ``k`` all are returned.
+    than ``k`` all are returned; an empty table, or no valid query, gives an empty table. Of other columns, whatever their
+    names, nothing is read.
 
     A sample of the queries is compared with all nodes. Unless its recall is at least ``wanted`` with 95 % confidence, the
     graph is made anew from twice the orders with longer lists, and searched with twice the beam; after two graphs all
@@ -372,7 +382,9 @@ def _meeting_parts(scratch: Scratch, nodes: DataFrame, parts: DataFrame, saturat
                 i, j = np.nonzero(np.triu(meet, 1) if same[k] else meet)
                 yield pa.RecordBatch.from_arrays([pa.array([grp[k]] * len(i), pa.string()), p.field("root").take(pa.array(i)), q.field("root").take(pa.array(j))], names=["grp", "r1", "r2"])
 
-    met = side("1").join(side("2"), "grp").where("b1 <= b2").select("grp", "s1", "s2", (F.col("b1") == F.col("b2")).alias("same"))
+    own = sizes.select("grp", F.explode(F.expr(f"sequence(0, n div {BLOCK})")).alias("b1"), F.expr(f"n div {BLOCK}").alias("last"))
+    pairs = own.select("grp", "b1", F.explode(F.expr("sequence(b1, last)")).alias("b2"))
+    met = pairs.join(side("1"), ["grp", "b1"]).join(side("2"), ["grp", "b2"]).select("grp", "s1", "s2", (F.col("b1") == F.col("b2")).alias("same"))
     return scratch.table(met.mapInArrow(near, "grp string, r1 long, r2 long"))
 
 
@@ -383,10 +395,10 @@ def _pairs_in_blocks(scratch: Scratch, nodes: DataFrame, parts: DataFrame, least
     between the two parts of each row of ``meeting`` (grp, r1, r2) are found as well.
     """
     placed = parts.join(nodes, "v")
-    sizes = placed.groupBy("grp", "root").agg(F.count("*").alias("n"))
+    sizes = scratch.table(placed.groupBy("grp", "root").agg(F.count("*").alias("n")))
     deal = placed.join(sizes, ["grp", "root"]).withColumn("b", F.expr(f"pmod(xxhash64(v), n div {BLOCK} + 1)"))
     blocks = scratch.table(deal.groupBy("grp", "root", "b").agg(F.collect_list(F.struct("v", "m", "x")).alias("s")))
-    side = lambda c: blocks.select("grp", "root", F.col("b").alias(f"b{c}"), F.col("s").alias(f"s{c}"))
+    side = lambda c: blocks.select("grp", F.col("root").alias(f"r{c}"), F.col("b").alias(f"b{c}"), F.col("s").alias(f"s{c}"))
 
     def run(batches):
         for batch in batches:
@@ -420,11 +432,16 @@ def _pairs_in_blocks(scratch: Scratch, nodes: DataFrame, parts: DataFrame, least
                 has = np.arange(len(v)) >= len(v) - len(edges)
                 yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n.astype(np.int64)), pa.array(to.astype(np.int64), mask=~has)], names=["v", "n", "u"])
 
-    met = side("1").join(side("2"), ["grp", "root"]).where("b1 <= b2").select("s1", "s2", (F.col("b1") == F.col("b2")).alias("same"))
+    # which blocks meet is dealt out first, so that the blocks of a large part go to many tasks
+    counts = sizes.select("grp", "root", F.expr(f"n div {BLOCK}").alias("last"))
+    own = counts.select("grp", F.col("root").alias("r1"), F.col("root").alias("r2"), F.explode(F.expr("sequence(0, last)")).alias("b1"), "last")
+    pairs = own.select("grp", "r1", "b1", "r2", F.explode(F.expr("sequence(b1, last)")).alias("b2"))
     if meeting is not None:
-        across = meeting.join(blocks.select("grp", F.col("root").alias("r1"), F.col("s").alias("s1")), ["grp", "r1"])
-        across = across.join(blocks.select("grp", F.col("root").alias("r2"), F.col("s").alias("s2")), ["grp", "r2"])
-        met = met.union(across.select("s1", "s2", F.lit(False)))
+        of = lambda c: counts.select("grp", F.col("root").alias(f"r{c}"), F.col("last").alias(f"l{c}"))
+        across = meeting.join(of(1), ["grp", "r1"]).join(of(2), ["grp", "r2"])
+        across = across.select("grp", "r1", F.explode(F.expr("sequence(0, l1)")).alias("b1"), "r2", "l2").select("grp", "r1", "b1", "r2", F.explode(F.expr("sequence(0, l2)")).alias("b2"))
+        pairs = pairs.union(across)
+    met = pairs.join(side("1"), ["grp", "r1", "b1"]).join(side("2"), ["grp", "r2", "b2"]).select("s1", "s2", F.expr("r1 = r2 and b1 = b2").alias("same"))
     out = scratch.table(met.mapInArrow(run, "v long, n long, u long"))
     return out.where("u is null").groupBy("v").agg(F.sum("n").alias("links")), out.where("u is not null").select(F.col("v").alias("a"), F.col("u").alias("b"))
 
@@ -511,7 +528,8 @@ def near_duplicate_vectors(rows: DataFrame, least: float = 0.98, key: str = "vec
     Equal vectors of a group are one node with a number of copies, which link with each other. Vectors that are null, empty,
     zero, or hold null or non-finite components, and rows of a null group link with nothing: n_links 0, their own
     component_id, kept. Repeated rows count once and give equal rows; a key with several vectors gives several rows.
-    A row of a null key has component_id null and is kept.
+    A row of a null key has component_id null and is kept; an empty table gives an empty table. Of other columns, whatever
+    their names, nothing is read.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark)
