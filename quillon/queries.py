@@ -45,8 +45,9 @@ def sql_list(values) -> str:
 def porter_sql(source: str) -> str:
     """CTEs that stem the words of ``source`` (column word) step by step; the last, ``stems``, has word and stem."""
     c, v = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
-    some, one, two = f"^({c})?{v}{c}", f"^({c})?{v}{c}({v})?$", f"^({c})?{v}{c}{v}{c}"
-    vowel, short = f"^({c})?[aeiouy]", f"^{c}[aeiouy][^aeiouwxy]$"
+    first = f"^({c}[aeiouy]|[aeiou])"  # up to the first vowel, which a leading y is not
+    some, one, two = f"{first}[aeiou]*{c}", f"{first}[aeiou]*{c}({v})?$", f"{first}[aeiou]*{c}{v}{c}"
+    vowel, short = first, f"^{c}[aeiouy][^aeiouwxy]$"
     cut = lambda n, new="": f"s[:length(s) - {n}]" + (f" || '{new}'" if new else "")
     has = lambda what, n: f"regexp_matches(s[:length(s) - {n}], '{what}')"
     ends = lambda e: f"ends_with(s, '{e}')"

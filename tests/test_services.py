@@ -28,7 +28,8 @@ def test_library_without_llm(tmp_path, without):
     gone = shutil.ignore_patterns("llm", "__pycache__", ".git", "corpus_pipeline.py") if without == "folders" else shutil.ignore_patterns("__pycache__", ".git", "corpus_pipeline.py")
     shutil.copytree(HERE, copy, ignore=gone)
     code = "import __spark_entry__ as e; q = sorted(e.queries()); assert set(e.oracle_sql()) <= set(q); print(len(q), any(n.startswith('op1_') for n in q), 'pipeline' in q)"
-    got = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}  # else the whole repository could be found there
+    got = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True, timeout=120)
     n, llm, pipeline = got.stdout.split()
     assert int(n) > 80 and pipeline == "False" and llm == str(os.path.isdir(copy / "quillon" / "llm")), got.stderr
 

@@ -173,4 +173,17 @@ def test_lexical_index_follows_its_source(spark, tmp_path):
     assert index.refresh() == "source fingerprint failed (OSError)" and index.version == second and found() == [1, 2]
     rows, now[0] = [("ai", 1, "network", None, "bridge")], 93
     index.path = "/proc/no/such/folder"  # can't be written
-    assert index.refresh().startswith("index rebuild failed") and index.version == second
+    assert index.refresh().startswith("lexical index rebuild failed") and index.version == second
+
+
+def test_stems_as_sql():
+    """The SQL of the registered queries stems as the library does, words with a leading y among them."""
+    import duckdb
+
+    from quillon.functions.text import porter
+    from quillon.queries import porter_sql
+
+    listed = "ynjall yells yelling yes yearly yield yielded yyes yoking yammered say saying syzygy eye toying sky skies agreed feed plastered motoring conflated hopping falling failing filing relational rational valenci vileness triplicate formative controll roll probate cease y yy".split()
+    values = ", ".join(f"('{w}')" for w in listed)
+    got = dict(duckdb.sql(f"WITH w(word) AS (VALUES {values}), {porter_sql('w')} SELECT word, stem FROM stems").fetchall())
+    assert got == {w: porter(w) for w in listed}
