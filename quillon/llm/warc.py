@@ -62,7 +62,7 @@ def directory(read, size: int) -> dict[str, Member]:
     """
     back = min(size, 22 + 0xFFFF)
     tail = read(size - back, back)
-    at = tail.rfind(END)
+    at = tail.rfind(END, 0, max(0, back - 18))
     while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
         at = tail.rfind(END, 0, at)
     if at < 0:

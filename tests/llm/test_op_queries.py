@@ -161,3 +161,32 @@ def test_op10(spark, docs):
 def test_all_eleven_are_registered():
     numbers = Counter(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES)
     assert numbers == Counter(range(1, 11))
+
+
+def test_op11(spark, docs):
+    from test_middles import plain
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = run(spark, "op11_fill_in_middle")
+    want = {i: (plain(i, t), sha(t or "")) for i, t in zip(docs.doc_id, docs.text)}
+    assert sorted(got.doc_id) == sorted(docs.doc_id) and got.form.nunique() == 3
+    for r in got.itertuples():
+        (n, form, prefix, middle, output), whole = want[r.doc_id]
+        chars = (None, None) if form == "plain" else (r.prefix_chars, r.middle_chars)
+        assert (r.n, r.form, chars, r.output_sha256, r.restored_sha256) == (n, form, (prefix, middle), sha(output), whole)
+
+
+def test_op12(spark):
+    from test_warc import plain
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()
+    got = QUERIES["op12_warc_archives"](spark, SF).collect()
+    want = [(page, size, digest, kind, refers) for page, _, kind, size, digest, refers, _ in plain(pages)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_op13(spark, docs):
+    from test_phrases import brute as collocated
+
+    got = QUERIES["op13_collocations"](spark, SF).collect()
+    assert sorted(map(tuple, got)) == collocated(list(zip(docs.lang, docs.text)))
