@@ -237,11 +237,12 @@ def _ranges(read, size: int):
         yield start + entry["offset"], entry["length"]
 
 
-def read_archives(archives: DataFrame, path: str, run_bytes: int = 4 << 20, key: str = "page_id") -> DataFrame:
-    """The records of packages (file): key, url, record_type, payload_bytes, payload_digest, refers_to and payload.
+def read_archives(archives: DataFrame, path: str, run_bytes: int = 4 << 20, task_bytes: int = 16 << 20, key: str = "page_id") -> DataFrame:
+    """The records of packages (file, bytes): key, url, record_type, payload_bytes, payload_digest, refers_to and payload.
 
     First the packages' directories and indexes are read and records that stand together are dealt out as runs of about
-    ``run_bytes``; then each run is one range read, in any task. Payloads of responses are checked against their digests;
+    ``run_bytes``; then each run is one range read, in any task, of which there are so many that one gets about
+    ``task_bytes``: the rows of runs are small and tell nothing of their records. Payloads of responses are checked against their digests;
     a revisit has no payload, its length is the one that its HTTP header tells. Nothing is extracted to a disk. An empty
     table of packages gives an empty table.
     """
@@ -277,7 +278,8 @@ def read_archives(archives: DataFrame, path: str, run_bytes: int = 4 << 20, key:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=[key, "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"])
 
     runs = archives.select("file").mapInArrow(listed, "file string, start long, lengths array<long>")
-    dealt = runs.repartition(F.col("file"), F.col("start"))
+    tasks = (archives.agg(F.sum("bytes")).first()[0] or 0) // task_bytes + 1
+    dealt = runs.repartition(tasks, "file", "start")
     return dealt.mapInArrow(run, f"`{key}` long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
 
 
