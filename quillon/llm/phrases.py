@@ -24,8 +24,8 @@ ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BLOCK = 4 << 20
 #: Bytes from which a word's hash is that of the whole word at once.
 LONG = 64
-#: Words in an automaton, and distinct words counted, before a task sends what it has.
-SHARD_WORDS, COUNTED = 200_000, 200_000
+#: Words in an automaton; distinct words or phrases that a task counts before it sends them.
+SHARD_WORDS, COUNTED = 200_000, 500_000
 
 
 # --- A suffix automaton over words ----------------------------------------------------------------------------------
@@ -224,20 +224,26 @@ def phrase_counts(texts: DataFrame, most: int, frequent: Broadcast, bits: int) -
     def run(batches):
         words: dict[str, Counter] = {}
         runs: dict[str, Counter] = {}
+        phrases: dict[str, Counter] = {}
 
         def rows(lang, found):
             if found:
                 phrases, counts = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "f"])
 
-        def shards(lang):
-            automaton = SuffixAutomaton()
-            for run_, times in runs.pop(lang).items():
+        def shards(lang, last=False):
+            found, automaton = phrases.setdefault(lang, Counter()), SuffixAutomaton()
+            waiting = runs.pop(lang)
+            while waiting:
+                run_, times = waiting.popitem()
                 automaton.add(run_.split(), times)
-                if len(automaton.words) >= SHARD_WORDS:
-                    yield from rows(lang, list(automaton.phrases(most)))
+                if len(automaton.words) >= SHARD_WORDS or not waiting:
+                    for phrase, count in automaton.phrases(most):
+                        found[phrase] += count
                     automaton = SuffixAutomaton()
-            yield from rows(lang, list(automaton.phrases(most)))
+                if len(found) > COUNTED or (last and not waiting):
+                    yield from rows(lang, list(found.items()))
+                    found.clear()
 
         for batch in batches:
             for lang, some in _by_language(batch).items():
@@ -252,7 +258,9 @@ def phrase_counts(texts: DataFrame, most: int, frequent: Broadcast, bits: int) -
         for lang in list(words):
             yield from rows(lang, list(words.pop(lang).items()))
         for lang in list(runs):
-            yield from shards(lang)
+            yield from shards(lang, last=True)
+        for lang, found in phrases.items():
+            yield from rows(lang, list(found.items()))
 
     parts = texts.mapInArrow(run, "lang string, phrase string, f long")
     return parts.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
