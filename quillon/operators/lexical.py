@@ -1,63 +1,217 @@
-"""The lexical lane: an inverted index of stemmed, folded words, phrases and prefixes, and weighted BM25 over it."""
+"""The lexical lane: a stored inverted index of stemmed, folded words that follows its entries, and weighted BM25 over it.
+
+An index is a folder of Parquet tables:
+
+    postings     a row for a word, a corpus and a block of ids: the entries that have it, their weighted frequencies,
+                 lengths and places; and the largest frequency and smallest length of the block. Folders by bucket (a hash
+                 of the word), rows in order of the word, so that a search reads the row groups of its words.
+    dictionary   a row for a word and a corpus: entries that have it, the largest frequency, the smallest length
+    entries      a row for an entry: hash of its texts, length, its distinct words
+    statistics   entries and words of each corpus
+    removed      entries whose rows of earlier generations don't count any more
+
+A generation is what one change of the source adds to each of them; counts of later generations are differences, so the
+tables are added up where they are read. ``commits`` names the generations that are whole.
+"""
 
 from __future__ import annotations
 
+import time
+from collections import Counter
+from dataclasses import dataclass
+from functools import reduce
+
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..config import EngineConfig
 from ..functions.text import query_phrases, stemmed_tokens
-from ..sources.followed import FollowedTable
-from ..workspace import written
+from ..sources.followed import source_signature
+from ..workspace import discard, new_folder, written
 
 #: The indexed columns, in the order of their codes; a place is code << PLACE_BITS | number of the word in the column.
 COLUMNS, PLACE_BITS = ("title", "summary", "content"), 28
-#: Texts whose postings are sent in one Arrow batch.
-CHUNK = 200
-POSTINGS = "corpus string, id long, term string, f double, dl long, places array<int>"
+#: Texts that are sent in one Arrow batch; ids of a block; folders of postings; words that are pushed to the scan.
+CHUNK, SPAN, BUCKETS, PUSHED = 200, 4096, 32, 1000
+FORWARD = "corpus string, id long, hash long, dl int, words array<struct<term:string,f:double,places:array<int>>>"
+POSTINGS = "term string, corpus string, block long, n int, max_f double, min_dl int, ids array<long>, fs array<double>, dls array<int>, places array<array<int>>, gen int, bucket int"
+TABLES = {
+    "postings": POSTINGS,
+    "dictionary": "term string, head string, corpus string, df long, max_f double, min_dl int, gen int",
+    "entries": "corpus string, id long, hash long, dl int, terms array<string>, gen int",
+    "statistics": "corpus string, n long, words long, gen int",
+    "removed": "corpus string, id long, gen int",
+}
 
 
-def postings(entries: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """corpus, id, term, f (occurrences, weighted by column), dl (words of the entry) and places of each word of an entry;
-    and a row with a null term for each entry, so that the table knows its entries.
+@dataclass(frozen=True)
+class Index:
+    """The tables of an index, as they are read."""
 
-    An entry's words are counted where it is read: no exchange.
-    """
+    postings: DataFrame
+    dictionary: DataFrame
+    entries: DataFrame
+    statistics: DataFrame
+    removed: DataFrame
+    changed: bool  # whether entries were removed since the first generation
+
+    def of(self, corpora: list[str]) -> Index:
+        """The index of some corpora."""
+        some = F.col("corpus").isin(corpora)
+        return Index(*(t.where(some) for t in (self.postings, self.dictionary, self.entries, self.statistics, self.removed)), self.changed)
+
+
+# --- Making it ------------------------------------------------------------------------------------------------------
+
+
+def content_hash() -> Column:
+    return F.xxhash64(*(F.coalesce(c, F.lit("")) for c in COLUMNS))
+
+
+def forward(entries: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """corpus, id, hash, dl (words in all indexed columns) and words: each distinct one with its occurrences, weighted by
+    column, and places. An entry's words are counted where it is read: no exchange."""
     weights = [float(cfg.bm25[c]) for c in COLUMNS]
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.int32())]
-    names = ["corpus", "id", "term", "f", "dl", "places"]
+    word = pa.struct([("term", pa.string()), ("f", pa.float64()), ("places", pa.list_(pa.int32()))])
+    kinds, names = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.list_(word)], ["corpus", "id", "hash", "dl", "words"]
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 out: list[list] = [[] for _ in names]
-                for corpus, number, *texts in zip(*(c.to_pylist() for c in batch.slice(at, CHUNK).columns)):
+                for corpus, number, hash_, *texts in zip(*(c.to_pylist() for c in batch.slice(at, CHUNK).columns)):
                     places: dict[str, list[int]] = {}
                     words = [stemmed_tokens(t or "") for t in texts]
                     for code, column in enumerate(words):
                         for k, term in enumerate(column):
                             places.setdefault(term, []).append(code << PLACE_BITS | k)
-                    length = sum(map(len, words))
-                    rows = [(corpus, number, None, 0.0, length, None)]
-                    rows += [(corpus, number, term, sum(weights[p >> PLACE_BITS] for p in where), length, where) for term, where in places.items()]
-                    for col, values in zip(out, zip(*rows)):
-                        col.extend(values)
+                    found = [{"term": t, "f": sum(weights[p >> PLACE_BITS] for p in where), "places": where} for t, where in places.items()]
+                    for col, value in zip(out, (corpus, number, hash_, sum(map(len, words)), found)):
+                        col.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
 
-    return entries.select("corpus", "id", *COLUMNS).mapInArrow(run, POSTINGS)
+    return entries.select("corpus", "id", content_hash().alias("hash"), *COLUMNS).mapInArrow(run, FORWARD)
+
+
+def blocks(made: DataFrame) -> DataFrame:
+    """Postings of ``forward`` rows. A block is a run of SPAN ids, so its size is bounded however frequent its word is."""
+    rows = made.select("corpus", "id", "dl", F.explode("words").alias("w")).select("corpus", "id", "dl", "w.*")
+    rows = rows.groupBy("term", "corpus", F.expr(f"id div {SPAN}").alias("block")).agg(
+        F.count("*").cast("int").alias("n"), F.max("f").alias("max_f"), F.min("dl").alias("min_dl"), F.array_sort(F.collect_list(F.struct("id", "f", "dl", "places"))).alias("e")
+    )
+    return rows.select("term", "corpus", "block", "n", "max_f", "min_dl", F.col("e.id").alias("ids"), F.col("e.f").alias("fs"), F.col("e.dl").alias("dls"), F.col("e.places").alias("places"))
+
+
+def bucket(term: Column | str) -> Column:
+    return (F.crc32(F.col(term) if isinstance(term, str) else term) % BUCKETS).cast("int")
+
+
+def _write(spark: SparkSession, path: str, gen: int, made: DataFrame, gone: DataFrame | None, first: bool) -> None:
+    """A generation: ``made`` (``forward`` rows) is added; ``gone`` (corpus, id, dl, terms) is taken out."""
+    put = lambda df, name: df.write.mode("overwrite").parquet(f"{path}/{name}/gen={gen}")
+    made = written(made, "forward")
+    posted = blocks(made).withColumn("bucket", bucket("term"))
+    order = ["bucket", "term", "corpus", "block"]
+    posted.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/gen={gen}")
+    posted = spark.read.schema(POSTINGS).option("basePath", f"{path}/postings").parquet(f"{path}/postings/gen={gen}")
+    words = posted.groupBy("term", "corpus").agg(F.sum("n").cast("long").alias("df"), F.max("max_f").alias("max_f"), F.min("min_dl").alias("min_dl"))
+    counts = made.groupBy("corpus").agg(F.count("*").alias("n"), F.sum("dl").cast("long").alias("words"))
+    if gone is not None:
+        left = gone.select("corpus", F.explode("terms").alias("term")).groupBy("term", "corpus").agg((-F.count("*")).alias("df"))
+        words = words.unionByName(left.withColumns({"max_f": F.lit(0.0), "min_dl": F.lit((1 << 31) - 1)}))
+        words = words.groupBy("term", "corpus").agg(F.sum("df").alias("df"), F.max("max_f").alias("max_f"), F.min("min_dl").alias("min_dl"))
+        counts = counts.unionByName(gone.groupBy("corpus").agg((-F.count("*")).alias("n"), (-F.sum("dl")).cast("long").alias("words"))).groupBy("corpus").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    dictionary = words.select("term", F.substring("term", 1, 2).alias("head"), "corpus", "df", "max_f", "min_dl")
+    put(dictionary.repartitionByRange("term", "corpus").sortWithinPartitions("term"), "dictionary")
+    put(made.select("corpus", "id", "hash", "dl", F.col("words.term").alias("terms")), "entries")
+    put(counts, "statistics")
+    put(gone.select("corpus", "id") if gone is not None else made.select("corpus", "id").limit(0), "removed")
+    spark.range(1).select(F.lit(gen).alias("gen"), F.lit(first).alias("first")).write.mode("append").parquet(f"{path}/commits")
+    discard(made)
+
+
+def generations(spark: SparkSession, path: str) -> list[int]:
+    """The whole generations of an index, from the last one that began it anew."""
+    rows = sorted((r.gen, r.first) for r in spark.read.parquet(f"{path}/commits").collect())
+    return [gen for gen, _ in rows[max(k for k, (_, first) in enumerate(rows) if first) :]]
+
+
+def build(entries: DataFrame, cfg: EngineConfig, path: str) -> None:
+    """A new index of all entries (corpus, id, title, summary, content), beside what ``path`` already has."""
+    spark = entries.sparkSession
+    try:
+        last = generations(spark, path)[-1]
+    except Exception:  # nothing is there yet
+        last = -1
+    _write(spark, path, last + 1, forward(entries, cfg), None, True)
+
+
+def read(spark: SparkSession, path: str) -> Index:
+    gens = generations(spark, path)
+    of = lambda name: spark.read.schema(TABLES[name]).option("basePath", f"{path}/{name}").parquet(*(f"{path}/{name}/gen={g}" for g in gens))
+    return Index(*map(of, ("postings", "dictionary", "entries", "statistics", "removed")), len(gens) > 1)
+
+
+def living(index: Index) -> DataFrame:
+    """Entries of the index without what was removed after they came in."""
+    if not index.changed:
+        return index.entries
+    return _alive(index.entries, index, "id")
+
+
+def _alive(rows: DataFrame, index: Index, key: str) -> DataFrame:
+    """Rows (corpus, ``key``, gen) whose entry wasn't removed in a later generation."""
+    last = index.removed.groupBy("corpus", F.col("id").alias(key)).agg(F.max("gen").alias("_last"))
+    return rows.join(last, ["corpus", key], "left").where(F.col("_last").isNull() | (F.col("_last") <= F.col("gen"))).drop("_last")
+
+
+def changes(entries: DataFrame, index: Index) -> DataFrame:
+    """corpus, id, change (new, changed, gone) of entries against an index, by their texts' hashes."""
+    now = entries.select("corpus", "id", content_hash().alias("_now"))
+    both = now.join(living(index).select("corpus", "id", F.col("hash").alias("_then")), ["corpus", "id"], "full_outer")
+    change = F.when(F.col("_then").isNull(), "new").when(F.col("_now").isNull(), "gone").when(F.col("_now") != F.col("_then"), "changed")
+    return both.select("corpus", "id", change.alias("change")).where("change is not null")
+
+
+def refresh(entries: DataFrame, cfg: EngineConfig, path: str) -> dict[str, int]:
+    """Bring an index up to its entries by a generation that has only what changed; the numbers of changes by kind.
+
+    Only new and changed entries are tokenised, only their postings are written; the words of changed and gone ones come
+    from the stored entries. Nothing is written if nothing changed.
+    """
+    spark, index = entries.sparkSession, read(entries.sparkSession, path)
+    found = written(changes(entries, index), "changes")
+    counts = {r.change: r["count"] for r in found.groupBy("change").count().collect()}
+    if counts:
+        fresh = entries.join(found.where("change <> 'gone'").select("corpus", "id"), ["corpus", "id"], "left_semi")
+        gone = living(index).join(found.where("change <> 'new'").select("corpus", "id"), ["corpus", "id"], "left_semi")
+        _write(spark, path, generations(spark, path)[-1] + 1, forward(fresh, cfg), gone.select("corpus", "id", "dl", "terms"), False)
+    discard(found)
+    return counts
+
+
+def index_of(entries: DataFrame, cfg: EngineConfig, path: str | None = None) -> Index:
+    """An index of entries, in a new folder unless one is given."""
+    path = path or new_folder(entries.sparkSession, "lexical")
+    build(entries, cfg, path)
+    return read(entries.sparkSession, path)
 
 
-def statistics(index: DataFrame) -> DataFrame:
+def statistics(index: Index) -> DataFrame:
     """corpus, n (entries), avgdl (words of an entry in all indexed columns)."""
-    return index.where("term is null").groupBy("corpus").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    sums = index.statistics.groupBy("corpus").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    return sums.where("n > 0").select("corpus", "n", (F.col("words") / F.col("n")).alias("avgdl"))
 
 
-def document_frequency(index: DataFrame) -> DataFrame:
+def document_frequency(index: Index) -> DataFrame:
     """corpus, term, df: entries of the corpus that have the word."""
-    return index.where("term is not null").groupBy("corpus", "term").agg(F.count("*").alias("df"))
+    return index.dictionary.groupBy("corpus", "term").agg(F.sum("df").alias("df")).where("df > 0")
+
+
+# --- Searching it ---------------------------------------------------------------------------------------------------
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("prefix", T.BooleanType())])))
@@ -66,65 +220,206 @@ def _phrases(text):
 
 
 def phrases(queries: DataFrame) -> DataFrame:
-    """qid, phrase (its stemmed words, joined by spaces), prefix: what each query searches for."""
+    """qid, phrase (its stemmed words, joined by spaces), prefix: what each query searches for; words with one stem count each."""
     found = queries.select("qid", F.explode(_phrases("text")).alias("p"))
     return found.select("qid", F.array_join("p.tokens", " ").alias("phrase"), "p.prefix", F.size("p.tokens").alias("words"))
 
 
-def phrase_hits(index: DataFrame, wanted: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """phrase, prefix, corpus, id, f, dl: where the distinct phrases ``wanted`` (phrase, prefix, words) occur.
+def spelled(index: Index, wanted: DataFrame) -> DataFrame:
+    """phrase, prefix, words, k, term, corpus, df, max_f, min_dl, bucket: the words of the index that the distinct phrases
+    ``wanted`` (phrase, prefix, words) stand for; k: place in the phrase.
 
-    Prefixes are looked up among the distinct words, all of whose beginnings are joined by equality; phrases of several
-    words are runs of places.
+    Beginnings are looked up among words with the same two letters, so neither side is broadcast or spelled out.
     """
-    terms = index.where("term is not null")
-    exact = wanted.where("not prefix and words = 1").select("phrase", "prefix", F.col("phrase").alias("term"))
-    begin = wanted.where("prefix and words = 1").select("phrase", "prefix")
-    heads = terms.select("term").distinct().select("term", F.explode(F.expr("transform(sequence(1, length(term)), k -> substring(term, 1, k))")).alias("phrase"))
-    single = exact.union(begin.join(heads, "phrase").select("phrase", "prefix", "term"))
-    hits = terms.select("corpus", "id", "term", "f", "dl").join(single, "term").groupBy("phrase", "prefix", "corpus", "id").agg(F.sum("f").alias("f"), F.max("dl").alias("dl"))
-    parts = wanted.where("words > 1").select("phrase", "prefix", "words", F.posexplode(F.split("phrase", " ")).alias("k", "term"))
-    runs = terms.select("corpus", "id", "term", "dl", "places").join(parts, "term")
-    runs = runs.select("phrase", "prefix", "words", "corpus", "id", "dl", "k", F.explode("places").alias("at")).withColumn("at", F.col("at") - F.col("k"))
-    whole = runs.groupBy("phrase", "prefix", "words", "corpus", "id", "at").agg(F.max("dl").alias("dl"), F.count_distinct("k").alias("n")).where("n = words")
+    d = index.dictionary.drop("gen")
+    shape = ["phrase", "prefix", "words"]
+    named = wanted.where("words > 1").select(*shape, F.posexplode(F.split("phrase", " ")).alias("k", "term"))
+    named = named.union(wanted.where("words = 1 and not prefix").select(*shape, F.lit(0).alias("k"), F.col("phrase").alias("term")))
+    begin = wanted.where("words = 1 and prefix").withColumn("k", F.lit(0))
+    two = d.join(begin.where("length(phrase) > 1").withColumn("head", F.substring("phrase", 1, 2)), "head").where(F.startswith("term", F.col("phrase")))
+    one = d.withColumn("_first", F.substring("head", 1, 1)).join(begin.where("length(phrase) = 1").withColumn("_first", F.col("phrase")), "_first")
+    columns = [*shape, "k", "term", "corpus", "df", "max_f", "min_dl"]
+    rows = reduce(DataFrame.union, (x.select(columns) for x in (d.join(named, "term"), two, one)))
+    rows = rows.groupBy(*shape, "k", "term", "corpus").agg(F.sum("df").alias("df"), F.max("max_f").alias("max_f"), F.min("min_dl").alias("min_dl"))
+    return rows.where("df > 0").withColumn("bucket", bucket("term"))
+
+
+def pruned(index: Index, words: DataFrame) -> DataFrame:
+    """The postings that a table of words (term, bucket) can need: folders of their buckets, and row groups of the words
+    where these are few enough to be told to the scan (buckets are BUCKETS at most)."""
+    buckets = [r.bucket for r in words.select("bucket").distinct().collect()]
+    terms = [r.term for r in words.select("term").distinct().limit(PUSHED + 1).collect()]
+    rows = index.postings.where(F.col("bucket").isin(buckets))
+    return rows.where(F.col("term").isin(terms)) if len(terms) <= PUSHED else rows
+
+
+def _rows(index: Index, blocks_: DataFrame, *arrays: str) -> DataFrame:
+    """The living entries of blocks, with the asked arrays' values."""
+    rows = blocks_.withColumn("_e", F.explode(F.arrays_zip("ids", *arrays))).select(*(c for c in blocks_.columns if c not in ("ids", "fs", "dls", "places")), F.col("_e.ids").alias("id"), *(F.col(f"_e.{a}").alias(a) for a in arrays))
+    return _alive(rows, index, "id") if index.changed else rows
+
+
+def word_hits(index: Index, words: DataFrame) -> DataFrame:
+    """phrase, prefix, corpus, id, f, dl of single words and beginnings (rows of ``spelled``; a column block limits them to
+    blocks of ids)."""
+    key = ["term", "corpus", "bucket"] + (["block"] if "block" in words.columns else [])
+    found = pruned(index, words).drop("places", "n", "max_f", "min_dl").join(words.select("phrase", "prefix", *key), key)
+    return _rows(index, found, "fs", "dls").groupBy("phrase", "prefix", "corpus", "id").agg(F.sum("fs").alias("f"), F.max("dls").alias("dl"))
+
+
+def phrase_hits(index: Index, words: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """phrase, prefix, corpus, id, f, dl of phrases of several words: runs of places."""
+    found = pruned(index, words).drop("n", "max_f", "min_dl", "fs").join(words.select("phrase", "prefix", "words", "k", "term", "corpus", "bucket"), ["term", "corpus", "bucket"])
+    runs = _rows(index, found, "dls", "places").select("phrase", "prefix", "words", "corpus", "id", "dls", "k", F.explode("places").alias("at")).withColumn("at", F.col("at") - F.col("k"))
+    whole = runs.groupBy("phrase", "prefix", "words", "corpus", "id", "at").agg(F.max("dls").alias("dl"), F.count_distinct("k").alias("n")).where("n = words")
     weight = F.element_at(F.array(*[F.lit(float(cfg.bm25[c])) for c in COLUMNS]), F.shiftright("at", PLACE_BITS) + 1)
-    several = whole.groupBy("phrase", "prefix", "corpus", "id").agg(F.sum(weight).alias("f"), F.max("dl").alias("dl"))
-    return hits.union(several)
+    return whole.groupBy("phrase", "prefix", "corpus", "id").agg(F.sum(weight).alias("f"), F.max("dl").alias("dl"))
+
+
+def _part(cfg: EngineConfig, f="f", dl="dl") -> Column:
+    k1, b = cfg.bm25["k1"], cfg.bm25["b"]
+    return F.col("idf") * F.col(f) * (k1 + 1) / (F.col(f) + k1 * (1 - b + b * F.col(dl) / F.col("avgdl")))
+
+
+def _weighted(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """phrase, prefix, corpus, idf, avgdl of df rows; the idf of what more than half of the entries have is a small constant."""
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return df.join(stats, "corpus").withColumn("idf", F.when(idf <= 0, 1e-6).otherwise(idf)).drop("n", "df")
 
 
-def bm25(index: DataFrame, queries: DataFrame, cfg: EngineConfig) -> DataFrame:
+def bm25(index: Index, queries: DataFrame, cfg: EngineConfig) -> DataFrame:
     """qid, corpus, id, score (smaller is better), rank: the best ``lexical_limit`` entries of each corpus for ``queries`` (qid, text).
 
-    Each distinct phrase of all queries is looked up once. The idf of what more than half of the entries have is a small
-    constant. A query without terms finds nothing.
+    Ranks are those of the exact scores, ties by id; the score is rounded. Each distinct phrase of all queries is looked
+    up once. A query without terms finds nothing. The same parts are added in the same order, so equal entries tie.
+
+    Not all postings of a query are read (MaxScore). From the dictionary's largest frequencies and smallest lengths comes a
+    bound of what a phrase can add. The phrase with the largest bound is scored first; its ``lexical_limit``-th best part is
+    a score that many entries reach. Phrases whose bounds together stay below it can't bring an entry among the best by
+    themselves, so of these only blocks with entries that another phrase has found are read. The result is a written table
+    (``lexical_limit`` rows for a query and corpus); all others are deleted.
     """
-    k1, b = cfg.bm25["k1"], cfg.bm25["b"]
-    asked = written(phrases(queries), "phrases")
-    found = written(phrase_hits(index, asked.select("phrase", "prefix", "words").distinct(), cfg), "hits")
-    df = found.groupBy("phrase", "prefix", "corpus").agg(F.count("*").alias("df"))
+    key, made = ["phrase", "prefix", "corpus"], []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        made.append(written(df, name))
+        return made[-1]
+
+    asked = kept(phrases(queries), "phrases")
+    words = kept(spelled(index, asked.select("phrase", "prefix", "words").distinct()), "words")
     stats = F.broadcast(statistics(index))  # a row for each corpus
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = df.join(stats, "corpus").withColumn("idf", F.when(idf <= 0, 1e-6).otherwise(idf)).select("phrase", "prefix", "corpus", "idf", "avgdl")
-    part = F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    parts = found.join(weights, ["phrase", "prefix", "corpus"]).select("phrase", "prefix", "corpus", "id", part.alias("part"))
-    hits = parts.join(asked.select("qid", "phrase", "prefix"), ["phrase", "prefix"])
-    scored = hits.groupBy("qid", "corpus", "id").agg((F.round(-F.sum("part"), 4) + F.lit(0.0)).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("qid", "corpus").orderBy("score", "id")))
-    return ranked.where(F.col("rank") <= cfg.lexical_limit)
+    single = words.where("words = 1")
+    # exact numbers of entries: of one word the dictionary's, of several the distinct ids of their blocks
+    spellings = single.groupBy(*key).agg(F.count("*").alias("m"), F.max("df").alias("df"), F.sum("max_f").alias("max_f"), F.min("min_dl").alias("min_dl"))
+    several = single.join(spellings.where("m > 1").select(*key), key)
+    ids = pruned(index, several).select("term", "corpus", "bucket", "ids", "gen").join(several.select(*key, "term", "bucket"), ["term", "corpus", "bucket"])
+    union = _rows(index, ids).groupBy(*key).agg(F.count_distinct("id").alias("_df")) if several.head(1) else None
+    if union is not None:
+        spellings = spellings.join(union, key, "left").withColumn("df", F.coalesce("_df", "df"))
+    runs = kept(phrase_hits(index, words.where("words > 1"), cfg), "runs") if words.where("words > 1").head(1) else None
+    bounds = kept(_weighted(spellings.select(*key, "df", "max_f", "min_dl"), stats).withColumn("bound", _part(cfg, "max_f", "min_dl")), "bounds")
+    weights = bounds.select(*key, "idf", "avgdl")
+    # a score that lexical_limit entries reach, by each query's most promising phrase
+    mine = asked.join(bounds.select(*key, "bound"), ["phrase", "prefix"]).select("qid", *key, "bound")
+    per = W.partitionBy("qid", "corpus")
+    leads = mine.withColumn("_n", F.row_number().over(per.orderBy(F.desc("bound"), "phrase", "prefix"))).where("_n = 1")
+    scored = lambda hits: hits.join(weights, key).select(*key, "id", _part(cfg).alias("part"))
+    lead = kept(scored(word_hits(index, single.join(leads.select(*key).distinct(), key, "left_semi"))), "lead")
+    reached = lead.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("part")))).where(F.col("_n") <= cfg.lexical_limit)
+    reached = reached.where(F.col("_n") == cfg.lexical_limit).select(*key, (F.col("part") * (1 - 1e-9)).alias("reached"))
+    least = leads.join(reached, key).select("qid", "corpus", "reached")
+    together = F.sum("bound").over(per.orderBy("bound", "phrase", "prefix").rowsBetween(W.unboundedPreceding, 0))
+    split = mine.withColumn("_sum", together).join(least, ["qid", "corpus"], "left")
+    split = kept(split.select("qid", *key, F.coalesce(F.col("_sum") >= F.col("reached"), F.lit(True)).alias("essential")), "split")
+    essential = split.where("essential").select(*key).distinct()
+    more = single.join(essential, key, "left_semi").join(lead.select(*key).distinct(), key, "left_anti")
+    parts = lead.unionByName(scored(word_hits(index, more))) if more.head(1) else lead
+    if runs is not None:
+        df = runs.groupBy(*key).agg(F.count("*").alias("df"))
+        parts = parts.unionByName(runs.join(_weighted(df, stats), key).select(*key, "id", _part(cfg).alias("part")))
+    parts = kept(parts.join(asked.select("qid", "phrase", "prefix"), ["phrase", "prefix"]).select("qid", *key, "id", "part"), "parts")
+    rest = single.join(split.select(*key).distinct(), key, "left_semi").join(essential, key, "left_anti")
+    if rest.head(1):
+        found = parts.select("qid", "corpus", "id").distinct()
+        place = found.select("qid", "corpus", F.expr(f"id div {SPAN}").alias("block")).distinct()
+        wanted = split.join(essential, key, "left_anti").join(place, ["qid", "corpus"]).select(*key, "block").distinct()
+        probed = scored(word_hits(index, rest.join(wanted, key)))
+        probed = probed.join(asked.select("qid", "phrase", "prefix"), ["phrase", "prefix"]).join(found, ["qid", "corpus", "id"], "left_semi")
+        parts = parts.unionByName(probed.select(parts.columns))
+    total = F.aggregate(F.array_sort(F.collect_list("part")), F.lit(0.0), lambda s, x: s + x)  # a part for each phrase of the query
+    scores = parts.groupBy("qid", "corpus", "id").agg((-total).alias("_score"))
+    ranked = scores.withColumn("rank", F.row_number().over(per.orderBy("_score", "id"))).where(F.col("rank") <= cfg.lexical_limit)
+    out = written(ranked.select("qid", "corpus", "id", (F.round("_score", 4) + F.lit(0.0)).alias("score"), "rank"), "lexical-ranks")
+    discard(*made)
+    return out
+
 
+class LexicalIndex:
+    """The stored index of a corpus, which follows its entries.
 
-class LexicalIndex(FollowedTable):
-    """The stored index of a corpus, which follows its entries."""
+    ``build`` makes it anew, ``refresh`` brings it up to changes, if the source's signature tells of any. A source that
+    can't be read or a change that can't be written leaves the index as it is and gives a reason, fixed words without
+    anything of a query; so does an index that can't be read.
+    """
 
     name = "lexical index"
 
-    def __init__(self, spark: SparkSession, path: str, source, cfg: EngineConfig, **options):
-        super().__init__(spark, path, lambda: source().select("corpus", "id", *COLUMNS), lambda e: postings(e, cfg), **options)
-        self.cfg = cfg
+    def __init__(self, spark: SparkSession, path: str, source, cfg: EngineConfig, recheck: float = 30.0, clock=time.monotonic):
+        self.spark, self.path, self.source, self.cfg, self.recheck, self.clock = spark, path, source, cfg, recheck, clock
+        self.version: int | None = None
+        self.signature = None
+        self.checked_at = float("-inf")
+        self.reasons: Counter = Counter()
+
+    def _now(self) -> DataFrame:
+        return self.source().select("corpus", "id", *COLUMNS)
+
+    def build(self) -> None:
+        rows = self._now()
+        signature = source_signature(rows)
+        build(rows, self.cfg, self.path)
+        self.signature, self.version = signature, generations(self.spark, self.path)[-1]
+
+    def refresh(self) -> str | None:
+        """Follow the source, which is looked at once in ``recheck`` seconds; the reason if that fails."""
+        now = self.clock()
+        if now - self.checked_at < self.recheck:
+            return None
+        self.checked_at = now
+        try:
+            rows = self._now()
+            signature = source_signature(rows)
+        except Exception as e:
+            return self.degraded(f"source fingerprint failed ({type(e).__name__})")
+        if signature == self.signature and self.version is not None:
+            return None
+        try:
+            if self.version is None:
+                self.build()
+            else:
+                refresh(rows, self.cfg, self.path)
+                self.signature, self.version = signature, generations(self.spark, self.path)[-1]
+        except Exception as e:
+            return self.degraded(f"{self.name} rebuild failed ({type(e).__name__})")
+        return None
+
+    def table(self) -> tuple[Index | None, str | None]:
+        """The index as it is now, or why there is none."""
+        try:
+            return read(self.spark, self.path), None
+        except Exception:
+            return None, self.degraded(f"{self.name} unusable")
 
     def lookup(self, queries: DataFrame) -> tuple[DataFrame, str | None]:
         """``bm25`` of the current index; without one no rows, and the reason."""
-        df, reason = self.table()
-        if df is None:
+        index, reason = self.table()
+        if index is None:
             return self.spark.createDataFrame([], "qid long, corpus string, id long, score double, rank int"), reason
-        return bm25(df, queries, self.cfg), None
+        return bm25(index, queries, self.cfg), None
+
+    def degraded(self, reason: str) -> str:
+        """Said once for each different reason."""
+        self.reasons[reason] += 1
+        if self.reasons[reason] == 1:
+            print(f"[{self.name}] {reason}", flush=True)
+        return reason

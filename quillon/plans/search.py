@@ -64,7 +64,8 @@ def plan_scope(scope: str, granted: set[str] | None = None, available: set[str]
 
 class SearchEngine:
     """Entries (corpus, id, title, summary, content, tags, created_at), vectors (id, corpus, x), edges of newer notes and a
-    stored lexical index (``lexical.postings``; both optional: without the latter it is made for each search).
+    stored lexical index (``lexical.Index`` or ``lexical.LexicalIndex``; both optional: without the latter one is made by
+    the first search that needs it).
 
     ``embedder`` and ``scorer`` make the models that are used in Python workers (functions.embedding): with the first,
     queries need only a text; with the second, relevance is its judgement of query and text instead of the curve over
@@ -108,8 +109,8 @@ class SearchEngine:
             if index is None:  # go on without lexical candidates
                 return semantic.withColumn("from_lexical", F.lit(False)).withColumnRenamed("rank", "pos")
         elif index is None:
-            index = written(lexical.postings(self.entries, cfg), "lexical")
-        index = index.where(F.col("corpus").isin(corpora)) if corpora else index
+            index = self.index = lexical.index_of(self.entries, cfg)
+        index = index.of(corpora) if corpora else index
         merged = fusion.hybrid_merge(semantic, lexical.bm25(index, queries, cfg), cfg)
         flags = semantic.select("qid", "corpus", "id", "from_primary", "alternate_rank")
         out = merged.join(flags, ["qid", "corpus", "id"], "left")

@@ -12,7 +12,7 @@ from .functions import text as words
 from .operators import evals, fusion, lexical, lineage, vector
 from .operators.gate import GENERAL
 from .sources.adapters import as_of, corpus_vectors, entries, table, vector_queries, vectors
-from .workspace import written
+from .workspace import new_folder, written
 
 CFG = test_config()
 QUERIES: dict = {}
@@ -102,8 +102,8 @@ spelled AS (SELECT ps.term AS phrase, b.term FROM ps JOIN beginnings b USING (st
 runs AS (SELECT ps.term AS phrase, t.corpus, t.id, t.col, t.pos - ps.k AS at FROM ps JOIN tok t ON t.term = ps.stem WHERE n > 1 GROUP BY ps.term, t.corpus, t.id, t.col, t.pos - ps.k, n HAVING count(DISTINCT ps.k) = n),
 hits AS (SELECT phrase, corpus, id, sum(f) AS f FROM spelled JOIN post USING (term) GROUP BY ALL UNION ALL SELECT phrase, corpus, id, sum([3.0, 2.0, 1.0][col + 1]) FROM runs GROUP BY ALL),
 df AS (SELECT phrase, corpus, count(*) AS df FROM hits GROUP BY ALL),
-lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, corpus ORDER BY score, id) AS rank FROM (
-  SELECT qid, h.corpus, h.id, round(-sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))), 4) + 0.0 AS score
+lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, corpus ORDER BY raw, id) AS rank, round(raw, 4) + 0.0 AS score FROM (
+  SELECT qid, h.corpus, h.id, -list_sum(list_sort(list(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))))) AS raw
   FROM terms q JOIN hits h ON h.phrase = q.term JOIN df ON df.phrase = h.phrase AND df.corpus = h.corpus JOIN stats s ON s.corpus = h.corpus JOIN len l ON l.corpus = h.corpus AND l.id = h.id GROUP BY qid, h.corpus, h.id)) WHERE rank <= 100)"""
 EDGES = """edges AS (SELECT doc_id AS src, doc_id + 1 AS dst FROM documents WHERE doc_id % 7 IN (0, 1, 2) UNION SELECT doc_id, doc_id + 5 FROM documents WHERE doc_id % 35 = 3 UNION SELECT doc_id, doc_id - 2 FROM documents WHERE doc_id % 70 = 9)"""
 
@@ -176,9 +176,20 @@ def alt_admission(spark, sf_dir):
     return fusion.admit_alternates(u, CFG).select("qid", "corpus", "id", "relevance")
 
 
-def lexical_index(spark, sf_dir) -> DataFrame:
-    """The index as a written table: words are counted once, however often it is read."""
-    return written(lexical.postings(entries(spark, sf_dir), CFG), "lexical")
+#: Stored indexes by application and tables: made by the first query that needs them, brought up to changes by later ones.
+_indexes: dict = {}
+
+
+def lexical_index(spark, sf_dir) -> lexical.Index:
+    stored = _indexes.get((spark.sparkContext.applicationId, sf_dir))
+    if stored is None:
+        stored = lexical.LexicalIndex(spark, new_folder(spark, "lexical"), lambda: entries(spark, sf_dir), CFG, recheck=0)
+        _indexes[spark.sparkContext.applicationId, sf_dir] = stored
+    reason = stored.refresh()
+    index, unusable = stored.table()
+    if reason or unusable:
+        raise RuntimeError(reason or unusable)
+    return index
 
 
 @query(f"WITH {BM25} SELECT qid, corpus, id, score, rank FROM lex")

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 
 def source_signature(source: DataFrame) -> list:
-    """What tells states of a source (with a corpus and an id) apart: by corpus the number of rows, the largest id, and a
-    sum of row hashes."""
-    row = F.xxhash64(*source.columns).cast("decimal(38,0)")
-    state = source.groupBy("corpus").agg(F.count("*").alias("n"), F.max("id").alias("top"), F.sum(row).alias("sum"))
-    return sorted([r.corpus, r.n, r.top, str(r["sum"])] for r in state.collect())
+    """What tells states of a source (with a corpus and an id) apart: its files, and by corpus the number of rows, the
+    largest id and time, and the length of all texts."""
+    texts = [f.name for f in source.schema.fields if f.dataType.simpleString() == "string" and f.name != "corpus"]
+    length = sum((F.coalesce(F.length(F.col(c)), F.lit(0)) for c in texts), F.lit(0)).cast("long")
+    made = F.max(F.col("created_at").cast("string")) if "created_at" in source.columns else F.lit(None).cast("string")
+    state = source.groupBy("corpus").agg(F.count("*").alias("n"), F.max("id").alias("top"), made.alias("last"), F.sum(length).alias("length"))
+    return [sorted(source.inputFiles()), *sorted(([r.corpus, r.n, r.top, r["last"], r.length] for r in state.collect()), key=repr)]
 
 
 class FollowedTable:

@@ -28,4 +28,14 @@ def written(df: DataFrame, name: str = "table", by: list[str] | None = None) ->
     path = new_folder(df.sparkSession, name)
     writer = df.write.partitionBy(*by) if by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quillon_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._quillon_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -129,9 +129,9 @@ def test_lexical_lane_equals_sqlite(spark):
     entries = [("homelab" if k % 3 else "ai", k, text(4), text(3) if k % 2 else None, text(30)) for k in range(120)] + [("ai", 900, "", None, "")]
     queries = [(k, text(6)) for k in range(40)] + [(90, "kako da serverima"), (91, "the of"), (92, "pi-hole network_bridge"), (93, "relati keys")]
     df = spark.createDataFrame(entries, "corpus string, id long, title string, summary string, content string")
-    index = lexical.postings(df, EngineConfig())
+    index = lexical.index_of(df, EngineConfig())
     got = {(r.qid, r.corpus, r.id): (r.score, r["rank"]) for r in lexical.bm25(index, spark.createDataFrame(queries, "qid long, text string"), EngineConfig()).collect()}
-    want = {}
+    found = {}
     for corpus in ("homelab", "ai"):
         con = sqlite3.connect(":memory:")
         con.execute("CREATE VIRTUAL TABLE e USING fts5(id UNINDEXED, title, summary, content, tokenize='porter unicode61 remove_diacritics 2')")
@@ -140,12 +140,29 @@ def test_lexical_lane_equals_sqlite(spark):
             expression = match_expression(T.query_terms(q))
             if expression:
                 rows = con.execute("SELECT id, bm25(e, 0, 3, 2, 1) FROM e WHERE e MATCH ?", (expression,)).fetchall()
-                rows = sorted((round(score, 4) + 0.0, i) for i, score in rows)[:100]
-                want |= {(qid, corpus, i): (score, k + 1) for k, (score, i) in enumerate(rows)}
-    assert len(want) > 1000 and got.keys() == want.keys()
-    assert all(abs(got[k][0] - want[k][0]) < 2e-4 for k in want)
-    near = sum(got[k][1] == want[k][1] for k in want)
-    assert near > 0.98 * len(want)  # equal but for scores at the edge of the rounding
+                found[qid, corpus] = sorted((score, i) for i, score in rows)
+    assert sum(map(len, found.values())) > 1000
+    same_ranks(got, found, 100)
+    index = lexical.index_of(df, EngineConfig())
+    for limit in (1, 5, 20):  # limits that leave phrases out
+        cut = lexical.bm25(index, spark.createDataFrame(queries, "qid long, text string"), EngineConfig(lexical_limit=limit))
+        same_ranks({(r.qid, r.corpus, r.id): (r.score, r["rank"]) for r in cut.collect()}, found, limit)
+
+
+def same_ranks(got, found, limit):
+    """``found``: by query and corpus all scores of another engine. Ranks are equal, but for scores that are equal up to
+    the order in which their parts are added."""
+    by: dict = {}
+    for (qid, corpus, i), (score, rank) in got.items():
+        by.setdefault((qid, corpus), []).append((rank, i, score))
+    assert by.keys() == {k for k, rows in found.items() if rows}
+    for key, rows in by.items():
+        theirs = dict((i, score) for score, i in found[key])
+        rows.sort()
+        assert [r[0] for r in rows] == list(range(1, min(limit, len(theirs)) + 1))
+        assert all(abs(theirs[i] - score) <= 5.1e-5 for _, i, score in rows)
+        for (_, i, _), (score, j) in zip(rows, found[key]):
+            assert i == j or abs(theirs[i] - score) < 1e-12
 
 
 def test_lexical_index_follows_its_source(spark, tmp_path):
