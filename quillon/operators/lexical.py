@@ -245,12 +245,12 @@ def spelled(index: Index, wanted: DataFrame) -> DataFrame:
 
 
 def pruned(index: Index, words: DataFrame) -> DataFrame:
-    """The postings that a table of words (term, bucket) can need: folders of their buckets, and row groups of the words
-    where these are few enough to be told to the scan (buckets are BUCKETS at most)."""
-    buckets = [r.bucket for r in words.select("bucket").distinct().collect()]
-    terms = [r.term for r in words.select("term").distinct().limit(PUSHED + 1).collect()]
-    rows = index.postings.where(F.col("bucket").isin(buckets))
-    return rows.where(F.col("term").isin(terms)) if len(terms) <= PUSHED else rows
+    """The postings that a table of words (term, bucket) can need: row groups of the words where these are few enough to
+    be told to the scan, and folders of their buckets in any case (BUCKETS at most)."""
+    few = words.select("term", "bucket").distinct().limit(PUSHED + 1).collect()
+    if len(few) <= PUSHED:
+        return index.postings.where(F.col("bucket").isin(sorted({r.bucket for r in few})) & F.col("term").isin(sorted({r.term for r in few})))
+    return index.postings.where(F.col("bucket").isin([r.bucket for r in words.select("bucket").distinct().collect()]))
 
 
 def _rows(index: Index, blocks_: DataFrame, *arrays: str) -> DataFrame:
@@ -287,19 +287,72 @@ def _weighted(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.join(stats, "corpus").withColumn("idf", F.when(idf <= 0, 1e-6).otherwise(idf)).drop("n", "df")
 
 
-def bm25(index: Index, queries: DataFrame, cfg: EngineConfig) -> DataFrame:
+KEY = ["phrase", "prefix", "corpus"]
+
+
+def _all_parts(index: Index, asked: DataFrame, words: DataFrame, runs: DataFrame | None, stats: DataFrame, cfg: EngineConfig, kept) -> DataFrame:
+    """qid, corpus, id, part of every entry that has a phrase of a query."""
+    hits = word_hits(index, words.where("words = 1"))
+    hits = kept(hits.union(runs) if runs is not None else hits, "hits")
+    weights = _weighted(hits.groupBy(*KEY).agg(F.count("*").alias("df")), stats)
+    parts = hits.join(weights, KEY).select(*KEY, "id", _part(cfg).alias("part"))
+    return parts.join(asked.select("qid", "phrase", "prefix"), ["phrase", "prefix"]).select("qid", "corpus", "id", "part")
+
+
+def _promising_parts(index: Index, asked: DataFrame, words: DataFrame, runs: DataFrame | None, stats: DataFrame, cfg: EngineConfig, kept) -> DataFrame:
+    """The same without entries that can't be among the best (MaxScore).
+
+    From the dictionary's largest frequencies and smallest lengths comes a bound of what a phrase can add. The phrase with
+    the largest bound is scored first; its ``lexical_limit``-th best part is a score that many entries reach. Phrases whose
+    bounds together stay below it can't bring an entry among the best by themselves, so of these only blocks with entries
+    that another phrase has found are read.
+    """
+    single = words.where("words = 1")
+    spellings = single.groupBy(*KEY).agg(F.count("*").alias("m"), F.max("df").alias("df"), F.sum("max_f").alias("max_f"), F.min("min_dl").alias("min_dl"))
+    # exact numbers of entries: of one word the dictionary's, of several the distinct ids of their blocks
+    several = single.join(spellings.where("m > 1").select(*KEY), KEY)
+    ids = pruned(index, several).select("term", "corpus", "bucket", "ids", "gen").join(several.select(*KEY, "term", "bucket"), ["term", "corpus", "bucket"])
+    union = _rows(index, ids).groupBy(*KEY).agg(F.count_distinct("id").alias("_df"))
+    spellings = spellings.join(union, KEY, "left").withColumn("df", F.coalesce("_df", "df")).select(*KEY, "df", "max_f", "min_dl")
+    bounds = kept(_weighted(spellings, stats).withColumn("bound", _part(cfg, "max_f", "min_dl")), "bounds")
+    weights = bounds.select(*KEY, "idf", "avgdl")
+    scored = lambda hits: hits.join(weights, KEY).select(*KEY, "id", _part(cfg).alias("part"))
+    mine = asked.join(bounds.select(*KEY, "bound"), ["phrase", "prefix"]).select("qid", *KEY, "bound")
+    per = W.partitionBy("qid", "corpus")
+    leads = mine.withColumn("_n", F.row_number().over(per.orderBy(F.desc("bound"), "phrase", "prefix"))).where("_n = 1")
+    lead = kept(scored(word_hits(index, single.join(leads.select(*KEY).distinct(), KEY, "left_semi"))), "lead")
+    best = lead.withColumn("_n", F.row_number().over(W.partitionBy(*KEY).orderBy(F.desc("part")))).where(F.col("_n") <= cfg.lexical_limit)
+    reached = best.where(F.col("_n") == cfg.lexical_limit).select(*KEY, (F.col("part") * (1 - 1e-9)).alias("reached"))
+    least = leads.join(reached, KEY).select("qid", "corpus", "reached")
+    together = F.sum("bound").over(per.orderBy("bound", "phrase", "prefix").rowsBetween(W.unboundedPreceding, 0))
+    split = mine.withColumn("_sum", together).join(least, ["qid", "corpus"], "left")
+    split = kept(split.select("qid", *KEY, F.coalesce(F.col("_sum") >= F.col("reached"), F.lit(True)).alias("essential")), "split")
+    essential = split.where("essential").select(*KEY).distinct()
+    more = single.join(essential, KEY, "left_semi").join(lead.select(*KEY).distinct(), KEY, "left_anti")
+    parts = lead.unionByName(scored(word_hits(index, more)))
+    if runs is not None:
+        df = runs.groupBy(*KEY).agg(F.count("*").alias("df"))
+        parts = parts.unionByName(runs.join(_weighted(df, stats), KEY).select(*KEY, "id", _part(cfg).alias("part")))
+    asking = asked.select("qid", "phrase", "prefix")
+    parts = kept(parts.join(asking, ["phrase", "prefix"]).select("qid", "corpus", "id", "part"), "parts")
+    found = parts.select("qid", "corpus", "id").distinct()
+    place = found.select("qid", "corpus", F.expr(f"id div {SPAN}").alias("block")).distinct()
+    wanted = split.join(essential, KEY, "left_anti").join(place, ["qid", "corpus"]).select(*KEY, "block").distinct()
+    probed = scored(word_hits(index, single.join(wanted, KEY))).join(asking, ["phrase", "prefix"]).join(found, ["qid", "corpus", "id"], "left_semi")
+    return parts.unionByName(probed.select(parts.columns))
+
+
+def bm25(index: Index, queries: DataFrame, cfg: EngineConfig, direct: int = 20_000_000) -> DataFrame:
     """qid, corpus, id, score (smaller is better), rank: the best ``lexical_limit`` entries of each corpus for ``queries`` (qid, text).
 
     Ranks are those of the exact scores, ties by id; the score is rounded. Each distinct phrase of all queries is looked
-    up once. A query without terms finds nothing. The same parts are added in the same order, so equal entries tie.
+    up once. A query without terms finds nothing. Parts of a score are added in their order, so equal entries tie.
 
-    Not all postings of a query are read (MaxScore). From the dictionary's largest frequencies and smallest lengths comes a
-    bound of what a phrase can add. The phrase with the largest bound is scored first; its ``lexical_limit``-th best part is
-    a score that many entries reach. Phrases whose bounds together stay below it can't bring an entry among the best by
-    themselves, so of these only blocks with entries that another phrase has found are read. The result is a written table
-    (``lexical_limit`` rows for a query and corpus); all others are deleted.
+    Up to ``direct`` postings (the dictionary tells their number) all are scored, beyond that only promising ones are
+    (``_promising_parts``); the result is the same. It is a written table of ``lexical_limit`` rows at most for a query and
+    corpus; other tables that were written for it are deleted.
     """
-    key, made = ["phrase", "prefix", "corpus"], []
+    made: list[DataFrame] = []
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         made.append(written(df, name))
@@ -307,48 +360,14 @@ def bm25(index: Index, queries: DataFrame, cfg: EngineConfig) -> DataFrame:
 
     asked = kept(phrases(queries), "phrases")
     words = kept(spelled(index, asked.select("phrase", "prefix", "words").distinct()), "words")
+    postings, longest = words.agg(F.sum("df"), F.max("words")).first()
     stats = F.broadcast(statistics(index))  # a row for each corpus
-    single = words.where("words = 1")
-    # exact numbers of entries: of one word the dictionary's, of several the distinct ids of their blocks
-    spellings = single.groupBy(*key).agg(F.count("*").alias("m"), F.max("df").alias("df"), F.sum("max_f").alias("max_f"), F.min("min_dl").alias("min_dl"))
-    several = single.join(spellings.where("m > 1").select(*key), key)
-    ids = pruned(index, several).select("term", "corpus", "bucket", "ids", "gen").join(several.select(*key, "term", "bucket"), ["term", "corpus", "bucket"])
-    union = _rows(index, ids).groupBy(*key).agg(F.count_distinct("id").alias("_df")) if several.head(1) else None
-    if union is not None:
-        spellings = spellings.join(union, key, "left").withColumn("df", F.coalesce("_df", "df"))
-    runs = kept(phrase_hits(index, words.where("words > 1"), cfg), "runs") if words.where("words > 1").head(1) else None
-    bounds = kept(_weighted(spellings.select(*key, "df", "max_f", "min_dl"), stats).withColumn("bound", _part(cfg, "max_f", "min_dl")), "bounds")
-    weights = bounds.select(*key, "idf", "avgdl")
-    # a score that lexical_limit entries reach, by each query's most promising phrase
-    mine = asked.join(bounds.select(*key, "bound"), ["phrase", "prefix"]).select("qid", *key, "bound")
-    per = W.partitionBy("qid", "corpus")
-    leads = mine.withColumn("_n", F.row_number().over(per.orderBy(F.desc("bound"), "phrase", "prefix"))).where("_n = 1")
-    scored = lambda hits: hits.join(weights, key).select(*key, "id", _part(cfg).alias("part"))
-    lead = kept(scored(word_hits(index, single.join(leads.select(*key).distinct(), key, "left_semi"))), "lead")
-    reached = lead.withColumn("_n", F.row_number().over(W.partitionBy(*key).orderBy(F.desc("part")))).where(F.col("_n") <= cfg.lexical_limit)
-    reached = reached.where(F.col("_n") == cfg.lexical_limit).select(*key, (F.col("part") * (1 - 1e-9)).alias("reached"))
-    least = leads.join(reached, key).select("qid", "corpus", "reached")
-    together = F.sum("bound").over(per.orderBy("bound", "phrase", "prefix").rowsBetween(W.unboundedPreceding, 0))
-    split = mine.withColumn("_sum", together).join(least, ["qid", "corpus"], "left")
-    split = kept(split.select("qid", *key, F.coalesce(F.col("_sum") >= F.col("reached"), F.lit(True)).alias("essential")), "split")
-    essential = split.where("essential").select(*key).distinct()
-    more = single.join(essential, key, "left_semi").join(lead.select(*key).distinct(), key, "left_anti")
-    parts = lead.unionByName(scored(word_hits(index, more))) if more.head(1) else lead
-    if runs is not None:
-        df = runs.groupBy(*key).agg(F.count("*").alias("df"))
-        parts = parts.unionByName(runs.join(_weighted(df, stats), key).select(*key, "id", _part(cfg).alias("part")))
-    parts = kept(parts.join(asked.select("qid", "phrase", "prefix"), ["phrase", "prefix"]).select("qid", *key, "id", "part"), "parts")
-    rest = single.join(split.select(*key).distinct(), key, "left_semi").join(essential, key, "left_anti")
-    if rest.head(1):
-        found = parts.select("qid", "corpus", "id").distinct()
-        place = found.select("qid", "corpus", F.expr(f"id div {SPAN}").alias("block")).distinct()
-        wanted = split.join(essential, key, "left_anti").join(place, ["qid", "corpus"]).select(*key, "block").distinct()
-        probed = scored(word_hits(index, rest.join(wanted, key)))
-        probed = probed.join(asked.select("qid", "phrase", "prefix"), ["phrase", "prefix"]).join(found, ["qid", "corpus", "id"], "left_semi")
-        parts = parts.unionByName(probed.select(parts.columns))
+    runs = kept(phrase_hits(index, words.where("words > 1"), cfg), "runs") if (longest or 0) > 1 else None
+    parts = (_all_parts if (postings or 0) <= direct else _promising_parts)(index, asked, words, runs, stats, cfg, kept)
     total = F.aggregate(F.array_sort(F.collect_list("part")), F.lit(0.0), lambda s, x: s + x)  # a part for each phrase of the query
     scores = parts.groupBy("qid", "corpus", "id").agg((-total).alias("_score"))
-    ranked = scores.withColumn("rank", F.row_number().over(per.orderBy("_score", "id"))).where(F.col("rank") <= cfg.lexical_limit)
+    rank = F.row_number().over(W.partitionBy("qid", "corpus").orderBy("_score", "id"))
+    ranked = scores.withColumn("rank", rank).where(F.col("rank") <= cfg.lexical_limit)
     out = written(ranked.select("qid", "corpus", "id", (F.round("_score", 4) + F.lit(0.0)).alias("score"), "rank"), "lexical-ranks")
     discard(*made)
     return out

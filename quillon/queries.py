@@ -208,6 +208,41 @@ def bm25_document_frequency(spark, sf_dir):
     return lexical.document_frequency(lexical_index(spark, sf_dir))
 
 
+def earlier_entries(spark, sf_dir) -> DataFrame:
+    """Entries as they might have been: some hundredths had other texts, were not there yet, or have gone since."""
+    e = entries(spark, sf_dir).select("corpus", "id", "title", "summary", "content")
+    other = F.concat(F.lit("former words "), "content")
+    was = e.where("id % 100 <> 1").withColumn("content", F.when(F.col("id") % 100 == 0, other).otherwise(F.col("content")))
+    return was.union(e.where("id % 100 = 2").withColumn("id", -F.col("id")))
+
+
+def refreshed(spark, sf_dir) -> tuple[DataFrame, lexical.Index]:
+    path = new_folder(spark, "lexical")
+    lexical.build(earlier_entries(spark, sf_dir), CFG, path)
+    before = lexical.read(spark, path)
+    lexical.refresh(entries(spark, sf_dir), CFG, path)
+    return before, lexical.read(spark, path)
+
+
+@query(f"""WITH {ENT} SELECT corpus, id, 'changed' AS change FROM entries WHERE id % 100 = 0 AND content IS NOT NULL UNION ALL SELECT corpus, id, 'new' FROM entries WHERE id % 100 = 1 UNION ALL SELECT corpus, -id, 'gone' FROM entries WHERE id % 100 = 2""")
+def index_changes(spark, sf_dir):
+    """What differs between the entries and an index of earlier ones, by their texts' hashes."""
+    return lexical.changes(entries(spark, sf_dir), lexical.index_of(earlier_entries(spark, sf_dir), CFG))
+
+
+@query(f"WITH {TOKENS} SELECT corpus, term, count(DISTINCT id) AS df FROM tok GROUP BY corpus, term")
+def index_refresh(spark, sf_dir):
+    """An index of earlier entries brought up to date by what changed: the same numbers as of an index made anew."""
+    return lexical.document_frequency(refreshed(spark, sf_dir)[1])
+
+
+@query(f"WITH {BM25} SELECT qid, corpus, id, score, rank FROM lex")
+def bm25_refreshed(spark, sf_dir):
+    """Searches of an index that was brought up to date, with every phrase that can't matter left out."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return lexical.bm25(refreshed(spark, sf_dir)[1], q, CFG, direct=0)
+
+
 @query(f"""WITH {BM25}, vq AS (SELECT b.item_id AS qid, cv.corpus, cv.id, 1 - greatest(-1, least(1, list_cosine_similarity(q.x, cv.x))) AS d FROM benchmark b JOIN ({"SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"}) q ON q.id = b.item_id,
   (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, corpus FROM embeddings JOIN entries ON id = vec_id) cv),
 sem AS (SELECT * FROM (SELECT qid, corpus, id, round(d, 4) AS distance, row_number() OVER (PARTITION BY qid, corpus ORDER BY round(d, 4), id) AS rank FROM vq WHERE d <= 0.85) WHERE rank <= 25),

@@ -145,7 +145,7 @@ def test_lexical_lane_equals_sqlite(spark):
     same_ranks(got, found, 100)
     index = lexical.index_of(df, EngineConfig())
     for limit in (1, 5, 20):  # limits that leave phrases out
-        cut = lexical.bm25(index, spark.createDataFrame(queries, "qid long, text string"), EngineConfig(lexical_limit=limit))
+        cut = lexical.bm25(index, spark.createDataFrame(queries, "qid long, text string"), EngineConfig(lexical_limit=limit), direct=0)
         same_ranks({(r.qid, r.corpus, r.id): (r.score, r["rank"]) for r in cut.collect()}, found, limit)
 
 
@@ -165,6 +165,66 @@ def same_ranks(got, found, limit):
             assert i == j or abs(theirs[i] - score) < 1e-12
 
 
+def scanned(df):
+    """What the Parquet scan of a plan read: (its text, files, rows)."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaf = plan.collectLeaves().head()
+    if leaf.nodeName().startswith("AdaptiveSparkPlan"):
+        leaf = leaf.executedPlan().collectLeaves().head()
+    metrics = leaf.metrics()
+    return plan.toString(), metrics.apply("numFiles").value(), metrics.apply("numOutputRows").value()
+
+
+def test_searches_read_what_they_ask_for(spark):
+    from quillon.config import EngineConfig
+    from quillon.operators import lexical
+
+    rows = [("ai", k, f"title{k % 50}", None, f"network word{k} common") for k in range(400)]
+    index = lexical.index_of(spark.createDataFrame(rows, "corpus string, id long, title string, summary string, content string"), EngineConfig())
+    words = spark.createDataFrame([("word7", 0), ("network", 0)], "term string, b int").select("term", lexical.bucket("term").alias("bucket"))
+    _, all_files, all_rows = scanned(index.postings)
+    text, files, read = scanned(lexical.pruned(index, words))
+    assert all_rows > 450 and files <= 2 < all_files and read < all_rows / 5
+    assert "In(term, [network,word7])" in text and "bucket#" in text.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_lexical_index_takes_what_changed(spark, tmp_path):
+    """A refreshed index gives what a new one gives; a generation has the postings of changed entries only."""
+    import random
+
+    from quillon.config import EngineConfig
+    from quillon.operators import lexical
+
+    rng, cfg, path = random.Random(3), EngineConfig(lexical_limit=7), str(tmp_path / "index")
+    text = lambda n: " ".join(rng.choice("network bridge dns pi-hole café keys relation hosting v2.5 serverima".split()) for _ in range(rng.randint(0, n)))
+    schema = "corpus string, id long, title string, summary string, content string"
+    entries = {k: ("homelab" if k % 3 else "ai", k, text(3), None, text(20)) for k in range(200)}
+    frame = lambda: spark.createDataFrame(list(entries.values()), schema)
+    queries = spark.createDataFrame([(k, text(5)) for k in range(10)], "qid long, text string")
+    lexical.build(frame(), cfg, path)
+    assert lexical.refresh(frame(), cfg, path) == {} and lexical.generations(spark, path) == [0]
+    for turn in (1, 2):
+        gone, changed, new = [turn * 10, turn * 10 + 1], [5, turn * 20 + 3], [300 + turn]
+        for k in gone:
+            del entries[k]
+        for k in changed:
+            entries[k] = (*entries[k][:4], f"changed {turn} " + text(9))
+        for k in new:
+            entries[k] = ("ai", k, "new", text(3), text(9))
+        assert lexical.refresh(frame(), cfg, path) == {"gone": 2, "changed": 2, "new": 1}
+        index = lexical.read(spark, path)
+        ids = index.postings.where(f"gen = {turn}").selectExpr("explode(ids) as id").distinct()
+        assert {r.id for r in ids.collect()} == {*changed, *new}
+        fresh = lexical.index_of(frame(), cfg)
+        same = lambda f: sorted(map(tuple, f(index).collect())) == sorted(map(tuple, f(fresh).collect()))
+        assert same(lexical.document_frequency) and same(lexical.statistics)
+        assert same(lambda i: lexical.bm25(i, queries, cfg)) and same(lambda i: lexical.bm25(i, queries, cfg, direct=0))
+        assert same(lambda i: lexical.bm25(i.of(["ai"]), queries, cfg)) and lexical.changes(frame(), index).count() == 0
+    lexical.build(frame(), cfg, path)
+    assert lexical.generations(spark, path) == [3]
+
+
 def test_lexical_index_follows_its_source(spark, tmp_path):
     from quillon.config import EngineConfig
     from quillon.operators.lexical import LexicalIndex
