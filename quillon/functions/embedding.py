@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
-import math
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -14,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..workspace import written
 from .synthesis import without_thoughts
 from .text import query_terms, stemmed_tokens
 
-#: Numbers of a vector, bytes of a request, and the two ways to embed.
-DIMENSION, MOST_REQUEST, MODES = 768, 64 * 1024, ("query", "passage")
+#: Numbers of a vector, texts that a model gets at a time, and the two ways to embed.
+DIMENSION, TOGETHER, MODES = 768, 50, ("query", "passage")
 
 
 class Embedder(Protocol):
@@ -28,6 +27,9 @@ class Embedder(Protocol):
 
 
 class Scorer(Protocol):
+    """Judges pairs of a query and a text. One with a tokenizer also has ``offsets`` (a text's tokens as characters),
+    ``limit`` and ``special`` (``passages.WordTokenizer``), by which long texts are cut for it."""
+
     def predict(self, pairs: list[tuple[str, str]]) -> list[float]: ...
 
 
@@ -62,57 +64,38 @@ class OverlapScorer:
         return out
 
 
-def parse_request(raw: bytes) -> tuple[str, str]:
-    """Mode and text of a request: a line of plain text (a query), or JSON with exactly mode and text."""
-    if len(raw) > MOST_REQUEST:
-        raise ValueError("the request is too long")
-    line = raw.split(b"\n", 1)[0].decode().strip()
-    if not line:
-        raise ValueError("the request is empty")
-    try:
-        request = json.loads(line)
-    except ValueError:
-        request = None
-    if not isinstance(request, dict) or "mode" not in request:
-        return "query", line
-    text = request.get("text")
-    if request.keys() != {"mode", "text"} or request["mode"] not in MODES or not isinstance(text, str) or not text.strip():
-        raise ValueError("the request has another form")
-    return request["mode"], text.strip()
-
-
-def embed_one(model: Embedder, text: str, mode: str, dimension: int = DIMENSION) -> list[float]:
-    """A vector of the right size with finite numbers, else ValueError."""
-    batch = list(model.passage_embed([text]) if mode == "passage" else model.query_embed([text]))
-    vector = [float(v) for v in batch[0]] if len(batch) == 1 else []
-    if len(vector) != dimension or not all(map(math.isfinite, vector)):
-        raise ValueError("the model gave no vector")
-    return vector
-
-
-def answer(model: Embedder, raw: bytes, dimension: int = DIMENSION) -> bytes:
-    """A service's answer to a request: the vector as JSON, ``null`` where there is none."""
+def vectors_of(model: Embedder, texts: list[str], mode: str, dimension: int = DIMENSION) -> list[list[float] | None]:
+    """Vectors of texts, None where the model gives none of the right size and with finite numbers.
+
+    The texts go to the model together; only where that fails is each asked for alone.
+    """
+    ask = model.passage_embed if mode == "passage" else model.query_embed
     try:
-        return json.dumps(embed_one(model, *reversed(parse_request(raw)), dimension)).encode() + b"\n"
-    except Exception:
-        return b"null\n"
+        made = np.array([np.asarray(v, float) for v in ask(texts)])
+    except Exception:  # whatever a model raises: the texts are tried one by one
+        made = np.zeros(0)
+    if made.shape == (len(texts), dimension) and np.isfinite(made).all():
+        return made.tolist()
+    return [None] if len(texts) == 1 else [vector for t in texts for vector in vectors_of(model, [t], mode, dimension)]
 
 
-def embedded(make: Callable[[], Embedder], text: Column, mode: str = "passage", dimension: int = DIMENSION) -> Column:
-    """Vectors of texts; null for blank texts and where the model fails. ``make`` runs once in each Python worker."""
+def embedded(make: Callable[[], Embedder], text: Column, mode: str = "passage", dimension: int = DIMENSION, together: int = TOGETHER) -> Column:
+    """Vectors of texts; null for blank texts and where the model fails. ``make`` runs once in each Python worker, and the
+    model gets ``together`` texts at a time."""
+    if mode not in MODES:
+        raise ValueError(f"no mode {mode!r}")
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = make()
-
-        def one(t):
-            try:
-                return embed_one(model, t, mode, dimension) if t and t.strip() else None
-            except ValueError:
-                return None
-
         for texts in batches:
-            yield texts.map(one)
+            out = pd.Series([None] * len(texts), dtype=object)
+            asked = np.flatnonzero(texts.fillna("").str.strip() != "")
+            for at in range(0, len(asked), together):
+                some = asked[at : at + together]
+                for k, vector in zip(some, vectors_of(model, texts.iloc[some].str.strip().tolist() if mode == "query" else texts.iloc[some].tolist(), mode, dimension)):
+                    out.iat[k] = vector
+            yield out
 
     return run(text)
 
@@ -124,14 +107,19 @@ def embed_text(title: Column, summary: Column, content: Column, tags: Column) ->
 
 
 def embed_entries(entries: DataFrame, make: Callable[[], Embedder], dimension: int = DIMENSION) -> tuple[DataFrame, DataFrame]:
-    """Vectors (corpus, id, x) of entries that have a text, and the entries (corpus, id) whose embedding failed."""
+    """Vectors (corpus, id, x) of entries that have a text, and the entries (corpus, id) whose embedding failed.
+
+    The model runs once: both are read from a written table.
+    """
     text = embed_text(F.col("title"), F.col("summary"), F.col("content"), F.col("tags"))
-    made = entries.select("corpus", "id", text.alias("text")).where(F.trim("text") != "").withColumn("x", embedded(make, F.col("text"), "passage", dimension))
-    return made.where("x is not null").select("corpus", "id", "x"), made.where("x is null").select("corpus", "id")
+    asked = entries.select("corpus", "id", text.alias("text")).where(F.trim("text") != "")
+    made = written(asked.select("corpus", "id", embedded(make, F.col("text"), "passage", dimension).alias("x")), "vectors")
+    return made.where("x is not null"), made.where("x is null").select("corpus", "id")
 
 
-def model_relevance(make: Callable[[], Scorer], query: Column, passage: Column) -> Column:
-    """A scorer's logits of pairs through the logistic curve, rounded to four digits; a number missing or not finite is an error."""
+def with_model_relevance(rows: DataFrame, make: Callable[[], Scorer], query: str, passage: str) -> DataFrame:
+    """Adds relevance: a scorer's logits of queries and passages through the logistic curve, rounded to four digits; a
+    number missing or not finite is an error."""
 
     @F.pandas_udf(T.DoubleType())
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -142,7 +130,7 @@ def model_relevance(make: Callable[[], Scorer], query: Column, passage: Column)
                 raise ValueError("the scorer gave no number for each pair")
             yield pd.Series(np.round(np.exp(-np.logaddexp(0, -logits)), 4))
 
-    return run(query, passage)
+    return rows.withColumn("relevance", run(query, passage))
 
 
 class KeywordRewriter:

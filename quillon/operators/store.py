@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import re
+import tempfile
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,11 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scoring import is_superseded
-from ..functions.text import redact, redact_udf
+from ..functions.text import may_hold_secret, redact, redact_udf
 from ..workspace import written
 from .lineage import MARKER
 
 KEY = ["corpus", "id"]
+#: What stands between the line that names a replacement and the history.
+NOTICE = "The operational guidance below is historical and must not be followed. Use the replacement records above for the current interpreter mapping."
+HISTORY = "--- Historical incident content ---"
 
 
 def parse_ref(ref: str) -> tuple[str, int]:
@@ -41,21 +46,22 @@ def add(entries: DataFrame, new: DataFrame) -> DataFrame:
 
 def supersede_entries(entries: DataFrame, replaced: DataFrame) -> DataFrame:
     """Mark entries as replaced (``replaced``: corpus, id, refs): the title's prefix, a first line that names the
-    replacement, and a new embedding due. The same replacement again changes nothing; another one swaps the line."""
+    replacement, a notice before the history, and compilation and embedding due anew.
+
+    The same replacement again changes nothing; another one swaps the first line only.
+    """
     e = entries.join(replaced, KEY, "left")
-    line = F.concat(F.lit(MARKER), "refs")
-    first = F.split_part("content", F.lit("\n"), F.lit(1))
-    marked = first.startswith(MARKER)
-    rest = F.when(marked, F.expr("substring(content, length(split_part(content, '\n', 1)) + 2)")).otherwise(F.col("content"))
-    change = F.col("refs").isNotNull() & (first != line)
-    title = F.when(is_superseded(F.col("title")), F.col("title")).otherwise(F.concat(F.lit("[SUPERSEDED] "), "title"))
-    return (
-        e.withColumn("_new", change)
-        .withColumn("content", F.when(F.col("_new"), F.concat(line, F.lit("\n"), rest)).otherwise(F.col("content")))
-        .withColumn("title", F.when(F.col("refs").isNotNull(), title).otherwise(F.col("title")))
-        .withColumn("embedded_at", F.when(F.col("_new"), F.lit(None)).otherwise(F.col("embedded_at")))
-        .drop("refs", "_new")
-    )
+    line, body = F.concat(F.lit(MARKER), "refs"), F.coalesce("content", F.lit(""))
+    first = F.split_part(body, F.lit("\n"), F.lit(1))
+    change, marked = F.col("refs").isNotNull() & (first != line), first.startswith(MARKER)
+    rest = F.substring(body, F.length(first) + 2, F.length(body))
+    content = F.when(marked, F.concat(line, F.lit("\n"), rest)).otherwise(F.concat(line, F.lit(f"\n\n{NOTICE}\n\n{HISTORY}\n\n"), body))
+    named = F.coalesce("title", F.lit(""))
+    title = F.when(marked | is_superseded(named), F.col("title")).otherwise(F.concat(F.lit("[SUPERSEDED] "), named))
+    due = {c: F.when(F.col("_new"), F.lit(None)).otherwise(F.col(c)) for c in ("embedded_at", "compiled_at") if c in entries.columns}
+    out = e.withColumns({"_new": change, "_content": content, "_title": title}).withColumns(due)
+    out = out.withColumns({c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)) for c in ("content", "title")})
+    return out.select(entries.columns)
 
 
 def retire(entries: DataFrame, vectors: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -116,8 +122,9 @@ def quarantine(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     A rule that only logs changes nothing and makes no row of its own.
     """
     made = entries
-    for c in TEXTS:
-        made = made.withColumn(f"_{c}", redact_udf(F.coalesce(c, F.lit(""))))
+    for c in TEXTS:  # only texts that have what a rule needs go through Python
+        text = F.coalesce(c, F.lit(""))
+        made = made.withColumn(f"_{c}", F.when(may_hold_secret(text), redact_udf(text)).otherwise(F.struct(text.alias("text"), F.array().cast("array<string>").alias("rules"))))
     changed = F.lit(False)
     for c in TEXTS:
         changed = changed | (F.col(f"_{c}.text") != F.coalesce(F.col(c), F.lit("")))
@@ -179,11 +186,44 @@ def raw_files(entries: DataFrame) -> DataFrame:
     entries = entries if "type" in entries.columns else entries.withColumn("type", F.lit("note"))
     folder = F.when(F.col("type") == "note", "notes").otherwise("urls")
     name = F.concat(folder, F.lit("/"), day, F.lit("-"), slug(F.col("title"), F.col("id")), F.lit(".md"))
-    quoted = F.udf(lambda v: encode_value(v or ""), T.StringType(), useArrow=True)
+    quoted = lambda c: F.regexp_extract(F.to_json(F.struct(F.coalesce(c, F.lit("")).alias("v"))), r'(?s)^\{"v":(".*")\}$', 1)
     head = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("type: "), "type"), F.concat(F.lit("title: "), quoted("title")), F.concat(F.lit("tags: "), quoted("tags")), F.concat(F.lit("saved: "), F.coalesce(F.col("created_at").cast("string"), F.lit(""))), F.lit("---"))
     return entries.select(*KEY, name.alias("name"), F.concat(head, F.lit("\n\n"), F.coalesce("content", F.lit(""))).alias("text"))
 
 
+def replace_raw_files(entries: DataFrame) -> DataFrame:
+    """Write the raw files of entries anew at their raw_path, each in one step; raw_path and the bytes written.
+
+    A reader, or a task that runs again, finds the old text or the new one. Lazy: files are written when the result is read.
+    """
+
+    def run(frames):
+        for f in frames:
+            for path, text in zip(f.raw_path, f.text):
+                handle, made = tempfile.mkstemp(dir=os.path.dirname(path))
+                with open(handle, "w", encoding="utf-8") as out:
+                    out.write(text)
+                os.replace(made, path)  # mkstemp's mode, 0600, stays
+            yield pd.DataFrame({"raw_path": f.raw_path, "bytes": [len(t.encode()) for t in f.text]})
+
+    texts = raw_files(entries).join(entries.select(*KEY, "raw_path"), KEY)
+    return texts.select("raw_path", "text").mapInPandas(run, "raw_path string, bytes long")
+
+
+def remove_raw_files(entries: DataFrame) -> DataFrame:
+    """Delete the raw files of entries (raw_path); raw_path and removed (False: it was gone). Lazy."""
+
+    def run(frames):
+        for f in frames:
+            there = [os.path.exists(p) for p in f.raw_path]
+            for path in f.raw_path:
+                with contextlib.suppress(FileNotFoundError):
+                    os.unlink(path)
+            yield pd.DataFrame({"raw_path": f.raw_path, "removed": there})
+
+    return entries.where("raw_path <> ''").select("raw_path").mapInPandas(run, "raw_path string, removed boolean")
+
+
 def write_raw_files(entries: DataFrame, folder: str) -> DataFrame:
     """Write raw files that aren't there yet, below a folder that all executors see; name and written (False: it was there).
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.embedding import DIMENSION, Embedder, embed_entries
 from ..operators import integrity, lineage, store
-from ..workspace import written
+from ..workspace import discard, written
 
 EDGES, META = "src_corpus string, src_id long, dst_corpus string, dst_id long", "key string, value string"
 
@@ -54,8 +54,11 @@ class CorpusStore:
         self.put(entries=store.add(self.table("entries"), new))
 
     def supersede(self, ref: str, replacements: list[str]) -> None:
-        """Mark an entry as replaced and put its edges in place of its old ones; ValueError names what is wrong, and then
-        nothing is changed."""
+        """Mark an entry as replaced, in its raw file too, and put its edges in place of its old ones; ValueError names what
+        is wrong, and then nothing is changed. An entry without a raw file is refused rather than marked in part.
+
+        The raw file is written first, in one step: after a fault the entry is as it was, and marking it again ends well.
+        """
         (corpus, number), targets = store.parse_ref(ref), [store.parse_ref(r) for r in replacements]
         names = [f"{c}:{n}" for c, n in targets]
         wanted = self.spark.createDataFrame([(f"{corpus}:{number}", names)], "src string, dsts array<string>")
@@ -63,21 +66,30 @@ class CorpusStore:
         errors = sorted(f"{r.dst or ref}: {r.error}" for r in lineage.write_errors(self._refs(edges), wanted, known).collect())
         if not known.where(F.col("node") == f"{corpus}:{number}").head(1):
             errors.append(f"{ref}: no such entry")
+        entries, of = self.table("entries"), (F.col("corpus") == corpus) & (F.col("id") == number)
+        if not errors and not entries.where(of & (F.col("raw_path") != "")).head(1):
+            errors.append(f"{ref}: no raw file; it would be marked in part")
         if errors:
             raise ValueError("; ".join(errors))
         line = self.spark.createDataFrame([(corpus, number, ", ".join(names))], "corpus string, id long, refs string")
         new = self.spark.createDataFrame([(corpus, number, *t) for t in targets], EDGES)
-        self.put(entries=store.supersede_entries(self.table("entries"), line), edges=lineage.replace_edges(edges, new))
+        marked = store.supersede_entries(entries, line)
+        store.replace_raw_files(marked.where(of).exceptAll(entries.where(of))).collect()
+        self.put(entries=marked, edges=lineage.replace_edges(edges, new))
 
     def retire(self, ref: str) -> str:
-        """Take an entry out of vectors, then of entries; what was found of it. LookupError if it is nowhere."""
+        """Take an entry out of vectors, then of entries, then its raw file; what was found of it. LookupError if it is
+        nowhere. After a fault the health check tells of what is left, and retiring it again ends well."""
         corpus, number = store.parse_ref(ref)
         gone = self.spark.createDataFrame([(corpus, number)], "corpus string, id long")
         entries, vectors, report = store.retire(self.table("entries"), self.table("vectors"), gone)
         found = report.first().found
         if found == "nothing":
             raise LookupError(ref)
+        raw = written(self.table("entries").join(gone, store.KEY, "left_semi").select("raw_path"), "raw")
         self.put(vectors=vectors, entries=entries)
+        store.remove_raw_files(raw).collect()
+        discard(raw)
         return found
 
     def rebuild_edges(self) -> tuple[DataFrame, list[str]]:
@@ -112,11 +124,16 @@ class CorpusStore:
 
     def embed_pending(self, make: Callable[[], Embedder], now, dimension: int = DIMENSION) -> dict:
         """Vectors for entries that wait for one: secrets are taken out first, failures wait on, and vectors of entries that
-        vanished meanwhile go. Running it again changes nothing."""
-        entries, found = store.quarantine(self.table("entries")) if set(store.TEXTS) <= set(self.table("entries").columns) else (self.table("entries"), None)
-        secrets = written(found, "quarantine").count() if found is not None else 0
-        made, failed = embed_entries(entries.where("embedded_at is null"), make, dimension)
-        made = written(made, "vectors")
+        vanished meanwhile go. Only waiting entries are looked at, and the model sees each once. Running it again changes
+        nothing."""
+        entries = self.table("entries")
+        waiting, found = entries.where("embedded_at is null"), None
+        if set(store.TEXTS) <= set(entries.columns):
+            waiting, found = store.quarantine(waiting)
+        waiting = written(waiting, "waiting")
+        entries = entries.where("embedded_at is not null").unionByName(waiting)
+        secrets = found.count() if found is not None else 0
+        made, failed = embed_entries(waiting, make, dimension)
         stamped, vanished = store.mark_embedded(entries, made, now)
         vectors = store.remove_late(store.upsert(self.table("vectors"), made, store.KEY), entries)
         counts = {"embedded": made.count(), "failed": failed.count(), "vanished": vanished.count(), "quarantined": secrets}

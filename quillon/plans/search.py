@@ -10,12 +10,12 @@ from pyspark.sql import Window as W
 
 from ..config import CORPORA, EngineConfig
 from ..functions import scoring as S
-from ..functions.embedding import DIMENSION, embedded, model_relevance
-from ..functions.text import passage_udf
+from ..functions.embedding import DIMENSION, embedded, with_model_relevance
+from ..functions.passages import with_passage
 from ..operators import fusion, lexical, vector
 from ..operators.querylog import audit_line
 from ..operators.relations import with_warnings
-from ..workspace import written
+from ..workspace import discard, written
 
 
 class RequestError(ValueError):
@@ -76,6 +76,17 @@ class SearchEngine:
         self.entries, self.vectors, self.cfg, self.newer, self.index = entries, vectors, cfg, newer, index
         self.embedder, self.scorer, self.dimension = embedder, scorer, dimension
         self.status: dict[str, str] = {}
+        self._made: list[DataFrame] = []
+
+    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+        """A written table, which ``forget`` deletes."""
+        self._made.append(written(df, name))
+        return self._made[-1]
+
+    def forget(self) -> None:
+        """Delete the tables that searches wrote: none of their results can be read after it."""
+        discard(*self._made)
+        self._made.clear()
 
     def queries(self, texts: DataFrame) -> DataFrame:
         """qid, text and qx of query texts (qid, text); an error where the embedder gives no vector."""
@@ -111,7 +122,9 @@ class SearchEngine:
         elif index is None:
             index = self.index = lexical.index_of(self.entries, cfg)
         index = index.of(corpora) if corpora else index
-        merged = fusion.hybrid_merge(semantic, lexical.bm25(index, queries, cfg), cfg)
+        found = lexical.bm25(index, queries, cfg)
+        self._made.append(found)
+        merged = fusion.hybrid_merge(semantic, found, cfg)
         flags = semantic.select("qid", "corpus", "id", "from_primary", "alternate_rank")
         out = merged.join(flags, ["qid", "corpus", "id"], "left")
         primary = F.when(F.col("from_lexical"), True).otherwise(F.col("from_primary"))  # lexical rows count as first-hand
@@ -126,8 +139,8 @@ class SearchEngine:
         if self.scorer is not None and queries is not None:
             e = self.entries.select("corpus", "id", "title", "tags", "created_at", F.coalesce(F.nullif("content", F.lit("")), "summary").alias("_body"))
             c = candidates.join(e, ["corpus", "id"]).join(queries.select("qid", F.col("text").alias("_query")), "qid")
-            passage = passage_udf("_query", F.concat_ws("\n", "title", "_body"))
-            c = c.withColumn("relevance", model_relevance(self.scorer, F.col("_query"), passage)).drop("_body", "_query")
+            seen = self._kept(with_passage(c, self.scorer, "_query", "_body", "_passage").drop("_body"), "passages")
+            c = with_model_relevance(seen, self.scorer, "_query", "_passage").drop("_passage", "_query")
         else:
             texts = self.entries.select("corpus", "id", "title", "tags", "created_at")
             c = candidates.join(texts, ["corpus", "id"]).withColumn("relevance", S.relevance(F.col("distance"), cfg))
@@ -169,8 +182,8 @@ class SearchEngine:
         wanted = list(CORPORA) if request.scope == "both" else [request.scope]
         gone = [c for c in wanted if c not in corpora]
         chosen = corpora[0] if len(corpora) == 1 else request.scope
-        found = written(self.candidates(queries, corpora=corpora), "candidates")
-        results = written(self.ranked(self.scored(found, queries if "text" in queries.columns else None)).where(F.col("place") <= request.top_k), "results")
+        found = self._kept(self.candidates(queries, corpora=corpora), "candidates")
+        results = self._kept(self.ranked(self.scored(found, queries if "text" in queries.columns else None)).where(F.col("place") <= request.top_k), "results")
         newer = "newer" if "newer" in results.columns else F.lit(None).cast("array<string>")
         shown = F.struct("place", "ref", "title", "relevance", "final_score", "link")
         mine = lambda c: F.array_sort(F.collect_list(F.when(F.col("corpus") == c, shown)))
@@ -198,7 +211,7 @@ class SearchEngine:
     def scanned(self, queries: DataFrame) -> DataFrame:
         """All distances of queries, as a written table: a trace reads them several times."""
         d = vector.distances(queries.select("qid", "qx"), self.vectors)
-        return written(d.select("qid", "corpus", "id", "d", F.round("d", 4).alias("distance")), "distances")
+        return self._kept(d.select("qid", "corpus", "id", "d", F.round("d", 4).alias("distance")), "distances")
 
     def stages(self, queries: DataFrame) -> DataFrame:
         """qid, corpus, stage, count, entries: how many vectors are left after each stage, and the first of them in order.
@@ -212,7 +225,7 @@ class SearchEngine:
         first = lambda rows, n: rows.withColumn("place", F.row_number().over(W.partitionBy(*key).orderBy("distance", "id"))).where(F.col("place") <= n)
         candidates = first(near, cfg.candidate_k).withColumn("rank", F.col("place"))
         plain = candidates.withColumn("from_primary", F.lit(True)).withColumn("alternate_rank", F.lit(None).cast("int")).withColumnRenamed("rank", "pos").drop("place", "d")
-        scored = written(self.scored(plain.withColumn("from_lexical", F.lit(False))), "scored")
+        scored = self._kept(self.scored(plain.withColumn("from_lexical", F.lit(False))), "scored")
         kept = scored.where(F.col("relevance") >= cfg.reject)
         place = lambda *order: F.row_number().over(W.partitionBy(*key).orderBy(*order))
         blank = {"title": F.lit(None).cast("string"), "relevance": F.lit(None).cast("double"), "final_score": F.lit(None).cast("double")}

@@ -243,13 +243,16 @@ def bm25_refreshed(spark, sf_dir):
     return lexical.bm25(refreshed(spark, sf_dir)[1], q, CFG, direct=0)
 
 
-@query(f"""WITH {BM25}, vq AS (SELECT b.item_id AS qid, cv.corpus, cv.id, 1 - greatest(-1, least(1, list_cosine_similarity(q.x, cv.x))) AS d FROM benchmark b JOIN ({"SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"}) q ON q.id = b.item_id,
+HYBRID = f"""vq AS (SELECT b.item_id AS qid, cv.corpus, cv.id, 1 - greatest(-1, least(1, list_cosine_similarity(q.x, cv.x))) AS d FROM benchmark b JOIN ({"SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"}) q ON q.id = b.item_id,
   (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, corpus FROM embeddings JOIN entries ON id = vec_id) cv),
 sem AS (SELECT * FROM (SELECT qid, corpus, id, round(d, 4) AS distance, row_number() OVER (PARTITION BY qid, corpus ORDER BY round(d, 4), id) AS rank FROM vq WHERE d <= 0.85) WHERE rank <= 25),
 head AS (SELECT qid, corpus, id, distance, false AS from_lexical, 0 AS part, rank AS ord FROM sem WHERE rank <= 20),
 new AS (SELECT qid, corpus, id, 0.85 AS distance, true AS from_lexical, 1 AS part, ord FROM (SELECT l.*, row_number() OVER (PARTITION BY l.qid, l.corpus ORDER BY l.rank) AS ord FROM lex l ANTI JOIN head h ON h.qid = l.qid AND h.corpus = l.corpus AND h.id = l.id) WHERE ord <= 5),
-rest AS (SELECT s.qid, s.corpus, s.id, distance, false, 2, rank FROM (SELECT * FROM sem WHERE rank > 20) s ANTI JOIN new n ON n.qid = s.qid AND n.corpus = s.corpus AND n.id = s.id)
-SELECT qid, corpus, id, distance, from_lexical, pos FROM (SELECT *, row_number() OVER (PARTITION BY qid, corpus ORDER BY part, ord) AS pos FROM (SELECT * FROM head UNION ALL SELECT * FROM new UNION ALL SELECT * FROM rest)) WHERE pos <= 25 OR part < 2""")
+rest AS (SELECT s.qid, s.corpus, s.id, distance, false, 2, rank FROM (SELECT * FROM sem WHERE rank > 20) s ANTI JOIN new n ON n.qid = s.qid AND n.corpus = s.corpus AND n.id = s.id),
+merged AS (SELECT qid, corpus, id, distance, from_lexical, pos FROM (SELECT *, row_number() OVER (PARTITION BY qid, corpus ORDER BY part, ord) AS pos FROM (SELECT * FROM head UNION ALL SELECT * FROM new UNION ALL SELECT * FROM rest)) WHERE pos <= 25 OR part < 2)"""
+
+
+@query(f"WITH {BM25}, {HYBRID} SELECT qid, corpus, id, distance, from_lexical, pos FROM merged")
 def hybrid_merge(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     q = b.join(vectors(spark, sf_dir), b.item_id == F.col("id")).select(F.col("item_id").alias("qid"), F.col("x").alias("qx"))
@@ -456,7 +459,7 @@ def prune_orphan_vectors(spark, sf_dir):
 
 
 @query(f"""WITH {ENT} SELECT id, CASE WHEN id % 13 = 0 AND title NOT LIKE '[SUPERSEDED] %' THEN '[SUPERSEDED] ' || title ELSE title END AS title,
- CASE WHEN id % 13 = 0 THEN 'SUPERSEDED — use ' || corpus || ':' || (id + 1) || chr(10) || content ELSE content END AS content, id % 13 = 0 AS pending FROM entries""")
+ CASE WHEN id % 13 = 0 THEN 'SUPERSEDED — use ' || corpus || ':' || (id + 1) || chr(10) || chr(10) || 'The operational guidance below is historical and must not be followed. Use the replacement records above for the current interpreter mapping.' || chr(10) || chr(10) || '--- Historical incident content ---' || chr(10) || chr(10) || content ELSE content END AS content, id % 13 = 0 AS pending FROM entries""")
 def supersede(spark, sf_dir):
     from .operators.store import supersede_entries
 
@@ -988,18 +991,37 @@ def engine_hybrid(spark, sf_dir):
 
 @query()
 def redact_text(spark, sf_dir):
-    from .functions.text import redact_udf
-
-    return entries(spark, sf_dir).select("corpus", "id", redact_udf("content").alias("r")).select("corpus", "id", "r.text", "r.rules").where(F.size("rules") > 0)
-
-
-@query()
+    from .functions.text import may_hold_secret, redact_udf
+
+    may = entries(spark, sf_dir).where(may_hold_secret(F.col("content")))
+    return may.select("corpus", "id", redact_udf("content").alias("r")).select("corpus", "id", "r.text", "r.rules").where(F.size("rules") > 0)
+
+
+#: Windows of words as SQL: all windows of every candidate's text, the terms that they have, and the best of them.
+PASSAGES = f"""WITH {BM25}, {HYBRID},
+asked AS (SELECT b.item_id AS qid, b.text AS query, 125 - least(len(regexp_extract_all(b.text, '\\S+')), 63) AS room, (SELECT list(term ORDER BY term) FROM terms t WHERE t.qid = b.item_id) AS ts FROM benchmark b),
+cand AS (SELECT m.qid, m.corpus, m.id, coalesce(e.content, '') AS content, regexp_extract_all(coalesce(e.content, ''), '\\S+\\s*') AS toks, room, coalesce(ts, []) AS ts FROM merged m JOIN entries e ON e.corpus = m.corpus AND e.id = m.id JOIN asked a ON a.qid = m.qid),
+win AS (SELECT qid, corpus, id, ts, k, rtrim(array_to_string(toks[k + 1:k + room], ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM (SELECT *, unnest(range(0, len(toks), greatest(1, room // 2))) AS k FROM cand WHERE len(toks) > room)),
+fw AS (SELECT *, strip_accents(lower(t)) AS f, regexp_extract_all(strip_accents(lower(t)), '[\\p{{L}}\\p{{N}}]+(?:[-.][\\p{{L}}\\p{{N}}]+)*') AS ws FROM win),
+ww AS (SELECT * REPLACE (list_transform(list_filter(ws, lambda w: length(w) >= 2 AND NOT list_contains(STOPS, w)), lambda w: CASE WHEN list_has_any(ws, MARKS) AND regexp_full_match(w, '\\p{{L}}+') THEN {ENDING} ELSE w END) AS ws) FROM fw),
+hw AS (SELECT *, list_filter(ts, lambda s: len(list_filter(ws, lambda w: starts_with(w, s))) > 0) AS hits, count(*) OVER (PARTITION BY qid, corpus, id) AS n FROM ww),
+each AS (SELECT qid, corpus, id, k, f, n, unnest(hits) AS term FROM hw),
+wdf AS (SELECT qid, corpus, id, term, count(*) AS df FROM each GROUP BY ALL),
+cut AS (SELECT e.*, wdf.df, regexp_split_to_array(f, '\\b' || regexp_escape(e.term)) AS parts FROM each e JOIN wdf USING (qid, corpus, id, term)),
+worth AS (SELECT qid, corpus, id, k, list_sum(list_sort(list(ln(1 + n / (1 + df))))) AS cover, sum(coalesce(list_max(list_transform(range(1, len(parts)), lambda i: 1 - abs(list_sum(list_transform(parts[1:i], lambda p: length(p))) + (i - 1) * length(term) + length(term) / 2 - greatest(1, length(f)) / 2) / (greatest(1, length(f)) / 2))), 0)) AS centre FROM cut GROUP BY ALL),
+best AS (SELECT * FROM (SELECT hw.qid, hw.corpus, hw.id, t, row_number() OVER (PARTITION BY hw.qid, hw.corpus, hw.id ORDER BY coalesce(cover, 0) DESC, round(coalesce(centre, 0), 9) DESC, hw.k) AS o FROM hw LEFT JOIN worth w ON w.qid = hw.qid AND w.corpus = hw.corpus AND w.id = hw.id AND w.k = hw.k) WHERE o = 1)
+SELECT c.qid, c.corpus, c.id, coalesce(t, content) AS passage FROM cand c LEFT JOIN best b ON b.qid = c.qid AND b.corpus = c.corpus AND b.id = c.id"""
+PASSAGES = PASSAGES.replace("STOPS", sql_list(sorted(words.STOP_WORDS))).replace("MARKS", sql_list(sorted(words.SR_MARKERS)))
+
+
+@query(PASSAGES)
 def passage_select(spark, sf_dir):
-    from .functions.text import passage_udf
+    """What a scorer of words gets to see of every candidate's text."""
+    from .functions.passages import WordTokenizer, with_passage
 
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     found = hybrid_merge(spark, sf_dir).select("qid", "corpus", "id").join(q, "qid").join(entries(spark, sf_dir), ["corpus", "id"])
-    return found.select("qid", "corpus", "id", passage_udf("query", "content").alias("passage"))
+    return with_passage(found, WordTokenizer, "query", "content").select("qid", "corpus", "id", "passage")
 
 
 @query(f"WITH {TOKENS} SELECT term, count(*) AS count FROM tok WHERE col = 2 GROUP BY term")

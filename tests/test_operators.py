@@ -79,16 +79,17 @@ def test_lineage_cycle_and_chain(spark):
 
 
 def test_supersede_is_idempotent(spark):
-    e = spark.createDataFrame([("homelab", 1, "t", "body", "x"), ("ai", 1, "u", "other", "x")], "corpus string, id long, title string, content string, embedded_at string")
+    e = spark.createDataFrame([("homelab", 1, "t", "body", "x", "c"), ("ai", 1, "u", "other", "x", "c")], "corpus string, id long, title string, content string, embedded_at string, compiled_at string")
     to = lambda ref: spark.createDataFrame([("homelab", 1, ref)], "corpus string, id long, refs string")
     once = store.supersede_entries(e, to("ai:1"))
     row = {r.corpus: r for r in once.collect()}
-    assert row["homelab"].content == "SUPERSEDED — use ai:1\nbody" and row["homelab"].title == "[SUPERSEDED] t" and row["homelab"].embedded_at is None
-    assert row["ai"].embedded_at == "x"
+    history = f"\n\n{store.NOTICE}\n\n{store.HISTORY}\n\nbody"
+    assert row["homelab"].content == "SUPERSEDED — use ai:1" + history and row["homelab"].title == "[SUPERSEDED] t" and row["homelab"].embedded_at is None and row["homelab"].compiled_at is None
+    assert row["ai"].embedded_at == "x" and row["ai"].compiled_at == "c" and row["ai"].content == "other"
     again = store.supersede_entries(once.withColumn("embedded_at", F.lit("y")), to("ai:1")).where("corpus = 'homelab'").first()
     assert again.embedded_at == "y" and again.content == row["homelab"].content
     other = store.supersede_entries(once, to("ai:2")).where("corpus = 'homelab'").first()
-    assert other.content == "SUPERSEDED — use ai:2\nbody" and other.title == "[SUPERSEDED] t"
+    assert other.content == "SUPERSEDED — use ai:2" + history and other.title == "[SUPERSEDED] t"
 
 
 def test_retire(spark):

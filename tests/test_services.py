@@ -8,6 +8,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from quillon.config import EngineConfig
@@ -19,6 +20,8 @@ from quillon.plans.search import Request, RequestError, SearchEngine
 from quillon.sources import adapters, settings
 from quillon.streaming import ingest
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # Python workers can't import tests
+
 HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -77,28 +80,43 @@ def test_logged_stream(spark, tmp_path):
 # --- Models and answers ---------------------------------------------------------------------------------------------
 
 
-def test_embedding_requests():
-    assert embedding.parse_request(b"plain words\nmore") == ("query", "plain words")
-    assert embedding.parse_request(b'{"mode": "passage", "text": " x "}') == ("passage", "x")
-    assert embedding.parse_request(b'{"text": "x"}') == ("query", '{"text": "x"}') and embedding.parse_request(b"[1]") == ("query", "[1]")
-    for bad in (b"", b" \n", b'{"mode": "other", "text": "x"}', b'{"mode": "query", "text": " "}', b'{"mode": "query", "text": "x", "n": 1}', b"x" * 70_000):
-        with pytest.raises(ValueError):
-            embedding.parse_request(bad)
-    model = embedding.HashEmbedder()
-    vector = json.loads(embedding.answer(model, b"networks"))
-    assert len(vector) == 768 and sum(v * v for v in vector) == pytest.approx(1) and vector == embedding.embed_one(model, "network", "passage")
-    assert embedding.answer(model, b"") == b"null\n" and embedding.answer(model, b"x", dimension=5) == b"null\n"
+class Counts(embedding.HashEmbedder):
+    """Counts its calls and the texts in them; fails on lists with a bad text."""
 
+    def __init__(self, path=None):
+        super().__init__()
+        self.path = path
 
-def test_entries_are_embedded(spark):
-    class Fails(embedding.HashEmbedder):
-        def passage_embed(self, texts):
-            return ([float("nan")] * 768 for _ in texts) if "bad" in texts[0] else super().query_embed(texts)
+    def passage_embed(self, texts):
+        with open(self.path, "a") as out:
+            out.write(f"{len(texts)}\n")
+        if any("bad" in t for t in texts):
+            raise RuntimeError("no")
+        return super().query_embed(texts)
 
-    rows = [("ai", 1, "net", "", "x" * 9000, "a"), ("ai", 2, "", None, " ", ""), ("ai", 3, "bad", "", "", None)]
-    e = spark.createDataFrame(rows, "corpus string, id long, title string, summary string, content string, tags string")
-    made, failed = embedding.embed_entries(e, Fails)
-    assert [r.id for r in made.collect()] == [1] and [r.id for r in failed.collect()] == [3]
+
+def test_vectors_of_lists():
+    model = embedding.HashEmbedder()
+    two = embedding.vectors_of(model, ["network", "networks"], "query")
+    assert two[0] == two[1] and len(two[0]) == 768 and sum(v * v for v in two[0]) == pytest.approx(1)
+    assert embedding.vectors_of(model, ["x"], "passage", dimension=5) == [None]
+
+    class Odd(embedding.HashEmbedder):
+        def query_embed(self, texts):
+            return ([float("nan")] * 768 if "bad" in t else [1.0] * (5 if "short" in t else 768) for t in texts)
+
+    got = embedding.vectors_of(Odd(), ["a", "bad", "short", "b"], "query")
+    assert [v is None for v in got] == [False, True, True, False]
+
+
+def test_entries_are_embedded(spark, tmp_path):
+    calls = str(tmp_path / "calls")
+    rows = [("ai", 1, "net", "", "x" * 9000, "a"), ("ai", 2, "", None, " ", "")] + [("ai", k, f"t{k}", "", "", None) for k in range(10, 130)] + [("ai", 3, "bad", "", "", None)]
+    e = spark.createDataFrame(rows, "corpus string, id long, title string, summary string, content string, tags string").coalesce(1)
+    made, failed = embedding.embed_entries(e, lambda: Counts(calls))
+    assert made.count() == 121 and [r.id for r in failed.collect()] == [3] and made.count() == 121
+    sizes = [int(x) for x in open(calls)]
+    assert sorted(sizes) == sorted([50, 50, 22] + [1] * 22)  # the model ran once; the texts of the failed list went one by one
     text = e.select(embedding.embed_text(F.col("title"), F.col("summary"), F.col("content"), F.col("tags"))).first()[0]
     assert text == "Title: net\n" + "x" * 8000 + "\nTags: a"
 
@@ -144,7 +162,7 @@ def test_search_with_models(spark):
     engine = SearchEngine(e, v, EngineConfig(max_distance=2.0), embedder=embedding.HashEmbedder, scorer=embedding.OverlapScorer)
     q = engine.queries(spark.createDataFrame([(1, "plex transcoding"), (2, "docker bridge")], "qid long, text string"))
     got = {r.qid: r for r in engine.search(q).where("rank = 1").collect()}
-    assert (got[1].ref, got[2].ref) == ("ai:3", "homelab:1") and got[1].relevance == round(1 / (1 + np.exp(-5)), 4)
+    assert (got[1].ref, got[2].ref) == ("ai:3", "homelab:1") and got[1].relevance == round(1 / (1 + np.exp(-1)), 4)  # the text alone is judged: one of two words
     answer = {r.qid: r for r in engine.respond(q, Request("x")).collect()}
     assert answer[1].ranked[0] == "ai:3" and answer[1].ai["count"] == 1 and answer[1].homelab.searched and answer[1].lexical_candidates == 0  # all are in the semantic list
     audit = json.loads(answer[2].audit)
@@ -153,6 +171,10 @@ def test_search_with_models(spark):
     assert (half.selected_scope, half.routing_reason, half.degraded, half.homelab.available) == ("ai", "degraded_explicit_both", ["homelab"], False)
     with pytest.raises(RequestError):
         SearchEngine(e, v, EngineConfig()).queries(q)
+    folder = engine._made[0]._quillon_path.removeprefix("file://")
+    assert os.path.isdir(folder)
+    engine.forget()
+    assert not os.path.isdir(folder)
 
 
 def test_search_goes_on_without_its_index(spark, tmp_path):
@@ -294,11 +316,16 @@ def test_order_statistics(spark):
 def test_corpus_store(spark, tmp_path):
     from quillon.plans.corpus import CorpusStore
 
-    rows = [("ai", n, f"title {n}", "", f"text {n}", "", "2026-01-01 00:00:00", None, None) for n in (1, 2, 3)] + [("ai", 4, "t", "", "password: hunter2", "", "2026-01-01 00:00:00", "x", None)]
+    raw_file = lambda n: str(tmp_path / f"{n}.md")
+    rows = [("ai", n, f"title {n}", "", f"text {n}" + (" password: hunter2" if n == 3 else ""), "", "2026-01-01 00:00:00", None, raw_file(n)) for n in (1, 2, 3)] + [("ai", 4, "t", "", "password: hunter2", "", "2026-01-01 00:00:00", "x", None)]
+    for n in (1, 2, 3):
+        (tmp_path / f"{n}.md").write_text("raw")
     e = spark.createDataFrame(rows, "corpus string, id long, title string, summary string, content string, tags string, created_at string, embedded_at string, raw_path string")
     v = spark.createDataFrame([("ai", 4, [1.0] * 768), ("ai", 77, [1.0] * 768)], "corpus string, id long, x array<double>")
     c = CorpusStore.create(spark, str(tmp_path / "store"), e, v)
     assert c.embed_pending(embedding.HashEmbedder, F.lit("now")) == {"embedded": 3, "failed": 0, "vanished": 0, "quarantined": 1}
+    texts = {r.id: r.content for r in c.table("entries").collect()}
+    assert texts[3] == "text 3 password: <REDACTED>" and texts[4] == "password: hunter2"  # embedded entries aren't touched
     assert c.embed_pending(embedding.HashEmbedder, F.lit("now"))["embedded"] == 0
     assert sorted(r.id for r in c.table("vectors").collect()) == [1, 2, 3, 4]
     meta = integrity.METADATA | {"corpus": "ai", "embedding_model": "m", "embedding_dimension": 768, "created_at": "t"}
@@ -307,13 +334,16 @@ def test_corpus_store(spark, tmp_path):
     c.rebuild_edges()
     c.supersede("ai:1", ["ai:2"])
     c.supersede("ai:2", ["ai:3"])
+    raw = (tmp_path / "1.md").read_text()
+    assert raw.startswith('---\ntype: note\ntitle: "[SUPERSEDED] title 1"\n') and raw.endswith(f"\n---\n\nSUPERSEDED — use ai:2\n\n{store.NOTICE}\n\n{store.HISTORY}\n\ntext 1")
+    assert (tmp_path / "1.md").stat().st_mode & 0o777 == 0o600 and (tmp_path / "3.md").read_text() == "raw"
     got = c.history("ai:2")
     assert got["chain"] == ["ai:1", "ai:2", "ai:3"] and got["completeness"] == "complete" and not got["warnings"]
-    for ref, to, says in (("ai:3", ["ai:1"], "leads back"), ("ai:3", ["ai:3"], "replaces itself"), ("ai:3", ["ai:9"], "does not exist"), ("ai:3", [], "no replacement"), ("ai:8", ["ai:1"], "no such entry")):
+    for ref, to, says in (("ai:3", ["ai:1"], "leads back"), ("ai:3", ["ai:3"], "replaces itself"), ("ai:3", ["ai:9"], "does not exist"), ("ai:3", [], "no replacement"), ("ai:8", ["ai:1"], "no such entry"), ("ai:4", ["ai:3"], "no raw file")):
         with pytest.raises(ValueError, match=says):
             c.supersede(ref, to)
     assert c.health("ai", meta, "m")["edges"]["consistent"]
-    assert c.retire("ai:3") == "retired" and c.history("ai:1")["broken"] == [("ai:2", "ai:3")]
+    assert c.retire("ai:3") == "retired" and not (tmp_path / "3.md").exists() and (tmp_path / "2.md").exists() and c.history("ai:1")["broken"] == [("ai:2", "ai:3")]
     with pytest.raises(LookupError):
         c.retire("ai:3")
     report, warnings = c.rebuild_edges()

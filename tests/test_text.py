@@ -1,9 +1,14 @@
 import sqlite3
+import sys
 
 import pytest
+from pyspark import cloudpickle
 
+from quillon.functions import passages
 from quillon.functions import text as T
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # Python workers can't import tests
+
 
 @pytest.mark.parametrize("query, terms", [
     ("How do I restart the Docker container?", ["restart", "docker", "container"]),
@@ -41,11 +46,60 @@ def test_porter_equals_sqlite():
         assert con.execute("SELECT term FROM v").fetchone()[0] == T.porter(w), w
 
 
-def test_passage_holds_the_rare_term():
-    content = " ".join(["filler"] * 300 + ["wireguard"] + ["filler"] * 300)
-    got = T.select_passage("wireguard peers", content, limit=64)
-    assert "wireguard" in got and len(got.split()) < 64
-    assert T.select_passage("x", "short text") == "short text"
+class Letters:
+    """A tokenizer of letters; ``wide``: in a text that begins inside a word, that word counts twice."""
+
+    special, limit = 3, 43
+
+    def offsets(self, text):
+        return [(k, k + 1) for k in range(len(text))]
+
+
+class Pieces(passages.WordTokenizer):
+    limit, special = 23, 3
+
+    def offsets(self, text):
+        return [(a, a + 1) if k == 0 and text[a].islower() else (a, b) for a, b in super().offsets(text) for k in range(1 + text[a].islower())]
+
+
+@pytest.mark.parametrize("query, content, want", [
+    ("x", "short text", "short text"),
+    ("wireguard peers", "filler " * 300 + "wireguard " + "filler " * 300, "wireguard"),
+    ("network", "pad " * 200 + 'see "network-bridge" (network) here ' + "pad " * 200, "(network)"),  # marks about a word don't hide it
+    ("Café", "pad " * 200 + "the CAFÉS " + "pad " * 200, "CAFÉS"),
+    ("nothing of it", "first " + "pad " * 400, "first"),  # no evidence: the beginning
+    ("kako mreza serverima", "pad " * 200 + "server " + "pad " * 200, "server"),  # the query's case endings
+    ("bridge", "pad " * 200 + "footbridge " + "pad " * 250 + "bridges " + "pad " * 200, "bridges"),  # words begin with a term
+    ("rare common", "common " + "pad " * 150 + "common " * 3 + "pad " * 150 + "rare " + "pad " * 150 + "common", "rare"),
+    ("  leading", "\n pad\t" * 200 + "leading\x0b", "leading"),
+])
+def test_passages(spark, query, content, want):
+    rows = spark.createDataFrame([(query, content)], "q string, c string")
+    got = passages.with_passage(rows, passages.WordTokenizer, "q", "c").first().passage
+    assert want in got and got in content and (got == content or len(got.split()) <= 125 - len(query.split()))
+
+
+def test_passages_by_the_scorers_tokens(spark):
+    """Windows are in the tokenizer's units, and shorter where a cut text has more tokens than it had in its place."""
+    content = "abcdefghij " * 20 + "needle " + "abcdefghij " * 20
+    rows = spark.createDataFrame([("needle", content), ("q", None)], "q string, c string")
+    got = {r.q: r.passage for r in passages.with_passage(rows, Letters, "q", "c").collect()}
+    assert "needle" in got["needle"] and len(got["needle"]) == 34 and got["q"] == ""
+    assert abs(got["needle"].index("needle") + 3 - 17) <= 9  # the window in which it stands near the middle
+    assert passages.room_for(Letters(), "x" * 1000) == 20 and passages.room_for(Letters(), "x" * 7) == 33
+    with pytest.raises(ValueError):
+        passages.room_for(type("Narrow", (Letters,), {"limit": 3})(), "x")
+    text = "One two three Four five six Seven eight"
+    for window in passages.spans(Pieces(), text, 4):
+        assert len(Pieces().offsets(window)) <= 4 or len(window.split()) == 1
+
+
+def test_equal_windows_go_by_the_middle_then_by_place(spark):
+    content = " ".join(["pad"] * 100 + ["needle"] + ["pad"] * 400 + ["needle"] + ["pad"] * 100)
+    windows = passages.spans(passages.WordTokenizer(), content, 124)
+    central = [passages.centrality(w, ["needle"]) for w in windows]
+    got = passages.with_passage(spark.createDataFrame([("needle", content)], "q string, c string"), passages.WordTokenizer, "q", "c").first().passage
+    assert got == windows[central.index(max(central))] and max(central) > 0.6
 
 
 @pytest.mark.parametrize("title, want", [
