@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from functools import wraps
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -113,6 +114,25 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def joined(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of ids that join what a matrix of links joins; ``left`` and ``right``: ids of its rows and columns.
+
+    Every id but the smallest of a component makes one pair with the smallest. Labels fall to the smallest linked one,
+    and to its label, until they are still: a few passes over the matrix, whatever the number of links.
+    """
+    ids, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    row, column, n = at[: len(left)], at[len(left) :], len(ids)
+    label, moved = np.arange(n), linked.any()
+    while moved:
+        new = label.copy()
+        np.minimum.at(new, row, np.where(linked, label[column], n).min(1))
+        np.minimum.at(new, column, np.where(linked, new[row][:, None], n).min(0))
+        new = new[new]
+        moved, label = (new != label).any(), new
+    below = np.flatnonzero(label != np.arange(n))
+    return ids[below], ids[label[below]]
+
+
 def connected_components(scratch: Scratch, edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star steps.
 

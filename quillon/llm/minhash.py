@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, by_bytes, connected_components, partitions
+from .common import Scratch, by_bytes, connected_components, joined, partitions
 
 #: Retained values of a sketch, and how many of the smallest make keys of the inverted lists.
 SKETCH, KEYED = 64, 48
@@ -282,21 +282,8 @@ def _across(scratch: Scratch, rows: DataFrame, classes: DataFrame, sets: DataFra
         both = _in_common(sa, sb)
         na, nb = np.array([len(s) for s in sa]), np.array([len(s) for s in sb])
         same = ok[np.ix_(i, j)] & (rule.den * both >= rule.num * (na[:, None] + nb - both))
-        (ca, ra), (cb, rb) = ((v.field("cid").to_numpy()[k], v.field("root").to_numpy()[k]) for v, k in ((x, i), (y, j)))
-        parent: dict[int, int] = {}
-
-        def top(r):
-            while parent.get(r, r) != r:
-                r = parent[r]
-            return r
-
-        out = []
-        for p, q in zip(*np.nonzero(same)):
-            r, s = top(int(ra[p])), top(int(rb[q]))
-            if r != s:
-                parent[r] = s
-                out.append((int(max(ca[p], cb[q])), int(min(ca[p], cb[q]))))
-        return out
+        ra, rb = x.field("root").to_numpy()[i], y.field("root").to_numpy()[j]
+        return [(int(p), int(q)) for p, q in zip(*joined(same, ra, rb))]  # roots stand for their components
 
     blocks = gathered(classes.select("cid", F.col("sketch").alias("hashes"), "n"))
     close = meet(met, blocks, hopeful, "a long, b long")

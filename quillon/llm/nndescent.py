@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, connected_components, partitions
+from .common import Scratch, connected_components, joined, partitions
 
 log = logging.getLogger(__name__)
 
@@ -276,10 +276,17 @@ def exact_search(nodes: DataFrame, asked: DataFrame, k: int, kind: str, few: boo
             for r in range(batch.num_rows):
                 a, b = q.slice(oq[r], oq[r + 1] - oq[r]), u.slice(ou[r], ou[r + 1] - ou[r])
                 x, y = _rows(a.field("qx"), kind), _rows(b.field("x"), kind)
-                n = min(k + 8, len(y))  # a few more, as the quick distances are rounded
-                best = np.argpartition(square_distances(x, y), n - 1, axis=1)[:, :n]
-                d = np.stack([np.sqrt(((x[i] - y[at]) ** 2).sum(1)) for i, at in enumerate(best)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a.field("q").to_numpy(), n)), pa.array(b.field("v").to_numpy()[best].ravel()), pa.array(d.ravel())], names=["q", "u", "d"])
+                quick, ids, out = square_distances(x, y), b.field("v").to_numpy(), []
+                # the quick distances are rounded: all that may be among the k nearest, or as near, are measured exactly
+                edge = np.partition(quick, min(k, len(y)) - 1, axis=1)[:, min(k, len(y)) - 1]
+                edge += 1e-9 * ((x**2).sum(1) + (y**2).sum(1).max())
+                for i, near in enumerate(quick <= edge[:, None]):
+                    at = np.flatnonzero(near)
+                    d = np.sqrt(((x[i] - y[at]) ** 2).sum(1))
+                    best = np.lexsort((ids[at], d))[:k]
+                    out.append((ids[at[best]], d[best]))
+                n = [len(u) for u, _ in out]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a.field("q").to_numpy(), n)), pa.array(np.concatenate([u for u, _ in out])), pa.array(np.concatenate([d for _, d in out]))], names=["q", "u", "d"])
 
     many = asked.groupBy("grp").agg(F.count("*").alias("n"))
     ask = asked.join(many, "grp").withColumn("b", F.expr(f"pmod(xxhash64(q), n div {BLOCK} + 1)")).groupBy("grp", "b").agg(F.collect_list(F.struct("q", "qx")).alias("qs"))
@@ -413,23 +420,11 @@ def _pairs_in_blocks(scratch: Scratch, nodes: DataFrame, parts: DataFrame, least
                 counts = [(i, linked @ q.field("m").to_numpy())]
                 if not same[k]:
                     counts.append((j, linked.T @ p.field("m").to_numpy()))
-                parent: dict[int, int] = {}
-
-                def top(r):
-                    while parent.get(r, r) != r:
-                        r = parent[r]
-                    return r
-
-                edges = []
-                for s, e in zip(*np.nonzero(linked)):
-                    a, b = top(int(i[s])), top(int(j[e]))
-                    if a != b:
-                        parent[a] = b
-                        edges.append((int(i[s]), int(j[e])))
-                v = np.concatenate([c[0] for c in counts] + [np.array([e[0] for e in edges], np.int64)])
-                n = np.concatenate([c[1] for c in counts] + [np.zeros(len(edges), np.int64)])
-                to = np.concatenate([np.full(len(v) - len(edges), -1), np.array([e[1] for e in edges], np.int64)])
-                has = np.arange(len(v)) >= len(v) - len(edges)
+                a, b = joined(linked, i, j)
+                v = np.concatenate([c[0] for c in counts] + [a])
+                n = np.concatenate([c[1] for c in counts] + [np.zeros(len(a), np.int64)])
+                to = np.concatenate([np.full(len(v) - len(a), -1), b])
+                has = np.arange(len(v)) >= len(v) - len(a)
                 yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(n.astype(np.int64)), pa.array(to.astype(np.int64), mask=~has)], names=["v", "n", "u"])
 
     # which blocks meet is dealt out first, so that the blocks of a large part go to many tasks

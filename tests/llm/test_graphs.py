@@ -206,3 +206,36 @@ def test_walk_goes_on_until_no_beam_has_a_new_node(spark):
     options = {"steps": 6} if "steps" in nndescent.greedy_search.__code__.co_varnames else {}
     found = nndescent.greedy_search(Scratch(spark), nodes, roads, starts, beam=4, kind="<f8", **options).collect()
     assert {r.u for r in found} == {16, 17, 18, 19}
+
+
+def test_exact_search_ties(spark):
+    """Many equal distances at the edge: the smallest ids are taken, in whatever block they are."""
+    from quillon.llm.nndescent import exact_search
+
+    rows = [(0, 0, [0.0, 0.0])] + [(v, 0, [float(np.cos(v)), 0.0] if v % 50 == 7 else [1.0, 0.0] if v % 2 else [0.0, 1.0]) for v in range(1, 3000)]
+    nodes = spark.createDataFrame(rows, "v long, grp int, x array<double>").selectExpr("v", "grp", "x")
+    packed = nodes.rdd.map(lambda r: (r.v, r.grp, np.array(r.x).tobytes())).toDF("v long, grp int, x binary")
+    asked = packed.where("v = 0").selectExpr("v as q", "grp", "x as qx")
+    for few in (True, False):
+        got = exact_search(packed, asked, 40, "<f8", few).orderBy("d", "u").collect()
+        d = sorted((float(np.linalg.norm(x)), v) for v, _, x in rows)[:40]
+        assert [(r.u, r.d) for r in got] == [(v, pytest.approx(dist)) for dist, v in d]
+
+
+def test_two_large_groups_of_near_copies(spark):
+    """Two groups of 600 vectors at cosine 0.985 of each other: every link counted, one component each."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(2):
+        base = rng.normal(size=32)
+        base /= np.linalg.norm(base)
+        for k in range(600):
+            other = rng.normal(size=32)
+            other -= other @ base * base
+            v = base + other / np.linalg.norm(other) * np.sqrt(1 / 0.985 - 1)
+            rows.append((g * 600 + k, (v / np.linalg.norm(v)).tolist(), 1))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in nndescent.near_duplicate_vectors(df, least=0.98).collect()}
+    x = np.array([r[1] for r in rows])
+    counts = (x @ x.T >= 0.98).sum(1) - 1
+    assert [got[k].n_links for k in range(1200)] == counts.tolist()
