@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..workspace import written
+
 
 def _dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -47,25 +49,101 @@ def top_candidates(queries: DataFrame, vectors: DataFrame, max_distance: float,
     return ranked.where(F.col("rank") <= k)
 
 
-#: Vectors of one block; blocks meet in pairs, as matrix products of bounded size.
-BLOCK = 1024
+# --- Neighbours of all vectors --------------------------------------------------------------------------------------
+
+#: Vectors of one block, which is one side of a matrix product; the most pivots, and the vectors that they are chosen from;
+#: the width of a slice of angles about a pivot; what angles may be off by rounding.
+BLOCK, PIVOTS, SAMPLE, STEP, SLACK = 1024, 256, 2048, 0.1, 1e-6
+
 
+def _matrix(column) -> np.ndarray:
+    """The vectors of an Arrow column of lists, as rows."""
+    n = len(column)
+    return column.flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, 1))
 
-def _dealt(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """b, m: blocks of vectors (id, x), and their number."""
-    v = vectors.where("x is not null")
-    blocks = max(1, -(-v.count() // BLOCK))
-    return v.select("id", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).groupBy("b").agg(F.collect_list(F.struct("id", "x")).alias("m")), blocks
 
+def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ y.T, -1, 1))
 
-def _meetings(vectors: DataFrame, both_ways: bool) -> DataFrame:
-    """ma, mb: all pairs of blocks, each once, or with ``both_ways`` in either order. A block is sent once for each other
-    one by a join on the pairs' numbers, so pairs spread over all tasks."""
-    packed, blocks = _dealt(vectors)
-    each = F.lit(0) if both_ways else F.col("a")
-    numbers = vectors.sparkSession.range(blocks).select(F.col("id").alias("a")).select("a", F.explode(F.sequence(each, F.lit(blocks - 1))).alias("b"))
-    side = lambda c: packed.select(F.col("b").alias(c), F.col("m").alias(f"m{c}"))
-    return numbers.join(side("a"), "a").join(side("b"), "b").select("ma", "mb")
+
+class Cells:
+    """Vectors of length one, each in the cell of its nearest pivot. Angles obey the triangle inequality, so what two
+    vectors' angles to a pivot tell of their own is exact.
+
+    ``homes``: id, x, cell and alpha, the angle to the pivot. Pivots are a spread of a bounded sample; as many as there
+    are blocks to fill, PIVOTS at most, so that they can go to every task.
+    """
+
+    def __init__(self, vectors: DataFrame, pivots: int | None = None):
+        v = vectors.where("x is not null").select("id", "x")
+        n = v.count()
+        some = np.array([r.x for r in v.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()])
+        wanted = min(pivots or max(1, min(PIVOTS, n // (2 * BLOCK))), len(some))
+        chosen = [0] if n else []
+        far = _angles(some, some[:1])[:, 0] if n else None
+        while len(chosen) < wanted:  # the one that is farthest from all others
+            chosen.append(int(far.argmax()))
+            far = np.minimum(far, _angles(some, some[chosen[-1:]])[:, 0])
+        self.pivots = some[chosen] if n else np.zeros((0, 1))
+        pivots_ = self.pivots
+
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    to = _angles(_matrix(batch.column(1)), pivots_)
+                    cell = to.argmin(1)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(to.min(1))], names=["id", "x", "cell", "alpha"])
+
+        self.homes = written(v.mapInArrow(run, "id long, x array<double>, cell int, alpha double"), "cells")
+        sizes = self.homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("alpha").alias("r")).collect()  # PIVOTS rows at most
+        self.size, self.radius = np.zeros(len(self.pivots), np.int64), np.full(len(self.pivots), -np.inf)
+        for r in sizes:
+            self.size[r.cell], self.radius[r.cell] = r.n, r.r
+        large = F.col("cell").isin([int(c) for c in np.flatnonzero(self.size > BLOCK)])
+        placed = self.homes.withColumn("slice", F.when(large, F.floor(F.col("alpha") / STEP)).otherwise(-1))
+        self.residents = self._blocked(placed, F.struct("id", "x"))
+
+    @staticmethod
+    def _blocked(rows: DataFrame, member: Column, **more: Column) -> DataFrame:
+        """Blocks (cell, slice, sub, m) of rows: a slice of angles, dealt by hash if it holds more than one block."""
+        sizes = rows.groupBy("cell", "slice").agg(F.count("*").alias("_n"))
+        dealt = rows.join(sizes, ["cell", "slice"]).withColumn("sub", F.expr(f"pmod(xxhash64(id), _n div {BLOCK} + 1)"))
+        return written(dealt.groupBy("cell", "slice", "sub").agg(F.collect_list(member).alias("m"), F.count("*").alias("n"), *(c.alias(k) for k, c in more.items())), "blocks")
+
+    def visits(self, reach: DataFrame, upwards: bool) -> DataFrame:
+        """Vectors (id, x, cell, reach: an angle) at every cell in which something can be within their reach: cell, beta (the
+        angle to its pivot), id, x and reach. ``upwards``: at their own cell and those of higher numbers only."""
+        pivots, radius = self.pivots, self.radius
+
+        def run(batches):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                beta, most = _angles(_matrix(batch.column(1)), pivots), batch.column(3).to_numpy()
+                meets = beta <= radius + most[:, None] + SLACK
+                if upwards:
+                    meets &= np.arange(len(pivots)) >= batch.column(2).to_numpy()[:, None]
+                i, cell = np.nonzero(meets)
+                rows = batch.take(pa.array(i))
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(beta[i, cell]), rows.column(0), rows.column(1), rows.column(3)], names=["cell", "beta", "id", "x", "reach"])
+
+        return reach.select("id", "x", "cell", "reach").mapInArrow(run, "cell int, beta double, id long, x array<double>, reach double")
+
+    def meetings(self, visits: DataFrame) -> DataFrame:
+        """ma, mb, na, nb: blocks of visitors and of residents with angles to the pivot that leave something in reach.
+
+        Which blocks meet is joined by their numbers; then each block is sent once for each other one, to any task.
+        """
+        placed = visits.withColumn("slice", F.floor(F.col("beta") / STEP))
+        blocks = self._blocked(placed, F.struct("id", "x", "reach"), reach=F.max("reach"))
+        guest = blocks.select("cell", F.col("slice").alias("sa"), F.col("sub").alias("a"), "reach")
+        host = self.residents.select("cell", F.col("slice").alias("sb"), F.col("sub").alias("b"))
+        lo, hi = F.col("sa") * STEP - F.col("reach") - SLACK, (F.col("sa") + 1) * STEP + F.col("reach") + SLACK
+        near = (F.col("sb") < 0) | ((F.col("sb") * STEP <= hi) & ((F.col("sb") + 1) * STEP >= lo))
+        numbers = guest.join(host, "cell").where(near).select("cell", "sa", "a", "sb", "b")
+        a = blocks.select("cell", F.col("slice").alias("sa"), F.col("sub").alias("a"), F.col("m").alias("ma"), F.col("n").alias("na"))
+        b = self.residents.select("cell", F.col("slice").alias("sb"), F.col("sub").alias("b"), F.col("m").alias("mb"), F.col("n").alias("nb"))
+        return numbers.join(a, ["cell", "sa", "a"]).join(b, ["cell", "sb", "b"]).select("ma", "mb", "na", "nb")
 
 
 def _blocks(column) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -78,24 +156,57 @@ def _blocks(column) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def near_duplicates(vectors: DataFrame, most: float) -> DataFrame:
-    """a, b, d of all pairs a < b of vectors of length one up to the distance ``most``."""
+def near_meetings(cells: Cells, most: float) -> DataFrame:
+    """Blocks between which pairs up to the distance ``most`` may be: of two cells the vectors of the lower one near the
+    border visit the higher one."""
+    reach = float(np.arccos(np.clip(1 - most, -1, 1)))
+    return cells.meetings(cells.visits(cells.homes.withColumn("reach", F.lit(reach)), upwards=True))
+
+
+def near_duplicates(vectors: DataFrame, most: float, pivots: int | None = None) -> DataFrame:
+    """a, b, d of all pairs a < b of vectors of length one up to the distance ``most``; exact, whatever the pivots."""
+    cells = Cells(vectors, pivots)
+    own = cells.homes.select("id", "cell")
 
     def run(batches):
         for batch in batches:
             for (ia, xa), (ib, xb) in zip(_blocks(batch.column(0)), _blocks(batch.column(1))):
                 d = 1 - np.clip(xa @ xb.T, -1, 1)
-                near = (d <= most) & (ia[:, None] != ib)
-                if len(ia) == len(ib) and (ia == ib).all():  # a block with itself: each pair once
-                    near &= ia[:, None] < ib
-                i, j = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ia[i], ib[j])), pa.array(np.maximum(ia[i], ib[j])), pa.array(d[i, j])], names=["a", "b", "d"])
+                i, j = np.nonzero((d <= most) & (ia[:, None] != ib))
+                yield pa.RecordBatch.from_arrays([pa.array(ia[i]), pa.array(ib[j]), pa.array(d[i, j])], names=["p", "q", "d"])
+
+    found = near_meetings(cells, most).select("ma", "mb").mapInArrow(run, "p long, q long, d double")
+    # in a cell of its own a pair is found from both sides
+    side = lambda c: own.select(F.col("id").alias(c), F.col("cell").alias(f"c{c}"))
+    once = found.join(side("p"), "p").join(side("q"), "q").where("cp <> cq or p < q")
+    return once.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "d")
+
+
+def _with_reach(cells: Cells, k: int) -> DataFrame:
+    """The vectors with an angle within which their ``k`` nearest others are: of their own block, or of a whole cell."""
+    pivots, radius, size = cells.pivots, cells.radius, cells.size
+
+    def run(batches):
+        for batch in batches:
+            for ids, x in _blocks(batch.column(0)):
+                bound = np.full(len(ids), np.pi)
+                if (size > k).any():
+                    bound = np.minimum(bound, (_angles(x, pivots) + radius)[:, size > k].min(1))
+                if len(ids) > k:
+                    bound = np.minimum(bound, np.partition(_angles(x, x), k, axis=1)[:, k])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(bound)], names=["id", "reach"])
+
+    return cells.homes.join(cells.residents.select("m").mapInArrow(run, "id long, reach double"), "id")
+
 
-    return _meetings(vectors, False).mapInArrow(run, "a long, b long, d double")
+def nearest_meetings(cells: Cells, k: int) -> DataFrame:
+    """Blocks between which the ``k`` nearest others of a vector may be."""
+    return cells.meetings(cells.visits(_with_reach(cells, k), upwards=False))
 
 
-def nearest(vectors: DataFrame, k: int) -> DataFrame:
-    """id, other, d, rank: each vector's k nearest others; blocks keep k per row, then one window over these."""
+def nearest(vectors: DataFrame, k: int, pivots: int | None = None) -> DataFrame:
+    """id, other, d, rank: each vector's k nearest others; exact, whatever the pivots. Blocks keep k per row, then one
+    window over these."""
 
     def run(batches):
         for batch in batches:
@@ -108,5 +219,6 @@ def nearest(vectors: DataFrame, k: int) -> DataFrame:
                 fine = np.isfinite(dist)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ia, n).reshape(-1, n)[fine]), pa.array(ib[order][fine]), pa.array(dist[fine])], names=["id", "other", "d"])
 
-    near = _meetings(vectors, True).mapInArrow(run, "id long, other long, d double").withColumn("d", F.round("d", 9))
+    met = nearest_meetings(Cells(vectors, pivots), k).select("ma", "mb")
+    near = met.mapInArrow(run, "id long, other long, d double").withColumn("d", F.round("d", 9))
     return near.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy("d", "other"))).where(F.col("rank") <= k)

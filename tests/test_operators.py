@@ -1,5 +1,6 @@
 import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -159,3 +160,40 @@ def test_long_lineage(spark):
     assert heads.count() == 0
     got = lineage.would_cycle(line, spark.createDataFrame([(40, 2), (40, 200)], "src long, dst long"))
     assert [tuple(r) for r in got.collect()] == [(40, 2)]
+
+
+@pytest.mark.parametrize("pivots", [1, 3, 40])
+@pytest.mark.parametrize("kind", ["clusters", "even", "grid", "few"])
+def test_neighbours_of_all(spark, monkeypatch, pivots, kind):
+    """Pruned by pivots or not: the pairs and neighbours of a comparison of all with all. Clusters leave most of it out."""
+    rng = np.random.default_rng(pivots)
+    if kind == "clusters":
+        centres = rng.normal(size=(20, 16)) * 4
+        x = centres[rng.integers(0, 20, 600)] + rng.normal(size=(600, 16)) * 0.6
+    elif kind == "grid":  # equal vectors and equal distances
+        x = rng.integers(0, 3, (300, 4)) + np.array([1, 0, 0, 0])
+    else:
+        x = rng.normal(size=(400 if kind == "even" else 4, 8))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    monkeypatch.setattr(vector, "BLOCK", 64)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(9999, None)], "id long, x array<double>")
+    d = 1 - np.clip(x @ x.T, -1, 1)
+    near = {(r.a, r.b) for r in vector.near_duplicates(df, 0.08, pivots).collect()}
+    want = {(a, b) for a, b in zip(*np.nonzero(d <= 0.08)) if a < b}
+    assert all(abs(d[p] - 0.08) < 1e-9 for p in near ^ want)
+    got = vector.nearest(df, 5, pivots).orderBy("id", "rank").collect()
+    by = {i: [(r.other, r.d) for r in got if r.id == i] for i in range(len(x))}
+    for i in range(len(x)):
+        order = [j for j in np.lexsort((np.arange(len(x)), np.round(d[i], 9))) if j != i][:5]
+        assert len(by[i]) == len(order) and all(abs(v - d[i, j]) < 2e-9 for (_, v), j in zip(by[i], order))
+        assert all(j == o or abs(d[i, j] - d[i, o]) < 2e-9 for (j, _), o in zip(by[i], order))
+    if kind == "clusters" and pivots == 40:
+        compared = lambda met: met.selectExpr("sum(na * nb) as n").first().n
+        cells = vector.Cells(df, pivots)
+        assert compared(vector.near_meetings(cells, 0.08)) < len(x) ** 2 / 3
+        assert compared(vector.nearest_meetings(cells, 5)) < len(x) ** 2 / 3
+
+
+def test_neighbours_of_none(spark):
+    df = spark.createDataFrame([], "id long, x array<double>")
+    assert vector.near_duplicates(df, 0.1).collect() == [] and vector.nearest(df, 3).collect() == []
