@@ -40,17 +40,21 @@ def replace_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
     return edges.join(new.select("src_corpus", "src_id").distinct(), ["src_corpus", "src_id"], "left_anti").select(*EDGE).unionByName(new.select(*EDGE).dropDuplicates())
 
 
+def _checkpointed(df: DataFrame) -> DataFrame:
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """src, node, level: what can be reached from each start along the edges (src, dst), cycles included once.
 
     Joins the frontier with the edges and drops what was seen; goes on until the frontier is empty, however long the
     chains are. checkpoint() cuts the lineage, so the plan doesn't grow.
     """
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seen = starts.select(F.col("node").alias("src"), "node", F.lit(0).alias("level")).checkpoint()
+    few = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = _checkpointed(starts.select(F.col("node").alias("src"), "node", F.lit(0).alias("level")))
     front, level = seen, 0
     while front.head(1):
         level += 1
@@ -68,9 +72,38 @@ def history(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return reachable(both, starts)
 
 
+def contracted(edges: DataFrame, kept: DataFrame) -> tuple[DataFrame, int]:
+    """Edges (src, dst) without what lies between: nodes with one edge in and one out, unless they are ``kept`` (node), and
+    the rounds that it took. What a kept node reaches among the kept and branching ones stays the same.
+
+    Each inner node points to its successor, and in a round to its successor's, so a chain is walked in as many rounds as
+    its length has binary digits. Inner nodes that point to each other for ever are rings that nothing else touches: they go.
+    """
+    few = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = _checkpointed(edges.select("src", "dst").distinct())
+    inner = degrees(once).where("n_in = 1 and n_out = 1").select("node").join(kept.select("node"), "node", "left_anti")
+    jump = _checkpointed(once.join(inner.withColumnRenamed("node", "src"), "src").select(F.col("src").alias("node"), F.col("dst").alias("next")))
+    rounds, most = 0, jump.count().bit_length() + 1
+    while rounds < most:
+        further = jump.select(F.col("node").alias("next"), F.col("next").alias("_after"))
+        step = jump.join(further, "next", "left")
+        if not step.where("_after is not null").head(1):
+            break
+        jump = _checkpointed(step.select("node", F.coalesce("_after", "next").alias("next")).coalesce(few))
+        rounds += 1
+    ends = jump.join(jump.select(F.col("node").alias("next")), "next", "left_anti")  # what a chain leads to
+    ends = ends.select(F.col("node").alias("dst"), F.col("next").alias("_end"))
+    outer = once.join(jump.select(F.col("node").alias("src")), "src", "left_anti")
+    plain = outer.join(jump.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+    return plain.union(outer.join(ends, "dst").select("src", F.col("_end").alias("dst"))).distinct(), rounds
+
+
 def would_cycle(edges: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The wanted edges (src, dst) that would close a cycle."""
-    reach = reachable(edges, wanted.select(F.col("dst").alias("node")).distinct())
+    """The wanted edges (src, dst) that would close a cycle. Chains between their ends are contracted first, so that the
+    walk takes a round for each branching node, not for each edge."""
+    ends = wanted.select(F.col("src").alias("node")).union(wanted.select(F.col("dst").alias("node"))).distinct()
+    short, _ = contracted(edges, ends)
+    reach = reachable(_checkpointed(short), wanted.select(F.col("dst").alias("node")).distinct())
     back = reach.select(F.col("src").alias("dst"), F.col("node").alias("src"))
     return wanted.join(back, ["src", "dst"], "left_semi")
 

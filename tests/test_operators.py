@@ -197,3 +197,35 @@ def test_neighbours_of_all(spark, monkeypatch, pivots, kind):
 def test_neighbours_of_none(spark):
     df = spark.createDataFrame([], "id long, x array<double>")
     assert vector.near_duplicates(df, 0.1).collect() == [] and vector.nearest(df, 3).collect() == []
+
+
+def test_long_chains_close_in_few_rounds(spark):
+    n = 4096
+    chain = spark.range(n).selectExpr("id as src", "id + 1 as dst")
+    ends = spark.createDataFrame([(0,), (n,)], "node long")
+    short, rounds = lineage.contracted(chain, ends)
+    assert [tuple(r) for r in short.collect()] == [(0, n)] and rounds <= 13
+    wanted = spark.createDataFrame([(n, 0), (n, 5), (3, 4000), (0, n)], "src long, dst long")
+    assert sorted(map(tuple, lineage.would_cycle(chain, wanted).collect())) == [(n, 0), (n, 5)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_contraction_keeps_what_is_reached(spark, seed):
+    rng = np.random.default_rng(seed)
+    edges = {(int(a), int(a) + int(rng.integers(1, 3))) for a in rng.integers(0, 60, 50)} | {(80, 81), (81, 82), (82, 80), (90, 91), (91, 90), (7, 7)}
+    wanted = {(int(a), int(b)) for a, b in rng.integers(0, 60, (40, 2))} | {(81, 80), (95, 90), (7, 7)}
+    after: dict = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+
+    def reaches(a, b):
+        seen, todo = {a}, [a]
+        while todo:
+            for x in after.get(todo.pop(), ()):
+                if x not in seen:
+                    seen.add(x)
+                    todo.append(x)
+        return b in seen
+
+    got = lineage.would_cycle(spark.createDataFrame(sorted(edges), "src long, dst long"), spark.createDataFrame(sorted(wanted), "src long, dst long"))
+    assert {tuple(r) for r in got.collect()} == {(a, b) for a, b in wanted if reaches(b, a)}
