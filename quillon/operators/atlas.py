@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,20 +51,34 @@ def _features(x: np.ndarray, w: np.ndarray, dim: int) -> np.ndarray:
     return out
 
 
-def _summed(vectors: DataFrame, make, size: int, tasks: int = 32) -> np.ndarray:
-    """The sum of the arrays (of ``size`` numbers) that ``make`` gives for batches of vectors, added up by ``tasks`` tasks first."""
+#: Numbers of a piece of an array that is added up by itself.
+PIECE = 1 << 16
+
+
+def _summed(vectors: DataFrame, make, size: int) -> np.ndarray:
+    """The sum of the arrays (of ``size`` numbers) that ``make`` gives for batches of vectors.
+
+    A task's array goes out in pieces; each piece is added up as a stream, whatever the number of tasks, and the driver
+    gets one array: 8 ``size`` bytes.
+    """
+
     def run(batches):
         total = np.zeros(size)
         for batch in batches:
             if batch.num_rows:
                 total += make(np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(float))
-        yield pa.RecordBatch.from_pydict({"r": [float(np.random.default_rng().random())], "s": [total.tobytes()]})
+        for k in range(0, size, PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array([k // PIECE], pa.int32()), pa.array([total[k : k + PIECE].tobytes()])], names=["piece", "s"])
 
-    def add(table: pa.Table) -> pa.Table:
-        return pa.table({"s": [sum(np.frombuffer(s, float) for s in table.column("s").to_pylist()).tobytes()]})
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(np.frombuffer(s, float) for batch in batches for s in batch.column(1).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()])], names=["piece", "s"])
 
-    parts = vectors.select("x").mapInArrow(run, "r double, s binary").withColumn("k", F.floor(F.col("r") * tasks))
-    return sum(np.frombuffer(r.s, float) for r in parts.select("k", "s").groupBy("k").applyInArrow(add, "s binary").collect())
+    parts = vectors.select("x").mapInArrow(run, "piece int, s binary").groupBy("piece").applyInArrow(add, "piece int, s binary")
+    out = np.zeros(size)
+    for r in parts.collect():
+        out[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.s, float)
+    return out
 
 
 def scaling_weights(vectors: DataFrame, block: int = 16, rounds: int = 100, settled: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +86,8 @@ def scaling_weights(vectors: DataFrame, block: int = 16, rounds: int = 100, sett
 
     The squared cosine distances of vectors of length one are 1 - 2 x.y + (x.y)^2, a product of features of x and of y. So
     the matrix that scaling decomposes is never made: a block of its eigenvectors is found by orthogonal iteration, each
-    step of which is one pass over the vectors that adds up arrays of features, and exact for any number of them.
+    step of which is one pass over the vectors that adds up arrays of features, and exact for any number of them. The
+    driver holds a few arrays of (1 + dim + dim^2) block numbers, 75 MB each at 768 dimensions.
     """
     dim = len(vectors.first().x)
     size = 1 + dim + dim * dim
@@ -85,13 +101,16 @@ def scaling_weights(vectors: DataFrame, block: int = 16, rounds: int = 100, sett
     w, last = np.random.default_rng(SEED).standard_normal((size, block)), None
     for _ in range(rounds):
         w = w / np.linalg.norm(w, axis=0)
+        shared = vectors.sparkSession.sparkContext.broadcast((w, mean @ w))  # 8 size (block + 1) bytes: 75 MB at 768 dimensions
 
-        def step(x, w=w):
-            v = _features(x, w, dim) - mean @ w
+        def step(x):
+            weights, offset = shared.value
+            v = _features(x, weights, dim) - offset
             s = np.concatenate([v.sum(0)[None], x.T @ v, np.stack([(x.T @ (x * v[:, k : k + 1])).ravel() for k in range(v.shape[1])], 1)])
             return np.concatenate([s.ravel(), (v.T @ v).ravel()])
 
         out = _summed(vectors, step, (size + w.shape[1]) * w.shape[1])
+        shared.unpersist()
         s, gram = out[: size * w.shape[1]].reshape(size, -1), out[size * w.shape[1] :].reshape(w.shape[1], -1)
         value, basis = np.linalg.eigh(gram)
         basis = basis[:, value > 1e-12 * value[-1]] / np.sqrt(value[value > 1e-12 * value[-1]])

@@ -229,3 +229,15 @@ def test_contraction_keeps_what_is_reached(spark, seed):
 
     got = lineage.would_cycle(spark.createDataFrame(sorted(edges), "src long, dst long"), spark.createDataFrame(sorted(wanted), "src long, dst long"))
     assert {tuple(r) for r in got.collect()} == {(a, b) for a, b in wanted if reaches(b, a)}
+
+
+def test_sums_of_large_arrays(spark):
+    """As at 768 dimensions: 16 columns of 1 + 768 + 768^2 features, of several tasks; the driver gets one array."""
+    from quillon.operators.atlas import _summed
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(30, 768))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>").repartition(5)
+    size = 16 * (1 + 768 + 768 * 768)
+    got = _summed(df, lambda rows: np.resize((rows.T @ rows).ravel(), size), size)
+    assert got.nbytes < 100e6 and np.allclose(got, np.resize((x.T @ x).ravel(), size))
