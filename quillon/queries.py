@@ -977,13 +977,86 @@ def engine_respond(spark, sf_dir):
     return r.select("qid", "selected_scope", "routing_reason", "total_count", F.col("homelab.count").alias("homelab"), F.col("ai.count").alias("ai"), F.array_join("ranked", " ").alias("ranked"), "lexical_candidates")
 
 
-@query()
+#: Both wordings and the lexical lane as SQL: the alternate wording searches one corpus; the rest is as above.
+BOTH_LANES = HYBRID.replace("sem AS (SELECT", "prim AS (SELECT", 1).replace("head AS (SELECT", f"""second AS (SELECT * FROM (SELECT b.item_id AS qid, corpus, cv.id, round(1 - greatest(-1, least(1, list_cosine_similarity(q.x, cv.x))), 4) AS distance, row_number() OVER (PARTITION BY b.item_id, corpus ORDER BY round(1 - greatest(-1, least(1, list_cosine_similarity(q.x, cv.x))), 4), cv.id) AS rank
+  FROM benchmark b JOIN (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings) q ON q.id = b.item_id + 1, (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x, corpus FROM embeddings JOIN entries ON id = vec_id) cv WHERE corpus = 'homelab' AND 1 - greatest(-1, least(1, list_cosine_similarity(q.x, cv.x))) <= 0.85) WHERE rank <= 25),
+united AS (SELECT *, row_number() OVER (PARTITION BY qid, corpus ORDER BY distance, CAST(id AS VARCHAR)) AS pos FROM (SELECT coalesce(p.qid, s.qid) AS qid, coalesce(p.corpus, s.corpus) AS corpus, coalesce(p.id, s.id) AS id, least(p.distance, s.distance) AS distance, p.id IS NOT NULL AS from_primary, s.rank AS alternate_rank FROM prim p FULL JOIN second s ON p.qid = s.qid AND p.corpus = s.corpus AND p.id = s.id)),
+sem AS (SELECT qid, corpus, id, distance, from_primary, alternate_rank, row_number() OVER (PARTITION BY qid, corpus ORDER BY pos) AS rank FROM united WHERE from_primary OR alternate_rank <= 5),
+head AS (SELECT""", 1)
+
+
+@query(f"""WITH {BM25}, {BOTH_LANES},
+judged AS (SELECT m.qid, m.corpus, m.id, m.pos, {REL} AS relevance, e.title, e.title LIKE '[SUPERSEDED] %' AS superseded, m.id % 1000 + 1 AS days, m.from_lexical OR coalesce(s.from_primary, true) AS from_primary, CASE WHEN NOT m.from_lexical THEN s.alternate_rank END AS alternate_rank
+  FROM (SELECT * FROM merged WHERE qid IN (SELECT vec_id FROM embeddings)) m JOIN entries e ON e.corpus = m.corpus AND e.id = m.id LEFT JOIN (SELECT qid, corpus, id, from_primary, alternate_rank FROM sem) s ON s.qid = m.qid AND s.corpus = m.corpus AND s.id = m.id),
+strong AS (SELECT *, max(CASE WHEN from_primary AND corpus = 'homelab' THEN relevance END) OVER (PARTITION BY qid) AS strong FROM judged),
+kept AS (SELECT *, round(relevance * CASE WHEN corpus = 'ai' THEN 1.0 ELSE greatest(1 / (1 + days / 540.0), 0.30) END * CASE WHEN superseded THEN 0.1 ELSE 1.0 END, 4) AS final_score FROM strong
+  WHERE relevance >= 0.25 AND (corpus <> 'homelab' OR from_primary OR (alternate_rank <= 5 AND (coalesce(strong >= 0.25, false) OR relevance >= 0.40)))),
+placed AS (SELECT *, row_number() OVER (PARTITION BY qid, corpus ORDER BY final_score DESC, pos) AS place FROM kept)
+SELECT qid, corpus, id, corpus || ':' || id AS ref, CASE WHEN trim(title) = '' THEN 'Untitled' ELSE title END AS title, relevance, final_score, place, row_number() OVER (PARTITION BY qid ORDER BY final_score DESC, CASE corpus WHEN 'homelab' THEN 0 ELSE 1 END, place) AS rank, 'kb://' || corpus || '/' || id AS link FROM placed WHERE place <= 5""")
 def engine_hybrid(spark, sf_dir):
-    """Both wordings and the lexical lane at once; its parts are held against SQL above."""
+    """Both wordings and the lexical lane at once."""
+    from .plans.search import SearchEngine
+
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
     q = b.join(vectors(spark, sf_dir).select(F.col("id").alias("qid"), F.col("x").alias("qx")), "qid")
     alt = b.select("qid").join(vectors(spark, sf_dir).select((F.col("id") - 1).alias("qid"), F.col("x").alias("qx")), "qid")
-    return engine(spark, sf_dir).search(q, alt)
+    return SearchEngine(entries(spark, sf_dir), corpus_vectors(spark, sf_dir), CFG, index=lexical_index(spark, sf_dir)).search(q, alt)
+
+
+@query(f"WITH {FINAL} SELECT qid, corpus, id, final_score, n FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final_score DESC, rank) AS n FROM final WHERE corpus = 'homelab' AND relevance >= 0.25 AND final_score >= 0.3) WHERE n <= 3")
+def engine_evidence(spark, sf_dir):
+    """What a synthesis gets to see of one corpus."""
+    return engine(spark, sf_dir).evidence(vector_queries(spark, sf_dir), 0.3).select("qid", "corpus", "id", "final_score", "n")
+
+
+@query(f"""WITH {TOP}, e AS (SELECT t.corpus, t.id, n.corpus AS src_corpus, n.id AS src_id FROM entries t JOIN entries n ON n.id = t.id + 20 UNION ALL SELECT t.corpus, t.id, n.corpus, n.id FROM entries t JOIN entries n ON n.id = t.id + 40),
+left_ AS (SELECT t.qid, t.corpus, t.id, e.src_corpus, e.src_id FROM top t JOIN e USING (corpus, id) WHERE NOT EXISTS (SELECT 1 FROM top o WHERE o.qid = t.qid AND o.corpus = e.src_corpus AND o.id = e.src_id))
+SELECT t.qid, t.corpus, t.id, string_agg(src_corpus || ':' || src_id, ' ' ORDER BY src_id) AS newer FROM top t LEFT JOIN left_ l ON l.qid = t.qid AND l.corpus = t.corpus AND l.id = t.id GROUP BY ALL""")
+def warned_results(spark, sf_dir):
+    """Results with notes that change them, but for notes that are results themselves."""
+    from .operators.relations import with_warnings
+
+    e = entries(spark, sf_dir).select("corpus", "id")
+    later = lambda by, rank: e.select(F.col("corpus").alias("src_corpus"), F.col("id").alias("src_id"), (F.col("id") - by).alias("dst_id"), F.lit(rank).alias("rank"))
+    edges = later(20, 1).union(later(40, 2)).join(e.select(F.col("corpus").alias("dst_corpus"), F.col("id").alias("dst_id")), "dst_id").withColumn("relation", F.lit("updates"))
+    found = with_warnings(top_results(spark, sf_dir).select("qid", "corpus", "id"), edges)
+    refs = F.array_join(F.transform("newer", lambda n: F.concat_ws(":", n["src_corpus"], n["src_id"])), " ")
+    return found.select("qid", "corpus", "id", refs.alias("newer"))
+
+
+@query("""SELECT event_id, '{"client":"' || user_id || '","event":"' || event_type || '","scope":"both","status":200}' AS line FROM events""")
+def audit_lines(spark, sf_dir):
+    """Audit events as JSON with their names in order."""
+    from .operators.querylog import audit_line
+
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", audit_line(F.col("event_type"), client=F.col("user_id").cast("string"), scope=F.lit("both"), status=F.lit(200)).alias("line"))
+
+
+@query(f"""WITH {ENT}, gone AS (SELECT corpus, id FROM entries WHERE id % 17 = 0 UNION ALL SELECT 'ai', vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)),
+v AS (SELECT vec_id AS id, coalesce(corpus, 'ai') AS corpus FROM embeddings LEFT JOIN entries ON id = vec_id),
+report AS (SELECT g.*, CASE WHEN e.id IS NOT NULL AND v.id IS NOT NULL THEN 'retired' WHEN e.id IS NOT NULL THEN 'row_only' WHEN v.id IS NOT NULL THEN 'orphan_vector_only' ELSE 'nothing' END AS found FROM gone g LEFT JOIN entries e ON e.corpus = g.corpus AND e.id = g.id LEFT JOIN v ON v.corpus = g.corpus AND v.id = g.id)
+SELECT corpus, id, found FROM report UNION ALL SELECT corpus, id, 'entry stays' FROM entries e WHERE id % 17 <> 0 UNION ALL SELECT corpus, id, 'vector stays' FROM v ANTI JOIN gone USING (corpus, id)""")
+def retire_entries(spark, sf_dir):
+    """Every seventeenth entry and vectors without an entry go; what was found of them, and what stays."""
+    from .operators.store import retire
+
+    e = entries(spark, sf_dir).select("corpus", "id")
+    v = vectors(spark, sf_dir).select("id").join(e, "id", "left").select(F.coalesce("corpus", F.lit("ai")).alias("corpus"), "id")
+    gone = e.where("id % 17 = 0").union(v.join(e, ["corpus", "id"], "left_anti"))
+    rows, left, report = retire(e, v, gone)
+    return report.union(rows.select("corpus", "id", F.lit("entry stays"))).union(left.select("corpus", "id", F.lit("vector stays")))
+
+
+@query(f"""WITH {ENT} SELECT corpus, id, NULL AS raw_path, embedded_at IS NULL AS pending FROM entries UNION ALL SELECT 'ai', 1000000 + page_id, 'notes/' || substr(regexp_replace(lower(url), '[^a-z0-9-]', '-', 'g'), 1, 60) || '.md', true FROM pages""")
+def entry_add(spark, sf_dir):
+    """Pages as new entries: a raw path from the title, an embedding due."""
+    from .operators.store import add
+
+    e = entries(spark, sf_dir).select("corpus", "id", "title", "content", F.col("embedded_at").cast("string").alias("embedded_at"))
+    new = table(spark, sf_dir, "pages").select(F.lit("ai").alias("corpus"), (F.col("page_id") + 1000000).alias("id"), F.col("url").alias("title"), F.col("html").alias("content"))
+    made = add(e, new)
+    return made.select("corpus", "id", "raw_path", F.col("embedded_at").isNull().alias("pending"))
 
 
 # --- Beyond SQL: rows only here, held against expectations in tests ---------------------------------------------------
