@@ -33,10 +33,12 @@ def log_queries(stream: DataFrame, target: str, checkpoint: str, seconds: int |
 
 
 def upsert_batches(stream: DataFrame, target: str, key: list[str], checkpoint: str, seconds: int | None = None):
-    """Write each batch as its own version folder; replaying a batch overwrites its folder, so nothing is counted twice."""
+    """Write each batch as its own version folder; replaying a batch overwrites its folder, so nothing is counted twice. Of
+    a key's rows in a batch the one that is largest by its other columns, in their order, is taken: the same in a replay."""
 
     def write(batch: DataFrame, version: int) -> None:
-        batch.dropDuplicates(key).write.mode("overwrite").parquet(f"{target}/version={version}")
+        rest = [c for c in batch.columns if c not in key]
+        batch.groupBy(*key).agg(F.max(F.struct(*rest)).alias("_r")).select(*key, "_r.*").write.mode("overwrite").parquet(f"{target}/version={version}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**pace(seconds)).start()
 
