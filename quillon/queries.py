@@ -1003,6 +1003,21 @@ def engine_hybrid(spark, sf_dir):
     return SearchEngine(entries(spark, sf_dir), corpus_vectors(spark, sf_dir), CFG, index=lexical_index(spark, sf_dir)).search(q, alt)
 
 
+@query(f"""WITH found AS ({ORACLES["engine_hybrid"]}), l AS (SELECT qid, list(DISTINCT id) AS ids, [qid, qid + 1, qid + 20] AS want FROM found GROUP BY qid),
+asked AS (SELECT item_id AS qid, [item_id, item_id + 1, item_id + 20] AS want FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)),
+j AS (SELECT 'c' || (a.qid % 4) AS category, len(list_intersect(coalesce(ids, []), a.want)) AS hits, CASE WHEN len(coalesce(ids, [])) = 0 THEN 0.0 ELSE len(list_filter(ids, lambda x: NOT list_contains(a.want, x))) / len(ids) END AS noise FROM asked a LEFT JOIN l ON l.qid = a.qid)
+SELECT category, count(*) AS total, count(*) FILTER (WHERE hits >= 1) AS passed, round(avg(hits / 3), 3) AS recall, round(avg(noise), 3) AS noise, NULL AS parity, round(count(*) FILTER (WHERE hits >= 1) / count(*), 3) AS pass_rate FROM j GROUP BY ROLLUP (category)""")
+def golden_over_search(spark, sf_dir):
+    """Questions against what they should find, through the whole search: both wordings, the lexical lane, decay and ranks."""
+    found = engine_hybrid(spark, sf_dir).groupBy("qid").agg(F.collect_set("id").alias("found"))
+    asked = table(spark, sf_dir, "benchmark").join(vectors(spark, sf_dir).select(F.col("id").alias("item_id")), "item_id", "left_semi").select(F.col("item_id").cast("long").alias("qid"))
+    items = asked.join(found, "qid", "left").select(
+        "qid", F.concat(F.lit("c"), F.col("qid") % 4).alias("category"), F.coalesce("found", F.array().cast("array<bigint>")).alias("found"), F.array(F.col("qid"), F.col("qid") + 1, F.col("qid") + 20).alias("expected"),
+        F.lit(1).alias("must_find"), F.lit(None).cast("array<bigint>").alias("alt"),
+    )
+    return evals.golden_report(evals.golden(items))
+
+
 @query(f"WITH {FINAL} SELECT qid, corpus, id, final_score, n FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final_score DESC, rank) AS n FROM final WHERE corpus = 'homelab' AND relevance >= 0.25 AND final_score >= 0.3) WHERE n <= 3")
 def engine_evidence(spark, sf_dir):
     """What a synthesis gets to see of one corpus."""
