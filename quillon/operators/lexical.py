@@ -36,6 +36,8 @@ from ..workspace import discard, new_folder, written
 COLUMNS, PLACE_BITS = ("title", "summary", "content"), 28
 #: Texts that are sent in one Arrow batch; ids of a block; folders of postings; words that are pushed to the scan.
 CHUNK, SPAN, BUCKETS, PUSHED = 200, 4096, 32, 1000
+#: Units of a score's part: parts are below 100, so thousands of them stay below 2**63.
+FINE = 1 << 46
 FORWARD = "corpus string, id long, hash long, dl int, words array<struct<term:string,f:double,places:array<int>>>"
 POSTINGS = "term string, corpus string, block long, n int, max_f double, min_dl int, ids array<long>, fs array<double>, dls array<int>, places array<array<int>>, gen int, bucket int"
 TABLES = {
@@ -295,7 +297,8 @@ def _all_parts(index: Index, asked: DataFrame, words: DataFrame, runs: DataFrame
     hits = word_hits(index, words.where("words = 1"))
     hits = kept(hits.union(runs) if runs is not None else hits, "hits")
     weights = _weighted(hits.groupBy(*KEY).agg(F.count("*").alias("df")), stats)
-    parts = hits.join(weights, KEY).select(*KEY, "id", _part(cfg).alias("part"))
+    # dealt by entry while a row is a phrase's: the rows of all queries that ask for it are added up where they arise
+    parts = hits.join(weights, KEY).select(*KEY, "id", _part(cfg).alias("part")).repartition("corpus", "id")
     return parts.join(asked.select("qid", "phrase", "prefix"), ["phrase", "prefix"]).select("qid", "corpus", "id", "part")
 
 
@@ -345,8 +348,9 @@ def _promising_parts(index: Index, asked: DataFrame, words: DataFrame, runs: Dat
 def bm25(index: Index, queries: DataFrame, cfg: EngineConfig, direct: int = 20_000_000) -> DataFrame:
     """qid, corpus, id, score (smaller is better), rank: the best ``lexical_limit`` entries of each corpus for ``queries`` (qid, text).
 
-    Ranks are those of the exact scores, ties by id; the score is rounded. Each distinct phrase of all queries is looked
-    up once. A query without terms finds nothing. Parts of a score are added in their order, so equal entries tie.
+    Ranks are those of the scores before they are rounded, ties by id. Each distinct phrase of all queries is looked up
+    once. A query without terms finds nothing. Parts of a score are added as multiples of 1.4e-14 (FINE), so the sum does
+    not depend on their order, and equal entries tie.
 
     Up to ``direct`` postings (the dictionary tells their number) all are scored, beyond that only promising ones are
     (``_promising_parts``); the result is the same. It is a written table of ``lexical_limit`` rows at most for a query and
@@ -364,8 +368,8 @@ def bm25(index: Index, queries: DataFrame, cfg: EngineConfig, direct: int = 20_0
     stats = F.broadcast(statistics(index))  # a row for each corpus
     runs = kept(phrase_hits(index, words.where("words > 1"), cfg), "runs") if (longest or 0) > 1 else None
     parts = (_all_parts if (postings or 0) <= direct else _promising_parts)(index, asked, words, runs, stats, cfg, kept)
-    total = F.aggregate(F.array_sort(F.collect_list("part")), F.lit(0.0), lambda s, x: s + x)  # a part for each phrase of the query
-    scores = parts.groupBy("qid", "corpus", "id").agg((-total).alias("_score"))
+    units = F.sum(F.round(F.col("part") * FINE).cast("long"))  # whole numbers: the same sum in any order
+    scores = parts.groupBy("qid", "corpus", "id").agg((-units / F.lit(float(FINE))).alias("_score"))
     rank = F.row_number().over(W.partitionBy("qid", "corpus").orderBy("_score", "id"))
     ranked = scores.withColumn("rank", rank).where(F.col("rank") <= cfg.lexical_limit)
     out = written(ranked.select("qid", "corpus", "id", (F.round("_score", 4) + F.lit(0.0)).alias("score"), "rank"), "lexical-ranks")
