@@ -1085,7 +1085,8 @@ def redact_text(spark, sf_dir):
     return may.select("corpus", "id", redact_udf("content").alias("r")).select("corpus", "id", "r.text", "r.rules").where(F.size("rules") > 0)
 
 
-#: Windows of words as SQL: all windows of every candidate's text, the terms that they have, and the best of them.
+#: Windows of words as SQL: all windows of every candidate's text, the terms that they have, and the best of them. Letters
+#: that folding leaves as they are become _, because word boundaries in DuckDB's expressions know ASCII only.
 PASSAGES = f"""WITH {BM25}, {HYBRID},
 asked AS (SELECT b.item_id AS qid, b.text AS query, 125 - least(len(regexp_extract_all(b.text, '\\S+')), 63) AS room, (SELECT list(term ORDER BY term) FROM terms t WHERE t.qid = b.item_id) AS ts FROM benchmark b),
 cand AS (SELECT m.qid, m.corpus, m.id, coalesce(e.content, '') AS content, regexp_extract_all(coalesce(e.content, ''), '\\S+\\s*') AS toks, room, coalesce(ts, []) AS ts FROM merged m JOIN entries e ON e.corpus = m.corpus AND e.id = m.id JOIN asked a ON a.qid = m.qid),
@@ -1095,7 +1096,7 @@ ww AS (SELECT * REPLACE (list_transform(list_filter(ws, lambda w: length(w) >= 2
 hw AS (SELECT *, list_filter(ts, lambda s: len(list_filter(ws, lambda w: starts_with(w, s))) > 0) AS hits, count(*) OVER (PARTITION BY qid, corpus, id) AS n FROM ww),
 each AS (SELECT qid, corpus, id, k, f, n, unnest(hits) AS term FROM hw),
 wdf AS (SELECT qid, corpus, id, term, count(*) AS df FROM each GROUP BY ALL),
-cut AS (SELECT e.*, wdf.df, regexp_split_to_array(f, '\\b' || regexp_escape(e.term)) AS parts FROM each e JOIN wdf USING (qid, corpus, id, term)),
+cut AS (SELECT e.*, wdf.df, regexp_split_to_array(translate(f, 'ßœæøłđð', '_______'), '\\b' || regexp_escape(translate(e.term, 'ßœæøłđð', '_______'))) AS parts FROM each e JOIN wdf USING (qid, corpus, id, term)),
 worth AS (SELECT qid, corpus, id, k, list_sum(list_sort(list(ln(1 + n / (1 + df))))) AS cover, sum(coalesce(list_max(list_transform(range(1, len(parts)), lambda i: 1 - abs(list_sum(list_transform(parts[1:i], lambda p: length(p))) + (i - 1) * length(term) + length(term) / 2 - greatest(1, length(f)) / 2) / (greatest(1, length(f)) / 2))), 0)) AS centre FROM cut GROUP BY ALL),
 best AS (SELECT * FROM (SELECT hw.qid, hw.corpus, hw.id, t, row_number() OVER (PARTITION BY hw.qid, hw.corpus, hw.id ORDER BY coalesce(cover, 0) DESC, round(coalesce(centre, 0), 9) DESC, hw.k) AS o FROM hw LEFT JOIN worth w ON w.qid = hw.qid AND w.corpus = hw.corpus AND w.id = hw.id AND w.k = hw.k) WHERE o = 1)
 SELECT c.qid, c.corpus, c.id, coalesce(t, content) AS passage FROM cand c LEFT JOIN best b ON b.qid = c.qid AND b.corpus = c.corpus AND b.id = c.id"""
