@@ -45,7 +45,7 @@ class WordIds(Memo):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__(None, most=250_000, longest=10)
+        super().__init__(None, most=300_000, longest=20)
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.merges = self.tokenizer.model.tokenize
