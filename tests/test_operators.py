@@ -241,3 +241,29 @@ def test_sums_of_large_arrays(spark):
     size = 16 * (1 + 768 + 768 * 768)
     got = _summed(df, lambda rows: np.resize((rows.T @ rows).ravel(), size), size)
     assert got.nbytes < 100e6 and np.allclose(got, np.resize((x.T @ x).ravel(), size))
+
+
+def test_candidates_by_tiles(spark, monkeypatch):
+    """Tiles of both sides give what a comparison of all with all gives, ties by id; no nested loop over rows is planned."""
+    monkeypatch.setattr(vector, "TILE_QUERIES", 16)
+    monkeypatch.setattr(vector, "TILE_VECTORS", 32)
+    monkeypatch.setattr(vector, "CHUNK", 7)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-1, 3, (200, 4)) + np.array([0.5, 0, 0, 0])  # equal vectors and equal distances
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [("ai" if k % 3 else "homelab", k, v.tolist()) for k, v in enumerate(x)]
+    v = spark.createDataFrame([*rows, ("ai", 999, None)], "corpus string, id long, x array<double>")
+    found = vector.top_candidates(v.select(F.col("id").alias("qid"), F.col("x").alias("qx")), v, 0.4, 6)
+    d = 1 - np.clip(x @ x.T, -1, 1)
+    want = set()
+    for q in range(len(x)):
+        for corpus in ("ai", "homelab"):
+            near = sorted((round(d[q, k], 4), k) for c, k, _ in rows if c == corpus and d[q, k] <= 0.4)[:6]
+            want |= {(q, corpus, k, place) for place, (_, k) in enumerate(near, 1)}
+    assert {(r.qid, r.corpus, r.id, r.rank) for r in found.collect()} == want
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
+def test_no_candidates(spark):
+    v = spark.createDataFrame([], "corpus string, id long, x array<double>")
+    assert vector.top_candidates(v.select(F.col("id").alias("qid"), F.col("x").alias("qx")), v, 0.4, 6).collect() == []
