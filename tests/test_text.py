@@ -318,3 +318,21 @@ def test_stems_as_sql():
     values = ", ".join(f"('{w}')" for w in listed)
     got = dict(duckdb.sql(f"WITH w(word) AS (VALUES {values}), {porter_sql('w')} SELECT word, stem FROM stems").fetchall())
     assert got == {w: porter(w) for w in listed}
+
+
+def test_blocks_are_put_together_where_entries_are_read(spark, monkeypatch):
+    """Nothing is sent to make blocks of postings; entries that are read in several goes give the same search."""
+    from quillon.config import EngineConfig
+    from quillon.operators import lexical
+
+    rows = [("ai" if k % 2 else "homelab", 4090 + k, "", None, f"çommon wörd{k % 5} pair of words" if k != 3 else None) for k in range(40)]
+    entries = spark.createDataFrame(rows, "corpus string, id long, title string, summary string, content string")
+    made = lexical.blocks(lexical.forward(entries, EngineConfig()))
+    assert "Exchange" not in made._jdf.queryExecution().toString()
+    got = {(r.term, r.corpus, r.block): list(r.ids) for r in made.collect()}
+    assert got["common", "ai", 0] == [4091, 4095] and len(got["common", "ai", 1]) == 17
+    asked = spark.createDataFrame([(1, "wörd3 common"), (2, "pair-of")], "qid long, text string")
+    find = lambda: sorted(map(tuple, lexical.bm25(lexical.index_of(entries, EngineConfig()), asked, EngineConfig()).collect()))
+    whole = find()
+    monkeypatch.setattr(lexical, "GATHERED", 1)
+    assert whole == find() and {r[0] for r in whole} == {1, 2}
