@@ -267,3 +267,17 @@ def test_candidates_by_tiles(spark, monkeypatch):
 def test_no_candidates(spark):
     v = spark.createDataFrame([], "corpus string, id long, x array<double>")
     assert vector.top_candidates(v.select(F.col("id").alias("qid"), F.col("x").alias("qx")), v, 0.4, 6).collect() == []
+
+
+def test_spread_vectors_go_by_tiles(spark):
+    """Where cells leave nothing out, vectors aren't sent to each cell: no blocks of visitors are written."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 24))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>")
+    near, pairs = vector.nearest(df, 2, 20), vector.near_duplicates(df, 0.6, 20)
+    assert all("FlatMapCoGroupsInArrow" in t._jdf.queryExecution().toString() for t in (near, pairs))
+    d = 1 - x @ x.T
+    assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for a, b in zip(*np.nonzero(d <= 0.6)) if a < b}
+    np.fill_diagonal(d, 9)
+    assert {(r.id, r.other) for r in near.where("rank = 1").collect()} == {(k, int(d[k].argmin())) for k in range(300)}
