@@ -336,3 +336,17 @@ def test_blocks_are_put_together_where_entries_are_read(spark, monkeypatch):
     whole = find()
     monkeypatch.setattr(lexical, "GATHERED", 1)
     assert whole == find() and {r[0] for r in whole} == {1, 2}
+
+
+def test_searches_meet_postings_as_blocks(spark):
+    from quillon.config import EngineConfig
+    from quillon.operators import lexical
+
+    rows = [("ai", k, "", "", f"network nets word{k % 3} nest-egg" if k % 2 else "other") for k in range(-3, 6000)]
+    index = lexical.index_of(spark.createDataFrame(rows, "corpus string, id long, title string, summary string, content string"), EngineConfig())
+    asked = lexical.phrases(spark.createDataFrame([(1, "network word1"), (2, "nest-egg network")], "qid long, text string"))
+    words = lexical.spelled(index, asked.select("phrase", "prefix", "words").distinct())
+    found = lexical.hits(index, words, EngineConfig()).collect()
+    assert len(found) == len({(r.phrase, r.prefix, r.block) for r in found})  # arrays, not a row for an entry
+    ids = lambda phrase: sorted(i for r in found if r.phrase == phrase for i in r.ids)
+    assert ids("network") == ids("nest egg") == [k for k in range(-3, 6000) if k % 2] and sum(r.n for r in found if r.phrase == "network") == 3002
