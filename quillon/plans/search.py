@@ -208,53 +208,48 @@ class SearchEngine:
             degraded.alias("degraded"), F.size("ranked").alias("total_count"), *CORPORA, "ranked", "lexical_candidates", "newer_notes", audit.alias("audit"),
         )
 
-    def scanned(self, queries: DataFrame) -> DataFrame:
-        """All distances of queries, as a written table: a trace reads them several times."""
-        d = vector.distances(queries.select("qid", "qx"), self.vectors)
-        return self._kept(d.select("qid", "corpus", "id", "d", F.round("d", 4).alias("distance")), "distances")
-
     def stages(self, queries: DataFrame) -> DataFrame:
         """qid, corpus, stage, count, entries: how many vectors are left after each stage, and the first of them in order.
 
         Stages: raw, max_distance, candidate_k (ten entries each: id, distance), scored, reject (up to 25 entries, with
-        title and scores). Ranks are limited within tasks, so no task sorts all that was scanned. No lexical lane.
+        title and scores). Tiles of vectors give their numbers and first entries, so no distance is written. No lexical lane.
         """
-        cfg, scan = self.cfg, self.scanned(queries)
+        cfg = self.cfg
+        seen = self._kept(vector.scan(queries.select("qid", "qx"), self.vectors, cfg.max_distance, max(10, cfg.candidate_k)), "scan")
+        scan = seen.where("total = 0")
         key = ["qid", "corpus"]
-        near = scan.where(F.col("d") <= cfg.max_distance)
+        near = scan.where("near")
+        tally = lambda n: seen.groupBy(*key).agg(F.sum(n).alias("count")).where("count > 0")
         first = lambda rows, n: rows.withColumn("place", F.row_number().over(W.partitionBy(*key).orderBy("distance", "id"))).where(F.col("place") <= n)
         candidates = first(near, cfg.candidate_k).withColumn("rank", F.col("place"))
-        plain = candidates.withColumn("from_primary", F.lit(True)).withColumn("alternate_rank", F.lit(None).cast("int")).withColumnRenamed("rank", "pos").drop("place", "d")
+        plain = candidates.withColumn("from_primary", F.lit(True)).withColumn("alternate_rank", F.lit(None).cast("int")).withColumnRenamed("rank", "pos").drop("place", "near", "total", "within")
         scored = self._kept(self.scored(plain.withColumn("from_lexical", F.lit(False))), "scored")
         kept = scored.where(F.col("relevance") >= cfg.reject)
         place = lambda *order: F.row_number().over(W.partitionBy(*key).orderBy(*order))
         blank = {"title": F.lit(None).cast("string"), "relevance": F.lit(None).cast("double"), "final_score": F.lit(None).cast("double")}
         short = {"title": F.substring("title", 1, 80)}
 
+        count = lambda rows: rows.groupBy(*key).agg(F.count("*").alias("count"))
+
         def stage(name, counted, listed):
             entry = F.struct("place", "id", "title", "distance", "relevance", "final_score")
             lists = listed.groupBy(*key).agg(F.sort_array(F.collect_list(entry)).alias("entries"))
-            return counted.groupBy(*key).agg(F.count("*").alias("count")).join(lists, key, "left").select(*key, F.lit(name).alias("stage"), "count", "entries")
+            return counted.join(lists, key, "left").select(*key, F.lit(name).alias("stage"), "count", "entries")
 
-        rows = stage("raw", scan, first(scan, 10).withColumns(blank))
-        rows = rows.union(stage("max_distance", near, first(near, 10).withColumns(blank)))
-        rows = rows.union(stage("candidate_k", candidates, first(near, min(10, cfg.candidate_k)).withColumns(blank)))
-        rows = rows.union(stage("scored", scored, scored.withColumn("place", place("pos")).withColumns(short).where("place <= 25")))
-        return rows.union(stage("reject", kept, kept.withColumn("place", place(F.desc("final_score"), "pos")).withColumns(short).where("place <= 25")))
+        rows = stage("raw", tally("total"), first(scan, 10).withColumns(blank))
+        rows = rows.union(stage("max_distance", tally("within"), first(near, 10).withColumns(blank)))
+        rows = rows.union(stage("candidate_k", count(candidates), first(near, min(10, cfg.candidate_k)).withColumns(blank)))
+        rows = rows.union(stage("scored", count(scored), scored.withColumn("place", place("pos")).withColumns(short).where("place <= 25")))
+        return rows.union(stage("reject", count(kept), kept.withColumn("place", place(F.desc("final_score"), "pos")).withColumns(short).where("place <= 25")))
 
     def watched(self, queries: DataFrame, watch: DataFrame) -> DataFrame:
         """Where each entry of ``watch`` (corpus, id) is in each query's search: ranks and scores, and the stage it fell out at.
 
-        Ranks of watched entries are numbers of nearer ones, counted in one join; nothing is sorted for them.
+        Ranks of watched entries are numbers of nearer ones, looked up among a query's sorted distances.
         """
-        cfg, scan = self.cfg, self.scanned(queries)
-        mine = scan.join(watch.select("corpus", "id").distinct(), ["corpus", "id"])
-        w = mine.select("qid", "corpus", F.col("id").alias("_id"), F.col("distance").alias("_distance"))
-        ahead = (F.col("distance") < F.col("_distance")) | ((F.col("distance") == F.col("_distance")) & (F.col("id") < F.col("_id")))
-        before = scan.join(w, ["qid", "corpus"]).where(ahead).groupBy("qid", "corpus", F.col("_id").alias("id"))
-        before = before.agg(F.count("*").alias("raw"), F.count_if(F.col("d") <= cfg.max_distance).alias("near"))
-        m = mine.join(before, ["qid", "corpus", "id"], "left").fillna(0, ["raw", "near"])
-        within = F.col("d") <= cfg.max_distance
+        cfg = self.cfg
+        within = F.col("within")
+        m = vector.places_of(queries.select("qid", "qx"), self.vectors, watch, cfg.max_distance)
         m = m.withColumn("raw_rank", F.col("raw") + 1).withColumn("distance_rank", F.when(within, F.col("near") + 1))
         s = self.scored(self.candidates(queries.select("qid", "qx"))).withColumn("kept", F.col("relevance") >= cfg.reject)
         s = s.withColumn("final_rank", F.when(F.col("kept"), F.row_number().over(W.partitionBy("qid", "corpus", "kept").orderBy(F.desc("final_score"), "pos"))))

@@ -281,3 +281,29 @@ def test_spread_vectors_go_by_tiles(spark):
     assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for a, b in zip(*np.nonzero(d <= 0.6)) if a < b}
     np.fill_diagonal(d, 9)
     assert {(r.id, r.other) for r in near.where("rank = 1").collect()} == {(k, int(d[k].argmin())) for k in range(300)}
+
+
+def test_traces_by_tiles_equal_all_distances(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(90, 4)), 1) + 0.05
+    x[40:60] = x[:20]  # ties
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [("ai" if k % 3 else "homelab", k, v.tolist()) for k, v in enumerate(x)]
+    v = spark.createDataFrame(rows, "corpus string, id long, x array<double>")
+    q = v.where("id % 7 = 0").select(F.col("id").alias("qid"), F.col("x").alias("qx"))
+    watch = v.where("id % 5 = 0").select("corpus", "id")
+    d = {(a, c, b): 1 - min(1, max(-1, float(x[a] @ x[b]))) for a in range(0, 90, 7) for c, b, _ in rows}
+    order = lambda a, c: sorted((int(np.floor(e * 1e4 + 0.5)), b) for (p, k, b), e in d.items() if p == a and k == c)
+    for vectors in (262144, 20):  # one block, several
+        monkeypatch.setattr(vector, "RANKED_VECTORS", vectors)
+        got = vector.places_of(q, v, watch, 0.85).collect()
+        assert len(got) == 13 * 18
+        for r in got:
+            ahead = order(r.qid, r.corpus)
+            at = ahead.index((int(np.floor(d[r.qid, r.corpus, r.id] * 1e4 + 0.5)), r.id))
+            assert (r.raw, r.near) == (at, sum(d[r.qid, r.corpus, b] <= 0.85 for _, b in ahead[:at]))
+    seen = vector.scan(q, v, 0.85, 3).collect()
+    for a, c in {(r.qid, r.corpus) for r in seen}:
+        mine = [r for r in seen if (r.qid, r.corpus) == (a, c)]
+        assert sum(r.total for r in mine) == len(order(a, c)) and sum(r.within for r in mine) == sum(d[a, c, b] <= 0.85 for _, b in order(a, c))
+        assert sorted((round(r.distance * 1e4), r.id) for r in mine if not r.total)[:3] == order(a, c)[:3]
