@@ -47,7 +47,8 @@ def final_score(rel: Column, corpus: Column, days: Column, superseded: Column, c
     demote = F.when(superseded, cfg.demotion).otherwise(1.0)
     home = rational_decay(days, cfg.half_life_days, cfg.decay_floor)
     ai = rational_decay(days, cfg.ai_half_life_days, cfg.ai_decay_floor) if cfg.ai_decay == "rational" else F.lit(1.0)
-    return F.round(rel * F.when(corpus == "ai", ai).otherwise(home) * demote, 4)
+    score = rel * F.when(corpus == "ai", ai).otherwise(home) * demote
+    return F.floor(score * 1e4 + 0.5) / 1e4  # of the binary number, as in SQL; F.round goes by its shortest decimals
 
 
 def shadow_route(home: Column, ai: Column, cfg: EngineConfig) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,21 +18,22 @@ GENERAL = (
 ).split()
 
 
-def topic_tokens(tags: Column, title: Column) -> Column:
+def topic_tokens(tags: Column, title: Column, general: Sequence[str] = GENERAL) -> Column:
     """Distinct tags and words of the title that tell something: three letters or more, no numbers, no general words."""
     parts = F.transform(F.split(F.lower(F.coalesce(tags, F.lit(""))), "[,/;]"), lambda t: F.trim(t))
     words = F.regexp_extract_all(F.lower(F.coalesce(title, F.lit(""))), F.lit("([a-z0-9][a-z0-9._-]{2,})"), F.lit(1))
-    fine = lambda t: (F.length(t) >= 3) & ~t.rlike("^[0-9]+$") & ~t.isin(GENERAL)
+    fine = lambda t: (F.length(t) >= 3) & ~t.rlike("^[0-9]+$") & ~t.isin(*general)
     return F.array_distinct(F.filter(F.concat(parts, words), fine))
 
 
-def related(queries: DataFrame, vectors: DataFrame, entries: DataFrame, threshold: float, exclude: DataFrame | None = None) -> DataFrame:
+def related(queries: DataFrame, vectors: DataFrame, entries: DataFrame, threshold: float, exclude: DataFrame | None = None, general: Sequence[str] = GENERAL) -> DataFrame:
     """Entries near a new one (qid, qx, qtags, qtitle) that share a topic with it, and their place by similarity; the limit
-    holds for the exact similarity. ``exclude``: qid, id that aren't looked at; the entry itself never is."""
+    holds for the exact similarity. ``exclude``: qid, id that aren't looked at; the entry itself never is. ``general``:
+    words that are no topic."""
     near = distances(queries, vectors).where((1 - F.col("d") >= threshold) & (F.col("id") != F.col("qid")))
     if exclude is not None:
         near = near.join(exclude.select("qid", "id"), ["qid", "id"], "left_anti")
     both = near.join(entries.select("id", "tags", "title"), "id")
-    shared = F.array_intersect(topic_tokens(F.col("qtags"), F.col("qtitle")), topic_tokens(F.col("tags"), F.col("title")))
+    shared = F.array_intersect(topic_tokens(F.col("qtags"), F.col("qtitle"), general), topic_tokens(F.col("tags"), F.col("title"), general))
     both = both.withColumn("shared", F.array_sort(shared)).where(F.size("shared") > 0).withColumn("similarity", F.round(1 - F.col("d"), 4))
     return both.withColumn("place", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("similarity"), "id")))

@@ -307,3 +307,18 @@ def test_traces_by_tiles_equal_all_distances(spark, monkeypatch):
         mine = [r for r in seen if (r.qid, r.corpus) == (a, c)]
         assert sum(r.total for r in mine) == len(order(a, c)) and sum(r.within for r in mine) == sum(d[a, c, b] <= 0.85 for _, b in order(a, c))
         assert sorted((round(r.distance * 1e4), r.id) for r in mine if not r.total)[:3] == order(a, c)[:3]
+
+
+def test_general_words_are_a_parameter_of_topics(spark):
+    from quillon.operators.gate import topic_tokens
+
+    one = spark.createDataFrame([("src0", "nas superseded disk")], "tags string, title string")
+    of = lambda *general: one.select(topic_tokens(F.col("tags"), F.col("title"), *general).alias("t")).first().t
+    assert of() == ["src0", "disk"] and of(["superseded"]) == ["src0", "nas", "disk"]
+
+
+def test_final_scores_round_the_binary_number(spark):
+    from quillon.config import test_config
+
+    row = spark.createDataFrame([(0.4686, "homelab", 340.0)], "rel double, corpus string, days double")
+    assert row.select(S.final_score(F.col("rel"), F.col("corpus"), F.col("days"), F.lit(False), test_config()).alias("s")).first().s == 0.2875
