@@ -92,12 +92,12 @@ def passage_windows(make: Callable, query: Column, content: Column) -> Column:
 
 def best_passage(windows: Column) -> Column:
     """The text of the window that covers the query best: a term counts ln(1 + windows / (1 + windows that have it)); of
-    equal windows the one with more central terms, then the first. Without any term that is the beginning."""
+    equal windows the one with more central terms (to nine decimals: their sum depends on the order of the terms), then the first. Without any term that is the beginning."""
     n = F.size(windows)
     having = lambda term: F.size(F.filter(windows, lambda w: F.array_contains(w["hits"], term)))
     worth = lambda w: F.array_sort(F.transform(w["hits"], lambda t: F.log(1 + n / (1 + having(t)))))
     cover = lambda w: F.aggregate(worth(w), F.lit(0.0), lambda s, x: s + x)
-    ranked = F.transform(windows, lambda w, k: F.struct(cover(w).alias("cover"), w["centrality"].alias("centrality"), (-k).alias("at")))
+    ranked = F.transform(windows, lambda w, k: F.struct(cover(w).alias("cover"), F.round(w["centrality"], 9).alias("centrality"), (-k).alias("at")))
     return F.get(windows, (-F.array_max(ranked)["at"]).cast("int"))["text"]
 
 

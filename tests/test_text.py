@@ -350,3 +350,14 @@ def test_searches_meet_postings_as_blocks(spark):
     assert len(found) == len({(r.phrase, r.prefix, r.block) for r in found})  # arrays, not a row for an entry
     ids = lambda phrase: sorted(i for r in found if r.phrase == phrase for i in r.ids)
     assert ids("network") == ids("nest egg") == [k for k in range(-3, 6000) if k % 2] and sum(r.n for r in found if r.phrase == "network") == 3002
+
+
+def test_passages_tie_whatever_order_their_terms_are_added_in(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    from quillon.functions.passages import WINDOW, best_passage
+
+    windows = [("first", ["x"], 0.1 + 0.2), ("second", ["x"], 0.3 + 2e-16), ("third", ["x"], 0.6 - 0.3 + 1e-15)]
+    df = spark.createDataFrame([(windows,)], T.StructType([T.StructField("w", T.ArrayType(WINDOW))]))
+    assert df.select(best_passage(F.col("w")).alias("p")).first().p == "first"
