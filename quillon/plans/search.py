@@ -136,17 +136,18 @@ class SearchEngine:
         With a scorer, ``queries`` (qid, text): the first wording judges all candidates, of both corpora and wordings.
         """
         cfg = self.cfg
+        # the mark is read before the join, so that titles which nobody asks for aren't sent
+        entries, shown = self.entries.withColumn("_superseded", S.is_superseded(F.col("title"))), ["corpus", "id", "title", "tags", "created_at", "_superseded"]
         if self.scorer is not None and queries is not None:
-            e = self.entries.select("corpus", "id", "title", "tags", "created_at", F.coalesce(F.nullif("content", F.lit("")), "summary").alias("_body"))
+            e = entries.select(*shown, F.coalesce(F.nullif("content", F.lit("")), "summary").alias("_body"))
             c = candidates.join(e, ["corpus", "id"]).join(queries.select("qid", F.col("text").alias("_query")), "qid")
             seen = self._kept(with_passage(c, self.scorer, "_query", "_body", "_passage").drop("_body"), "passages")
             c = with_model_relevance(seen, self.scorer, "_query", "_passage").drop("_passage", "_query")
         else:
-            texts = self.entries.select("corpus", "id", "title", "tags", "created_at")
-            c = candidates.join(texts, ["corpus", "id"]).withColumn("relevance", S.relevance(F.col("distance"), cfg))
+            c = candidates.join(entries.select(*shown), ["corpus", "id"]).withColumn("relevance", S.relevance(F.col("distance"), cfg))
         c = fusion.admit_alternates(c, cfg)
         days = S.age_days(F.col("created_at"), F.lit(cfg.as_of).cast("timestamp"))
-        return c.withColumn("final_score", S.final_score(F.col("relevance"), F.col("corpus"), days, S.is_superseded(F.col("title")), cfg))
+        return c.withColumn("final_score", S.final_score(F.col("relevance"), F.col("corpus"), days, F.col("_superseded"), cfg)).drop("_superseded")
 
     def search(self, queries: DataFrame, alternate: DataFrame | None = None, corpora: list[str] | None = None) -> DataFrame:
         """The best of each corpus with their place, merged rank, title, link and, if edges are given, newer notes."""

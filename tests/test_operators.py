@@ -322,3 +322,17 @@ def test_final_scores_round_the_binary_number(spark):
 
     row = spark.createDataFrame([(0.4686, "homelab", 340.0)], "rel double, corpus string, days double")
     assert row.select(S.final_score(F.col("rel"), F.col("corpus"), F.col("days"), F.lit(False), test_config()).alias("s")).first().s == 0.2875
+
+
+def test_first_places_look_at_some_columns_for_a_bound(monkeypatch):
+    rng, seen, partition = np.random.default_rng(5), [], np.partition
+    d = np.round(rng.random((6, 8000)), 5)
+    d[1], d[2, 30:], d[3] = np.inf, np.inf, 0.25  # nothing, fewer than asked for, all equal
+    d[4, 1000:1200] = d[4].min() / 2  # many ties
+    monkeypatch.setattr(np, "partition", lambda x, *a, **k: seen.append(x.size) or partition(x, *a, **k))
+    for most in (np.inf, 0.01):
+        i, j = vector.first_places(d, 25, vector.rounded, 1.5 / 10**vector.PLACES, min(most, np.finfo(float).max))
+        fine = np.where(d <= most, vector.rounded(d), np.inf)
+        want = [(r, c) for r in range(6) for c in np.lexsort((np.arange(8000), fine[r]))[:25] if np.isfinite(fine[r, c])]
+        assert list(zip(i, j)) == want
+    assert max(seen) <= d.size // vector.SAMPLED
