@@ -166,7 +166,7 @@ class SearchEngine:
             "qid", "corpus", "id", F.concat_ws(":", "corpus", "id").alias("ref"), title.alias("title"), "relevance", "final_score", "place", "rank",
             S.display_link(F.col("tags"), F.col("corpus"), F.col("id")).alias("link"),
         )
-        return out if self.newer is None else with_warnings(out, self.newer)
+        return out if self.newer is None else with_warnings(self._kept(out, "results"), self.newer)
 
     def route(self, queries: DataFrame) -> DataFrame:
         """What a router would have done with searches of both corpora."""
