@@ -8,6 +8,7 @@ from quillon.config import EngineConfig
 from quillon.functions import scoring as S
 from quillon.operators import evals, fusion, lineage, store, vector
 from quillon.operators.atlas import project
+from quillon.queries import QUERIES
 from quillon.sources import adapters
 from quillon.streaming import ingest
 
@@ -309,6 +310,24 @@ def test_traces_by_tiles_equal_all_distances(spark, monkeypatch):
         assert sorted((round(r.distance * 1e4), r.id) for r in mine if not r.total)[:3] == order(a, c)[:3]
 
 
+def test_totals_by_tiles(spark, monkeypatch):
+    """Tiles give what all distances give; no row is made for a pair and no nested loop is planned."""
+    monkeypatch.setattr(vector, "TILE_QUERIES", 16)
+    monkeypatch.setattr(vector, "TILE_VECTORS", 8)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(90, 4))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    corpora = np.array(["homelab", "ai", "ai"] * 30)
+    rows = [(c, k, v.tolist()) for k, (c, v) in enumerate(zip(corpora.tolist(), x))]
+    v = spark.createDataFrame([*rows, ("ai", 999, None)], "corpus string, id long, x array<double>")
+    found = vector.totals(v.select(F.col("id").alias("qid"), F.col("x").alias("qx")), v, 0.85)
+    d = 1 - np.clip(x @ x.T, -1, 1)
+    want = {(q, c): (int((corpora == c).sum()), int((d[q, corpora == c] <= 0.85).sum()), round(d[q, corpora == c].min(), 9)) for q in range(90) for c in ("ai", "homelab")}
+    assert {(r.qid, r.corpus): (r.total, r.within, round(r.d, 9)) for r in found.collect()} == want
+    plan = QUERIES["vec_scan_totals"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_general_words_are_a_parameter_of_topics(spark):
     from quillon.operators.gate import topic_tokens
 
