@@ -1,6 +1,7 @@
 import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -328,6 +329,50 @@ def test_totals_by_tiles(spark, monkeypatch):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_visits_go_out_in_slices(spark, monkeypatch):
+    """Vectors that visit all cells: a batch of visits is a slice of vectors times the pivots, and counting makes none."""
+    monkeypatch.setattr(vector, "VISITORS", 16)
+    rng, made = np.random.default_rng(6), []
+    x = rng.normal(size=(400, 24))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, x array<double>")
+    cells = vector.Cells(df, 20)
+    everywhere = cells.homes.withColumn("reach", F.lit(3.0))
+    mapped = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a, **k: made.append(f) or mapped(self, f, *a, **k))
+    assert not cells.apart(everywhere, upwards=False)
+    visits = cells.visits(everywhere, upwards=False)
+    assert visits.count() == 400 * 20 and visits.select("id", "cell").distinct().count() == 400 * 20
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in everywhere.select("id", "x", "cell", "reach").collect()])
+    counted, out = ([b.num_rows for b in f(iter([batch]))] for f in made)
+    assert counted == [1] and sum(out) == 400 * 20 and max(out) <= 16 * 20
+
+
+@pytest.mark.parametrize("kind", ["even", "near", "grid", "equal", "few"])
+@pytest.mark.parametrize("k", [1, 5])
+def test_nearest_by_single_precision_is_exact(monkeypatch, kind, k):
+    """Products in single precision leave what double precision orders; equal distances by id; a vector isn't its own."""
+    monkeypatch.setattr(vector, "COLUMNS", 256)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(3 if kind == "few" else 3000, 16))
+    if kind == "near":  # differences below single precision
+        x = np.repeat(x[:100], 30, 0) + rng.normal(size=x.shape) * 1e-6
+    elif kind == "grid":
+        x = rng.integers(0, 3, (3000, 4)) + np.array([1, 0, 0, 0])
+    elif kind == "equal":
+        x = np.ones((3000, 16))
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    ids, at = np.arange(len(x)) * 2, np.arange(0, len(x), 41)
+    i, j, d = vector.nearest_places(ids[at], x[at], ids, vector.halved(x), k)
+    exact = 1 - np.clip(x[at] @ x.T, -1, 1)
+    exact[np.arange(len(at)), at] = np.inf
+    want = np.sort(exact, axis=1)[:, : min(k, len(x) - 1)]
+    assert np.array_equal(i, np.repeat(np.arange(len(at)), want.shape[1])) and np.allclose(d, want.ravel(), rtol=0, atol=2e-9)
+    assert not (at[i] == j).any() and np.allclose(exact[i, j], d, rtol=0, atol=1e-12)
+    if kind == "equal":
+        assert [list(j[i == r]) for r in range(3)] == [[c for c in range(k + 1) if c != at[r]][:k] for r in range(3)]
+
+
 def test_general_words_are_a_parameter_of_topics(spark):
     from quillon.operators.gate import topic_tokens
 
