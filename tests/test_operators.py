@@ -373,6 +373,37 @@ def test_nearest_by_single_precision_is_exact(monkeypatch, kind, k):
         assert [list(j[i == r]) for r in range(3)] == [[c for c in range(k + 1) if c != at[r]][:k] for r in range(3)]
 
 
+def test_related_by_tiles(spark, monkeypatch):
+    """Tiles give what a look at all pairs gives, exclusions as rows or as a function; no row is made for a pair before."""
+    from quillon.operators.gate import related, with_topics
+
+    monkeypatch.setattr(vector, "TILE_QUERIES", 16)
+    monkeypatch.setattr(vector, "TILE_VECTORS", 8)
+    monkeypatch.setattr(vector, "CHUNK", 70)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(160, 4)), 1) + 0.05
+    x[40:60] = x[:20]  # ties
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    words = [set() if k % 11 == 0 else {f"wort{w}" for w in rng.integers(0, 30, 1 + k % 7)} for k in range(160)]
+    v = spark.createDataFrame([("ai" if k % 3 else "homelab", k, e.tolist()) for k, e in enumerate(x)], "corpus string, id long, x array<double>")
+    e = spark.createDataFrame([(k, "", " ".join(sorted(w)) or None) for k, w in enumerate(words)], "id long, tags string, title string")
+    q = v.join(e, "id").select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("tags").alias("qtags"), F.col("title").alias("qtitle"))
+    out = lambda qids, ids: (qids % 4 == 0) & (ids % 3 == 1)
+    rows = q.select("qid").join(e.select("id")).where("qid % 4 = 0 and id % 3 = 1")
+    s = 1 - (1 - np.clip(x @ x.T, -1, 1))
+    want = set()
+    for a in range(160):
+        near = sorted((-np.floor(s[a, b] * 1e4 + 0.5), b) for b in range(160) if b != a and s[a, b] >= 0.25 and words[a] & words[b] and not out(a, b))
+        want |= {(a, b, -units / 1e4, place) for place, (units, b) in enumerate(near, 1)}
+    for exclude in (out, rows):
+        found = related(q, v, e, 0.25, exclude)
+        assert {(r.qid, r.id, r.similarity, r.place) for r in found.collect()} == want
+    assert {(r.qid, r.id) for r in related(q, v, e, 0.25).collect()} > {w[:2] for w in want}
+    assert all(set(r.shared) == words[r.qid] & words[r.id] for r in with_topics(found, q, e).collect())
+    plan = QUERIES["gate_related"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_general_words_are_a_parameter_of_topics(spark):
     from quillon.operators.gate import topic_tokens
 
